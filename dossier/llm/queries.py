@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import decontaminate, quality, simhash, tokens
+from dossier.llm import decontaminate, quality, secrets, simhash, tokens, warc
 
 #: A document of more tokens is over the limit that op2 reports.
 TOKEN_LIMIT = 512
@@ -42,6 +42,17 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = secrets.scan(docs)
+    counts = [secrets.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select("row.doc_id", *counts, _sha(secrets.listed(F.col("base"))).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -59,6 +70,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_bpe_codec, op7_simhash_dedup, op10_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_bpe_codec, op7_simhash_dedup, op8_warc_archives, op9_secret_scan, op10_decontamination)
 }
 ORACLES: dict[str, str] = {}
