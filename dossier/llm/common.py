@@ -65,6 +65,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+_WORKER: dict = {}
+
+
+def once(key: tuple, make: Callable):
+    """``make()``, kept in this worker process."""
+    if key not in _WORKER:
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null reads as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

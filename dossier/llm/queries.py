@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import decontaminate, quality, secrets, simhash, tokens, warc
+from dossier.llm import decontaminate, html, kneser_ney, langid, quality, secrets, simhash, tokens, warc
 
 #: A document of more tokens is over the limit that op2 reports.
 TOKEN_LIMIT = 512
@@ -33,10 +33,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(_table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html"))
+    return found.select("row.page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -70,6 +83,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_bpe_codec, op7_simhash_dedup, op8_warc_archives, op9_secret_scan, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_token_counts,
+        op3_html_text,
+        op4_bpe_codec,
+        op5_quality_classifier,
+        op6_language_id,
+        op7_simhash_dedup,
+        op8_warc_archives,
+        op9_secret_scan,
+        op10_decontamination,
+    )
 }
 ORACLES: dict[str, str] = {}

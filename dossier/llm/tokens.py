@@ -7,7 +7,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dossier.llm.common import map_batches, texts
+from dossier.llm.common import map_batches, once, texts
 
 #: The split patterns that the two vocabularies state.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -123,16 +123,6 @@ class RankMerger:
         return result
 
 
-_WORKER: dict = {}
-
-
-def once(key: tuple, make: Callable):
-    """``make()``, kept in this worker process."""
-    if key not in _WORKER:
-        _WORKER[key] = make()
-    return _WORKER[key]
-
-
 def pieces(text: str) -> Iterator[str]:
     """Parts of about PIECE characters, cut before a lone space between words, where no pre-token goes on."""
     at = 0
