@@ -116,31 +116,40 @@ def battery(value: Column) -> Column:
     for test, letters in reversed(ENCODINGS[:-1]):
         alphabet = F.when(body.rlike(test), F.lit(letters)).otherwise(alphabet)
 
-    def tests(s: Column) -> Column:
-        n = F.size(s["v"]).cast("double")
-        k = s["k"].cast("double")
-        squares = total(F.transform(F.array_distinct(s["v"]), lambda x: F.pow(F.size(F.filter(s["v"], lambda y: y == x)).cast("double"), F.lit(2.0))))
-        chi = k / n * squares - n
+    def counts(s: Column) -> Column:
+        """Length, alphabet, sum of squared symbol counts, values in the upper half, and mean of the values."""
+        v, k = s["v"], s["k"].cast("double")
+        squares = total(F.transform(F.array_distinct(v), lambda x: F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), F.lit(2.0))))
+        upper = F.size(F.filter(v, lambda x: x * 2 >= k)).cast("double")
+        mean = total(v) / F.size(v)
+        return F.struct(v.alias("v"), k.alias("k"), F.size(v).cast("double").alias("n"), squares.alias("squares"), upper.alias("upper"), mean.alias("mean"))
+
+    def sums(s: Column) -> Column:
+        """What the tests need besides: changes between the halves, and sums of squares and of lagged products."""
+        v, k, mean = s["v"], s["k"], s["mean"]
+        after = F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
+        turns = total(F.zip_with(v, after, lambda x, y: F.coalesce(((x * 2 >= k) != (y * 2 >= k)).cast("double"), F.lit(0.0))))
+        lagged = total(F.zip_with(v, after, lambda x, y: F.coalesce((x - mean) * (y - mean), F.lit(0.0))))
+        power = total(F.transform(v, lambda x: (x - mean) * (x - mean)))
+        product = 2 * s["upper"] * (s["n"] - s["upper"])
+        return F.struct(*[s[c].alias(c) for c in ("k", "n", "squares")], turns.alias("turns"), lagged.alias("lagged"), power.alias("power"), product.alias("product"))
+
+    def scores(s: Column) -> Column:
+        k, n = s["k"], s["n"]
         spread = 2 / (9 * (k - 1))
-        z_chi = (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
-        upper = total(F.transform(s["v"], lambda x: F.when(x * 2 >= k, 1.0).otherwise(0.0)))
-        pairs = F.zip_with(F.slice(s["v"], 1, F.size(s["v"]) - 1), F.slice(s["v"], 2, F.size(s["v"]) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        turns = total(F.transform(pairs, lambda p: F.when((p["a"] * 2 >= k) != (p["b"] * 2 >= k), 1.0).otherwise(0.0)))
-        product = 2 * upper * (n - upper)
-        variance = product * (product - n) / (n * n * (n - 1))
-        z_runs = F.when(variance > 0, (turns - product / n) / F.sqrt(variance)).otherwise(-F.sqrt(n))
-        mean = total(F.transform(s["v"], lambda x: x.cast("double"))) / n
-        power = total(F.transform(s["v"], lambda x: (x - mean) * (x - mean)))
-        z_serial = F.when(power > 0, total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))) / power * F.sqrt(n)).otherwise(F.sqrt(n))
+        z_chi = (F.pow((k / n * s["squares"] - n) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+        variance = s["product"] * (s["product"] - n) / (n * n * (n - 1))
+        z_runs = F.when(variance > 0, (s["turns"] - s["product"] / n) / F.sqrt(variance)).otherwise(-F.sqrt(n))
+        z_serial = F.when(s["power"] > 0, s["lagged"] / s["power"] * F.sqrt(n)).otherwise(F.sqrt(n))
         expected = n * (n - 1) / 2 * F.greatest(F.lit(PROSE), 2 / k)
-        p = normal(((squares - n) / 2 + 0.5 - expected) / F.sqrt(expected))
+        p = normal(((s["squares"] - n) / 2 + 0.5 - expected) / F.sqrt(expected))
         random = (z_chi < MOST_CHI) & (F.abs(z_runs) < MOST_RUNS) & (F.abs(z_serial) < MOST_SERIAL)
         return F.when(random, F.least(F.lit(LEVELS), F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-30)))).cast("int"))).otherwise(0)
 
     length = F.length(value)
     cls = sum((F.when(length > c, 1).otherwise(0) for c in CLASSES), F.lit(0))
-    values = let(alphabet, lambda a: F.struct(F.transform(F.split(body, ""), lambda c: F.position(c, a) - 1).alias("v"), F.length(a).alias("k")))
-    level = F.when(body.rlike("^[0-9]*$"), F.lit(0)).otherwise(let(values, tests))
+    values = let(alphabet, lambda a: F.struct(F.transform(F.split(body, ""), lambda c: (F.position(c, a) - 1).cast("double")).alias("v"), F.length(a).alias("k")))
+    level = F.when(body.rlike("^[0-9]*$"), F.lit(0)).otherwise(let(let(let(values, counts), sums), scores))
     return F.struct(cls.alias("class"), F.greatest(F.lit(0), level).alias("level"))
 
 
