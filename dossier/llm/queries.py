@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import decontaminate, html, kneser_ney, langid, quality, secrets, simhash, tokens, warc
+from dossier.llm.oracles import ORACLES  # noqa: F401
 
 #: A document of more tokens is over the limit that op2 reports.
 TOKEN_LIMIT = 512
@@ -77,8 +78,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         r.n_items.alias("n_items"),
         _sha(F.array_join(r.item_ids, ",")).alias("items_sha256"),
         (r.n_hit > 0).alias("contaminated"),
-        r.longest.alias("longest"),
-        r.leaked.alias("leaked"),
     )
 
 
@@ -97,4 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
     )
 }
-ORACLES: dict[str, str] = {}
