@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import text as tx
+from dossier.functions.binding import let
 
 # Section headers (folded name, shown title, mode, child of a group), delimiters and level markers.
 HEADERS = (
@@ -87,13 +88,21 @@ def closes_more(text: Column) -> Column:
 def header(norm: Column) -> Column:
     """struct<name, cls, display, mode, child> of a folded line, or null: stop, excluded, done, ongoing or section.
 
-    The table is short and fixed, so it is a literal and needs no join; the first fitting row counts.
+    The table is short and fixed: a literal map by the first PREFIX_LEAST characters; the first fitting row counts.
     A long name also fits as a prefix, unless the line closes more parentheses than it opens.
     """
     row = lambda cls, name="", display="", mode="none", child=False: F.struct(*[F.lit(v).alias(k) for k, v in (("name", name), ("cls", cls), ("display", display), ("mode", mode), ("child", child))])
-    table = F.array(row("stop", STOP), *[row("excluded", n) for n in EXCLUDED], row("done", DONE), row("ongoing", ONGOING), *[row("section", *h) for h in HEADERS])
-    long_name = lambda h: (h["cls"] == "section") & (F.length(h["name"]) >= PREFIX_LEAST) & F.startswith(norm, h["name"]) & ~closes_more(norm)
-    return F.get(F.filter(table, lambda h: (h["name"] == norm) | long_name(h)), 0)
+    rows = [("stop", STOP), *(("excluded", n) for n in EXCLUDED), ("done", DONE), ("ongoing", ONGOING), *(("section", *h) for h in HEADERS)]
+    heads: dict[str, list] = {}
+    for r in rows:
+        heads.setdefault(r[1][:PREFIX_LEAST], []).append(row(*r))
+    table = F.create_map(*[x for k, v in heads.items() for x in (F.lit(k), F.array(*v))])
+
+    def first(n: Column) -> Column:
+        long_name = lambda h: (h["cls"] == "section") & (F.length(h["name"]) >= PREFIX_LEAST) & F.startswith(n, h["name"]) & ~closes_more(n)
+        return F.get(F.filter(F.try_element_at(table, F.substring(n, 1, PREFIX_LEAST)), lambda h: (h["name"] == n) | long_name(h)), 0)
+
+    return let(norm, first)
 
 
 def sections(docs: DataFrame) -> DataFrame:

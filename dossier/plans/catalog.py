@@ -60,8 +60,8 @@ def token_sets(spark, sf):
 
 DATED = "'Pedido ' || cast(o_orderkey as string) || ' de ' || cast(year(o_orderdate) as string) || ', prazo ' || cast(year(o_orderdate) + o_orderkey % 40 as string) || '.'"
 IDENTIFIED = (
-    "case when o_orderkey % 3 = 0 then 'PORTARIA N ' || cast(o_orderkey % 9000 + 10 as string) || ', DE 06 DE OUTUBRO DE ' || cast(year(o_orderdate) as string) || '. '"
-    " when o_orderkey % 3 = 1 then 'Portaria nº ' || cast(o_orderkey % 9000 + 10 as string) || ' sem data ' else '' end"
+    "case when o_orderkey % 3 = 0 then 'PORTARIA N ' || cast(o_orderkey % 1201 + 10 as string) || ', DE 06 DE OUTUBRO DE ' || cast(year(o_orderdate) as string) || '. '"
+    " when o_orderkey % 3 = 1 then 'Portaria nº ' || cast(o_orderkey % 1201 + 10 as string) || ' sem data ' else '' end"
     " || 'Edital nº ' || cast(o_orderkey % 90 + 1 as string) || ' / ' || cast(year(o_orderdate) as string) || '-PROGRAD; issn: '"
     " || lpad(cast(o_orderkey % 10000 as string), 4, '0') || '-' || lpad(cast(o_custkey % 1000 as string), 3, '0') || 'x, doi 10.1234/AB' || cast(o_custkey as string) || ', ISBN 978-85-' || lpad(cast(o_orderkey as string), 7, '0')"
 )
@@ -371,9 +371,9 @@ def reorder_links(spark, sf):
     return links.reorder(li).select(F.col("file_id").alias("l_orderkey"), F.col("entry_id").alias("l_partkey"), "l_linenumber", F.col("cert_order").cast("long").alias("cert_order"))
 
 
-@query("select p_name as path from part where p_name not in (select p_name from part where p_partkey % 3 = 0)")
+@query("select p_name || cast(p_partkey % 100 as string) as path from part where p_name || cast(p_partkey % 100 as string) not in (select p_name || cast(p_partkey % 100 as string) from part where p_partkey % 3 = 0)")
 def incremental_files(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_name").alias("path"), "p_partkey")
+    p = table(spark, sf, "part").selectExpr("p_name || cast(p_partkey % 100 as string) as path", "p_partkey")
     return links.incremental(p.select("path"), p.where("p_partkey % 3 = 0"))
 
 
