@@ -148,7 +148,7 @@ def keep_representatives(docs: DataFrame, shingle: int = 3, max_distance: int =
     by that key, only if the keys to drop are too many to broadcast.
     """
     found = cut(simhash_components(docs, shingle, max_distance, segments).where("doc_id is not null"))
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    best = cut(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")))
     gone = found.join(best, "component_id").where(F.struct("doc_id", "text_hash") != F.col("best")).select("doc_id", "text_hash").distinct()
     again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
     gone, again = stored(gone), stored(again)
