@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,35 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.sources.shared import cut, shared_folder
+
 #: Rows and bytes of one Arrow batch handed to Python, which bound what a worker holds.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 #: Space and \t to \r, the only separators of words in the contracts.
 BLANKS = "[\\x20\\x09-\\x0D]+"
-NOT_BLANK = "[^\\x20\\x09-\\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only a local session without one gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(folder)
-        return folder.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so later jobs survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
