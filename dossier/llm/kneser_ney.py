@@ -99,7 +99,7 @@ class Table:
     """Numbers by 60-bit code: open addressing in two arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length() + 1))
+        self.shift = np.uint64(64 - max(4, int(1.5 * len(keys)).bit_length()))
         size = 1 << int(64 - self.shift)
         self.keys, self.values = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.float32)
         slot, left = self.slot(keys), np.arange(len(keys))
@@ -138,10 +138,16 @@ class Table:
 class Model:
     """A trained model in memory."""
 
-    def __init__(self, seen, back):
-        self.seen = {k: Table(x.g.to_numpy(np.int64), x.logp.to_numpy(np.float32)) for k, x in seen.groupby("k")}
-        self.back = {k: Table(x.h.to_numpy(np.int64), x.logb.to_numpy(np.float32)) for k, x in back.groupby("k")}
-        self.unseen = float(back[back.k == 1].logb.iloc[0])
+    def __init__(self, seen: DataFrame, back: DataFrame):
+        """Gathers one order after the other, so that the driver never holds more than one beside the tables."""
+        self.seen = {k: self.table(seen, k, "g", "logp") for k in range(1, ORDER + 1)}
+        self.back = {k: self.table(back, k, "h", "logb") for k in range(2, ORDER + 1)}
+        self.unseen = back.where("k = 1").first().logb
+
+    @staticmethod
+    def table(df: DataFrame, k: int, key: str, value: str) -> Table:
+        got = df.where(F.col("k") == k).select(key, F.col(value).cast("float")).toArrow().combine_chunks()
+        return Table(got.column(0).to_numpy(), got.column(1).to_numpy())
 
     def log_probability(self, g: np.ndarray) -> np.ndarray:
         """Natural log of each n-gram's last character given those before: the longest seen suffix, backed off to."""
@@ -151,11 +157,10 @@ class Model:
             if not len(left):
                 return total
             code = g[left] & ((1 << BITS * k) - 1)
-            if k in self.seen:
-                value, found = self.seen[k].get(code)
-                total[left[found]] += value[found]
-                left, code = left[~found], code[~found]
-            if k > 1 and k in self.back:
+            value, found = self.seen[k].get(code)
+            total[left[found]] += value[found]
+            left, code = left[~found], code[~found]
+            if k > 1:
                 total[left] += self.back[k].get(code >> BITS)[0]
         total[left] += self.unseen
         return total
@@ -170,7 +175,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def score_in_memory(docs: DataFrame, seen: DataFrame, back: DataFrame) -> DataFrame:
     """SCORED for each row, with a model of MOST_ROWS rows at most sent to every worker."""
-    held = docs.sparkSession.sparkContext.broadcast(Model(seen.toPandas(), back.toPandas()))
+    held = docs.sparkSession.sparkContext.broadcast(Model(seen, back))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [grams(t) for t in texts(batch)]
