@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import bound_batches, shared_folder
+from dossier.llm.common import bound_batches, cut, shared_folder
 
 #: Bytes of a record's block before it goes on in continuation records, and of one chunk of the HTTP body.
 SEGMENT_BYTES, CHUNK_BYTES = 1 << 20, 1 << 13
@@ -75,7 +76,7 @@ def records(record_id: str, uri: str | None, payload: bytes, refers_to: str | No
 
 
 def write_warc(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write record_id, uri, payload (binary) and refers_to (null: a response) of each row as WARC/1.1 files.
+    """Write record_id, uri, payload (binary) and refers_to (null: a response) of each row as gzipped WARC/1.1 files.
 
     Spark's text writer puts the records down, with the two line ends of WARC as its separator, so the folder may
     be in any store. A null payload is empty; a null uri leaves its field out.
@@ -88,7 +89,7 @@ def write_warc(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES
 
     made = pages.select("record_id", "uri", "payload", "refers_to").mapInArrow(run, "record binary")
     text = made.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(folder)
 
 
 HEADER = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.DOTALL)
@@ -96,7 +97,9 @@ PARSED = "type string, record_id string, origin string, number int, total long,
 
 
 def parse(archive: bytes) -> Iterator[dict]:
-    """The records of an uncompressed archive, by their Content-Length."""
+    """The records of an archive, plain or gzipped, by their Content-Length."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while m := HEADER.match(archive, at):
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in m[1].decode().split("\r\n"))}
@@ -205,7 +208,7 @@ def archive_round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) ->
     )
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(named, folder, segment_bytes)
-    read = read_warc(spark, folder, keep_payload=False)
+    read = cut(read_warc(spark, folder, keep_payload=False).drop("payload"))
     page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")
     full = read.where("type = 'response'").groupBy("record_id").agg(F.max("payload_bytes").alias("n"))
     again = read.where("type = 'revisit'").join(full.withColumnRenamed("record_id", "refers_to"), "refers_to", "left")
