@@ -249,10 +249,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     its language. threshold is the ``quantile`` of the trusted documents of the language, plus ``slack``; languages
     without one take that of all trusted documents, and without any the threshold is null and all is kept. Null
     and empty texts have the typical score and are kept; a null lang counts as a language of its own.
-    Repeated rows come back each, and count as often.
+    Repeated rows come back each, and count as often. Texts meet the labels in a shuffle at every size, so the
+    cost stays in proportion: labels grow with the documents, and are not sent whole to all executors.
     """
     trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null").select("doc_id")
-    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", "left_semi")
+    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted.hint("merge"), "doc_id", "left_semi")
     seen, back = train(texts_)
     scores = cut(score(docs, seen, back, most_rows))
     known = scores.join(trusted, "doc_id", "left_semi").where("n_chars > 0").withColumn("mean", -F.col("logp") / F.col("n_chars"))
