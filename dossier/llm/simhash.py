@@ -141,13 +141,17 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 3, max_distance: int = 2, segments: int = 7) -> DataFrame:
-    """One row of ``docs`` for each near-duplicate class: that of the least doc_id, then of the least text hash.
+    """One row of ``docs`` for each class of near fingerprints, chosen by ``representatives``."""
+    return representatives(docs, cut(simhash_components(docs, shingle, max_distance, segments).where("doc_id is not null")))
+
+
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class of ``found`` (doc_id, text_hash, component_id): that of the least doc_id, then of the least text hash.
 
     Rows that repeat it (doc_id and text) are one, that of the least JSON. Rows without a doc_id are left alone:
     none can be named as a copy of another. Classes are found on (doc_id, text hash) alone; texts are shuffled,
     by that key, only if the keys to drop are too many to broadcast.
     """
-    found = cut(simhash_components(docs, shingle, max_distance, segments).where("doc_id is not null"))
     best = cut(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")))
     gone = found.join(best, "component_id").where(F.struct("doc_id", "text_hash") != F.col("best")).select("doc_id", "text_hash").distinct()
     again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")

@@ -418,3 +418,33 @@ def test_stages_on_odd_rows(spark, odd):
         assert stage(spark, odd, SF).columns == odd.columns
         assert stage(spark, odd.where("false"), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == len(ODD)
+
+
+def test_near_copies_are_one_class(spark):
+    from itertools import combinations
+
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.choice((60, 150, 600)))]
+        for _ in range(8):
+            v = list(w)
+            for k in rng.sample(range(len(v)), rng.randint(0, len(v) // 20)):
+                v[k] = "X" + v[k]
+            rows.append((len(rows), " ".join(v), "en", "s"))
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, _, _ in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            i, j = sorted((root(i), root(j)))
+            parent[j] = i
+    wanted = {root(i) for i in range(len(rows))}
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, df, SF).collect()} == wanted
+    assert len(wanted) < simhash.keep_representatives(df).count()
