@@ -39,6 +39,9 @@ IMPLIED = {
     "thead": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)),
 }
+#: By start tag of a table's part: the open elements that it can stand in.
+GROUPS = ("tbody", "thead", "tfoot")
+PARTS = dict.fromkeys((*GROUPS, "caption", "colgroup"), ("table",)) | {"tr": (*GROUPS, "table"), "td": ("tr", *GROUPS, "table"), "th": ("tr", *GROUPS, "table"), "col": ("colgroup", "table")}
 SCOPE = frozenset("html table td th caption template button".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
@@ -152,6 +155,12 @@ def build(source: str) -> Node:
             close(("p",), SCOPE)
         if name in IMPLIED:
             close(*IMPLIED[name])
+        if name in PARTS and any(x.name == "table" for x in stack):
+            while stack[-1].name not in PARTS[name]:
+                stack.pop()
+            if name in ("td", "th") and stack[-1].name != "tr":
+                stack[-1].children.append(Node("tr"))
+                stack.append(stack[-1].children[-1])
         if name in FORMATTING and reopen:
             restore()
         node = Node(name, m[3].rstrip("/") if m[3] else "")
@@ -163,7 +172,7 @@ def build(source: str) -> Node:
             node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
             gt = -1 if end < 0 else source.find(">", end)
             at = len(source) if gt < 0 else gt + 1
-        elif name not in VOID:
+        elif name not in VOID and not (name == "form" and stack[-1].name in ("table", "tr", *GROUPS)):
             stack.append(node)
     text(source[at:])
     return root
@@ -273,33 +282,52 @@ def flat(node: Node):
             todo.append(iter(child.children))
 
 
-def rows_of(node: Node, row_groups=("tbody", "thead", "tfoot")) -> list[Node]:
+def rows_of(node: Node) -> list[tuple[Node, Node]]:
+    """The rows of a table in order, each with the element that it stands in."""
     rows = []
     for child in node.children:
         if isinstance(child, str) or child.hidden():
             continue
-        if child.name in row_groups:
+        if child.name in GROUPS:
             rows += rows_of(child)
         elif child.name == "tr":
-            rows.append(child)
+            rows.append((child, node))
     return rows
 
 
-def table(node: Node, out: Layout, depth: int) -> None:
-    """A table's caption, stray content and rows; cells of one line are padded so that columns align."""
-    rows = rows_of(node)
-    inside = {id(r) for r in rows}
+def stray(node: Node, out: Layout, depth: int) -> None:
+    """Writes what a table or row group has besides its rows."""
     for child in node.children:
         if isinstance(child, str):
             out.write(child)
-        elif id(child) not in inside and child.name not in ("tbody", "thead", "tfoot", "colgroup", "col") and not child.hidden():
+        elif child.name == "tr" or child.hidden():
+            continue
+        elif child.name in (*GROUPS, "colgroup"):
+            stray(child, out, depth)
+        else:
             render(child if child.name == "caption" else Node("div", "", [child]), out, depth + 1)
             out.end_line()
+
+
+def table(node: Node, out: Layout, depth: int) -> None:
+    """A table's caption, stray content and rows; cells of one line are padded so that columns align."""
+    stray(node, out, depth)
     out.end_line()
     grid = []
-    for row in rows:
+    group, below = None, {}
+    for row, parent in rows_of(node):
+        if parent is not group:
+            group, below = parent, {}
         cells = []
+
+        def spanned() -> None:
+            """Empty cells where a cell of a row above reaches down."""
+            while below.get(len(cells)):
+                below[len(cells)] -= 1
+                cells.append([""])
+
         for cell in row.children:
+            spanned()
             if isinstance(cell, str):
                 if BLANK.sub("", cell):
                     cells.append([BLANK.sub(" ", cell).strip(" ")])
@@ -308,8 +336,11 @@ def table(node: Node, out: Layout, depth: int) -> None:
                 render(cell if cell.name in ("td", "th") else Node("td", "", [cell]), inner, depth + 1)
                 inner.end_line()
                 cells.append(inner.lines or [""])
-                span = cell.get("colspan") or "1"
-                cells += [[""]] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
+                span, down = (x if x and re.fullmatch("[0-9]{1,9}", x) else "1" for x in (cell.get("colspan"), cell.get("rowspan")))
+                first = len(cells) - 1
+                cells += [[""]] * (min(int(span), 1000) - 1)
+                below.update(dict.fromkeys(range(first, len(cells)), (int(down) or 65535) - 1))
+        spanned()
         grid.append(cells)
     width = [max((len(line) for row in grid if k < len(row) for line in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
     for cells in grid:

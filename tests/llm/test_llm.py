@@ -448,3 +448,17 @@ def test_near_copies_are_one_class(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, df, SF).collect()} == wanted
     assert len(wanted) < simhash.keep_representatives(df).count()
+
+
+def test_html_tables_keep_all_text():
+    cases = {
+        "<table><tbody><td>A<td>B</table>": "A | B",
+        "<table><tbody>loose<div>block</div><tr><td>A</table>": "loose\nblock\nA",
+        "<table><tbody><form><tr><td>A</td></tr></form></tbody></table>": "A",
+        "<table><colgroup><col><tr><td>A</table>": "A",
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a | b\n  | c\nd | e",
+        "<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>": "a | b\nc | d",
+        "<table><tr><td>x<table><tr><td>in</table>y<td>z</table>": "x  | z\nin\ny",
+    }
+    for source, wanted in cases.items():
+        assert html.visible_text(source) == wanted, source
