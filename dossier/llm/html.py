@@ -44,7 +44,12 @@ GROUPS = ("tbody", "thead", "tfoot")
 PARTS = dict.fromkeys((*GROUPS, "caption", "colgroup"), ("table",)) | {"tr": (*GROUPS, "table"), "td": ("tr", *GROUPS, "table"), "th": ("tr", *GROUPS, "table"), "col": ("colgroup", "table")}
 SCOPE = frozenset("html table td th caption template button".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+# A quote opens a value only after '='; elsewhere it is an ordinary character.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)"
+    r"((?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)?)*+)(?:>|\Z)",
+    re.DOTALL,
+)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 BLANK = re.compile(r"[ \t\n\r\f]+")

@@ -462,3 +462,9 @@ def test_html_tables_keep_all_text():
     }
     for source, wanted in cases.items():
         assert html.visible_text(source) == wanted, source
+
+
+def test_html_stray_quotes():
+    assert html.visible_text('<p title="a"">Hello world</p><p>more') == "Hello world\n\nmore"
+    assert html.visible_text("<a title=Bob's>link</a> text") == "link text"
+    assert html.visible_text('<p title="a>b" \'>one</p><p a = \'x>"y\'>two<br/>three') == "one\n\ntwo\nthree"
