@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from dossier.sources.shared import cut, shared_folder
 
@@ -26,11 +27,53 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lowers the session's Arrow batches to what a worker may hold; Spark reads these settings when a plan runs, so they stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < size_of(spark.conf.get(key, None)) <= most:
+            spark.conf.set(key, str(most))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def size_of(setting: str | None) -> int:
+    """A size setting in bytes or rows; 0 if unset."""
+    number = (setting or "0").strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(number[-1:], 0)
+    return int(number[:-1] if unit else number) << unit
+
+
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct named row, so that their names can't clash with those of an operator."""
+    return F.struct(*map(column, df.columns)).alias("row")
+
+
+def with_row(df: DataFrame, ddl: str) -> StructType:
+    """row (the columns of ``df``) and the fields of ``ddl``."""
+    return StructType([StructField("row", df.schema, False), *StructType.fromDDL(ddl).fields])
+
+
+def replaced(df: DataFrame, text: Column, changed: Column) -> list[Column]:
+    """The columns of ``df`` from ``row``, with ``text`` in place of its text; n_chars, where it is there, follows."""
+    cols = []
+    for c in df.columns:
+        if c == "text":
+            cols.append(text.alias("text"))
+        elif c == "n_chars":
+            cols.append(F.when(changed, F.length(text)).otherwise(F.col("row.n_chars")).cast(df.schema["n_chars"].dataType).alias("n_chars"))
+        else:
+            cols.append(F.col(f"row.{quoted(c)}"))
+    return cols
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df``."""
     bound_batches(df.sparkSession)
 
