@@ -1,4 +1,4 @@
-"""Document quality by an interpolated modified Kneser-Ney model of characters, trained on trusted texts."""
+"""Document quality by an interpolated modified Kneser-Ney model of UTF-8 bytes, trained on trusted texts."""
 
 from __future__ import annotations
 
@@ -6,41 +6,38 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import cut, map_batches, stored, texts
 
-#: Characters of an n-gram, and bits of a character's class: 60 bits in all.
-ORDER, BITS = 5, 12
-#: A model of more rows than this is not broadcast: scores then come from joins alone.
+#: Bytes of an n-gram, and bits of a byte: 48 bits in all.
+ORDER, BITS = 6, 8
+#: A model of more rows than this is not held in memory: scores then come from joins alone.
 MOST_ROWS = 4_000_000
-#: Share of the trusted documents of a language that lie below its threshold, and what is added (log perplexity).
-QUANTILE, SLACK = 0.999, 0.05
-#: Characters of the typical document that are mixed into each score, so that very short texts aren't judged.
+#: Trusted ids up to this number are sent to all executors; more are joined by a shuffle of ids and texts.
+MOST_IDS = 1_000_000
+#: Log probabilities are whole multiples of 1 / SCALE, so that sums are exact in any order.
+SCALE = 1 << 16
+#: One of so many trusted documents is not learned from, but used to set the thresholds.
+FOLDS = 5
+#: Share of the trusted documents not learned from that lie below their language's threshold.
+QUANTILE = 0.99
+#: Bytes of the typical document that are mixed into each score, so that very short texts aren't judged.
 PRIOR = 100
 #: Steps of log perplexity in which quantiles are counted.
 STEPS = 1000
 
 
-def classes(text: str) -> np.ndarray:
-    """Character classes of a text in lower case, blanks as one space, after ORDER - 1 leading spaces.
-
-    Code points under 2,048 are classes of their own; others share 2,048 more by a multiplicative hash.
-    """
-    code = np.frombuffer((" " * (ORDER - 1) + " ".join(text.lower().split())).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(code < 2048, code, 2048 + (code * 2654435761 >> 13) % 2048)
-
-
 def grams(text: str) -> np.ndarray:
-    """The n-gram that ends at each character."""
-    c = classes(text)
+    """The n-gram that ends at each byte of a text in lower case, blanks as one space, after ORDER - 1 leading spaces."""
+    c = np.frombuffer((" " * (ORDER - 1) + " ".join(text.lower().split())).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
     n = len(c) - ORDER + 1
     return reduce(lambda g, k: g << BITS | c[k : k + n], range(1, ORDER), c[:n])
 
 
-def _low(g: Column, chars: int) -> Column:
-    return g.bitwiseAND(F.lit((1 << BITS * chars) - 1).cast("long"))
+def _low(g: Column, size: int) -> Column:
+    return g.bitwiseAND(F.lit((1 << BITS * size) - 1).cast("long"))
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -62,12 +59,18 @@ def discounts(of: list[int]) -> list[float]:
     return [min(float(k), max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
+def _steps(p: Column) -> Column:
+    """The natural log of a probability in multiples of 1 / SCALE."""
+    return F.round(F.log(p) * SCALE).cast("int")
+
+
 def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model of the texts of ``trusted``: (k, g, logp) of each seen k-gram, and (k, h, logb) of each context.
 
-    Counts of the highest order are of occurrences, those below of distinct characters before. The tables of
-    an order are split by n-gram over the cluster and joined with their contexts' totals, and with the next
-    lower order by their last characters; only four counts of counts an order reach the driver.
+    logp and logb are natural logs in multiples of 1 / SCALE. Counts of the highest order are of occurrences,
+    those below of distinct bytes before. The tables of an order are split by n-gram over the cluster and joined
+    with their contexts' totals, and with the next lower order by their last bytes; only counts of counts of each
+    order reach the driver. Freed mass is a sum over three counts, so every run gives the same values.
     """
     counts = {ORDER: cut(gram_counts(trusted))}
     for k in range(ORDER - 1, 0, -1):
@@ -77,36 +80,36 @@ def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
         of = counts[k].agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()
         d = discounts([x or 0 for x in of])
         cost = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        stats = [F.sum("n").alias("s"), F.sum(cost).alias("freed"), F.count(F.lit(1)).alias("types")]
+        ones, twos, more = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)
+        stats = [F.sum("n").alias("s"), (ones * d[0] + twos * d[1] + more * d[2]).alias("freed")]
         if k == 1:
-            s, freed, types = counts[1].agg(*stats).first()
-            own = (F.col("n") - cost) / F.lit(float(s or 1)) + F.lit((freed or 0.0) / (s or 1) / ((types or 0) + 1))
-            probability[1] = cut(counts[1].select("g", own.alias("p")))
-            unseen = (freed or 0.0) / (s or 1) / ((types or 0) + 1) or 1.0
-            back.append(counts[1].sparkSession.range(1).select(F.lit(1).alias("k"), F.lit(0).cast("long").alias("h"), F.lit(float(np.log(unseen))).alias("logb")))
+            s, freed = counts[1].agg(*stats).first()
+            unseen = (freed or 0.0) / (s or 1) / (1 << BITS) or 1.0
+            probability[1] = cut(counts[1].select("g", ((F.col("n") - cost) / F.lit(float(s or 1)) + F.lit(unseen)).alias("p")))
+            back.append(counts[1].sparkSession.range(1).select(F.lit(1).alias("k"), F.lit(0).cast("long").alias("h"), _steps(F.lit(unseen)).alias("logb")))
             continue
         h = F.shiftright("g", BITS)
         context = cut(counts[k].groupBy(h.alias("h")).agg(*stats).select("h", "s", (F.col("freed") / F.col("s")).alias("b")))
         lower = probability[k - 1].select(F.col("g").alias("low"), F.col("p").alias("p_low"))
         joined = counts[k].select("g", "n", h.alias("h"), _low(F.col("g"), k - 1).alias("low")).join(context, "h").join(lower, "low")
         probability[k] = cut(joined.select("g", ((F.col("n") - cost) / F.col("s") + F.col("b") * F.col("p_low")).alias("p")))
-        back.append(context.select(F.lit(k).alias("k"), "h", F.log("b").alias("logb")))
-    seen = [probability[k].select(F.lit(k).alias("k"), "g", F.log("p").alias("logp")) for k in probability]
+        back.append(context.select(F.lit(k).alias("k"), "h", _steps(F.col("b")).alias("logb")))
+    seen = [probability[k].select(F.lit(k).alias("k"), "g", _steps(F.col("p")).alias("logp")) for k in probability]
     return reduce(DataFrame.unionByName, seen), reduce(DataFrame.unionByName, back)
 
 
 class Table:
-    """Numbers by 60-bit code: open addressing in two arrays."""
+    """Whole numbers by code: open addressing in two arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(4, int(1.5 * len(keys)).bit_length()))
         size = 1 << int(64 - self.shift)
-        self.keys, self.values = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.float32)
+        self.keys, self.values = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int32)
         slot, left = self.slot(keys), np.arange(len(keys))
         while len(left):
             if slot[left].max() >= len(self.keys):
                 self.keys = np.concatenate((self.keys, np.full(64, -1, np.int64)))
-                self.values = np.concatenate((self.values, np.zeros(64, np.float32)))
+                self.values = np.concatenate((self.values, np.zeros(64, np.int32)))
             free = left[self.keys[slot[left]] == -1]
             self.keys[slot[free]] = keys[free]
             won = left[self.keys[slot[left]] == keys[left]]
@@ -123,7 +126,7 @@ class Table:
         slot = self.slot(keys)
         at = self.keys[slot]
         found = at == keys
-        value = np.where(found, self.values[slot], np.float32(0))
+        value = np.where(found, self.values[slot], np.int32(0))
         todo = np.flatnonzero(~found & (at != -1))
         while len(todo):
             slot[todo] += 1
@@ -146,12 +149,12 @@ class Model:
 
     @staticmethod
     def table(df: DataFrame, k: int, key: str, value: str) -> Table:
-        got = df.where(F.col("k") == k).select(key, F.col(value).cast("float")).toArrow().combine_chunks()
+        got = df.where(F.col("k") == k).select(key, value).toArrow().combine_chunks()
         return Table(got.column(0).to_numpy(), got.column(1).to_numpy())
 
     def log_probability(self, g: np.ndarray) -> np.ndarray:
-        """Natural log of each n-gram's last character given those before: the longest seen suffix, backed off to."""
-        total = np.zeros(len(g), np.float64)
+        """Log of each n-gram's last byte given those before, in steps: the longest seen suffix, backed off to."""
+        total = np.zeros(len(g), np.int64)
         left = np.arange(len(g))
         for k in range(ORDER, 0, -1):
             if not len(left):
@@ -166,107 +169,104 @@ class Model:
         return total
 
 
-SCORED = "doc_id long, text_hash long, lang string, n_chars long, logp double"
-
-
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
 
 
 def score_in_memory(docs: DataFrame, seen: DataFrame, back: DataFrame) -> DataFrame:
-    """SCORED for each row, with a model of MOST_ROWS rows at most sent to every worker."""
+    """doc_id, lang, n_bytes and logp (in steps) of each row, with a model of MOST_ROWS rows at most sent to every worker."""
     held = docs.sparkSession.sparkContext.broadcast(Model(seen, back))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [grams(t) for t in texts(batch)]
-        ends = np.cumsum([len(p) for p in parts])
-        sums = np.concatenate(([0.0], np.cumsum(held.value.log_probability(np.concatenate(parts)))))[np.concatenate(([0], ends))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(p) for p in parts], pa.int64()), pa.array(np.diff(sums))], ["doc_id", "text_hash", "lang", "n_chars", "logp"])
+        ends = np.cumsum([0, *map(len, parts)])
+        sums = np.concatenate(([0], np.cumsum(held.value.log_probability(np.concatenate(parts)))))[ends]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(p) for p in parts], pa.int64()), pa.array(np.diff(sums))], ["doc_id", "lang", "n_bytes", "logp"])
 
-    return map_batches(_rows(docs), run, SCORED)
+    return map_batches(_rows(docs).select("doc_id", "lang", "text"), run, "doc_id long, lang string, n_bytes long, logp long")
 
 
 def score_by_join(docs: DataFrame, seen: DataFrame, back: DataFrame) -> DataFrame:
-    """SCORED for each distinct (doc_id, text, lang), for a model of any size.
+    """As ``score_in_memory``, to the last bit, for a model of any size.
 
-    The corpus's distinct n-grams are resolved order by order in joins split by n-gram; each document's counted
-    n-grams then join the resolved ones, the hottest of which the planner may split.
+    The distinct n-grams of all texts are resolved order by order in joins split by n-gram; the counted n-grams of
+    each distinct text then join the resolved ones, the hottest of which the planner may split, and texts' sums
+    join their rows by digest.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for key, text in zip(batch.select(["doc_id", "text_hash", "lang"]).to_pylist(), texts(batch), strict=True):
-            code, n = np.unique(grams(text), return_counts=True)
-            rows.append(key | {"g": code.tolist() or [-1], "n": n.tolist() or [0]})
-        return pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), ("g", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
-
-    once = _rows(docs).dropDuplicates(["doc_id", "text_hash", "lang"])
-    listed = map_batches(once, run, "doc_id long, text_hash long, lang string, g array<long>, n array<long>")
-    counted = stored(listed.select("doc_id", "text_hash", "lang", F.explode(F.arrays_zip("g", "n")).alias("x")).select("doc_id", "text_hash", "lang", "x.g", "x.n"))
-    todo, done = counted.where("g >= 0").select("g").distinct().withColumn("sum", F.lit(0.0)), []
+        found = [np.unique(grams(t), return_counts=True) for t in texts(batch)]
+        ends = pa.array(np.cumsum([0, *[len(c) for c, _ in found]]).astype(np.int32))
+        listed = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]).astype(np.int64))) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *listed], ["digest", "g", "n"])
+
+    rows = _rows(docs)
+    listed = map_batches(rows.select("digest", "text").dropDuplicates(["digest"]), run, "digest binary, g array<long>, n array<long>")
+    counted = stored(listed.select("digest", F.explode(F.arrays_zip("g", "n")).alias("x")).select("digest", "x.g", "x.n"))
+    todo, done = counted.select("g").distinct().withColumn("sum", F.lit(0).cast("long")), []
     for k in range(ORDER, 0, -1):
         mine = seen.where(F.col("k") == k).select(F.col("g").alias("key"), "logp")
         tried = cut(todo.withColumn("key", _low(F.col("g"), k)).join(mine, "key", "left"))
         done.append(tried.where("logp is not null").select("g", (F.col("sum") + F.col("logp")).alias("value")))
         todo = tried.where("logp is null").select("g", "sum", F.shiftright("key", BITS).alias("h"))
         context = back.where(F.col("k") == k).select("h", "logb")
-        todo = todo.join(context, "h", "left").select("g", (F.col("sum") + F.coalesce("logb", F.lit(0.0))).alias("sum"))
+        todo = todo.join(context, "h", "left").select("g", (F.col("sum") + F.coalesce("logb", F.lit(0))).alias("sum"))
     done.append(todo.select("g", F.col("sum").alias("value")))
     value = stored(reduce(DataFrame.unionByName, done))
-    scored = counted.join(value, "g", "left")
-    return scored.groupBy("doc_id", "text_hash", "lang").agg(F.sum("n").alias("n_chars"), F.coalesce(F.sum(F.col("n") * F.col("value")), F.lit(0.0)).alias("logp"))
+    scored = counted.join(value, "g").groupBy("digest").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("value")).alias("logp"))
+    return rows.drop("text").join(scored, "digest", "left").select("doc_id", "lang", F.coalesce("n_bytes", F.lit(0).cast("long")).alias("n_bytes"), F.coalesce("logp", F.lit(0).cast("long")).alias("logp"))
 
 
 def score(docs: DataFrame, seen: DataFrame, back: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    if seen.count() + back.count() <= most_rows:
-        return score_in_memory(docs, seen, back)
-    rows = _rows(docs).drop("text")
-    return rows.join(score_by_join(docs, seen, back), ["doc_id", "text_hash", "lang"]) if docs.where("doc_id is null").isEmpty() else _null_safe(rows, score_by_join(docs, seen, back))
-
-
-def _null_safe(rows: DataFrame, scored: DataFrame) -> DataFrame:
-    one, two = rows.alias("r"), scored.alias("s")
-    same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.text_hash") == F.col("s.text_hash")) & (F.col("r.lang") == F.col("s.lang"))
-    return one.join(two, same).select("r.*", "s.n_chars", "s.logp")
+    small = seen.count() + back.count() <= most_rows
+    return score_in_memory(docs, seen, back) if small else score_by_join(docs, seen, back)
 
 
 def quantile_by(scores: DataFrame, value: str, by: list[str], share: float) -> DataFrame:
-    """The least step of ``value`` at or under which ``share`` of the rows of each group lie.
+    """The ``share`` quantile of ``value`` in each group, of values rounded up to steps.
 
-    Rows are counted by step first, so a group of most rows becomes no more than its steps.
+    An aggregate that counts rows by step, in part before the shuffle, so a group of most rows becomes its steps.
     """
-    steps = scores.groupBy(*by, F.ceil(F.col(value) * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    ranked = steps.withColumn("upto", F.sum("n").over(w.orderBy("step"))).withColumn("all", F.sum("n").over(w))
-    return ranked.where(F.col("upto") >= share * F.col("all")).groupBy(*by).agg((F.min("step") / STEPS).alias(value))
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc_id, lang, n_chars, log_perplexity, threshold and kept of each row.
-
-    Trusted texts are all those whose labels all have quality 1; the model learns from all of them. log_perplexity
-    is the mean of -log p over the text's characters and PRIOR characters of the typical trusted document of
-    its language. threshold is the ``quantile`` of the trusted documents of the language, plus ``slack``; languages
-    without one take that of all trusted documents, and without any the threshold is null and all is kept. Null
-    and empty texts have the typical score and are kept; a null lang counts as a language of its own.
-    Repeated rows come back each, and count as often. Texts meet the labels in a shuffle at every size, so the
-    cost stays in proportion: labels grow with the documents, and are not sent whole to all executors.
+    return scores.groupBy(*by).agg((F.percentile(F.ceil(F.col(value) * STEPS), share) / STEPS).alias(value))
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents whose labels all have quality 1, and toxic 0 where there is such a column."""
+    bad = F.max(F.coalesce(F.col("toxic").cast("int"), F.lit(0))) if "toxic" in labels.columns else F.lit(0)
+    found = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), bad.alias("bad"))
+    return found.where("q = 1 and bad = 0 and doc_id is not null").select("doc_id")
+
+
+def is_held_out(folds: int) -> Column:
+    """One fold of the documents by a hash of doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, folds: int = FOLDS, most_rows: int = MOST_ROWS, most_ids: int = MOST_IDS) -> DataFrame:
+    """doc_id, lang, n_bytes, log_perplexity, threshold and kept of each row.
+
+    The model learns from all trusted texts (see ``trusted_ids``) of all folds but one. log_perplexity is the mean
+    of -log p over the text's bytes and PRIOR bytes of the typical trusted document of its language. threshold is
+    the ``quantile`` of the trusted documents of the language that the model has not learned from, so that it
+    holds for documents at large; languages without one take that of all such documents, and without any the
+    threshold is null and all is kept. Null and empty texts have the typical score and are kept; a null lang
+    counts as a language of its own. Repeated rows come back each, and count as often. Trusted ids are sent
+    to all executors up to ``most_ids`` of them; with more, ids and texts are shuffled.
     """
-    trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null").select("doc_id")
-    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted.hint("merge"), "doc_id", "left_semi")
-    seen, back = train(texts_)
-    scores = cut(score(docs, seen, back, most_rows))
-    known = scores.join(trusted, "doc_id", "left_semi").where("n_chars > 0").withColumn("mean", -F.col("logp") / F.col("n_chars"))
-    typical = quantile_by(known, "mean", ["lang"], 0.5).withColumnRenamed("mean", "typical")
-    anyone = quantile_by(known.withColumn("every", F.lit(1)), "mean", ["every"], 0.5).select("mean").withColumnRenamed("mean", "typical_any")
-    typical = stored(typical)
-    middle = F.coalesce("typical", anyone.scalar(), F.lit(0.0))
-    smooth = (-F.col("logp") + PRIOR * middle) / (F.col("n_chars") + PRIOR)
-    scores = cut(scores.join(typical, "lang", "left").withColumn("log_perplexity", smooth))
-    known = scores.join(trusted, "doc_id", "left_semi").where("n_chars > 0")
+    trusted = stored(trusted_ids(labels))
+    few = trusted.count() <= most_ids
+    learn, judge = (F.broadcast(x) if few else x for x in (trusted.where(~is_held_out(folds)), trusted.where(is_held_out(folds))))
+    seen, back = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(learn, "doc_id", "left_semi"))
+    scores = cut(score(docs, seen, back, most_rows).withColumn("log_perplexity", -F.col("logp") / SCALE))
+    known = scores.where("n_bytes > 0").join(judge, "doc_id", "left_semi").withColumn("mean", F.col("log_perplexity") / F.col("n_bytes"))
+    typical = stored(quantile_by(known, "mean", ["lang"], 0.5).withColumnRenamed("mean", "typical"))
+    middle = F.coalesce("typical", known.agg((F.percentile(F.ceil(F.col("mean") * STEPS), 0.5) / STEPS).alias("m")).scalar(), F.lit(0.0))
+    smooth = (F.col("log_perplexity") + PRIOR * middle) / (F.col("n_bytes") + PRIOR)
+    scores = cut(scores.join(F.broadcast(typical) if few else typical, "lang", "left").withColumn("log_perplexity", smooth))
+    known = scores.where("n_bytes > 0").join(judge, "doc_id", "left_semi")
     limit = stored(quantile_by(known, "log_perplexity", ["lang"], quantile).withColumnRenamed("log_perplexity", "own"))
-    limit_any = quantile_by(known.withColumn("every", F.lit(1)), "log_perplexity", ["every"], quantile).select("log_perplexity")
-    threshold = F.coalesce("own", limit_any.scalar()) + slack
-    out = scores.join(limit, "lang", "left").withColumn("threshold", threshold)
+    anyone = known.agg((F.percentile(F.ceil(F.col("log_perplexity") * STEPS), quantile) / STEPS).alias("m"))
+    out = scores.join(F.broadcast(limit) if few else limit, "lang", "left").withColumn("threshold", F.coalesce("own", anyone.scalar()))
     kept = F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), "n_chars", "log_perplexity", "threshold", kept.alias("kept"))
+    return out.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), "n_bytes", "log_perplexity", "threshold", kept.alias("kept"))
