@@ -4,27 +4,30 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import map_batches
+from dossier.llm.common import column, map_batches, with_row
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed audio video canvas svg math datalist noembed noframes".split())
+HIDDEN = frozenset("head title rp script style template noscript iframe object embed audio video canvas svg math datalist noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption thead tbody tfoot".split()
+    " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul tr caption thead tbody tfoot".split()
 )
 #: Blocks with an empty line before and behind them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 #: Start tags that close an open p.
-CLOSES_P = BLOCK - frozenset("body html tr thead tbody tfoot caption li dd dt legend".split())
+CLOSES_P = BLOCK - frozenset("body html tr thead tbody tfoot caption li dd dt legend option optgroup".split())
 #: By start tag: open elements that it ends, and those that bar the search.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -42,7 +45,14 @@ IMPLIED = {
 #: By start tag of a table's part: the open elements that it can stand in.
 GROUPS = ("tbody", "thead", "tfoot")
 PARTS = dict.fromkeys((*GROUPS, "caption", "colgroup"), ("table",)) | {"tr": (*GROUPS, "table"), "td": ("tr", *GROUPS, "table"), "th": ("tr", *GROUPS, "table"), "col": ("colgroup", "table")}
+#: End tags that reach past open cells and tables.
+CROSSES = frozenset("tr tbody thead tfoot table td th".split())
 SCOPE = frozenset("html table td th caption template button".split())
+#: Fixed values of the standard: columns that a cell spans at most, and equal formatting elements that are opened again.
+MOST_SPAN, MOST_AGAIN = 1000, 3
+#: Spaces before a line, and characters that a column is padded to, at most. A table that padding would make longer than
+#: PADDED times its text is written without it: all of its text, but no aligned columns.
+MOST_INDENT, MOST_PAD, PADDED = 80, 120, 8
 
 # A quote opens a value only after '='; elsewhere it is an ordinary character.
 TOKEN = re.compile(
@@ -82,103 +92,141 @@ class Node:
         return bool(UNSEEN.search(self.get("style") or ""))
 
 
+class Stack:
+    """The open elements, with the places of each name, so that a search costs the same however deep the tree is."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.top().children.append(node)
+        self.places[node.name].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> list[Node]:
+        """Closes all elements from place ``at`` on and gives those below it."""
+        gone = self.nodes[at:]
+        for node in gone:
+            self.places[node.name].pop()
+        del self.nodes[at:]
+        return gone[1:]
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of ``names``; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def first_after(self, names, bar: int) -> int | None:
+        """Place of the outermost open element of ``names`` inside the one at ``bar``."""
+        found = [p[k] for n in names if (p := self.places[n]) and (k := bisect_right(p, bar)) < len(p)]
+        return min(found, default=None)
+
+
 def build(source: str) -> Node:
     """The tree of a page. End tags may lack, stand astray or cross; all text lands somewhere."""
     root = Node("html")
-    stack = [root]
+    stack = Stack(root)
     reopen: list[Node] = []
-    at, low = 0, None
+    at = 0
 
     def text(part: str) -> None:
         if part:
             if reopen and BLANK.sub("", part):
                 restore()
-            stack[-1].children.append(html.unescape(part) if "&" in part else part)
+            stack.top().children.append(html.unescape(part) if "&" in part else part)
 
     def restore() -> None:
         for node in reopen:
-            copy = Node(node.name, node.attributes)
-            stack[-1].children.append(copy)
-            stack.append(copy)
+            stack.push(Node(node.name, node.attributes))
         reopen.clear()
 
-    def close(names, bars) -> bool:
-        """Ends the outermost open element of ``names`` above the next one of ``bars``; its formatting goes on."""
-        found = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in bars:
-                break
-            if stack[k].name in names:
-                found = k
-        if found is None:
-            return False
-        reopen[:0] = [x for x in stack[found + 1 :] if x.name in FORMATTING]
-        del stack[found:]
-        return True
+    def close_at(place: int) -> None:
+        """Ends the element at ``place``; the formatting elements inside go on, MOST_AGAIN equal ones at most."""
+        again = [x for x in stack.cut(place) if x.name in FORMATTING] + reopen
+        seen: dict[tuple, int] = defaultdict(int)
+        kept = []
+        for x in reversed(again):
+            seen[x.name, x.attributes] += 1
+            if seen[x.name, x.attributes] <= MOST_AGAIN:
+                kept.append(x)
+        reopen[:] = kept[::-1]
 
-    for m in TOKEN.finditer(source):
-        if m.start() < at:
-            continue
-        text(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            if name in FORMATTING:
-                for node in reversed(reopen):
-                    if node.name == name:
-                        reopen.remove(node)
-                        break
-                else:
-                    inner = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name or stack[k].name in SCOPE), 0)
-                    if inner and stack[inner].name == name:
-                        reopen[:0] = [x for x in stack[inner + 1 :] if x.name in FORMATTING]
-                        del stack[inner:]
-            elif name == "p" and not close(("p",), SCOPE):
-                stack[-1].children.append(Node("p"))
-            elif name == "br":
-                stack[-1].children.append(Node("br"))
-            elif name not in ("html", "body", "p"):
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name or (stack[k].name in ("td", "th", "table") and name not in ("tr", "tbody", "thead", "tfoot", "table", "td", "th"))), 0)
-                if k and stack[k].name == name:
-                    reopen[:0] = [x for x in stack[k + 1 :] if x.name in FORMATTING]
-                    del stack[k:]
-            if name in ("td", "th", "tr", "table", "caption"):
-                reopen.clear()
-            continue
-        if name in ("html", "head") and len(stack) > 1:
-            continue
-        if stack[-1].name == "head" and name not in ("title", "style", "script", "meta", "link", "base", "template", "noscript"):
-            stack.pop()
+    def close(names, bars) -> bool:
+        """Ends the outermost open element of ``names`` above the next one of ``bars``."""
+        found = stack.first_after(names, stack.last(bars))
+        if found is not None:
+            close_at(found)
+        return found is not None
+
+    def end_tag(name: str) -> None:
+        if name in FORMATTING:
+            for node in reversed(reopen):
+                if node.name == name:
+                    reopen.remove(node)
+                    return
+            inner = stack.last((name,))
+            if inner and inner > stack.last(SCOPE):
+                close_at(inner)
+        elif name == "p":
+            if not close(("p",), SCOPE):
+                stack.top().children.append(Node("p"))
+        elif name == "br":
+            stack.top().children.append(Node("br"))
+        elif name not in ("html", "body"):
+            inner = stack.last((name,))
+            if inner and (name in CROSSES or inner > stack.last(("td", "th", "table"))):
+                close_at(inner)
+        if name in ("td", "th", "tr", "table", "caption"):
+            reopen.clear()
+
+    def start_tag(name: str, attributes: str, at: int) -> int:
+        """Opens an element; what follows the tag is read on from the place that comes back."""
+        if name in ("html", "head") and len(stack.nodes) > 1:
+            return at
+        if stack.top().name == "head" and name not in ("title", "style", "script", "meta", "link", "base", "template", "noscript"):
+            stack.cut(len(stack.nodes) - 1)
         if name in ("html", "body"):
-            target = root if name == "html" else next((x for x in stack if x.name == "body"), None)
+            target = root if name == "html" else stack.nodes[place] if (place := stack.last(("body",))) else None
             if target is not None:
-                target.attributes = target.attributes or m[3]
-                continue
+                target.attributes = target.attributes or attributes
+                return at
         if name in CLOSES_P:
             close(("p",), SCOPE)
         if name in IMPLIED:
             close(*IMPLIED[name])
-        if name in PARTS and any(x.name == "table" for x in stack):
-            while stack[-1].name not in PARTS[name]:
-                stack.pop()
-            if name in ("td", "th") and stack[-1].name != "tr":
-                stack[-1].children.append(Node("tr"))
-                stack.append(stack[-1].children[-1])
+        if name in PARTS and stack.last(("table",)):
+            while stack.top().name not in PARTS[name]:
+                stack.cut(len(stack.nodes) - 1)
+            if name in ("td", "th") and stack.top().name != "tr":
+                stack.push(Node("tr"))
         if name in FORMATTING and reopen:
             restore()
-        node = Node(name, m[3].rstrip("/") if m[3] else "")
-        stack[-1].children.append(node)
+        node = Node(name, attributes.rstrip("/"))
         if name in RAW:
-            low = low or source.lower()
-            end = low.find(f"</{name}", at)
-            inner = source[at:] if end < 0 else source[at:end]
+            stack.top().children.append(node)
+            end = re.compile(f"</{name}(?=[\\s/>])|</{name}\\Z", re.IGNORECASE | re.ASCII).search(source, at)
+            inner = source[at : end.start()] if end else source[at:]
             node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
-            gt = -1 if end < 0 else source.find(">", end)
-            at = len(source) if gt < 0 else gt + 1
-        elif name not in VOID and not (name == "form" and stack[-1].name in ("table", "tr", *GROUPS)):
-            stack.append(node)
+            gt = source.find(">", end.start()) if end else -1
+            return len(source) if gt < 0 else gt + 1
+        if name in VOID or (name == "form" and stack.top().name in ("table", "tr", *GROUPS)):
+            stack.top().children.append(node)
+        else:
+            stack.push(node)
+        return at
+
+    for m in TOKEN.finditer(source):
+        if m.start() < at:
+            continue
+        text(source[at : m.start()])
+        at = m.end()
+        if m[2] and m[1]:
+            end_tag(m[2].lower())
+        elif m[2]:
+            at = start_tag(m[2].lower(), m[3] or "", at)
     text(source[at:])
     return root
 
@@ -210,18 +258,35 @@ class Layout:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        self.lines.append((self.prefix + self.mark + line).rstrip(" "))
+        self.lines.append((self.prefix[:MOST_INDENT] + self.mark + line).rstrip(" "))
         if self.mark:
-            self.prefix += " " * len(self.mark)
+            self.indent(len(self.mark))
             self.mark = ""
 
+    def indent(self, by: int) -> None:
+        self.prefix = (self.prefix + " " * by)[:MOST_INDENT]
+
     def space(self) -> None:
         self.end_line()
         self.gap = True
 
 
-def render(node: Node, out: Layout, depth: int = 0, ordinal: list[int] | None = None) -> None:
-    """Writes a node's visible text to ``out``; very deep trees are read without their deepest structure."""
+def run(step: Iterator) -> None:
+    """Runs a step and the steps that it yields, each to its end before the one that asked for it goes on.
+
+    Steps call each other as functions would, but the depth of a page is not that of Python's calls.
+    """
+    steps = [step]
+    while steps:
+        inner = next(steps[-1], None)
+        if inner is None:
+            steps.pop()
+        else:
+            steps.append(inner)
+
+
+def render(node: Node, out: Layout, ordinal: list[int] | None = None) -> Iterator:
+    """Writes a node's visible text to ``out``; a step for ``run``. ``ordinal``: the last number of an ordered list."""
     for child in node.children:
         if isinstance(child, str):
             out.write(child)
@@ -232,11 +297,11 @@ def render(node: Node, out: Layout, depth: int = 0, ordinal: list[int] | None =
         if name == "br":
             if out.line:
                 out.end_line()
+            else:
+                out.gap = True
         elif name == "img":
             if alt := child.get("alt"):
                 out.write(alt)
-        elif depth > 200:
-            out.write(" ".join(flat(child)))
         elif name == "pre":
             out.space()
             for line in "".join(flat(child)).strip("\n").split("\n"):
@@ -244,7 +309,7 @@ def render(node: Node, out: Layout, depth: int = 0, ordinal: list[int] | None =
             out.gap = True
         elif name == "table":
             out.space()
-            table(child, out, depth)
+            yield table(child, out)
             out.gap = True
         elif name == "li":
             out.end_line()
@@ -252,9 +317,7 @@ def render(node: Node, out: Layout, depth: int = 0, ordinal: list[int] | None =
             if ordinal is not None:
                 ordinal[0] += 1
             out.mark = "- " if ordinal is None else f"{ordinal[0]}. "
-            gap, out.gap = out.gap, out.gap and not out.mark
-            out.gap = gap
-            render(child, out, depth + 1)
+            yield render(child, out)
             out.end_line()
             out.prefix, out.mark = was, mark
         elif name in BLOCK:
@@ -262,18 +325,22 @@ def render(node: Node, out: Layout, depth: int = 0, ordinal: list[int] | None =
             out.space() if spaced else out.end_line()
             was = out.prefix
             if name in ("blockquote", "dd"):
-                out.prefix += "  "
+                out.indent(2)
             start = child.get("start") if name == "ol" else None
-            render(child, out, depth + 1, [int(start) - 1 if start and re.fullmatch(r"-?\d{1,9}", start) else 0] if name == "ol" else None)
+            yield render(child, out, [int(start) - 1 if start and re.fullmatch(r"-?\d{1,9}", start) else 0] if name == "ol" else None)
             out.end_line()
             out.prefix = was
             out.gap = out.gap or spaced
-        else:
-            render(child, out, depth + 1, ordinal)
+        elif name in ("button", "select"):
+            out.write(" ")
+            yield render(child, out)
+            out.write(" ")
+        elif child.children:
+            yield render(child, out, ordinal)
 
 
 def flat(node: Node):
-    """The visible strings below a node in order, without layout (not by recursion)."""
+    """The visible strings below a node in order, without layout."""
     todo = [iter(node.children)]
     while todo:
         child = next(todo[-1], None)
@@ -283,24 +350,30 @@ def flat(node: Node):
             yield child
         elif child.name == "br":
             yield "\n"
+        elif child.name == "img":
+            yield child.get("alt") or ""
         elif not child.hidden():
             todo.append(iter(child.children))
 
 
 def rows_of(node: Node) -> list[tuple[Node, Node]]:
     """The rows of a table in order, each with the element that it stands in."""
-    rows = []
-    for child in node.children:
-        if isinstance(child, str) or child.hidden():
+    rows, todo = [], [(node, iter(node.children))]
+    while todo:
+        parent, rest = todo[-1]
+        child = next(rest, None)
+        if child is None:
+            todo.pop()
+        elif isinstance(child, str) or child.hidden():
             continue
-        if child.name in GROUPS:
-            rows += rows_of(child)
+        elif child.name in GROUPS:
+            todo.append((child, iter(child.children)))
         elif child.name == "tr":
-            rows.append((child, node))
+            rows.append((child, parent))
     return rows
 
 
-def stray(node: Node, out: Layout, depth: int) -> None:
+def stray(node: Node, out: Layout) -> Iterator:
     """Writes what a table or row group has besides its rows."""
     for child in node.children:
         if isinstance(child, str):
@@ -308,57 +381,109 @@ def stray(node: Node, out: Layout, depth: int) -> None:
         elif child.name == "tr" or child.hidden():
             continue
         elif child.name in (*GROUPS, "colgroup"):
-            stray(child, out, depth)
+            yield stray(child, out)
         else:
-            render(child if child.name == "caption" else Node("div", "", [child]), out, depth + 1)
+            yield render(child if child.name == "caption" else Node("div", "", [child]), out)
             out.end_line()
 
 
-def table(node: Node, out: Layout, depth: int) -> None:
-    """A table's caption, stray content and rows; cells of one line are padded so that columns align."""
-    stray(node, out, depth)
-    out.end_line()
-    grid = []
-    group, below = None, {}
-    for row, parent in rows_of(node):
-        if parent is not group:
-            group, below = parent, {}
-        cells = []
+def span(cell: Node, name: str) -> int:
+    value = cell.get(name) or ""
+    return int(value) if re.fullmatch("[0-9]{1,9}", value) else 1
 
-        def spanned() -> None:
-            """Empty cells where a cell of a row above reaches down."""
-            while below.get(len(cells)):
-                below[len(cells)] -= 1
-                cells.append([""])
 
+class Below:
+    """Columns that cells of rows above cover: stretches with the last row that each reaches."""
+
+    def __init__(self):
+        self.stretches: list[tuple[int, int, int]] = []
+
+    def free(self, column: int, row: int) -> int:
+        """The first column from ``column`` on that is free in ``row``."""
+        for start, stop, last in self.stretches:
+            if start <= column < stop and last >= row:
+                column = stop
+        return column
+
+    def cover(self, start: int, stop: int, last: int, row: int) -> None:
+        kept = [x for x in self.stretches if x[2] >= row]
+        kept.append((start, stop, last))
+        joined: list[tuple[int, int, int]] = []
+        for x in sorted(kept):
+            if joined and joined[-1][1] == x[0] and joined[-1][2] == x[2]:
+                joined[-1] = (joined[-1][0], x[1], x[2])
+            else:
+                joined.append(x)
+        self.stretches = joined
+
+
+def table(node: Node, out: Layout) -> Iterator:
+    """A table's caption, stray content and rows; cells are padded so that columns align, within the limits above."""
+    yield stray(node, out)
+    out.end_line()
+    grid: list[list[tuple[int, list[str]]]] = []
+    group, below = None, Below()
+    for number, (row, parent) in enumerate(rows_of(node)):
+        if parent is not group:
+            group, below = parent, Below()
+        cells: list[tuple[int, list[str]]] = []
+        at = 0
         for cell in row.children:
-            spanned()
             if isinstance(cell, str):
-                if BLANK.sub("", cell):
-                    cells.append([BLANK.sub(" ", cell).strip(" ")])
-            elif not cell.hidden():
-                inner = Layout()
-                render(cell if cell.name in ("td", "th") else Node("td", "", [cell]), inner, depth + 1)
-                inner.end_line()
-                cells.append(inner.lines or [""])
-                span, down = (x if x and re.fullmatch("[0-9]{1,9}", x) else "1" for x in (cell.get("colspan"), cell.get("rowspan")))
-                first = len(cells) - 1
-                cells += [[""]] * (min(int(span), 1000) - 1)
-                below.update(dict.fromkeys(range(first, len(cells)), (int(down) or 65535) - 1))
-        spanned()
-        grid.append(cells)
-    width = [max((len(line) for row in grid if k < len(row) for line in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
+                if not BLANK.sub("", cell):
+                    continue
+                cell = Node("td", "", [cell])
+            if cell.hidden():
+                continue
+            at = below.free(at, number)
+            inner = Layout()
+            yield render(cell if cell.name in ("td", "th") else Node("td", "", [cell]), inner)
+            inner.end_line()
+            cells.append((at, inner.lines or [""]))
+            stop = at + min(max(1, span(cell, "colspan")), MOST_SPAN)
+            if (down := span(cell, "rowspan")) != 1:
+                below.cover(at, stop, number + down - 1 if down else 1 << 40, number)
+            at = stop
+        if cells:
+            grid.append(cells)
+    padded = aligned(grid)
     for cells in grid:
-        for k in range(max((len(c) for c in cells), default=0)):
-            line = " | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(cells, width, strict=False))
+        for k in range(max(len(lines) for _, lines in cells)):
+            line = " | ".join(padded(cells, k) if padded else [lines[k] if k < len(lines) else "" for _, lines in cells])
             if line.replace("|", "").strip():
                 out.put(line.rstrip(" |"))
 
 
+def aligned(grid: list[list[tuple[int, list[str]]]]):
+    """What gives line ``k`` of a row as parts of their columns' widths; None if that makes the table too long.
+
+    Columns that no cell begins in are left out.
+    """
+    width: dict[int, int] = defaultdict(int)
+    for cells in grid:
+        for at, lines in cells:
+            width[at] = max(width[at], min(MOST_PAD, max(map(len, lines))))
+    place, ends = {at: k for k, at in enumerate(sorted(width))}, [0]
+    for at in place:
+        ends.append(ends[-1] + width[at] + 3)
+    size = sum(ends[place[cells[-1][0]]] * max(len(lines) for _, lines in cells) for cells in grid)
+    if size > PADDED * sum(len(line) for cells in grid for _, lines in cells for line in lines) + 10_000:
+        return None
+    widths = [width[at] for at in place]
+
+    def padded(cells: list[tuple[int, list[str]]], k: int) -> list[str]:
+        parts = [""] * (place[cells[-1][0]] + 1)
+        for at, lines in cells:
+            parts[place[at]] = lines[k] if k < len(lines) else ""
+        return [x.ljust(w) for x, w in zip(parts, widths, strict=False)]
+
+    return padded
+
+
 def visible_text(source: str) -> str:
     """The visible text of a page, a line of text for each line of its layout."""
     out = Layout()
-    render(build(source), out)
+    run(render(build(source), out))
     out.end_line()
     return "\n".join(out.lines)
 
@@ -366,13 +491,14 @@ def visible_text(source: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """row (a struct of the columns of ``pages`` but html) and text of each row; a null html has an empty text.
 
-    Pages are read one by one where they lie, so nothing is shuffled; repeated rows come back each.
+    Pages are read one by one where they lie, so nothing is shuffled; repeated rows come back each. A page takes
+    time and memory in proportion to its length, however deep its tree is or its tables are.
     """
-    rest = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
-    rows = pages.select(F.struct(*rest).alias("row"), "html")
+    rest = pages.select(*[column(c) for c in pages.columns if c != "html"])
+    rows = pages.select(F.struct(*map(column, rest.columns)).alias("row"), "html")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [visible_text(h) if h else "" for h in batch.column("html").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string())], ["row", "text"])
 
-    return map_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return map_batches(rows, read, with_row(rest, "text string"))
