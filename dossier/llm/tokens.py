@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import sys
@@ -23,10 +24,17 @@ from dossier.llm.common import map_batches, once, texts
 #: The split patterns that the two vocabularies state.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LETTERS, MARKS = regex.compile(r"[\p{L}]+"), regex.compile(r"[^\s\p{L}\p{N}]+")
+#: Characters before a cut in which what comes after it may change the split.
+AHEAD = 3
 #: Words a worker remembers, and characters of chunks.
 CACHED_WORDS, CACHED_CHARS = 300_000, 12_000_000
 #: Texts are split in pieces of about so many characters, so a worker never holds the words of a whole long text.
 PIECE = 1 << 20
+#: Pre-tokens of more bytes than this are merged one by one, place by place.
+LONG = 4096
+#: Where a byte-level pre-token always ends: before blanks, and between a letter and a mark.
+SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n\t])|(?<=\p{L})(?=[!-/:-@\[-`{-~\u3001\u3002\uff0c\uff01\uff1f])")
 NONE = np.iinfo(np.int64).max
 
 
@@ -122,12 +130,64 @@ class RankMerger:
             rank[fresh] = self.ranks(symbols[fresh], symbols[fresh + 1])
         return result
 
+    def count_long(self, token: bytes) -> int:
+        """As ``count`` for one long pre-token: a round costs what it merges, not the length.
+
+        The symbols are a linked list in arrays; the places of each rank wait in one bucket, and a round takes the
+        lowest rank's bucket and merges the pairs that are still there, from the left where they overlap.
+        """
+        n = len(token)
+        symbols = np.append(self.bytes[np.frombuffer(token, np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, NONE)
+        rank[: n - 1] = self.ranks(symbols[: n - 1], symbols[1:n])
+        buckets: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            places = places[rank[places] != NONE]
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            for part in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1):
+                if len(part):
+                    r = int(rank[part[0]])
+                    if r not in buckets:
+                        buckets[r] = []
+                        heapq.heappush(waiting, r)
+                    buckets[r].append(part)
+
+        put(np.arange(n))
+        merged = 0
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(buckets.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            goes_on = np.concatenate(([False], after[at[:-1]] == at[1:]))
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(goes_on, 0, place))) % 2 == 0]
+            gone = after[at]
+            rest = after[gone]
+            symbols[at] = self.merged[r]
+            rank[gone] = NONE
+            after[at] = rest
+            before[rest[rest <= n]] = at[rest <= n]
+            merged += len(at)
+            touched = np.unique(np.concatenate((at, before[at])))
+            touched = touched[touched >= 0]
+            rank[touched] = NONE
+            inner = touched[after[touched] < n]
+            rank[inner] = self.ranks(symbols[inner], symbols[after[inner]])
+            put(inner)
+        return n - merged
+
 
 def pieces(text: str) -> Iterator[str]:
-    """Parts of about PIECE characters, cut before a lone space between words, where no pre-token goes on."""
+    """Parts of about PIECE characters, cut where no pre-token goes on."""
     at = 0
     while len(text) - at > 2 * PIECE:
-        m = regex.compile(r"(?<=\S) (?=\S)").search(text, at + PIECE)
+        m = SAFE.search(text, at + PIECE)
         if not m:
             break
         yield text[at : m.start()]
@@ -173,7 +233,10 @@ class TokenCounter:
             seen.clear()
         new = [w for w in set(chain.from_iterable([words for _, words in todo])) if w not in seen]
         if new:
-            seen.update(zip(new, self.merger.count([w.encode() for w in new]).tolist(), strict=True))
+            data = [w.encode() for w in new]
+            short = [k for k, d in enumerate(data) if len(d) <= LONG]
+            found = dict(zip(short, self.merger.count([data[k] for k in short]).tolist(), strict=True))
+            seen.update((w, found[k] if k in found else self.merger.count_long(data[k])) for k, w in enumerate(new))
         for k, words in todo:
             out[k] += sum(map(seen.__getitem__, words))
 
@@ -204,18 +267,18 @@ class Chunk:
     __slots__ = ("ids", "starts", "tail", "tail_ids", "tail_text", "text")
 
     def __init__(self, chunk: str, coder: ChunkEncoder):
-        words = coder.split(chunk)
+        words = WORD_PATTERN.findall(chunk)
         ids, text = coder.look_up(words)
         self.ids, self.text = b"".join(ids), "".join(text)
         self.starts, at_ids, at_text = {}, 0, 0
-        for k, (a, _) in enumerate(islice(coder.spans(chunk), 6)):
-            self.starts[a] = (at_ids, at_text)
+        for k, m in enumerate(islice(WORD_PATTERN.finditer(chunk), 6)):
+            self.starts[m.start()] = (at_ids, at_text)
             at_ids += len(ids[k])
             at_text += len(text[k])
         self.tail, self.tail_ids, self.tail_text = len(chunk), len(self.ids), len(self.text)
         for k in range(len(words) - 1, -1, -1):  # only blanks stand between a pre-token and the next
             a = chunk.rindex(words[k], 0, self.tail)
-            if a + len(words[k]) <= len(chunk) - 3:
+            if a + len(words[k]) <= len(chunk) - AHEAD:
                 break
             self.tail, self.tail_ids, self.tail_text = a, self.tail_ids - len(ids[k]), self.tail_text - len(text[k])
 
@@ -227,7 +290,10 @@ class ChunkEncoder:
     bits, so equal passages of different texts give equal chunks. A chunk is encoded by itself. At a join, the end
     of the left chunk, from the first pre-token that the join may change, and the start of the right one are split
     again, further and further, until a pre-token starts where one of the right chunk's does. The split reads
-    from left to right and looks ahead two characters at most, so from there on the two agree exactly.
+    from left to right and looks ahead two characters at most, so from there on the two agree exactly. Where
+    they don't, what is settled is written, and the last pre-tokens stay open for the next chunk; a run of
+    letters or marks that goes on over whole chunks is not read again. So the work grows with the text alone.
+    Texts with characters that this Python doesn't know are split by the library, without chunks.
     """
 
     def __init__(self, path: str, bits: int = 9):
@@ -237,7 +303,6 @@ class ChunkEncoder:
             vocab = json.load(f)["model"]["vocab"]
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {s: (self.pack([i]), s + " ") for s, i in special.items()}
-        self.token = dict(zip(vocab.values(), vocab, strict=True))
         self.pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.table = str.maketrans(dict(enumerate(byte_chars())))
         self.ids: dict[str, bytes] = {}
@@ -256,43 +321,37 @@ class ChunkEncoder:
         if len(self.ids) > CACHED_WORDS:
             self.ids.clear()
             self.texts.clear()
+        long: dict[str, tuple[bytes, str]] = {}
         for w in set(words):
             if w in self.ids:
                 continue
             tokens = self.model.tokenize(w.encode().decode("latin-1").translate(self.table))
-            self.ids[w] = self.pack([t.id for t in tokens])
-            self.texts[w] = "".join([t.value + " " for t in tokens])
+            found = self.pack([t.id for t in tokens]), "".join([t.value + " " for t in tokens])
+            if len(w) > LONG:
+                long[w] = found
+            else:
+                self.ids[w], self.texts[w] = found
+        if long:
+            return [long[w][0] if w in long else self.ids[w] for w in words], [long[w][1] if w in long else self.texts[w] for w in words]
         return list(map(self.ids.__getitem__, words)), list(map(self.texts.__getitem__, words))
 
-    def normalise(self, text: str) -> str:
-        if not known(text):
-            return self.library.normalizer.normalize_str(text)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
-
-    def split(self, text: str) -> list[str]:
-        return WORD_PATTERN.findall(text) if known(text) else [text[a:b] for a, b in self.spans(text)]
-
-    def spans(self, text: str) -> Iterator[tuple[int, int]]:
-        if known(text):
-            return (m.span() for m in WORD_PATTERN.finditer(text))
-        return (span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text))
-
-    def cuts(self, text: str) -> list[int]:
-        """Ends of the chunks of a normalised text."""
-        if len(text) < 64:
-            return [len(text)]
-        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            h = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            factor = np.uint64(0xD6E8FEB86659FD93)
-            for step in (1, 2, 4, 8):
-                h[step:] = h[step:] + h[:-step] * factor
-                factor = factor * factor
-            at = np.flatnonzero((h * np.uint64(0xBF58476D1CE4E5B9)) >> self.bits == 0) + 1
-        ends = at[at >= 16].tolist()
-        return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
+    def cuts(self, text: str) -> Iterator[int]:
+        """Ends of the chunks of a normalised text, found block by block."""
+        last = len(text) if len(text) < 64 else 0
+        for at in range(0, len(text) - last, PIECE):
+            from_ = max(0, at - 15)
+            code = np.frombuffer(text[from_ : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                h = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                factor = np.uint64(0xD6E8FEB86659FD93)
+                for step in (1, 2, 4, 8):
+                    h[step:] = h[step:] + h[:-step] * factor
+                    factor = factor * factor
+                ends = np.flatnonzero((h * np.uint64(0xBF58476D1CE4E5B9)) >> self.bits == 0) + 1 + from_
+            for last in ends[ends >= max(at + 1, 16)].tolist():
+                yield last
+        if last < len(text) or len(text) < 64:
+            yield len(text)
 
     def chunk(self, text: str) -> Chunk:
         found = self.chunks.get(text)
@@ -313,55 +372,87 @@ class ChunkEncoder:
             if part in self.special:
                 ids.append(self.special[part][0])
                 out.append(self.special[part][1])
+            elif part and not known(part):
+                part = self.library.normalizer.normalize_str(part)
+                self.write([part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)], ids, out)
             elif part:
-                self._encode(self.normalise(part), ids, out)
+                if not part.isascii():
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                self._encode(part.lower(), ids, out)
         return b"".join(ids), "".join(out)[:-1]
 
+    def write(self, words: list[str], ids: list[bytes], out: list[str]) -> None:
+        new_ids, new_text = self.look_up(words)
+        ids += new_ids
+        out += new_text
+
     def _encode(self, text: str, ids: list[bytes], out: list[str]) -> None:
-        carry, at = "", 0
+        open_, at = 0, 0  # what is written ends at open_, and a pre-token or blanks begin there
+        run = None
         for end in self.cuts(text):
-            piece = text[at:end]
-            at = end
-            chunk = self.chunk(piece)
-            if carry:
-                meet, words = self.join(carry, piece, chunk)
+            start, at = at, end
+            if run:
+                m = run.match(text, start, end)
+                if m and m.end() == end:
+                    continue
+                stop = m.end() if m else start
+                self.write([text[open_:stop]], ids, out)
+                open_, run = stop, None
+                if stop > start:  # the chunk's own start is inside the run: what follows is read by itself
+                    open_, run = self.read(text, open_, end, ids, out)
+                    continue
+            chunk = self.chunk(text[start:end])
+            if open_ < start:
+                meet = self.join(text, open_, start, end, chunk)
                 if meet is None or meet > chunk.tail:
-                    carry += piece
+                    open_, run = self.read(text, open_, end, ids, out)
                     continue
-                new_ids, new_text = self.look_up(words)
-                ids += new_ids
-                out += new_text
+                self.write(WORD_PATTERN.findall(text, open_, start + meet), ids, out)
                 from_ids, from_text = (chunk.tail_ids, chunk.tail_text) if meet == chunk.tail else chunk.starts[meet]
             else:
                 from_ids = from_text = 0
             ids.append(chunk.ids[from_ids : chunk.tail_ids])
             out.append(chunk.text[from_text : chunk.tail_text])
-            carry = piece[chunk.tail :]
-        new_ids, new_text = self.look_up(self.split(carry))
-        ids += new_ids
-        out += new_text
-
-    def join(self, carry: str, piece: str, chunk: Chunk) -> tuple[int | None, list[str]]:
-        """Where in ``piece`` the split of ``carry + piece`` and the chunk's own agree, and what comes before."""
-        n, size = len(carry), 32
+            open_ = start + chunk.tail
+            run = open_run(text, open_, end)
+        self.write(WORD_PATTERN.findall(text, open_), ids, out)
+
+    def read(self, text: str, at: int, end: int, ids: list[bytes], out: list[str]) -> tuple[int, regex.Pattern | None]:
+        """Writes the pre-tokens from ``at`` on that end AHEAD characters before ``end``; gives where the rest begins."""
+        words = []
+        for m in WORD_PATTERN.finditer(text, at, end):
+            if m.end() > end - AHEAD:
+                break
+            words.append(m[0])
+            at = m.end()
+        self.write(words, ids, out)
+        return at, open_run(text, at, end)
+
+    def join(self, text: str, open_: int, start: int, end: int, chunk: Chunk) -> int | None:
+        """Where in the chunk from ``start`` to ``end`` the split from ``open_`` on and the chunk's own agree."""
+        size = 32
         while True:
-            window = carry + piece[:size]
-            whole = size >= len(piece)
-            words = []
-            for a, b in self.spans(window):
-                if a >= n and a - n in chunk.starts:
-                    return a - n, words
-                if b > len(window) - 3:
+            stop = min(end, start + size)
+            for m in WORD_PATTERN.finditer(text, open_, stop):
+                if m.start() >= start and m.start() - start in chunk.starts:
+                    return m.start() - start
+                if m.end() > stop - AHEAD:
                     break
-                words.append(window[a:b])
             else:
-                if whole and chunk.tail == len(piece):
-                    return chunk.tail, words
-            if whole:
-                return None, []
+                if stop == end and chunk.tail == end - start:
+                    return chunk.tail
+            if stop == end:
+                return None
             size *= 4
 
 
+def open_run(text: str, at: int, end: int) -> regex.Pattern | None:
+    """What goes on with the pre-token from ``at`` to ``end``, if it is one run of letters or of marks."""
+    if LETTERS.fullmatch(text, at, end):
+        return LETTERS
+    return MARKS if MARKS.fullmatch(text, at, end) and end - at > 1 else None
+
+
 def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and ids (array<int>) if asked for.
 
