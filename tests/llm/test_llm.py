@@ -95,7 +95,7 @@ def test_token_counter(docs):
 @pytest.mark.parametrize("bits", [3, 9])
 def test_chunk_encoder(docs, bits):
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = [d.text for d in docs.values()][:100] + ODD_TEXTS + mixed(150, 2)
+    rows = [d.text for d in docs.values()] + ODD_TEXTS + mixed(400, 2)
     library, coder = Tokenizer.from_file(path), tokens.ChunkEncoder(path, bits)
     for text, want in zip(rows, library.encode_batch(rows, add_special_tokens=False), strict=True):
         ids, decoded = coder.encode(text)
@@ -103,6 +103,37 @@ def test_chunk_encoder(docs, bits):
         assert decoded == library.decode(want.ids, skip_special_tokens=False)
 
 
+def long_texts(n):
+    rng = random.Random(11)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    letters = "".join(rng.choice("abcdefghij") for _ in range(n))
+    marked = "。".join(cjk[k : k + 9] for k in range(0, n, 9))
+    return [cjk, letters, marked, "!?" * (n // 2), "a" * n, " ".join(letters[k : k + 5] for k in range(0, n, 5)), "'s" * (n // 2), "\n" * n + "x", cjk[: n // 2] + " " + letters[: n // 2]]
+
+
+@pytest.mark.parametrize("n", [20_000, 1_000_000])
+def test_long_texts_take_time_in_proportion(n):
+    import time
+
+    byte_path, word_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    byte_library, word_library = Tokenizer.from_file(byte_path), Tokenizer.from_file(word_path)
+    counter, coder = tokens.TokenCounter(byte_path), tokens.ChunkEncoder(word_path)
+    for k, text in enumerate(long_texts(n)):
+        began = time.time()
+        count, (ids, decoded) = counter.count([text])[0], coder.encode(text)
+        assert time.time() - began < 20, k
+        want = word_library.encode(text, add_special_tokens=False).ids
+        assert count == len(byte_library.encode(text, add_special_tokens=False).ids), k
+        assert ids == tokens.ChunkEncoder.pack(want) and decoded == word_library.decode(want, skip_special_tokens=False), k
+
+
+def test_long_pre_tokens(docs):
+    merger = tokens.RankMerger(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    data = [bytes(rng.choice(b"abcther \xc3\xa9") for _ in range(rng.randint(1, 300))) for _ in range(200)] + [b"aaaaaaa", b"a" * 777] + [d.text.encode() for d in docs.values() if 0 < len(d.text) < 4000]
+    assert merger.count(data).tolist() == [merger.count_long(d) for d in data]
+
+
 def test_chunks_are_encoded_once():
     coder = tokens.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), 5)
     text = " ".join(f"w{i * 7919 % 1000}" for i in range(2000))
@@ -279,19 +310,46 @@ def test_warc_round_trip(spark):
         b, last = (h or "").encode(), max((x for x in by[h or ""] if x is not None), default=None)
         want.append((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if p == last else "revisit", None if p == last else last))
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    for segment in (1 << 20, 500):
-        assert Counter(map(tuple, warc.archive_round_trip(df, segment).collect())) == Counter(want)
+    for segment, most in ((1 << 20, 1000), (500, 0)):
+        assert Counter(map(tuple, warc.archive_round_trip(df, segment, most).collect())) == Counter(want)
     assert warc.archive_round_trip(df.where("false")).count() == 0
 
 
 def test_warc_damage():
+    import gzip
+
     parts = list(warc.records("urn:x", "u", b"abc" * 500, None, 400))
-    read = list(warc.parse(b"".join(p + b"\r\n\r\n" for p in parts)))
-    assert warc.payload_of(warc.reassemble(list(reversed(read)))[0]) == b"abc" * 500
+    plain = b"".join(p + b"\r\n\r\n" for p in parts)
+    read = list(warc.parse(plain))
+    assert read == list(warc.parse(gzip.compress(plain))) == list(warc.parse(b"".join(map(warc.member, parts))))
+    assert warc.payload_of(warc.reassemble(list(reversed(read)))) == b"abc" * 500
     with pytest.raises(ValueError):
         warc.reassemble(read[:-1] if len(read) < 3 else read[:1] + read[2:])
-    with pytest.raises(ValueError):
-        list(warc.parse(parts[0][:-5]))
+    assert [r["type"] for r in warc.parse(parts[0][:-5])] == ["damaged"]
+    zipped = [warc.member(p) for p in parts]
+    zipped[1] = zipped[1][:30] + b"\xff\xff\xff" + zipped[1][33:]
+    kinds = [r["type"] for r in warc.parse(b"".join(zipped))]
+    assert kinds[0] == "response" and "damaged" in kinds and kinds.count("continuation") == len(parts) - 2
+
+
+def test_warc_files_and_damaged_pages(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "ROW_BYTES", 2000)
+    rng = random.Random(9)
+    rows = [(f"urn:{k}", f"http://x/{k}", rng.randbytes(rng.randint(0, 3000)), None) for k in range(200)]
+    folder = str(tmp_path / "a")
+    warc.write_warc(spark.createDataFrame(rows, "record_id string, uri string, payload binary, refers_to string").repartition(1), folder, 1000)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 1 and sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in files) > 200
+    got = {r.record_id: r for r in warc.read_warc(spark, folder).collect()}
+    assert len(got) == 200 and all(got[i].payload == p and got[i].intact for i, _, p, _ in rows)
+    victim = max(range(200), key=lambda k: len(rows[k][2]))
+    data = list(warc.records(rows[victim][0], "u", rows[victim][2], None, 1000))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(b"".join(p + b"\r\n\r\n" for p in (*data[:1], *data[2:], *warc.records("urn:ok", "v", b"fine", None))))
+    got = {r.record_id: (r.intact, r.payload) for r in warc.read_warc(spark, str(tmp_path / "b")).collect()}
+    assert got == {rows[victim][0]: (False, None), "urn:ok": (True, b"fine")}
 
 
 def test_html_layout():
@@ -497,6 +555,44 @@ def test_html_tables_keep_all_text():
         assert html.visible_text(source) == wanted, source
 
 
+def test_html_deep_and_wide():
+    import time
+
+    began = time.time()
+    inner = "<p>a</p><img alt=c><ul><li>b</ul><p>d</p>"
+    assert html.visible_text("<div>" * 210 + inner) == html.visible_text(inner) == "a\n\nc\n\n- b\n\nd"
+    assert html.visible_text("<div>" * 100_000 + "x" + "</div>" * 100_000 + "y") == "x\ny"
+    assert html.visible_text("<b><p>" * 20_000 + "z").strip() == "z"
+    nested = html.visible_text("<table><tr><td>" * 2_000 + "in" + "</table>" * 2_000)
+    assert nested == "in"
+    deep_list = html.visible_text("<ul><li>k" * 3_000)
+    assert deep_list.count("k") == 3_000 and len(deep_list) < 3_000 * (html.MOST_INDENT + 10)
+    wide = html.visible_text("<table><tr><td>" + "w" * 50_000 + "<td>end" + "<tr><td>a<td>b" * 2_000 + "</table>")
+    assert wide.startswith("w" * 50_000 + " | end\na") and wide.count("| b") == 2_000 and len(wide) < 400_000
+    spans = "<table><tr>" + "<td>" + "y" * 60 + "<td>1" * 900 + "<tr><td colspan=1000>p<td>q" * 3_000 + "<tr><td rowspan=0 colspan=9>t" + "<tr><td>u" * 3_000 + "</table>"
+    got = html.visible_text(spans)
+    assert got.count("p | q") == 3_000 and got.count("u") == 3_000 and len(got) < 8 * len(spans)
+    assert time.time() - began < 30
+
+
+def test_html_blocks_and_controls():
+    cases = {
+        "<p>a<br><br>b<br>c": "a\n\nb\nc",
+        "<select><option>a<option>b</select>t": "a\nb\nt",
+        "x<button>go</button><button>stop</button>y": "x go stop y",
+        "<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>": "ab |   | c\nd  | e | f",
+        "<table><tr><td colspan=3>ab<td>c<tr><td colspan=3>defg<td>h</table>": "ab   | c\ndefg | h",
+        "<table><caption>cap</caption><tr><th>h<th>i</table>after": "cap\nh | i\n\nafter",
+        "<h1>t</h1>a<blockquote>q<p>r</blockquote>b": "t\n\na\n\n  q\n\n  r\n\nb",
+        "<dl><dt>k<dd>v<dt>l<dd>w</dl>": "k\n  v\nl\n  w",
+        "<script>'\u0130</SCRIPT >'\u0130\u0130</script>k": "'\u0130\u0130k",
+        "<title>\u0130\u0130</title>k<textarea>m</textarea>n": "kmn",
+        "<pre>a <img alt=b>\n  c</pre>": "a b\n  c",
+    }
+    for source, wanted in cases.items():
+        assert html.visible_text(source) == wanted, source
+
+
 def test_html_stray_quotes():
     assert html.visible_text('<p title="a"">Hello world</p><p>more') == "Hello world\n\nmore"
     assert html.visible_text("<a title=Bob's>link</a> text") == "link text"
