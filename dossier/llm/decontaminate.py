@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import repeat
 from typing import NamedTuple
 
@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import map_batches
+from dossier.llm.common import map_batches, replaced, stored, whole_row, with_row
 
 #: Bytes of words keep their place, in lower case; all others turn to spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 WINDOW = 10
-#: UTF-8 bytes of items that one automaton takes at most; more items are taken in blocks, one pass for each.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of items that one automaton takes (it needs about 90 times as many), and automata of one pass over the rows.
+BLOCK_BYTES, PASS_BLOCKS = 1 << 20, 2
 #: ranges are word indexes, spans code points of the text; ends are exclusive.
 REPORT = "n_words:long,n_hit:long,n_items:long,item_ids:array<string>,ranges:array<struct<start:int,end:int>>,spans:array<struct<start:int,end:int>>,longest:long,leaked:boolean"
 
@@ -146,13 +146,14 @@ class SuffixAutomaton:
         return Found(ranges, items, longest, leaked)
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, list[bytes]]]]:
-    """The items, in blocks whose texts stay near BLOCK_BYTES; a benchmark is small, but its size is checked."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items, block by block, so that the driver holds the texts of one block of about BLOCK_BYTES at a time."""
+    items = stored(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES) or 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r.item, words_of(r.text)) for r in items.where(part == k).orderBy("item", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.item, words_of(r.text)) for r in items.where(part == k).orderBy("item", "text").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -162,12 +163,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     ``window`` consecutive words of an item, or a shorter item as a whole; words inside an occurrence are hit.
     spans are code points, end exclusive; leaked: one match covers ``coverage`` of an item or more. Null and
     empty texts have no words and no hits; items without words find nothing; rows of equal item_id count as
-    one item; a null item_id reads as the empty string. Items beyond BLOCK_BYTES are matched block by block,
-    in passes over the same rows, so no pass holds more than one block and no row is shuffled.
+    one item; a null item_id reads as the empty string. Items beyond BLOCK_BYTES are matched block by block:
+    the driver builds one automaton at a time, PASS_BLOCKS of them make a pass over the rows, and between passes
+    rows and reports are a table in the shared folder. No row is shuffled.
     """
     sc = docs.sparkSession.sparkContext
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast(STATE).alias("report"))
-    for block in _blocks(benchmark):
+    out = docs.select(whole_row(docs), F.lit(None).cast(STATE).alias("report"))
+    for number, block in enumerate(_blocks(benchmark)):
+        if number and number % PASS_BLOCKS == 0:
+            out = stored(out)
         held = sc.broadcast(SuffixAutomaton(block, window, coverage))
 
         def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
@@ -175,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
             found = [_report(machine, t or "", was) for t, was in zip(rows.field("text").to_pylist(), batch.column("report").to_pylist(), strict=True)]
             return pa.RecordBatch.from_arrays([rows, pa.array(found, ARROW_STATE)], ["row", "report"])
 
-        out = map_batches(out, run, f"row {docs.schema.simpleString()}, report {STATE}")
+        out = map_batches(out, run, with_row(docs, f"report {STATE}"))
     return out
 
 
@@ -244,13 +248,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     The columns are those of ``docs``; n_chars, where it is there, follows the text.
     """
     found = contamination(docs, benchmark, window, coverage).where("not report.leaked")
-    new = without_spans(F.col("row.text"), F.col("report.spans"))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(new.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.size("report.spans") > 0, F.length(new)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            cols.append(F.col(f"row.`{c}`"))
-    return found.select(*cols)
+    return found.select(*replaced(docs, without_spans(F.col("row.text"), F.col("report.spans")), F.size("report.spans") > 0))
