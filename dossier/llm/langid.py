@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import map_batches, once, texts
+from dossier.llm.common import cut, map_batches, once, texts, whole_row, with_row
 
 #: Components of a vector, and trigrams whose vectors a worker remembers.
 DIMENSION, CACHED = 1024, 60_000
@@ -40,36 +40,49 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vectors:
-    """Random vectors of +1 and -1 of letters, and of trigrams: letters permuted by their place and multiplied."""
+    """Random vectors of +1 and -1 of letters, and of trigrams: letters permuted by their place and multiplied.
+
+    The vectors of the first CACHED trigrams that a worker meets are remembered, others are bound anew each time.
+    """
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
         self.letters: dict[int, np.ndarray] = {}
-        self.codes = np.empty(0, np.int64)
-        self.rows = np.empty((0, dimension), np.int8)
+        self.codes, self.places = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.rows = np.empty((CACHED, dimension), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
+            if len(self.letters) >= CACHED:
+                self.letters.clear()
             self.letters[code] = np.random.default_rng((SEED, code)).integers(0, 2, self.dimension, np.int8) * 2 - 1
         return self.letters[code]
 
-    def bound(self, trigram: int) -> np.ndarray:
-        a, b, c = trigram >> 42, trigram >> 21 & 0x1FFFFF, trigram & 0x1FFFFF
-        return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+    def bound(self, trigrams: np.ndarray) -> np.ndarray:
+        out = np.ones((len(trigrams), self.dimension), np.int8)
+        for shift, by in ((42, 2), (21, 1), (0, 0)):
+            letters, place = np.unique(trigrams >> shift & 0x1FFFFF, return_inverse=True)
+            out *= np.array([np.roll(self.letter(c), by) for c in letters.tolist()], np.int8)[place]
+        return out
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """The vectors of sorted distinct trigrams, a row each."""
-        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
-        new = codes[self.codes[at] != codes] if len(self.codes) else codes
-        if len(new):
-            if len(self.codes) + len(new) > CACHED:
-                self.codes, self.rows, new = np.empty(0, np.int64), np.empty((0, self.dimension), np.int8), codes
-            more = np.array([self.bound(t) for t in new.tolist()], np.int8)
-            order = np.argsort(np.concatenate((self.codes, new)), kind="stable")
-            self.codes = np.concatenate((self.codes, new))[order]
-            self.rows = np.concatenate((self.rows, more))[order]
-            at = np.searchsorted(self.codes, codes)
-        return self.rows[at]
+        if not len(codes):
+            return np.empty((0, self.dimension), np.int8)
+        n = len(self.codes)
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, n - 1))
+        known = self.codes[at] == codes if n else np.zeros(len(codes), bool)
+        if known.all():
+            return self.rows[self.places[at]]
+        out = np.empty((len(codes), self.dimension), np.int8)
+        out[known] = self.rows[self.places[at[known]]] if n else 0
+        out[~known] = more = self.bound(codes[~known])
+        if (room := min(CACHED - n, len(more))) > 0:
+            self.rows[n : n + room] = more[:room]
+            merged = np.concatenate((self.codes, codes[~known][:room]))
+            order = np.argsort(merged, kind="stable")
+            self.codes, self.places = merged[order], np.concatenate((self.places, np.arange(n, n + room)))[order]
+        return out
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the vectors, each as often as its trigram stands there (blockwise, so a long text stays small)."""
@@ -116,9 +129,10 @@ def predict(docs: DataFrame, protos: DataFrame, dimension: int = DIMENSION) -> D
     if nothing was learned. Prototypes of more than MOST_LANGS languages are compared in blocks.
     """
     sc = docs.sparkSession.sparkContext
+    protos = cut(protos)
     n = protos.count()
     blocks = -(-n // MOST_LANGS) or 1
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    out = docs.select(whole_row(docs), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     for k in range(blocks):
         learned = sorted(protos.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == k).collect()) if n else []
         held = sc.broadcast(([r.lang for r in learned], np.array([r.proto for r in learned]).reshape(-1, dimension)))
@@ -142,7 +156,7 @@ def predict(docs: DataFrame, protos: DataFrame, dimension: int = DIMENSION) -> D
                 scores.append(score)
             return pa.RecordBatch.from_arrays([row, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-        out = map_batches(out, run, f"row {docs.schema.simpleString()}, lang_pred string, score double")
+        out = map_batches(out, run, with_row(docs, "lang_pred string, score double"))
     return out
 
 
