@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.binding import let
+from dossier.llm.common import replaced, whole_row
 
 #: The base patterns. Letters of the names count in either case.
 ASSIGN = (
@@ -180,8 +181,7 @@ def scan(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """
     least = levels(docs.select("text"), false_share).scalar()
     text = F.coalesce("text", F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    found = docs.select(row, base_spans(text).alias("base"), candidates(text).alias("strings"), least.alias("least"))
+    found = docs.select(whole_row(docs), base_spans(text).alias("base"), candidates(text).alias("strings"), least.alias("least"))
     more = F.filter(
         "strings",
         lambda c: (c["level"] >= F.coalesce(F.try_element_at("least", c["class"]), F.lit(LEVELS + 1))) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
@@ -227,14 +227,4 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """``docs`` with the secrets of their texts replaced by a mark; n_chars, where it is there, follows the text."""
-    found = scan(docs, false_share)
-    new = redacted(F.col("row.text"), F.col("spans"))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(new.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.size("spans") > 0, F.length(new)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            cols.append(F.col(f"row.`{c}`"))
-    return found.select(*cols)
+    return scan(docs, false_share).select(*replaced(docs, redacted(F.col("row.text"), F.col("spans")), F.size("spans") > 0))

@@ -33,7 +33,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     wide = spark.createDataFrame(ODD, SCHEMA)
-    return wide.selectExpr("*", "'x' as row", "1 as n_words", "2 as report", "3 as fp", "4 as component_id", "5 as spans", "6 as ids", "7 as host")
+    return wide.selectExpr("*", "'w' as `my col`", "'v' as `a-b`", "'t' as `tick``s`", "struct(1 as `x y`, 2 as z) as `s.t`", "'x' as row", "1 as n_words", "2 as report", "3 as fp", "4 as component_id", "5 as spans", "6 as ids", "7 as host")
 
 
 def words(text):
@@ -244,7 +244,7 @@ def test_contamination_random(spark, monkeypatch):
     rows = [(k, say(rng.randint(0, 60)) + rng.choice(["", " zz, YY!", " q q q"]), "en", "s") for k in range(60)]
     want_items = [(str(i) if i is not None else "", t.split()) for i, t in items]
     bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, SCHEMA)
-    for block in (1 << 24, 60):
+    for block in (1 << 24, 150):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         for r in decontaminate.contamination(df, bench).collect():
             assert (r.report.n_words, r.report.n_hit, r.report.item_ids) == slow_hits(r.row.text, want_items)
@@ -404,9 +404,15 @@ def test_language_id_odd(spark, odd):
 
 
 def test_vectors_bind_by_place():
+    import numpy as np
+
     v = langid.Vectors(256)
     code = lambda s: ord(s[0]) << 42 | ord(s[1]) << 21 | ord(s[2])
-    a, b = v.bound(code("abc")).astype(int), v.bound(code("cba")).astype(int)
+    a, b = v.bound(np.array([code("abc"), code("cba")])).astype(int)
+    small = langid.Vectors(256)
+    for part in (["abc", "xyz"], ["abd", "cba", "zzz"], ["abc", "zzz"]):
+        at = np.array(sorted(map(code, part)))
+        assert (v.of(at) == np.array([np.roll(small.letter(c >> 42), 2) * np.roll(small.letter(c >> 21 & 0x1FFFFF), 1) * small.letter(c & 0x1FFFFF) for c in at.tolist()])).all()
     assert (a @ a, abs(a @ b) < 100) == (256, True)
     codes, counts = langid.trigrams("Banana!")
     assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == {code(" ba"): 1, code("ban"): 1, code("ana"): 2, code("nan"): 1, code("na "): 1}
