@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from itertools import groupby
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import text as tx
-from dossier.sources.shared import cut
 
 #: Least length of a cut-off entry, how much longer its whole must be, and prefixes of the merge.
 CUT_LEAST, CUT_MORE, RAW_PREFIX, TITLE_PREFIX, TITLE_LEAST = 30, 4, 60, 30, 15
@@ -35,34 +38,52 @@ def deduped(entries: DataFrame, group: list[str], order: str = "entry_order", ke
     return truncated(exact(entries, group, order), group, key)
 
 
-def same_entry(norm: Column, title: Column, other_norm: Column, other_title: Column) -> Column:
-    """Two entries of different bodies are one: equal, or a long prefix and a title of one stand in the other."""
-    head, other_head = F.substring(norm, 1, RAW_PREFIX), F.substring(other_norm, 1, RAW_PREFIX)
-    near = ((F.length(other_head) >= RAW_PREFIX) & F.contains(norm, other_head)) | ((F.length(head) >= RAW_PREFIX) & F.contains(other_norm, head))
-    t, o = F.substring(title, 1, TITLE_PREFIX), F.substring(other_title, 1, TITLE_PREFIX)
-    titled = ((F.length(o) >= TITLE_LEAST) & F.contains(norm, o)) | ((F.length(t) >= TITLE_LEAST) & F.contains(other_norm, t))
-    return (norm == other_norm) | (near & titled)
-
-
-def merge_bodies(entries: DataFrame, group: list[str], body: str = "sec_no", most_bodies: int = 8) -> DataFrame:
+def merge_bodies(entries: DataFrame, group: list[str], body: str = "sec_no") -> DataFrame:
     """Entries of a section's bodies as one list: a later body adds what the earlier ones lack.
 
-    Bodies are taken in the order of their rank in the section; each one is held against all kept before it by a
-    join on the section. The number of rounds is that of the bodies of the section with most of them, which is
-    read first and must not exceed ``most_bodies``.
+    Bodies are taken in their order; each one is held against what is kept before it, so a section is one
+    sequential pass (a pandas group, of one section of one document), of any number of bodies. A section with more
+    than one body is numbered anew from 0; one body keeps its numbers.
     """
-    rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(body))
-    e = entries.withColumns({"_body": rank, "_norm": tx.normalize(F.col("raw_text")), "_title": tx.normalize(F.col("title"))})
-    e = cut(e)
-    rounds = e.agg(F.max("_body")).first()[0] or 0
-    if rounds > most_bodies:
-        raise ValueError(f"a section has {rounds} bodies; most_bodies is {most_bodies}")
-    kept = cut(deduped(e.where("_body = 1"), group))
-    for k in range(2, rounds + 1):
-        new = e.where(F.col("_body") == k).alias("n")
-        old = kept.select(*group, F.col("_norm").alias("o_norm"), F.col("_title").alias("o_title")).alias("o")
-        on = [F.col(f"n.{g}") == F.col(f"o.{g}") for g in group]
-        fresh = new.join(old, [*on, same_entry(F.col("n._norm"), F.col("n._title"), F.col("o.o_norm"), F.col("o.o_title"))], "left_anti")
-        kept = cut(deduped(kept.unionByName(fresh), group))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("_body", "entry_order")) - 1
-    return kept.withColumn("entry_order", place).drop("_body", "_norm", "_title")
+    e = entries.withColumns({"_norm": tx.normalize(F.col("raw_text")), "_title": tx.normalize(F.col("title")), "_year": F.col("year").cast("int")})
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        held = list(zip(rows["_norm"], rows["_title"], rows["_year"], strict=True))
+        bodies = rows[body].tolist()
+        places = sorted(range(len(rows)), key=lambda k: (bodies[k], rows["entry_order"].iloc[k]))
+        for _, new in groupby(places, bodies.__getitem__):
+            before = [held[k] for k in kept]
+            kept = without_repeats(kept + [k for k in new if not any(same_entry(held[k], old) for old in before)], held)
+        out = rows.iloc[kept].drop(columns=["_norm", "_title", "_year"])
+        return out.assign(entry_order=range(len(out))) if len(set(bodies)) > 1 else out
+
+    return e.groupBy(*group).applyInPandas(run, entries.schema)
+
+
+def same_entry(new: tuple[str, str, int], old: tuple[str, str, int]) -> bool:
+    """Two entries (text, title, year) of different bodies are one: equal, or a long prefix and a title of one stand in the other."""
+    (n, title, _), (o, other, _) = new, old
+    if n == o:
+        return True
+    near = (len(o) >= RAW_PREFIX and o[:RAW_PREFIX] in n) or (len(n) >= RAW_PREFIX and n[:RAW_PREFIX] in o)
+    t, u = title[:TITLE_PREFIX], other[:TITLE_PREFIX]
+    return near and ((len(u) >= TITLE_LEAST and u in n) or (len(t) >= TITLE_LEAST and t in o))
+
+
+def without_repeats(places: list[int], held: list[tuple[str, str, int]]) -> list[int]:
+    """As ``deduped``, for the entries at ``places`` in their order."""
+    first: dict[tuple, int] = {}
+    for k in places:
+        first.setdefault((held[k][2], held[k][0]), k)
+    heads: dict[tuple, list[str]] = {}
+    for k in first.values():
+        heads.setdefault((held[k][2], held[k][0][:CUT_LEAST]), []).append(held[k][0])
+
+    def is_cut(k: int) -> bool:
+        norm, _, year = held[k]
+        if len(norm) < CUT_LEAST or not re.search(r"(19|20)\d{2}$", norm):
+            return False
+        return any(len(x) > len(norm) + CUT_MORE and x.startswith(norm) for x in heads[year, norm[:CUT_LEAST]])
+
+    return [k for k in first.values() if not is_cut(k)]

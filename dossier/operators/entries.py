@@ -17,26 +17,28 @@ LEVEL = (
     "Ensino Fundamental|Ensino Médio|Livre-doc[êe]ncia|Resid[êe]ncia|Habilita[çc][ãa]o)\\b"
 )
 PROJECT_NOTES = ("situacao", "natureza", "alunos", "integrantes", "financiador", "descricao", "palavras", "numero de producoes", "numero de produc", "coordenador", "membro")
+CAPITALS = "^[A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ][A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ\\s,\\.;\\-']{4,}$"
+CITED, CANDIDATE, LAST_PLACE, DATED_TAIL = "\\s*\\(Citações:.*?\\)", "banca de\\s+([^.]+)\\.", "\\)\\s*([^.()]+)\\.?\\s*$", "(?s),\\s*(19|20)\\d{2}.*$"
 SHORT_TITLE = 28
 PERIODS = "^\\s*(\\d{4}\\s*-\\s*(?:\\d{4}|[Aa]tual)\\s*)+"
 
 
 def sentences(text: Column) -> Column:
-    """Parts that end with a full stop before a space, unless an abbreviation or a single letter is before it."""
-    stop = f"(?<!(?:^|\\s)(?i:{'|'.join(ABBREVIATIONS)}))(?<!(?:^|\\s)[^\\s.])\\. "
+    """Parts that end with a full stop before a space, unless an abbreviation or a single letter is before it, stops in it aside."""
+    dots = "\\.{0,3}"
+    short = "|".join(["[^\\s.]", *[dots.join(w) for w in ABBREVIATIONS]])
+    stop = f"(?<!(?:^|\\s){dots}(?i:{short}){dots})\\. "
     parts = F.split(F.regexp_replace(text, stop, ".\u0001"), "\u0001")
     return F.filter(F.transform(parts, tx.strip), lambda s: s != "")
 
 
 def title_authors_venue(text: Column) -> Column:
     """struct<title, authors, venue>: a first sentence in capitals, or of capitals with semicolons, has the authors."""
-    capitals = "^[A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ][A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ\\s,\\.;\\-']{4,}$"
-
     def pick(s: Column) -> Column:
         first = F.coalesce(F.get(s, 0), F.lit(""))
-        named = (F.size(s) > 1) & (first.rlike(capitals) | (F.contains(first, F.lit(";")) & (first == F.upper(first))))
+        named = (F.size(s) > 1) & (first.rlike(CAPITALS) | (F.contains(first, F.lit(";")) & (first == F.upper(first))))
         at = lambda k: F.coalesce(F.get(s, F.when(named, k + 1).otherwise(k)), F.lit(""))
-        title = tx.strip(F.regexp_replace(at(0), "\\s*\\(Citações:.*?\\)", ""))
+        title = tx.strip(F.regexp_replace(at(0), CITED, ""))
         return F.struct(F.when(title == "", F.when(first == "", text).otherwise(first)).otherwise(title).alias("title"), F.when(named, first).otherwise("").alias("authors"), F.when(F.size(s) > 1, at(1)).otherwise("").alias("venue"))
 
     return let(sentences(text), pick)
@@ -51,15 +53,17 @@ def entry(text: Column) -> Column:
 
 
 def committee_entry(text: Column) -> Column:
-    """struct<title, venue, year>: the candidate, the institution at the end, and the last year."""
-    name = tx.strip(F.regexp_extract(text, "banca de\\s+([^.]+)\\.", 1))
-    return F.struct(F.when(name == "", text).otherwise(name).alias("title"), tx.strip(F.regexp_extract(text, "\\)\\s*([^.()]+)\\.?\\s*$", 1)).alias("venue"), tx.last_year(text).alias("year"))
+    """An entry's fields, as ``entry`` has them: the candidate, the institution at the end, and the last year."""
+    name = tx.strip(F.regexp_extract(text, CANDIDATE, 1))
+    fields = {"title": F.when(name == "", text).otherwise(name), "authors": F.lit(""), "venue": tx.strip(F.regexp_extract(text, LAST_PLACE, 1)), "year": tx.last_year(text), "doi": F.lit(""), "isbn": F.lit("")}
+    fields |= {"portaria": F.array_join(ids.ordinance_pairs(text), " "), "issn": F.lit(""), "edital": F.array_join(ids.call_numbers(text), " ")}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
 def event_title(chunk: Column) -> Column:
     """Name of an organised event: after the authors' two stops, up to the year."""
     rest = F.when(F.contains(chunk, F.lit(".. ")), F.regexp_replace(chunk, "^.*?\\.\\. ", "")).otherwise(chunk)
-    name = tx.strip(F.regexp_replace(rest, "(?s),\\s*(19|20)\\d{2}.*$", ""))
+    name = tx.strip(F.regexp_replace(rest, DATED_TAIL, ""))
     return F.when(F.length(name) >= 3, name).otherwise(chunk)
 
 

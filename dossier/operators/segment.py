@@ -65,18 +65,23 @@ EXCLUDED = (
 STOP, DONE, ONGOING = "totais de producao", "orientacoes e supervisoes concluidas", "orientacoes e supervisoes em andamento"
 NOISE_LINES = ("Currículo Lattes", "Ordenar por", "Ordem Cronológica", "Ordem de Importância")
 PREFIX_LEAST = 12
-PERIOD = "\\d{4}\\s*-\\s*(?:\\d{4}|Atual)"
-COMMITTEE = "Participação em banca de"
+PERIOD = "\\b\\d{4}\\s*-\\s*(?:\\d{4}|[Aa]tual)\\b"
+COMMITTEE = "(?i)Participaç[ãa]o\\s+em\\s+banca\\s+de"
+BARE_NUMBER, NUMBER_START, CLUSTER = "^\\s*(\\d{1,3})\\.\\s*$", "^\\s*\\d{1,3}\\.(\\s+\\S|\\s*$)", "^\\s*(\\d{1,3}\\.\\s+){2,}"
+TIME_STAMP = "^\\d{2}/\\d{2}/\\d{4},?\\s*\\d{1,2}:\\d{2}"
+METADATA = ("palavras-chave", "referencias adicionais", "home page", "meio de divulgacao")
+CITED_KINDS = ("Artigo", "Livro/Capítulo", "Trabalho em evento", "Produção técnica", "Mídia", "Corpo editorial")
+RANK_NOTE = "(?i)^(A[1-4]|B[1-5]|C|N[ãa]o classificado)\\s*,\\s*ISSN"
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, line_no (from 0) and line, trimmed, of each text."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line", tx.strip(F.col("line")))
+    return docs.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), tx.strip)).alias("line_no", "line"))
 
 
 def is_noise(line: Column) -> Column:
     """Marks of printing: page footers, time stamps and menu words."""
-    return F.contains(line, F.lit("wwws.cnpq.br")) | F.startswith(line, F.lit("impcv.trata")) | line.rlike("^\\d{2}/\\d{2}/\\d{4},?\\s*\\d{1,2}:\\d{2}") | line.isin(*NOISE_LINES)
+    return F.contains(line, F.lit("wwws.cnpq.br")) | F.startswith(line, F.lit("impcv.trata")) | line.rlike(TIME_STAMP) | line.isin(*NOISE_LINES)
 
 
 def closes_more(text: Column) -> Column:
@@ -143,8 +148,7 @@ def bodies(section_lines: DataFrame) -> DataFrame:
 
 
 def is_metadata(line: Column) -> Column:
-    n = tx.normalize_header(line)
-    return F.startswith(n, F.lit("palavras-chave")) | F.startswith(n, F.lit("referencias adicionais")) | F.startswith(n, F.lit("home page")) | F.startswith(n, F.lit("meio de divulgacao"))
+    return tx.normalize_header(line).rlike("^(" + "|".join(METADATA) + ")")
 
 
 def is_continuation(line: Column) -> Column:
@@ -154,7 +158,7 @@ def is_continuation(line: Column) -> Column:
 
 
 def is_rank_note(line: Column) -> Column:
-    return F.contains(F.lower(line), F.lit("fonte qualis")) | line.rlike("(?i)^(A[1-4]|B[1-5]|C|N[ãa]o classificado)\\s*,\\s*ISSN")
+    return F.contains(F.lower(line), F.lit("fonte qualis")) | line.rlike(RANK_NOTE)
 
 
 def has_year(text: Column) -> Column:
@@ -171,41 +175,43 @@ def ends_sentence(line: Column) -> Column:
 
 def is_stray(line: Column, kind: Column) -> Column:
     """A piece of a citation left alone by a page break: short, without a year, no comma near its start."""
-    return kind.isin("Artigo", "Livro/Capítulo", "Trabalho em evento", "Apresentação", "Produção técnica", "Mídia") & (F.length(line) <= 160) & ~F.contains(F.substring(line, 1, 50), F.lit(",")) & ~has_year(line)
+    return kind.isin(*CITED_KINDS) & (F.length(line) <= 160) & ~F.contains(F.substring(line, 1, 50), F.lit(",")) & ~has_year(line)
 
 
 def detached_numbers(body_lines: DataFrame, group: list[str]) -> DataFrame:
-    """Lines without those of a column of item numbers that was set apart: two or more bare numbers in sequence.
+    """Lines with text, without bare numbers where a column of item numbers was set apart.
 
-    Islands: among non-blank lines, a bare number minus its place is constant along such a run.
+    Two neighbours among the lines with text that are numbers in sequence show such a column; then all bare
+    numbers of the body go. Numbers that are in no sequence stay.
     """
-    full = body_lines.where("line <> ''")
     w = Window.partitionBy(*group).orderBy("line_no")
-    v = F.regexp_extract("line", "^(\\d{1,3})\\.$", 1)
-    full = full.withColumn("v", F.when(v != "", v.cast("int"))).withColumn("island", F.col("v") - F.row_number().over(w))
-    runs = full.withColumn("n", F.count("v").over(Window.partitionBy(*group, "island")))
-    return runs.where("v is null or n < 2").drop("v", "island", "n")
+    v = F.nullif(F.regexp_extract("line", BARE_NUMBER, 1), F.lit("")).cast("int")
+    full = body_lines.where("line <> ''").withColumn("v", v)
+    full = full.withColumn("follows", F.coalesce(F.col("v") == F.lag("v").over(w) + 1, F.lit(False)))
+    apart = F.max("follows").over(Window.partitionBy(*group))
+    return full.withColumn("apart", apart).where("v is null or not apart").drop("v", "follows", "apart")
 
 
-def chunk(body_lines: DataFrame, group: list[str], starts: Column) -> DataFrame:
-    """Lines joined from each one that ``starts`` a chunk to the next; chunk_no 0 has what stands before."""
-    w = Window.partitionBy(*group).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = body_lines.withColumn("chunk_no", F.sum(starts.cast("int")).over(w))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return numbered.groupBy(*group, "chunk_no").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("chunk"))
+def split_numbered(body_lines: DataFrame, group: list[str]) -> DataFrame:
+    """Chunks, from 0 on, that begin at the first line and at lines with an item number; numbers are taken off all lines."""
+    w = Window.partitionBy(*group).orderBy("line_no")
+    starts = F.col("line").rlike(NUMBER_START) & F.lag("line").over(w).isNotNull()
+    l = body_lines.where("line <> ''").withColumn("starts", starts.cast("int"))  # noqa: E741
+    l = l.withColumn("chunk_no", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # noqa: E741
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", tx.strip_number(F.col("line")).alias("line"))))
+    return l.groupBy(*group, "chunk_no").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("chunk"))
 
 
-def split_numbered(body_lines: DataFrame, group: list[str]) -> DataFrame:
-    """Chunks that begin at lines with an item number, without the number."""
-    numbered = F.col("line").rlike("^\\d{1,3}\\.\\s*\\S")
-    return chunk(body_lines.where("line <> ''"), group, numbered).withColumn("chunk", tx.strip_number(F.col("chunk")))
+def marked(text: Column, pattern: str) -> Column:
+    """The parts of a text that begin at each match of ``pattern``; what stands before the first is lost."""
+    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0"), "\u0001")
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
 def split_periods(text: Column) -> Column:
-    """array<struct<start, end, chunk>>: the text after each year range; what stands before the first is lost."""
-    parts = F.filter(F.split(text, f"(?={PERIOD})"), lambda p: p.rlike(f"^{PERIOD}"))
+    """array<struct<start, end, chunk>>: the text after each year range; an open range ends at 0."""
     return F.transform(
-        parts,
+        marked(text, PERIOD),
         lambda p: F.struct(
             F.regexp_extract(p, "^(\\d{4})", 1).cast("int").alias("start"),
             F.coalesce(F.nullif(F.regexp_extract(p, "^\\d{4}\\s*-\\s*(\\d{4})", 1), F.lit("")).cast("int"), F.lit(0)).alias("end"),
@@ -215,9 +221,8 @@ def split_periods(text: Column) -> Column:
 
 
 def split_committees(text: Column) -> Column:
-    """Entries that begin with the committee phrase, without clusters of item numbers."""
-    parts = F.filter(F.split(text, f"(?={COMMITTEE})"), lambda p: F.startswith(p, F.lit(COMMITTEE)))
-    return F.transform(parts, lambda p: tx.strip(F.regexp_replace(p, "(\\d{1,3}\\.\\s+){2,}", "")))
+    """Entries that begin with the committee phrase, without what is left of item numbers."""
+    return F.transform(marked(text, COMMITTEE), lambda p: F.regexp_replace(p, "\\s(\\d{1,3}\\.\\s)+", " "))
 
 
 def split_events(text: Column) -> Column:
@@ -290,7 +295,7 @@ def levels_of(rows: list[str], norms: list[str]) -> list[str | None]:
     for r in rows:
         at += len(r) + 1
         ends.append(at)
-    opening = {next(k for k, e in enumerate(ends) if m.start() < e) for m in re.finditer(re.escape(COMMITTEE), joined)}
+    opening = {next(k for k, e in enumerate(ends) if m.start() < e) for m in re.finditer(COMMITTEE, joined)}
     out: list[str | None] = [None] * len(rows)
     current, pending, seen, empty, any_marker = "", None, 0, True, False
     for k, norm in enumerate(norms):

@@ -9,6 +9,8 @@ def test_sentences_keep_abbreviations(spark):
     t = "SILVA, J. A.; SOUZA, B. O título do texto. Revista, v. 3, n. 2, p. 5, 2020."
     got = spark.createDataFrame([(t,)], ["t"]).select(entries.sentences(F.col("t")), entries.title_authors_venue(F.col("t"))).first()
     assert got[0] == ["SILVA, J. A.; SOUZA, B. O título do texto.", "Revista, v. 3, n. 2, p. 5, 2020."]
+    for text, parts in (("DURANTE, F.. Titulo do livro. Fim", ["DURANTE, F.. Titulo do livro.", "Fim"]), ("obra, p.p. 3. Vol. 2. xv. y", ["obra, p.p. 3. Vol. 2. xv.", "y"]), ("ver Jr. depois", ["ver Jr.", "depois"])):
+        assert spark.createDataFrame([(text,)], ["t"]).select(entries.sentences(F.col("t"))).first()[0] == parts
     t = "SOUZA, BRUNO. O título. Revista, v. 3, 2020. ISSN: 2179-3786"
     e = spark.createDataFrame([(t,)], ["t"]).select(entries.entry(F.col("t")).alias("e")).first().e
     assert (e.authors, e.title, e.venue, e.year, e.issn) == ("SOUZA, BRUNO.", "O título.", "Revista, v. 3, 2020.", 2020, "2179-3786")
@@ -17,7 +19,7 @@ def test_sentences_keep_abbreviations(spark):
 def test_committee_and_event(spark):
     one = lambda c, t: spark.createDataFrame([(t,)], ["t"]).select(c(F.col("t"))).first()[0]
     got = one(entries.committee_entry, "Participação em banca de Ana Lima. Título, 2019. (Filosofia) Universidade X.")
-    assert tuple(got) == ("Ana Lima", "Universidade X", 2019)
+    assert (got.title, got.venue, got.year) == ("Ana Lima", "Universidade X", 2019)
     assert one(entries.event_title, "SILVA, J.. SEMANA DE X, 2020. (Congresso, Organização de evento)") == "SEMANA DE X"
 
 
