@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import text as tx
+from dossier.sources.shared import cut
 
 #: Periods in their order, and what a similar title must share.
 QUADS = ("2016_2019", "2017_2020", "2021_2024")
@@ -37,15 +38,32 @@ def lookups(ranks: DataFrame, area: str) -> tuple[DataFrame, DataFrame, DataFram
 def similar(venues: DataFrame, ranks: DataFrame, area: str) -> DataFrame:
     """entry_id and estrato of the best similar title: at least SHARED_WORDS words and SHARE of the shorter one.
 
-    Pairs come from an equi-join on words; of equal shares the earliest row counts.
+    Of equal shares the earliest row counts. Distinct titles and venues meet, not rows. What shares enough words
+    with the shorter of two shares one of its rarest, n + 1 less the least that must agree; so only those are join
+    keys on the shorter's side, and a frequent word never meets itself.
     """
-    titles = ranks.where((F.col("area") == area) & (F.col("estrato") != "") & (F.col("title") != "")).withColumn("w", _title_words(F.col("title"))).where(F.size("w") >= SHARED_WORDS)
-    mine = venues.withColumn("w", _title_words(tx.norm_title(F.col("venue")))).where(F.size("w") >= SHARED_WORDS)
-    left = mine.select("entry_id", "quad", F.size("w").alias("n"), F.explode("w").alias("word"))
-    right = titles.select("quad", "row_no", "estrato", F.size("w").alias("m"), F.explode("w").alias("word"))
-    met = left.join(right, ["quad", "word"]).groupBy("entry_id", "row_no", "quad", "n", "m").agg(F.count(F.lit(1)).alias("both"), F.first("estrato").alias("estrato"))
-    good = met.where((F.col("both") >= SHARED_WORDS) & (F.col("both") / F.least("n", "m") >= SHARE))
-    return good.groupBy("entry_id").agg(F.max_by("estrato", F.struct(F.col("both") / F.least("n", "m"), -F.col("row_no"))).alias("near"))
+    ranked = ranks.where((F.col("area") == area) & (F.col("estrato") != "") & (F.col("title") != ""))
+    titles = ranked.groupBy("quad", "title").agg(F.min_by("estrato", "row_no").alias("estrato"), F.min("row_no").alias("row_no"))
+    mine = venues.select("entry_id", "quad", tx.norm_title(F.col("venue")).alias("title"))
+    df = titles.select(F.explode(_title_words(F.col("title"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+    def with_words(rows: DataFrame) -> DataFrame:
+        each = rows.select("quad", "title", F.explode(_title_words(F.col("title"))).alias("word")).join(df, "word", "left")
+        o = each.groupBy("quad", "title").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("o"))
+        o = o.withColumns({"n": F.size("o"), "w": F.transform("o", lambda x: x["word"])}).where(F.col("n") >= SHARED_WORDS)
+        least = F.greatest(F.lit(SHARED_WORDS), F.ceil(F.round(F.col("n") * SHARE, 6))).cast("int")
+        return cut(o.select("quad", "title", "n", "w", F.slice("w", F.lit(1), F.col("n") - least + 1).alias("rare")))
+
+    left, right = with_words(mine.select("quad", "title").distinct()), with_words(titles)
+    side = lambda rows, keys, as_: rows.select("quad", F.explode(keys).alias("word"), F.struct("title", "n", "w").alias(as_))
+    shorter = side(left, "rare", "v").join(side(right, "w", "t"), ["quad", "word"]).where("v.n <= t.n")
+    longer = side(left, "w", "v").join(side(right, "rare", "t"), ["quad", "word"]).where("v.n > t.n")
+    met = shorter.unionByName(longer).select("quad", "v", "t").distinct()
+    both = F.size(F.array_intersect("v.w", "t.w"))
+    good = met.withColumn("both", both).withColumn("share", F.col("both") / F.least("v.n", "t.n")).where((F.col("both") >= SHARED_WORDS) & (F.col("share") >= SHARE))
+    good = good.select("quad", F.col("v.title").alias("venue"), F.col("t.title").alias("title"), "share").join(titles, ["quad", "title"])
+    best = good.groupBy("quad", "venue").agg(F.max_by("estrato", F.struct("share", -F.col("row_no"))).alias("near"))
+    return mine.withColumnRenamed("title", "venue").join(best, ["quad", "venue"]).select("entry_id", "near")
 
 
 def classify(entries: DataFrame, ranks: DataFrame, area: str) -> DataFrame:
@@ -64,3 +82,8 @@ def classify(entries: DataFrame, ranks: DataFrame, area: str) -> DataFrame:
 
 def best_of(table: DataFrame, by: list[str], order: list) -> DataFrame:
     return table.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def with_ranks(entries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``entries`` of a report with the rank of each article (null for other kinds, and for unranked ones)."""
+    return entries.join(ranked.select("entry_id", "estrato"), "entry_id", "left").withColumn("estrato", F.when(F.col("kind") == "Artigo", F.col("estrato")))

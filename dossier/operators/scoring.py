@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,12 +14,15 @@ from pyspark.sql import functions as F
 from dossier.functions import identifiers as ids
 from dossier.functions import text as tx
 from dossier.functions.binding import let
+from dossier.sources.shared import cut, stored
 
 # Thresholds and bonuses of the score.
 CONFIDENT, GUESS, COMBO, TIE = 0.90, 0.35, 0.92, 0.08
 TEXT_CAP, TEXT_CHARS = 0.97, 4000
 FOLDER_BONUS, ISSN_BONUS, YEAR_BONUS, YEAR_PENALTY, YEAR_GAP = 0.20, 0.15, 0.06, 0.80, 3
 PHRASE_WORDS = 10
+#: UTF-8 bytes of title words that one automaton takes; more titles are matched in blocks.
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -41,19 +47,60 @@ def unknown_weight(weights: DataFrame) -> Column:
     return F.ln(size.scalar()) + 0.5
 
 
-def phrase_length(title_words: Column, text: Column) -> Column:
-    """Words of the longest run of 2 to 10 title words that ``text`` contains, be it inside words.
+def _title_blocks(entries: DataFrame) -> Iterator[list[tuple]]:
+    """entry_id and title words, in blocks whose words stay near BLOCK_BYTES, one at a time on the driver."""
+    titles = stored(entries.select("entry_id", tx.words(tx.normalize(F.col("title"))).alias("words")).where(F.size("words") >= 2))
+    total = titles.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0
+    n = -(-total // BLOCK_BYTES) or 1
+    for k in range(n):
+        yield [(r.entry_id, r.words) for r in titles.where(F.pmod(F.xxhash64("entry_id"), F.lit(n)) == k).collect()]
 
-    Longer runs contain their first two words, so only starts whose pair of words is there are tried further.
-    """
 
-    def longest(w: Column) -> Column:
-        most = F.least(F.size(w), F.lit(PHRASE_WORDS))
-        pairs = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.contains(text, F.array_join(F.slice(w, i, F.lit(2)), " ")))
-        runs = lambda i: F.filter(F.sequence(F.lit(2), most), lambda n: (i + n - 1 <= F.size(w)) & F.contains(text, F.array_join(F.slice(w, i, n), " ")))
-        return F.coalesce(F.array_max(F.flatten(F.transform(pairs, runs))), F.lit(0))
+def phrase_matches(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """file_id, entry_id and longest: words of the longest run of 2 to PHRASE_WORDS title words that a file's text contains.
 
-    return F.when(F.size(title_words) >= 2, let(title_words, longest)).otherwise(0)
+    ``files``: file_id, cert (normalized). Text may contain a run inside longer words. Neighbouring words of all titles of
+    a block are the patterns of one automaton, which reads a text once; matches that go on from each other make longer
+    runs. Each block's pairs are its own, so blocks are a union.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*files.schema, *entries.schema]}
+
+    def matched(block: list[tuple]) -> DataFrame:
+        held = files.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            where: dict[str, list[tuple[int, int]]] = {}
+            for e, (_, words) in enumerate(held.value):
+                for i in range(len(words) - 1):
+                    where.setdefault(f"{words[i]} {words[i + 1]}", []).append((e, i))
+            machine = ahocorasick.Automaton()
+            for pair, at in where.items():
+                machine.add_word(pair, (len(pair), pair.index(" ") + 1, at))
+            if where:
+                machine.make_automaton()
+            for batch in batches:
+                rows = []
+                for file_id, cert in zip(batch.file_id, batch.cert, strict=True):
+                    rows += [(file_id, held.value[e][0], n) for e, n in (longest_runs(machine.iter(cert)) if where else {}).items()]
+                yield pd.DataFrame(rows, columns=["file_id", "entry_id", "longest"])
+
+        return files.select("file_id", "cert").mapInPandas(run, f"file_id {kinds['file_id']}, entry_id {kinds['entry_id']}, longest int")
+
+    return reduce(DataFrame.unionByName, map(matched, _title_blocks(entries)))
+
+
+def longest_runs(hits) -> dict[int, int]:
+    """By title the most words in a row, from its word pairs' matches in the order of their ends."""
+    runs: dict[tuple[int, int, int], int] = {}
+    best: dict[int, int] = {}
+    for end, (size, step, at) in hits:
+        start = end - size + 1
+        for e, i in at:
+            n = min(runs.get((e, i, start), 1) + 1, PHRASE_WORDS)
+            runs[e, i + 1, start + step] = n
+            if n > best.get(e, 0):
+                best[e] = n
+    return best
 
 
 def combine(phrase: Column, matched: Column, total: Column, coverage: Column, venue_coverage: Column, venue_matched: Column) -> Column:
@@ -70,49 +117,41 @@ def combine(phrase: Column, matched: Column, total: Column, coverage: Column, ve
     )
 
 
-def text_scores(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """file_id, entry_id and score of every pair whose text score is above 0.
+def text_scores(files: DataFrame, entries: DataFrame, least: float = 0.0) -> DataFrame:
+    """file_id, entry_id and score of every pair whose text score is above 0 and at least ``least``.
 
     ``files``: file_id, text. ``entries``: entry_id, title, venue. A score above 0 needs a meaningful word of the
     title or of the venue in the file, so pairs come from an inverted index, an equi-join on words, and not from
-    a product of the tables; word counts and weights are summed in the same aggregation. The phrase test needs
-    the file's text and the title: a file's candidates are gathered as one list (no longer than the entries),
-    which meets the text once.
+    a product of the tables; word counts and weights are summed in the same aggregation, in part where the file's
+    words are. Phrases are found by ``phrase_matches``; neither texts nor titles meet the pairs.
     """
     weights = idf(entries)
     side = lambda c, s: entries.select("entry_id", F.lit(s).alias("side"), F.explode(tx.meaningful(tx.normalize(F.col(c)))).alias("token"))
     tokens = side("title", "t").unionByName(side("venue", "v")).groupBy("entry_id", "side", "token").agg(F.count(F.lit(1)).alias("tf"))
     unknown = unknown_weight(weights)
-    tokens = tokens.join(weights.select("token", "weight"), "token", "left").withColumn("weight", F.coalesce("weight", unknown))
-    totals = tokens.groupBy("entry_id").agg(
-        F.sum(F.when(F.col("side") == "t", F.col("tf")).otherwise(0)).alias("total"),
-        F.sum(F.when(F.col("side") == "t", F.col("tf") * F.col("weight")).otherwise(0.0)).alias("mass"),
-        F.sum(F.when(F.col("side") == "v", F.col("tf") * F.col("weight")).otherwise(0.0)).alias("venue_mass"),
-    )
-    normal = files.select("file_id", tx.normalize(F.substring("text", 1, TEXT_CHARS)).alias("cert"))
+    tokens = stored(tokens.join(weights.select("token", "weight"), "token", "left").withColumn("weight", F.coalesce("weight", unknown)))
+    title, venue = F.col("side") == "t", F.col("side") == "v"
+    of = lambda when, value, none: F.sum(F.when(when, value).otherwise(none))
+    mass = F.col("tf") * F.col("weight")
+    totals = tokens.groupBy("entry_id").agg(of(title, F.col("tf"), 0).alias("total"), of(title, mass, 0.0).alias("mass"), of(venue, mass, 0.0).alias("venue_mass"))
+    normal = stored(files.select("file_id", tx.normalize(F.substring("text", 1, TEXT_CHARS)).alias("cert")))
     words = normal.select("file_id", F.explode(F.array_distinct(tx.meaningful(F.col("cert")))).alias("token"))
     met = words.join(tokens, "token").groupBy("file_id", "entry_id").agg(
-        F.sum(F.when(F.col("side") == "t", F.col("tf")).otherwise(0)).alias("matched"),
-        F.sum(F.when(F.col("side") == "t", F.col("tf") * F.col("weight")).otherwise(0.0)).alias("got"),
-        F.sum(F.when(F.col("side") == "v", F.col("tf")).otherwise(0)).alias("venue_matched"),
-        F.sum(F.when(F.col("side") == "v", F.col("tf") * F.col("weight")).otherwise(0.0)).alias("venue_got"),
+        of(title, F.col("tf"), 0).alias("matched"), of(title, mass, 0.0).alias("got"), of(venue, F.col("tf"), 0).alias("venue_matched"), of(venue, mass, 0.0).alias("venue_got")
     )
-    titles = entries.select("entry_id", tx.words(tx.normalize(F.col("title"))).alias("title_words")).join(totals, "entry_id")
+    titles = stored(entries.select("entry_id", F.size(tx.words(tx.normalize(F.col("title")))).alias("n_words")).join(totals, "entry_id"))
+    found = met.join(titles, "entry_id").join(phrase_matches(normal, entries), ["file_id", "entry_id"], "left")
     share = lambda got, mass: F.when(F.col(mass) > 0, F.col(got) / F.col(mass)).otherwise(0.0)
-    pairs = met.join(titles, "entry_id").select("file_id", "entry_id", "matched", "venue_matched", "total", "title_words", share("got", "mass").alias("coverage"), share("venue_got", "venue_mass").alias("venue_coverage"))
-    listed = pairs.groupBy("file_id").agg(F.collect_list(F.struct(*[c for c in pairs.columns if c != "file_id"])).alias("pairs"))
+    longest = F.when(F.col("matched") > 0, F.coalesce("longest", F.lit(0))).otherwise(0)
+    phrase = longest / F.least(F.greatest("n_words", F.lit(1)), F.lit(PHRASE_WORDS))
+    parts = found.select("file_id", "entry_id", "matched", "venue_matched", "total", share("got", "mass").alias("coverage"), share("venue_got", "venue_mass").alias("venue_coverage"), phrase.alias("phrase"))
+    score = combine(*map(F.col, ("phrase", "matched", "total", "coverage", "venue_coverage", "venue_matched")))
+    return parts.select("file_id", "entry_id", score.alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
 
-    def scored(cert: Column):
-        def one(p: Column) -> Column:
-            longest = F.when(p["matched"] > 0, phrase_length(p["title_words"], cert)).otherwise(0)
-            share = longest / F.least(F.greatest(F.size(p["title_words"]), F.lit(1)), F.lit(PHRASE_WORDS))
-            score = let(share, lambda phrase: combine(phrase, p["matched"], p["total"], p["coverage"], p["venue_coverage"], p["venue_matched"]))
-            return F.struct(p["entry_id"].alias("entry_id"), score.alias("score"))
 
-        return one
-
-    out = normal.join(listed, "file_id").select("file_id", F.explode(F.transform("pairs", scored(F.col("cert")))).alias("p"))
-    return out.select("file_id", "p.entry_id", "p.score").where("score > 0")
+def title_scores(files: DataFrame, titles: DataFrame, least: float = 0.0) -> DataFrame:
+    """``text_scores`` for ``titles`` (entry_id, title) alone, without venues."""
+    return text_scores(files, titles.withColumn("venue", F.lit("")), least)
 
 
 def year_adjusted(score: Column, years: Column, year: Column, end_year: Column, as_of_year: int) -> Column:
@@ -150,14 +189,15 @@ def file_features(files: DataFrame) -> DataFrame:
     )
 
 
-def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected: DataFrame | None = None) -> DataFrame:
+def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """file_id, entry_id, score and is_identifier of every admissible pair with a score above 0.
 
     ``files``: file_id, cert_key, text, years (array<int>), folder_kinds (array<string>). ``entries``: entry_id,
     title, venue, kind, portaria, edital, doi, issn (space-separated lists), year, end_year, hash_key. ``rejected``:
-    cert_key, hash_key. Candidates are pairs that share a word, or an identifier: four equi-joins.
+    cert_key, hash_key. Candidates are pairs that share a word, or an identifier: four equi-joins. Only pairs of at
+    least ``least`` come back.
     """
-    f = file_features(files)
+    f = stored(file_features(files).drop("text"))
     listed = lambda c: tx.words(F.col(c))
     e = entries.withColumns({"pairs_e": listed("portaria"), "calls_e": listed("edital"), "dois_e": listed("doi"), "issns_e": listed("issn")})
     key = lambda x: F.split_part(x, F.lit("/"), F.lit(1))
@@ -170,8 +210,7 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
     texts = text_scores(files, entries)
     found = by("pairs", "pairs_e", key).unionByName(by("calls", "calls_e")).unionByName(by("dois", "dois_e")).distinct()
     pairs = found.join(texts, ["file_id", "entry_id"], "full").withColumn("text_score", F.coalesce("score", F.lit(0.0))).drop("score")
-    side = f.drop("text")
-    pairs = pairs.join(side, "file_id").join(e.drop("title", "venue"), "entry_id").where(gated(F.col("kind"), F.col("has_pub_id"), F.col("is_ordinance")))
+    pairs = pairs.join(f, "file_id").join(e.drop("title", "venue"), "entry_id").where(gated(F.col("kind"), F.col("has_pub_id"), F.col("is_ordinance")))
     if rejected is not None:
         pairs = pairs.join(rejected.select("cert_key", "hash_key").distinct(), ["cert_key", "hash_key"], "left_anti")
     ordinance = ids.ordinance_score(F.col("pairs"), F.col("pairs_e"))
@@ -183,7 +222,7 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
     hinted = F.array_contains("folder_kinds", F.col("kind")) & (F.col("aged") > 0) if options.folder else F.lit(False)
     free = F.least(F.lit(TEXT_CAP), F.col("aged") + F.when(hinted, FOLDER_BONUS).otherwise(0.0))
     out = pairs.withColumn("aged", aged).withColumn("score", F.least(F.lit(1.0), F.when(F.col("is_identifier"), F.col("aged")).otherwise(free)))
-    return out.where("score > 0").select("file_id", "entry_id", "score", "is_identifier")
+    return out.where((F.col("score") > 0) & (F.col("score") >= least)).select("file_id", "entry_id", "score", "is_identifier")
 
 
 def ranked(pairs: DataFrame, order: str = "entry_id") -> DataFrame:
@@ -202,38 +241,54 @@ def combos(rank_table: DataFrame, chosen: DataFrame) -> DataFrame:
     return first.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "entry_id"))), lambda s: s["entry_id"]).alias("combos"))
 
 
-def assign(rank_table: DataFrame, profile: str | None = None) -> DataFrame:
-    """file_id, entry_id and score of each file's pick: near ties spread over entries that nothing covers yet.
+def review(rank_table: DataFrame, files: DataFrame) -> DataFrame:
+    """One row for each of ``files`` (file_id, has_text) that nobody has linked: its best entry, score, band, combos and no_likely_entry.
 
-    Files are taken in order of file_id. Only files whose two best are within TIE, the second at least GUESS, can
-    change the coverage that others see; the rest is picked by the ranking alone. The sequential pass runs in
-    pandas over those few, one group for each ``profile`` (one in all without such a column).
+    The score is 0 without a candidate; the entry is suggested from GUESS on; a file with text and no such entry has no
+    likely one. Files are not spread over entries here. Order them by score, best first, to show them.
     """
-    two = rank_table.where("rank <= 2").groupBy("file_id", *([profile] if profile else [])).agg(
+    best = rank_table.where("rank = 1").select("file_id", "entry_id", "score")
+    out = files.join(best, "file_id", "left").join(combos(rank_table, best), "file_id", "left")
+    score = F.coalesce("score", F.lit(0.0))
+    suggested = F.when(score >= GUESS, F.col("entry_id"))
+    return out.select("file_id", suggested.alias("entry_id"), score.alias("score"), band(score).alias("band"), F.coalesce("combos", F.array()).alias("combos"), (F.col("has_text") & (score < GUESS)).alias("no_likely_entry"))
+
+
+def scan_counters(reviewed: DataFrame) -> DataFrame:
+    """One row: files, suggested, confident and unlikely ones of a scan."""
+    n = lambda c: F.count_if(c)
+    return reviewed.agg(F.count(F.lit(1)).alias("n_files"), n(F.col("entry_id").isNotNull()).alias("n_suggested"), n(F.col("band") == "confident").alias("n_confident"), n(F.col("no_likely_entry")).alias("n_unlikely"))
+
+
+def assign(rank_table: DataFrame, profile: str = "profile_id") -> DataFrame:
+    """profile, file_id, entry_id and score of each file's pick: near ties spread over entries that nothing covers yet.
+
+    Files of a profile are taken in order of file_id. Only files whose two best are within TIE, the second at least
+    GUESS, and whose best entry two or more files share while the second has none, can move or be kept from moving;
+    the rest is picked by the ranking alone. The sequential pass runs in pandas over those few, a group for each profile.
+    """
+    two = rank_table.where("rank <= 2").groupBy(profile, "file_id").agg(
         F.max_by("entry_id", -F.col("rank")).alias("top"), F.max("score").alias("top_score"),
         F.max(F.when(F.col("rank") == 2, F.col("entry_id"))).alias("second"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second_score"),
     ).where(F.col("top_score") >= GUESS)
-    key = [profile] if profile else []
-    cover = two.groupBy(*key, "top").agg(F.count(F.lit(1)).alias("covered"))
+    two = cut(two)
+    covered = two.groupBy(profile, F.col("top").alias("entry")).agg(F.count(F.lit(1)).alias("covered"))
     close = two.where((F.col("top_score") - F.col("second_score") <= TIE) & (F.col("second_score") >= GUESS))
-    covered = cover.select(*key, F.col("top").alias("entry"), "covered")
-    tied = close.join(covered.withColumnRenamed("entry", "top").withColumnRenamed("covered", "cover_top"), [*key, "top"], "left").join(
-        covered.withColumnRenamed("entry", "second").withColumnRenamed("covered", "cover_second"), [*key, "second"], "left"
-    )
-    tied = tied.withColumn("_group", F.col(profile).cast("string") if profile else F.lit("")).fillna(0, ["cover_top", "cover_second"])
+    of = lambda c: covered.select(profile, F.col("entry").alias(c), F.col("covered").alias(f"cover_{c}"))
+    tied = close.join(of("top"), [profile, "top"], "left").join(of("second"), [profile, "second"], "left").fillna(0, ["cover_top", "cover_second"])
+    tied = tied.where("cover_top >= 2 and cover_second = 0")
 
     def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        held = dict(zip(rows.top, rows.cover_top, strict=True)) | {s: c for s, c in zip(rows.second, rows.cover_second, strict=True)}
-        held |= dict(zip(rows.top, rows.cover_top, strict=True))
+        held = dict(zip(rows.second, rows.cover_second, strict=True)) | dict(zip(rows.top, rows.cover_top, strict=True))
         picks = []
         for r in rows.sort_values("file_id").itertuples():
             if held[r.top] >= 2 and held[r.second] == 0:
                 held[r.top] -= 1
                 held[r.second] += 1
-                picks.append((r.file_id, r.second, r.second_score))
-        return pd.DataFrame(picks, columns=["file_id", "entry_id", "score"])
+                picks.append((getattr(r, profile), r.file_id, r.second, r.second_score))
+        return pd.DataFrame(picks, columns=[profile, "file_id", "entry_id", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rank_table.schema}
-    moved = tied.groupBy("_group").applyInPandas(spread, f"file_id {kinds['file_id']}, entry_id {kinds['entry_id']}, score double")
-    stay = two.join(moved.select("file_id"), "file_id", "left_anti").select("file_id", F.col("top").alias("entry_id"), F.col("top_score").alias("score"))
+    moved = cut(tied.groupBy(profile).applyInPandas(spread, f"{profile} {kinds[profile]}, file_id {kinds['file_id']}, entry_id {kinds['entry_id']}, score double"))
+    stay = two.join(moved.select(profile, "file_id"), [profile, "file_id"], "left_anti").select(profile, "file_id", F.col("top").alias("entry_id"), F.col("top_score").alias("score"))
     return stay.unionByName(moved)

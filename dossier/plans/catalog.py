@@ -7,15 +7,17 @@ are built in the query from columns, by one expression that both sides read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import identifiers as ids
 from dossier.functions import text as tx
-from dossier.operators import dedupe, links, ranking, report, scoring, segment
+from dossier.operators import dedupe, links, parse, ranking, report, scoring, segment
 from dossier.sources import files as src
+from dossier.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,9 +209,14 @@ SCORES_SQL = IDF_SQL + f""", f as (select doc_id as file_id, cert, string_split(
  scores as (select file_id, entry_id, least(1, case when ts < 0.4 and vcov >= 0.6 and vmatched >= 2 then vcov * 0.8 when vcov >= 0.5 and ts >= 0.3 then least(1, ts + 0.1) else ts end) as score from t)"""
 
 
-@query(SCORES_SQL + " select file_id, entry_id, round(score, 6) as score from scores where score > 0")
+def _scores(spark, sf, least: float = 0.0) -> DataFrame:
+    return scoring.text_scores(_files(spark, sf), _entries(spark, sf), least).withColumn("score", F.round("score", 6))
+
+
+@query(SCORES_SQL + f" select file_id, entry_id, round(score, 6) as score from scores where score >= {scoring.GUESS}")
 def text_scores(spark, sf):
-    return scoring.text_scores(_files(spark, sf), _entries(spark, sf)).withColumn("score", F.round("score", 6))
+    """Pairs of all files and entries that may be shown as a guess."""
+    return _scores(spark, sf, scoring.GUESS)
 
 
 RANKED_SQL = SCORES_SQL + ", r as (select file_id, entry_id, round(score, 6) as score, row_number() over (partition by file_id order by round(score, 6) desc, entry_id) as rank from scores where score > 0)"
@@ -218,27 +225,62 @@ BAND_SQL = "case when score >= 0.9 then 'confident' when score >= 0.35 then 'gue
 
 @query(RANKED_SQL + f" select file_id, entry_id, score, {BAND_SQL} as band from r where rank = 1")
 def best_entry(spark, sf):
-    r = scoring.ranked(text_scores(spark, sf)).where("rank = 1")
+    r = scoring.ranked(_scores(spark, sf)).where("rank = 1")
     return r.select("file_id", "entry_id", "score", scoring.band(F.col("score")).alias("band"))
 
 
 @query(RANKED_SQL + " select file_id, entry_id, score, rank from r where rank <= 3")
 def top_three(spark, sf):
-    return scoring.ranked(text_scores(spark, sf)).where("rank <= 3").select("file_id", "entry_id", "score", F.col("rank").cast("long").alias("rank"))
+    return scoring.ranked(_scores(spark, sf)).where("rank <= 3").select("file_id", "entry_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+#: Each entry three times, as an entry repeated in other sections is.
+TRIPLED_SQL = RANKED_SQL.replace("from benchmark", "from b3").replace("with w as", "with b3 as (select item_id * 3 + k as item_id, text from benchmark, range(0, 3) r(k)), w as", 1)
+COMBO_SQL = TRIPLED_SQL + """, o as (select file_id, entry_id, row_number() over (partition by file_id order by rank) as k from r where rank > 1 and score >= 0.92),
+ c as (select file_id, array_to_string(list(entry_id order by k), ',') as combos from o where k <= 3 group by 1)"""
+
+
+def _tripled(spark, sf) -> DataFrame:
+    e = _entries(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    return scoring.ranked(scoring.text_scores(_files(spark, sf), e.withColumn("entry_id", F.col("entry_id") * 3 + F.col("k")).drop("k")).withColumn("score", F.round("score", 6)))
+
 
+def _combo_list(combos: str) -> Column:
+    return F.array_join(F.transform(combos, lambda x: x.cast("string")), ",")
 
-@query(RANKED_SQL + """, o as (select file_id, entry_id, row_number() over (partition by file_id order by rank) as k from r where rank > 1 and score >= 0.92)
- select file_id, array_to_string(list(entry_id order by k), ',') as combos from o where k <= 3 group by 1""")
+
+@query(COMBO_SQL + " select * from c")
 def combo_entries(spark, sf):
-    r = scoring.ranked(text_scores(spark, sf))
-    c = scoring.combos(r, r.where("rank = 1"))
-    return c.select("file_id", F.array_join(F.transform("combos", lambda x: x.cast("string")), ",").alias("combos"))
+    r = _tripled(spark, sf)
+    return scoring.combos(r, r.where("rank = 1")).select("file_id", _combo_list("combos").alias("combos"))
+
+
+REVIEW_SQL = COMBO_SQL + """, v as (select doc_id as file_id, case when coalesce(score, 0) >= 0.35 then entry_id end as entry_id, coalesce(score, 0) as score,
+ case when coalesce(score, 0) >= 0.9 then 'confident' when coalesce(score, 0) >= 0.35 then 'guess' else 'none' end as band, coalesce(combos, '') as combos, coalesce(text, '') <> '' and coalesce(score, 0) < 0.35 as no_likely_entry
+ from documents left join (select * from r where rank = 1) x on x.file_id = doc_id left join c on c.file_id = doc_id)"""
+
+
+def _review(spark, sf) -> DataFrame:
+    files = _files(spark, sf).select("file_id", (F.col("text") != "").alias("has_text"))
+    return scoring.review(_tripled(spark, sf), files)
+
+
+@query(REVIEW_SQL + " select * from v")
+def limbo_review(spark, sf):
+    """Files without an entry, matched again."""
+    return _review(spark, sf).withColumn("combos", _combo_list("combos"))
+
+
+@query(REVIEW_SQL + " select count(*) as n_files, count(entry_id) as n_suggested, count(*) filter (band = 'confident') as n_confident, count(*) filter (no_likely_entry) as n_unlikely from v")
+def scan_counters(spark, sf):
+    return scoring.scan_counters(_review(spark, sf))
 
 
 @query()
 def global_assignment(spark, sf):
-    """Sequential in its near ties; held against a plain loop in the tests."""
-    return scoring.assign(scoring.ranked(text_scores(spark, sf)))
+    """Sequential in its near ties, for each source as a profile; held against a plain loop in the tests."""
+    profile = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("")).alias("profile_id"))
+    return scoring.assign(scoring.ranked(_scores(spark, sf)).join(profile, "file_id"))
 
 
 YEARS = "array(year(o_orderdate), year(o_orderdate) - cast(o_orderkey % 9 as int))"
@@ -254,14 +296,15 @@ def year_adjustment(spark, sf):
     return o.select("o_orderkey", F.round(scoring.year_adjusted(F.col("score"), F.col("years"), F.col("year"), F.col("e"), 1997), 6).alias("score"))
 
 
-@query(f"""with a as (select o_orderkey as k, unnest({PAIRS_SQL}) as c from (select o_orderkey, {IDENTIFIED} as t from orders where o_orderkey % 2 = 0)),
- b as (select o_orderkey as k, unnest({PAIRS_SQL}) as c from (select o_orderkey, {IDENTIFIED} as t from orders where o_orderkey % 2 = 1))
+@query(f"""with a as (select o_orderkey as k, unnest({PAIRS_SQL}) as c from (select o_orderkey, {IDENTIFIED} as t from orders where o_orderkey % 100 = 0)),
+ b as (select o_orderkey as k, unnest({PAIRS_SQL}) as c from (select o_orderkey, {IDENTIFIED} as t from orders))
  select a.k as file_key, b.k as entry_key, max(case when split_part(a.c, '/', 2) = '' or split_part(b.c, '/', 2) = '' then 0.95 when split_part(a.c, '/', 2) = split_part(b.c, '/', 2) then 0.99 else 0 end)::double as score
  from a join b on split_part(a.c, '/', 1) = split_part(b.c, '/', 1) group by 1, 2""")
 def ordinance_matches(spark, sf):
+    """Searches: the orders whose number is divisible by 100, against all orders."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), ids.ordinance_pairs(F.expr(IDENTIFIED)).alias("p"))
-    side = lambda r, key, name: o.where(F.col("k") % 2 == r).select(F.col("k").alias(key), F.col("p").alias(name), F.explode("p").alias("x")).withColumn("n", F.split_part("x", F.lit("/"), F.lit(1))).drop("x")
-    m = side(0, "file_key", "fp").join(side(1, "entry_key", "ep"), "n")
+    side = lambda rows, key, name: rows.select(F.col("k").alias(key), F.col("p").alias(name), F.explode("p").alias("x")).withColumn("n", F.split_part("x", F.lit("/"), F.lit(1))).drop("x")
+    m = side(o.where("k % 100 = 0"), "file_key", "fp").join(side(o, "entry_key", "ep"), "n")
     return m.select("file_key", "entry_key", ids.ordinance_score(F.col("fp"), F.col("ep")).alias("score")).distinct()
 
 
@@ -283,7 +326,7 @@ def pair_tables(spark, sf):
         "case when item_id % 2 = 0 then cast(100 + item_id as string) || '/' || cast(2020 + item_id % 4 as string) else cast(100 + item_id as string) end as portaria", "cast(item_id + 1 as string) || '/2021' as edital",
         "'10.1000/x' || cast(item_id as string) as doi", "'1234-' || lpad(cast(item_id as string), 4, '0') as issn", "cast(2012 + item_id % 10 as int) as year", "cast(case when item_id % 3 = 0 then 2021 else 0 end as int) as end_year", "'h' || cast(item_id as string) as hash_key",
     )
-    r = d.where("doc_id % 7 = 0").selectExpr("'f' || cast(doc_id as string) as cert_key", "'h' || cast(doc_id % 40 as string) as hash_key")
+    r = d.selectExpr("'f' || cast(doc_id as string) as cert_key", "'h' || cast(doc_id % 40 as string) as hash_key")
     return f, e, r
 
 
@@ -291,21 +334,27 @@ def pair_tables(spark, sf):
 def pair_scores(spark, sf):
     """All rules of the pair score; held against a plain loop over all pairs in the tests."""
     f, e, r = pair_tables(spark, sf)
-    return scoring.pair_scores(f, e, scoring.Options(as_of_year=2024), r).withColumn("score", F.round("score", 6))
+    return scoring.pair_scores(f, e, scoring.Options(as_of_year=2024), r, scoring.GUESS).withColumn("score", F.round("score", 6))
 
 
 # ---- links --------------------------------------------------------------------------------------------------------
 
 
+def _links(spark, sf) -> DataFrame:
+    """Line items as files, confirmed if shipped; those returned (flag R) are linked to nothing."""
+    entry = F.when(F.col("l_returnflag") != "R", F.col("l_orderkey"))
+    return table(spark, sf, "lineitem").withColumn("entry_id", entry).withColumn("is_confirmed", F.col("l_linestatus") == "F")
+
+
 def _status(spark, sf) -> DataFrame:
-    """Orders as entries of the sections (market segments) of nations; line items as links, confirmed if shipped."""
+    """Orders as entries of the sections (market segments) of nations, with the status that their files give them."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     e = o.select(F.col("o_orderkey").alias("entry_id"), F.col("c_nationkey").alias("profile"), F.col("c_mktsegment").alias("section"))
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 2 and l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("entry_id"), (F.col("l_linestatus") == "F").alias("is_confirmed"))
+    li = _links(spark, sf).select("entry_id", "is_confirmed")
     return links.entry_status(e, li)
 
 
-STATUS_SQL = """with n as (select l_orderkey as entry_id, count(*) as n_links, count(*) filter (l_linestatus = 'F') as n_confirmed from lineitem where l_linenumber <= 2 and l_orderkey % 3 > 0 group by 1),
+STATUS_SQL = """with n as (select l_orderkey as entry_id, count(*) as n_links, count(*) filter (l_linestatus = 'F') as n_confirmed from lineitem where l_returnflag <> 'R' group by 1),
  s as (select o_orderkey as entry_id, c_nationkey as profile, c_mktsegment as section, coalesce(n_links, 0) as n_links, coalesce(n_confirmed, 0) as n_confirmed,
  case when coalesce(n_confirmed, 0) > 0 then 'confirmed' when coalesce(n_links, 0) > 0 then 'suggested' else 'none' end as status from orders join customer on o_custkey = c_custkey left join n on n.entry_id = o_orderkey)"""
 
@@ -326,43 +375,47 @@ def pending_sections(spark, sf):
     return links.pending(_status(spark, sf)).groupBy("profile", "section").agg(F.count(F.lit(1)).alias("n_pending"))
 
 
-@query("select o_orderkey as entry_id, coalesce(max(l_linenumber), -1) + 1 as next_order from orders left join lineitem on l_orderkey = o_orderkey and l_orderkey % 3 > 0 group by 1")
+@query("select o_orderkey as entry_id, coalesce(max(l_linenumber), -1) + 1 as next_order from orders left join lineitem on l_orderkey = o_orderkey and l_returnflag <> 'R' group by 1")
 def next_order(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("entry_id"), F.col("l_linenumber").alias("cert_order"))
+    li = _links(spark, sf).select("entry_id", F.col("l_linenumber").alias("cert_order"))
     return links.next_order(table(spark, sf, "orders").select(F.col("o_orderkey").alias("entry_id")), li)
 
 
-EVENTS = "case event_type when 'purchase' then 'confirm' when 'click' then 'suggest' when 'view' then 'skip' else 'undo' end"
+EVENTS = "case event_type when 'purchase' then 'confirm' when 'click' then 'suggest' when 'view' then 'skip' when 'signup' then 'combo' else case when event_id % 2 = 0 then 'undo' else 'delete' end end"
 
 
 def _events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").selectExpr("user_id as file_id", "event_id as seq", f"{EVENTS} as kind", "event_id % 50 as entry_id", "case when event_id % 3 > 0 then (event_id + event_id % 2) % 50 end as suggested_id")
+    return table(spark, sf, "events").selectExpr("user_id as file_id", "event_id as seq", f"{EVENTS} as kind", "event_id % 5 as entry_id", "case when event_id % 3 > 0 then (event_id + event_id % 2) % 5 end as suggested_id")
 
 
-@query(f"""select file_id, case when kind in ('confirm', 'suggest', 'combo') then entry_id end as entry_id, kind = 'confirm' as is_confirmed
- from (select user_id as file_id, {EVENTS} as kind, event_id % 50 as entry_id, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1""")
+@query(f"""with e as (select user_id as file_id, event_id as seq, {EVENTS} as kind, event_id % 5 as entry_id from events),
+ m as (select file_id, max(seq) filter (kind <> 'delete') as at, arg_max(kind, seq) filter (kind <> 'delete') as kind, arg_max(entry_id, seq) filter (kind <> 'delete') as entry_id from e where kind <> 'combo' group by 1),
+ p as (select file_id, entry_id, arg_max(kind, seq) as kind, max(seq) as at from e where kind in ('combo', 'delete') group by 1, 2),
+ x as (select m.file_id, case when m.kind in ('confirm', 'suggest') and p.file_id is null then m.entry_id end as entry_id, coalesce(m.kind = 'confirm', false) and p.file_id is null as is_confirmed
+  from m left join p on p.file_id = m.file_id and p.entry_id = m.entry_id and p.kind = 'delete' and p.at > m.at and m.kind in ('confirm', 'suggest'))
+ select * from x union all select p.file_id, p.entry_id, true from p where p.kind = 'combo' and not exists (select 1 from x where x.file_id = p.file_id and x.entry_id = p.entry_id)""")
 def link_state(spark, sf):
     return links.state(_events(spark, sf))
 
 
-@query(f"""select distinct file_id, 'h' || cast(suggested_id as string) as hash_key from (select user_id as file_id, {EVENTS} as kind, event_id % 50 as entry_id, case when event_id % 3 > 0 then (event_id + event_id % 2) % 50 end as suggested_id from events)
+@query(f"""select distinct file_id, 'h' || cast(suggested_id as string) as hash_key from (select user_id as file_id, {EVENTS} as kind, event_id % 5 as entry_id, case when event_id % 3 > 0 then (event_id + event_id % 2) % 5 end as suggested_id from events)
  where suggested_id is not null and (kind = 'skip' or (kind = 'confirm' and entry_id <> suggested_id))""")
 def learned_rejections(spark, sf):
     e = spark.range(50).select(F.col("id").alias("entry_id"), F.expr("'h' || cast(id as string)").alias("hash_key"))
     return links.rejections(_events(spark, sf), e)
 
 
-@query("""select o_orderkey as file_id, 'k' || cast(o_custkey as string) as hash_key, m as entry_id from orders left join (select c_custkey + 5 as k, min(c_custkey) as m from customer where c_custkey % 2 = 0 group by 1) on k = o_custkey""")
+@query("""select o_orderkey as file_id, 'k' || cast(o_custkey as string) as hash_key, m as entry_id from orders left join (select c_custkey // 2 * 3 as k, min(c_custkey) as m from customer group by 1) on k = o_custkey""")
 def relink_by_hash(spark, sf):
     f = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.expr("'k' || cast(o_custkey as string)").alias("hash_key"))
-    e = table(spark, sf, "customer").where("c_custkey % 2 = 0").selectExpr("'k' || cast(c_custkey + 5 as string) as hash_key", "0 as section_order", "0 as entry_order", "c_custkey as entry_id")
+    e = table(spark, sf, "customer").selectExpr("'k' || cast(c_custkey div 2 * 3 as string) as hash_key", "0 as section_order", "0 as entry_order", "c_custkey as entry_id")
     return links.relink(f, e)
 
 
 @query(RANKED_SQL + " select doc_id as file_id, case when doc_id % 4 = 0 then doc_id % 10 else entry_id end as entry_id from documents left join (select * from r where rank = 1 and score >= 0.9) on file_id = doc_id")
 def relink_fallback(spark, sf):
     left = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.expr("case when doc_id % 4 = 0 then doc_id % 10 end").alias("entry_id"))
-    return links.relink_fallback(left, scoring.ranked(text_scores(spark, sf)))
+    return links.relink_fallback(left, scoring.ranked(_scores(spark, sf)))
 
 
 @query("select l_orderkey, l_partkey, l_linenumber, row_number() over (partition by l_partkey order by l_linenumber, l_shipdate, l_orderkey) - 1 as cert_order from lineitem")
@@ -371,10 +424,10 @@ def reorder_links(spark, sf):
     return links.reorder(li).select(F.col("file_id").alias("l_orderkey"), F.col("entry_id").alias("l_partkey"), "l_linenumber", F.col("cert_order").cast("long").alias("cert_order"))
 
 
-@query("select p_name || cast(p_partkey % 100 as string) as path from part where p_name || cast(p_partkey % 100 as string) not in (select p_name || cast(p_partkey % 100 as string) from part where p_partkey % 3 = 0)")
+@query("select p_name || cast(p_partkey % 100 as string) as path from part where p_name || cast(p_partkey % 100 as string) not in (select p_name || cast(p_partkey % 100 as string) from part where p_size < 20)")
 def incremental_files(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_name || cast(p_partkey % 100 as string) as path", "p_partkey")
-    return links.incremental(p.select("path"), p.where("p_partkey % 3 = 0"))
+    return links.incremental(p.select("path"), p.where("p_size < 20"))
 
 
 # ---- duplicates ---------------------------------------------------------------------------------------------------
@@ -402,8 +455,8 @@ def dedupe_truncated(spark, sf):
 
 @query()
 def merge_section_bodies(spark, sf):
-    """Sequential in the bodies of a section; held against a plain loop in the tests."""
-    e = _raw_entries(spark, sf).where("sec_no < 3")
+    """Turns as the bodies of conversations, of any number; sequential, and held against a plain loop in the tests."""
+    e = _raw_entries(spark, sf).withColumn("section_id", F.floor(F.col("entry_id") / 1000))
     return dedupe.merge_bodies(e, ["section_id"]).select("section_id", "entry_id", F.col("entry_order").cast("long").alias("entry_order"))
 
 
@@ -428,14 +481,14 @@ def rank_areas(spark, sf):
 
 
 def _articles(spark, sf) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey % 5 = 0")
-    return p.selectExpr("p_partkey as entry_id", "upper(regexp_replace(p_name, '[^A-Za-z0-9 ]', '')) || ' ' || upper(substring(p_type, 1, 20)) || case when p_partkey % 10 = 0 then ' EXTRA, v. 3' else '' end as venue", "case when p_partkey % 15 = 0 then '1' || lpad(cast(p_partkey % 500 as string), 7, '0') else '' end as issn", "cast(case p_partkey % 3 when 0 then 2016 when 1 then 2018 else 2022 end as int) as year")
+    p = table(spark, sf, "part")
+    return p.selectExpr("p_partkey as entry_id", "upper(regexp_replace(p_name, '[^A-Za-z0-9 ]', '')) || ' ' || upper(substring(p_type, 1, 20)) || case p_partkey % 5 when 0 then ' EXTRA, v. 3' when 1 then ' NOVA SERIE' else '' end as venue", "case when p_partkey % 7 = 0 then '1' || lpad(cast(p_partkey % 500 as string), 7, '0') else '' end as issn", "cast(case p_partkey % 3 when 0 then 2016 when 1 then 2018 else 2022 end as int) as year")
 
 
 @query("with " + RANKS_SQL + """, m as (select * from r where area = 'FILOSOFIA' and estrato <> ''), bi as (select quad, issn, arg_max(estrato, row_no) as e from m where issn <> '' group by 1, 2), bt as (select quad, title, arg_max(estrato, row_no) as e from m where title <> '' group by 1, 2),
  c1 as (select quad, qn, title, arg_max(issn, row_no) as issn from r where title <> '' and issn <> '' group by 1, 2, 3), cr as (select title, arg_min(issn, qn) as issn from c1 group by 1),
- a as (select p_partkey as entry_id, upper(regexp_replace(p_name, '[^A-Za-z0-9 ]', '', 'g')) || ' ' || upper(left(p_type, 20)) || case when p_partkey % 10 = 0 then ' EXTRA, v. 3' else '' end as venue,
-  case when p_partkey % 15 = 0 then '1' || lpad(cast(p_partkey % 500 as string), 7, '0') else '' end as issn, ['2016_2019', '2017_2020', '2021_2024'][p_partkey % 3 + 1] as quad from part where p_partkey % 5 = 0),
+ a as (select p_partkey as entry_id, upper(regexp_replace(p_name, '[^A-Za-z0-9 ]', '', 'g')) || ' ' || upper(left(p_type, 20)) || case p_partkey % 5 when 0 then ' EXTRA, v. 3' when 1 then ' NOVA SERIE' else '' end as venue,
+  case when p_partkey % 7 = 0 then '1' || lpad(cast(p_partkey % 500 as string), 7, '0') else '' end as issn, ['2016_2019', '2017_2020', '2021_2024'][p_partkey % 3 + 1] as quad from part),
  n as (select entry_id, quad, issn, trim(regexp_replace(venue, '(?is)[.,]?\\s*(v\\.|n\\.|p\\.|vol\\.|\\bv\\s*\\d).*$', '')) as title, list_distinct(list_filter(string_split(trim(regexp_replace(venue, '[^A-Z0-9 ]', '', 'g')), ' '), lambda w: length(w) >= 3)) as vw from (select * replace (upper(venue) as venue) from a)),
  mw as (select quad, row_no, estrato, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) >= 3)) as tw from m where title <> ''),
  z as (select entry_id, arg_max(estrato, (len(list_intersect(vw, tw)) / least(len(vw), len(tw))::double) * 1e9 - row_no) as e from n join mw using (quad) where len(vw) >= 2 and len(tw) >= 2 and len(list_intersect(vw, tw)) >= 2 and len(list_intersect(vw, tw)) / least(len(vw), len(tw))::double >= 0.8 group by 1)
@@ -448,17 +501,16 @@ def rank_cascade(spark, sf):
 # ---- segmentation -------------------------------------------------------------------------------------------------
 
 HEADS = ["Projetos de", "pesquisa", "Formação complementar", "Livros publicados (completo)", "Orientações e supervisões concluídas", "Iniciação científica", "Bancas", "Organização de evento)", "2019 - Atual Universidade", "", "Currículo Lattes", "01/02/2023, 10:11 x"]
-CV = f"array_join(transform(sequence(0, 40), k -> case when (doc_id + k * 7) % 3 = 0 then element_at(array({', '.join(repr(h) for h in HEADS)}), cast((doc_id * 5 + k * 11) % {len(HEADS)} + 1 as int)) else substring(text, cast(k * 20 + 1 as int), 20) end), '\\n')"
+CV = f"array_join(transform(split(text, '\\n'), (x, k) -> case when (doc_id + k * 7) % 3 = 0 then concat(element_at(array({', '.join(repr(h) for h in HEADS)}), cast((doc_id * 5 + k * 11) % {len(HEADS)} + 1 as int)), '\\n', x) else x end), '\\n')"
 
 
 def _cv(spark, sf) -> DataFrame:
-    """Documents in whose place stand lines cut from their texts, with headers and marks between."""
-    d = table(spark, sf, "documents").withColumn("text", F.translate("text", "\n", " "))
-    return d.select("doc_id", F.expr(CV).alias("text"))
+    """Whole documents, with headers and marks before some of their lines."""
+    return table(spark, sf, "documents").select("doc_id", F.expr(CV).alias("text"))
 
 
-CV_SQL = f"""d as (select doc_id, unnest(range(0, 41)) as line_no, replace(text, chr(10), ' ') as t from documents),
- l as (select doc_id, line_no, regexp_replace(case when (doc_id + line_no * 7) % 3 = 0 then {sql_list(HEADS)}[(doc_id * 5 + line_no * 11) % {len(HEADS)} + 1] else substr(t, line_no * 20 + 1, 20) end, '^\\s+|\\s+$', '', 'g') as line from d)"""
+CV_SQL = f"""d as (select doc_id, string_split(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: case when (doc_id + (i - 1) * 7) % 3 = 0 then {sql_list(HEADS)}[(doc_id * 5 + (i - 1) * 11) % {len(HEADS)} + 1] || chr(10) || x else x end), chr(10)), chr(10)) as ls from documents),
+ l as (select doc_id, unnest(range(0, len(ls))) as line_no, regexp_replace(unnest(ls), '^\\s+|\\s+$', '', 'g') as line from d)"""
 NOISE_SQL = "(contains(line, 'wwws.cnpq.br') or starts_with(line, 'impcv.trata') or regexp_matches(line, '^\\d{2}/\\d{2}/\\d{4},?\\s*\\d{1,2}:\\d{2}') or list_contains(" + sql_list(segment.NOISE_LINES) + ", line))"
 
 
@@ -487,6 +539,19 @@ def section_assign(spark, sf):
     return segment.sections(_cv(spark, sf)).select("doc_id", F.col("sec_no").cast("long").alias("sec_no"), "title", "mode", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
+@query()
+def cv_entries(spark, sf):
+    """Entries of whole texts, each section read in its own way; held against examples and plain loops in the tests."""
+    return parse.cv_entries(_cv(spark, sf))
+
+
+@query(f"""with {CV_SQL}, n as (select doc_id, line_no, line, lower(line) as low from l),
+ k as (select *, length(line) between 5 and 70 and not regexp_matches(line, 'http|[:@/]|\\d') and not regexp_matches(low, 'curríc|curric|anotou|ver artigos|visualizar|endereço') and len(list_filter(string_split(line, ' '), lambda x: length(x) >= 2)) >= 2 as looks from n)
+ select doc_id, coalesce(arg_min(line, line_no) filter (looks), 'Currículo Lattes') as name from k group by 1""")
+def owner_names(spark, sf):
+    return segment.owner_name(_cv(spark, sf))
+
+
 NUMBERED = "case when o_orderkey % 2 = 1 then cast(o_orderkey % 90 + 1 as string) || '. ' else '' end || 'item ' || cast(o_custkey as string)"
 
 
@@ -496,8 +561,9 @@ def _lines_of(spark, sf, line: str) -> DataFrame:
 
 
 @query(f"""with l as (select o_custkey % 97 as body, o_orderkey as line_no, {NUMBERED} as line from orders),
- c as (select *, sum(case when regexp_matches(line, '^\\d{{1,3}}\\.\\s*\\S') then 1 else 0 end) over (partition by body order by line_no) as chunk_no from l)
- select body, cast(chunk_no as bigint) as chunk_no, regexp_replace(array_to_string(list(line order by line_no), ' '), '^\\s*\\d{{1,3}}\\.\\s*', '') as chunk from c group by 1, 2""")
+ n as (select *, row_number() over (partition by body order by line_no) as k from l),
+ c as (select *, sum(case when k > 1 and regexp_matches(line, '^\\s*\\d{{1,3}}\\.(\\s+\\S|\\s*$)') then 1 else 0 end) over (partition by body order by line_no) as chunk_no from n)
+ select body, cast(chunk_no as bigint) as chunk_no, array_to_string(list(regexp_replace(line, '^\\s*\\d{{1,3}}\\.\\s*', '') order by line_no), ' ') as chunk from c group by 1, 2""")
 def split_numbered(spark, sf):
     return segment.split_numbered(_lines_of(spark, sf, NUMBERED), ["body"]).select("body", "chunk_no", "chunk")
 
@@ -507,7 +573,8 @@ DETACHED = "case when o_orderkey % 3 = 0 then 'text' || cast(o_custkey as string
 
 @query(f"""with l as (select o_custkey % 97 as body, o_orderkey as line_no, {DETACHED} as line from orders), f as (select * from l where line <> ''),
  v as (select *, try_cast(regexp_extract(line, '^(\\d{{1,3}})\\.$', 1) as int) as v, row_number() over (partition by body order by line_no) as k from f),
- n as (select *, count(v) over (partition by body, v - k) as n from v) select body, cast(line_no as int) as line_no, line from n where v is null or n < 2""")
+ n as (select *, v = lag(v) over (partition by body order by k) + 1 as follows from v), a as (select body, bool_or(coalesce(follows, false)) as apart from n group by 1)
+ select body, cast(line_no as int) as line_no, line from n join a using (body) where v is null or not apart""")
 def detached_numbers(spark, sf):
     return segment.detached_numbers(_lines_of(spark, sf, DETACHED), ["body"]).select("body", "line_no", "line")
 
@@ -572,15 +639,14 @@ def period_filter(spark, sf):
 def _report(spark, sf) -> DataFrame:
     s = _status(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("entry_id"), F.year("o_orderdate").alias("year"), "o_orderpriority"), "entry_id")
     e = s.select(F.col("profile").alias("profile_id"), F.col("section").alias("section_title"), F.length("section").cast("long").alias("section_order"), F.col("entry_id").cast("int").alias("entry_order"), "entry_id", F.col("o_orderpriority").alias("label"), "year", "n_confirmed")
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 2 and l_orderkey % 3 > 0")
-    f = li.selectExpr("l_orderkey as entry_id", "l_partkey as file_id", "l_linenumber as cert_order", "cast(l_quantity % 3 as int) as pages", "l_linestatus = 'F' as is_confirmed")
+    f = _links(spark, sf).selectExpr("entry_id", "l_partkey as file_id", "l_linenumber as cert_order", "cast(l_quantity % 3 as int) as pages", "is_confirmed")
     return report.manifest(e, f, start=1993)
 
 
 REPORT_SQL = STATUS_SQL + """, e as (select s.profile, s.section, length(s.section) as so, s.entry_id, o_orderpriority as label from s join orders on o_orderkey = s.entry_id where n_confirmed > 0 and year(o_orderdate) >= 1993),
  b as (select profile, section, so, -1 as eo, '' as eid, 0 as co, null::varchar as file_id, 0 as fp, 'section' as kind, section as title from e group by all
  union all select profile, section, so, entry_id, cast(entry_id as string), 0, null, 0, 'entry', label from e
- union all select profile, section, so, entry_id, cast(entry_id as string), l_linenumber + 1, cast(l_partkey as string), unnest(range(1, cast(l_quantity % 3 as int) + 1)), 'file', '' from e join lineitem on l_orderkey = entry_id where l_linenumber <= 2 and l_linestatus = 'F'),
+ union all select profile, section, so, entry_id, cast(entry_id as string), l_linenumber + 1, cast(l_partkey as string), unnest(range(1, cast(l_quantity % 3 as int) + 1)), 'file', '' from e join lineitem on l_orderkey = entry_id where l_returnflag <> 'R' and l_linestatus = 'F'),
  m as (select profile, count(*) filter (kind <> 'file') as n from b group by 1),
  pages as (select profile as profile_id, cast(case when n <= 30 then 1 else 1 + ceil((n - 30) / 36.0) end + row_number() over (partition by profile order by so, section, eo, eid, co, file_id, fp) as int) as page, kind, title, file_id, case when fp > 0 then cast(fp as int) end as file_page, kind <> 'section' as shows_number from b join m using (profile))"""
 
@@ -596,18 +662,49 @@ def report_contents(spark, sf):
     return report.contents(_report(spark, sf))
 
 
-@query("""select c_nationkey as profile_id, c_mktsegment as section_title, cast(length(c_mktsegment) as bigint) as section_order, cast(o_orderkey as int) as entry_order, o_orderpriority as entry_title, o_orderstatus as kind, year(o_orderdate) as year, count(l_orderkey) as n_files
- from orders join customer on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey and l_linenumber <= 2 group by all""")
-def archive_round_trip(spark, sf):
-    """Profiles to JSON manifests and back."""
+ARCHIVED = {
+    "raw_text": "o_orderpriority || ', ' || cast(o_orderkey as string)", "title": "o_orderpriority", "kind": "o_orderstatus", "year": "year(o_orderdate)", "authors": "'A' || cast(o_custkey as string)", "venue": "case when o_orderkey % 4 = 0 then '' else 'V' || cast(o_orderkey % 9 as string) end",
+    "doi": "'10.1/' || cast(o_orderkey as string)", "isbn": "case when o_orderkey % 3 = 0 then '978' else '' end", "portaria": "cast(o_orderkey % 500 as string) || '/2020'", "issn": "'1234-' || lpad(cast(o_orderkey % 9999 as string), 4, '0')", "edital": "cast(o_orderkey % 99 as string) || '/2021'", "end_year": "case when o_orderkey % 5 = 0 then 0 else year(o_orderdate) + 1 end",
+}
+
+
+def _manifests(spark, sf) -> DataFrame:
+    """Orders as entries of the sections of nations, line items as their files or as files in limbo, refusals by customer."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.expr("cast(c_nationkey as string) || c_mktsegment")
-    e = o.select(key.alias("section_id"), F.col("o_orderkey").alias("entry_id"), F.col("o_orderkey").cast("int").alias("entry_order"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("kind"), F.year("o_orderdate").alias("year"))
+    e = o.select(key.alias("section_id"), F.col("o_orderkey").alias("entry_id"), F.col("o_orderkey").cast("int").alias("entry_order"), *[F.expr(x).alias(c) for c, x in ARCHIVED.items()])
     s = o.select("c_nationkey", "c_mktsegment", key.alias("section_id")).distinct().select(F.col("c_nationkey").alias("profile_id"), "section_id", F.col("c_mktsegment").alias("title"), F.length("c_mktsegment").cast("long").alias("section_order"))
-    p = s.select("profile_id").distinct().withColumn("name", F.expr("'P' || cast(profile_id as string)"))
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 2")
-    k = li.join(o.select("o_orderkey", F.col("c_nationkey").alias("profile_id")), F.col("l_orderkey") == F.col("o_orderkey")).select("profile_id", F.col("l_orderkey").alias("entry_id"), F.expr("'f' || cast(l_partkey as string)").alias("file_name"), F.lit(0.5).alias("confidence"), (F.col("l_linestatus") == "F").alias("is_confirmed"), F.col("l_linenumber").alias("cert_order"))
-    return src.unnest(src.nest(p, s, e, k)).withColumn("n_files", F.col("n_files").cast("long"))
+    p = s.select("profile_id").distinct().withColumns({"name": F.expr("'P' || cast(profile_id as string)"), "raw_text": F.lit('a "b"\nc')})
+    k = _links(spark, sf).join(o.select("o_orderkey", F.col("c_nationkey").alias("profile_id")), F.col("l_orderkey") == F.col("o_orderkey"))
+    k = k.selectExpr("profile_id", "entry_id", "'/d/f' || cast(l_partkey as string) || '-' || cast(l_orderkey as string) as file_path", "'text ' || cast(l_suppkey as string) as extracted_text", "l_discount as confidence", "is_confirmed", "false as is_rejected", "l_shipdate as import_date", "l_linenumber as cert_order")
+    r = o.selectExpr("c_nationkey as profile_id", "'f' || cast(o_custkey as string) as cert_key", "'h' || o_orderpriority || '||x' as hash_key")
+    return src.nest(p, s, e, k, r)
+
+
+ENTRY_FIELDS = ("rawText", "title", "kind", "year", "authors", "venue", "doi", "isbn", "portaria", "issn", "edital", "endYear", "order", "certificateStatus")
+
+
+@query(f"""with n as (select l_orderkey, count(*) as n_files, count(*) filter (l_linestatus = 'F') as n_ok from lineitem where l_returnflag <> 'R' group by 1)
+ select c_nationkey as profile_id, c_mktsegment as section_title, cast(length(c_mktsegment) as bigint) as section_order, {', '.join(f'{x} as {c}' for c, x in ARCHIVED.items() if c != 'order')}, cast(o_orderkey as int) as entry_order,
+ case when n_ok > 0 then 'confirmed' when n_files > 0 then 'suggested' else 'none' end as status, coalesce(n_files, 0) as n_files from orders join customer on o_custkey = c_custkey left join n on l_orderkey = o_orderkey""")
+def archive_round_trip(spark, sf):
+    """Profiles to JSON manifests and back: the fields of each entry."""
+    named = [F.col(f"entry.{c}").alias({"rawText": "raw_text", "endYear": "end_year", "order": "entry_order", "certificateStatus": "status"}.get(c, c)) for c in ENTRY_FIELDS]
+    return src.unnest(_manifests(spark, sf)).select("profile_id", "section_title", "section_order", *named, F.size("entry.certificates").cast("long").alias("n_files"))
+
+
+@query("""select c_nationkey as profile_id, case when l_returnflag <> 'R' then c_mktsegment end as section_title, '/d/f' || cast(l_partkey as string) || '-' || cast(l_orderkey as string) as path, 'text ' || cast(l_suppkey as string) as extracted_text,
+ l_discount as confidence, l_linestatus = 'F' as is_confirmed, false as is_rejected, cast(l_shipdate as string) as import_date, l_linenumber as cert_order from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""")
+def archive_files(spark, sf):
+    """Profiles to JSON manifests and back: the fields of each file, those in limbo too."""
+    f = src.unnest_files(_manifests(spark, sf))
+    names = {"originalFilePath": "path", "extractedText": "extracted_text", "confidence": "confidence", "isConfirmed": "is_confirmed", "isRejected": "is_rejected", "order": "cert_order"}
+    return f.select("profile_id", "section_title", *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.date_format("importDate", "yyyy-MM-dd HH:mm:ss").alias("import_date"))
+
+
+@query("select distinct c_nationkey as profile_id, 'f' || cast(o_custkey as string) as cert_key, 'h' || o_orderpriority || '||x' as hash_key from orders join customer on o_custkey = c_custkey")
+def archive_rejections(spark, sf):
+    return src.unnest_rejected(_manifests(spark, sf))
 
 
 @query("""with t as (select distinct case when p_partkey % 2 = 0 then 'N' || cast(p_size as string) else 'N' || cast(p_size as string) || ' (' || cast(p_partkey % 4 + 2 as string) || ')' end as name from part),
@@ -617,3 +714,205 @@ def unique_names(spark, sf):
     p = table(spark, sf, "part")
     names = p.selectExpr("case when p_partkey % 2 = 0 then 'N' || cast(p_size as string) else 'N' || cast(p_size as string) || ' (' || cast(p_partkey % 4 + 2 as string) || ')' end as name")
     return src.unique_name(names, p.selectExpr("'N' || cast(p_size as string) as wanted"))
+
+
+# ---- files, manual work and views -----------------------------------------------------------------------------------
+
+
+@query("""select conv_id as file_id, string_agg(coalesce(text, ''), chr(10) order by turn) as text, length(regexp_replace(string_agg(coalesce(text, ''), chr(10) order by turn), '^\\s+|\\s+$', '', 'g')) < 20 as needs_ocr from conversations where turn < 5 group by 1""")
+def text_layers(spark, sf):
+    """Conversations as files, their turns as pages."""
+    return src.text_layer(table(spark, sf, "conversations").selectExpr("conv_id as file_id", "turn as page_no", "text"))
+
+
+@query(f"""select c_custkey, name, case when ext = 'pdf' and c_custkey % 3 > 0 then 'T' || cast(c_custkey as string) else '' end as text, case when ext = 'pdf' and c_custkey % 3 > 0 then 'layer' when ext in ('pdf', 'jpg', 'jpeg', 'png', 'tiff', 'tif', 'heic') then 'ocr' else 'none' end as source
+ from (select c_custkey, regexp_extract(p, '([^/]*)$', 1) as name, lower(regexp_extract(p, '\\.([^.]+)$', 1)) as ext from (select c_custkey, {PATHS} as p from customer))""")
+def text_dispatch(spark, sf):
+    c = table(spark, sf, "customer")
+    f = c.select("c_custkey", F.expr(PATHS).alias("path")).select("c_custkey", "path", tx.file_parts(F.col("path")).alias("f")).select("c_custkey", "path", "f.name", "f.is_pdf", "f.is_image")
+    layers = c.select(F.expr(PATHS).alias("path"), F.expr("'T' || cast(c_custkey as string)").alias("text"), (F.col("c_custkey") % 3 == 0).alias("needs_ocr"))
+    return src.extracted(f, layers).select("c_custkey", "name", "text", "source")
+
+
+INNER = "case o_orderkey % 4 when 0 then 'manifest.json' when 1 then 'd' || cast(o_orderkey % 9 as string) || '/manifest.json' when 2 then 'a/b/manifest.json' else 'x.txt' end"
+
+
+@query(f"select archive, arg_min(i, lpad(cast(len(string_split(i, '/')) as string), 4, '0') || i) as manifest from (select o_custkey as archive, {INNER} as i from orders) where i = 'manifest.json' or regexp_full_match(i, '[^/]+/manifest\\.json') group by 1")
+def manifest_paths(spark, sf):
+    return src.first_manifest(table(spark, sf, "orders").selectExpr("o_custkey as archive", f"{INNER} as inner"))
+
+
+@query("with " + RANKS_SQL + " select '2017_2020' as quad, issn, title, area, estrato from r")
+def ranking_files(spark, sf):
+    """A ranking table written as compressed, tab-separated text and read again."""
+    path = f"{shared_folder(spark)}/ranking-{uuid.uuid4().hex}"
+    _ranks(spark, sf).select(F.concat_ws("\t", "issn", "title", "area", "estrato").alias("value")).write.option("compression", "gzip").text(path)
+    return src.read_ranking(spark, path, "2017_2020").drop("row_no")
+
+
+MARKED = "'antes 1. 2. Participação em banca de ' || c_name || '. 3. 4. Título ' || c_mktsegment || case when c_custkey % 2 = 0 then ' participacao  em Banca de outra. Participaçao em banca de mais' else '' end"
+EVENT_TEXT = "'Semana de ' || c_name || ', 2020. (Congresso, Organização de evento)' || case when c_custkey % 3 > 0 then ' Mostra ' || c_mktsegment || ' (Outro, Organização de evento ) fim' else '' end"
+
+
+@query(f"""select c_custkey, array_to_string(list_transform(string_split(regexp_replace(t, '(?i)Participaç[ãa]o\\s+em\\s+banca\\s+de', chr(1) || '\\0', 'g'), chr(1))[2:], lambda p: regexp_replace(p, '\\s(\\d{{1,3}}\\.\\s)+', ' ', 'g')), '|') as parts from (select c_custkey, {MARKED} as t from customer)""")
+def committee_parts(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(segment.split_committees(F.expr(MARKED)), "|").alias("parts"))
+
+
+@query(f"""select c_custkey, array_to_string(case when len(regexp_extract_all(t, '(?i)(evento\\s*\\))', 1)) >= 2 then list_transform(list_filter(string_split(regexp_replace(t, '(?i)(evento\\s*\\))', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p) <> ''), lambda p: trim(p)) else [trim(t)] end, '|') as parts from (select c_custkey, {EVENT_TEXT} as t from customer)""")
+def event_parts(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(segment.split_events(F.expr(EVENT_TEXT)), "|").alias("parts"))
+
+
+ROLE = "case c_custkey % 5 when 0 then '3. Conferencista no ' when 1 then '1. 2. Ouvinte: ' when 2 then 'Mediador (ouvinte) ' when 3 then 'Apresentação de ' else '' end || c_name"
+
+
+@query(f"""select c_custkey, starts_with(n, 'ouvinte') or contains(n, '(ouvinte)') or not list_bool_or(list_transform({sql_list(tx.PRESENTATION_ROLES)}, lambda r: starts_with(n, r))) as listener
+ from (select c_custkey, regexp_replace(trim({FOLD.format('r')}), '^\\s*(\\d{{1,3}}\\.\\s*)+', '') as n from (select c_custkey, {ROLE} as r from customer))""")
+def listeners(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", tx.is_listener(F.expr(ROLE)).alias("listener"))
+
+
+JUNK = "case p_partkey % 4 when 0 then '(Carga horária: 20h).' when 1 then '01 12 2023. ' || p_name when 2 then 'DURANTE, F.. Ep.' else p_name end"
+
+
+@query(f"""select p_partkey, len(list_filter(string_split({NORM.format("t || ' ' || p_type")}, ' '), lambda w: length(w) >= 4 and not list_contains({sql_list(tx.ADMIN_WORDS)}, w) and not regexp_full_match(w, '\\p{{N}}+') and not list_contains(['durante', 'economy', 'small'], w))) = 0 as junk
+ from (select p_partkey, p_type, {JUNK} as t from part)""")
+def junk_entries(spark, sf):
+    owner = F.array(*map(F.lit, ("durante", "economy", "small")))
+    return table(spark, sf, "part").select("p_partkey", tx.is_junk(F.expr(JUNK), F.col("p_type"), owner).alias("junk"))
+
+
+@query("""select p_partkey, cast(floor(p_retailprice / 2500 * 100) as int) as percent, case when length(p_name || ' ' || p_type || ' ' || p_brand) > 22 then left(p_name || ' ' || p_type || ' ' || p_brand, 20) || '…' else p_name || ' ' || p_type || ' ' || p_brand end as label,
+ contains(strip_accents(lower(p_name)), 'red') as found, case when p_size % 9 < 2 then 'green' when p_size % 9 < 4 then 'blue' when p_size % 9 < 7 then 'orange' else 'gray' end as color from part""")
+def shown_values(spark, sf):
+    rank = F.expr("element_at(array('A1', 'a2 x', 'A3', 'A4', 'B1', 'b4', 'B', 'C', ''), cast(p_size % 9 + 1 as int))")
+    p = table(spark, sf, "part")
+    label = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    return p.select("p_partkey", tx.percent(F.col("p_retailprice") / 2500).alias("percent"), tx.short_label(label).alias("label"), tx.search_contains(F.col("p_name"), F.lit("RÉD")).alias("found"), tx.rank_color(rank).alias("color"))
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_linestatus = 'F'")
+def limbo_files(spark, sf):
+    li = _links(spark, sf).withColumns({"is_rejected": F.col("l_linestatus") == "O"})
+    return links.limbo(li).select("l_orderkey", "l_linenumber")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_quantity > 20")
+def readable_files(spark, sf):
+    li = _links(spark, sf).withColumn("text", F.when(F.col("l_quantity") > 20, "t").otherwise(""))
+    return links.readable(li).select("l_orderkey", "l_linenumber")
+
+
+@query("""select 'profile' as what, cast(n_nationkey as bigint) as id from nation where n_regionkey <> 1 union all select 'section', c_custkey from customer join nation on n_nationkey = c_nationkey where n_regionkey <> 1
+ union all select 'entry', o_orderkey from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where n_regionkey <> 1 union all select 'link', s_suppkey from supplier join nation on n_nationkey = s_nationkey where n_regionkey <> 1""")
+def delete_cascade(spark, sf):
+    """The nations of a region as deleted profiles, customers as sections, orders as entries, suppliers as links."""
+    n = table(spark, sf, "nation").selectExpr("n_nationkey as profile_id", "n_regionkey")
+    gone = n.where("n_regionkey = 1").select("profile_id")
+    left = links.cascade(n, table(spark, sf, "customer").selectExpr("c_nationkey as profile_id", "c_custkey as section_id"), table(spark, sf, "orders").selectExpr("o_custkey as section_id", "o_orderkey as entry_id"), table(spark, sf, "supplier").selectExpr("s_nationkey as profile_id", "s_suppkey as id"), gone)
+    ids_ = [t.select(F.lit(what).alias("what"), F.col(c).cast("long").alias("id")) for t, what, c in zip(left, ("profile", "section", "entry", "link"), ("profile_id", "section_id", "entry_id", "id"), strict=True)]
+    return ids_[0].unionByName(ids_[1]).unionByName(ids_[2]).unionByName(ids_[3])
+
+
+FILE_ID = "cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string)"
+
+
+def _certs(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey as entry_id", f"{FILE_ID} as file_id", "l_linenumber as cert_order", "l_shipdate as import_date", "l_linestatus = 'F' as is_confirmed", "l_discount", "l_returnflag")
+
+
+@query(f"select l_orderkey as entry_id, {FILE_ID} as file_id, l_linestatus = 'F' or o_orderstatus = 'F' as is_confirmed from lineitem join orders on o_orderkey = l_orderkey")
+def confirm_entries(spark, sf):
+    chosen = table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey as entry_id")
+    return links.confirm_entry(_certs(spark, sf), chosen).select("entry_id", "file_id", "is_confirmed")
+
+
+@query(f"select l_orderkey as entry_id, {FILE_ID} as file_id, (l_linestatus = 'F') <> (l_returnflag = 'A') as is_confirmed from lineitem")
+def toggle_links(spark, sf):
+    c = _certs(spark, sf)
+    return links.toggle(c, c.where("l_returnflag = 'A'")).select("entry_id", "file_id", "is_confirmed")
+
+
+@query(f"select l_orderkey as entry_id, {FILE_ID} as file_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_shipdate, {FILE_ID}) - 1 as int) as cert_order from lineitem where l_returnflag <> 'A'")
+def delete_files(spark, sf):
+    c = _certs(spark, sf)
+    return links.delete_links(c, c.where("l_returnflag = 'A'").select("entry_id", "file_id")).select("entry_id", "file_id", "cert_order")
+
+
+@query(f"""with d as (select l_orderkey, {FILE_ID} as file_id, row_number() over (partition by l_orderkey order by l_linenumber, l_shipdate, {FILE_ID}) - 1 as k, max({FILE_ID}) over (partition by l_orderkey) as last from lineitem)
+ select l_orderkey as entry_id, file_id, cast(row_number() over (partition by l_orderkey order by case when file_id = last then -1 else k end) - 1 as int) as cert_order from d""")
+def move_files(spark, sf):
+    """The last file of each entry moved to the front."""
+    c = _certs(spark, sf)
+    return links.move(c, c.groupBy("entry_id").agg(F.max("file_id").alias("file_id")).withColumn("to", F.lit(0))).select("entry_id", "file_id", "cert_order")
+
+
+@query("select l_orderkey * 10 + l_linenumber as file_id, 'confirm' as kind, l_orderkey as entry_id from lineitem where l_discount >= 0.05 and l_returnflag <> 'R'")
+def confirm_suggested(spark, sf):
+    li = _links(spark, sf).selectExpr("l_orderkey * 10 + l_linenumber as file_id", "entry_id", "l_discount as score")
+    return links.confirm_suggested(li, 0.05)
+
+
+@query("select l_orderkey, l_linenumber from lineitem where 'f' || cast(l_partkey as string) in (select 'f' || cast(p_partkey as string) from part where p_size > 25)")
+def existing_files(spark, sf):
+    li = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "'f' || cast(l_partkey as string) as path")
+    return links.existing(li, table(spark, sf, "part").where("p_size > 25").selectExpr("'f' || cast(p_partkey as string) as path")).select("l_orderkey", "l_linenumber")
+
+
+@query("select c_mktsegment as title, array_to_string(list(o_orderkey order by o_orderkey), ',') as entries from orders join customer on c_custkey = o_custkey group by 1")
+def entry_picker(spark, sf):
+    s = table(spark, sf, "customer").selectExpr("c_custkey as section_id", "c_mktsegment as title")
+    e = table(spark, sf, "orders").selectExpr("o_custkey as section_id", "o_orderkey as entry_id", "o_orderkey as entry_order")
+    return links.picker(s, e).select("title", F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
+
+
+@query(STATUS_SQL + " select count(*) filter (status = 'confirmed') as n_entries from s")
+def confirmed_entries(spark, sf):
+    return links.confirmed_entries(_status(spark, sf))
+
+
+@query("select n_nationkey as profile_id, n_name as name from nation")
+def profile_list(spark, sf):
+    return src.profiles_by_name(table(spark, sf, "nation").selectExpr("n_nationkey as profile_id", "n_name as name"))
+
+
+@query("""with e as (select o_orderkey as entry_id, case when o_orderstatus = 'F' then 'Artigo' else 'Banca' end as kind from orders), r as (select o_orderkey as entry_id, 'A' || cast(o_orderkey % 4 + 1 as string) as estrato from orders where o_totalprice > 100000)
+ select e.entry_id, kind, case when kind = 'Artigo' then estrato end as estrato from e left join r using (entry_id)""")
+def report_ranks(spark, sf):
+    o = table(spark, sf, "orders")
+    e = o.selectExpr("o_orderkey as entry_id", "case when o_orderstatus = 'F' then 'Artigo' else 'Banca' end as kind")
+    return ranking.with_ranks(e, o.where("o_totalprice > 100000").selectExpr("o_orderkey as entry_id", "'A' || cast(o_orderkey % 4 + 1 as string) as estrato"))
+
+
+def _sections(spark, sf) -> DataFrame:
+    """Customers as sections of nations; those of one segment hold documents added by hand."""
+    return table(spark, sf, "customer").selectExpr("c_custkey as section_id", "cast(c_nationkey as string) as profile_id", "case when c_mktsegment = 'FURNITURE' then 'Outros Documentos' else c_mktsegment end as title", "cast(length(c_name) as bigint) as section_order")
+
+
+@query("""with m as (select o_orderkey from orders join customer on c_custkey = o_custkey where c_mktsegment = 'FURNITURE' and o_orderstatus = 'F')
+ select 'entry' as what, o_orderkey as id from orders where o_orderkey not in (select * from m) union all select 'link', l_orderkey * 10 + l_linenumber from lineitem where l_orderkey not in (select * from m)""")
+def delete_manual_documents(spark, sf):
+    o = table(spark, sf, "orders")
+    e, k = links.delete_manual(_sections(spark, sf), o.selectExpr("o_custkey as section_id", "o_orderkey as entry_id"), table(spark, sf, "lineitem").selectExpr("l_orderkey as entry_id", "l_linenumber"), o.where("o_orderstatus = 'F'").selectExpr("o_orderkey as entry_id"))
+    return e.select(F.lit("entry").alias("what"), F.col("entry_id").alias("id")).unionByName(k.select(F.lit("link").alias("what"), (F.col("entry_id") * 10 + F.col("l_linenumber")).alias("id")))
+
+
+@query("""select cast(s_nationkey as string) as profile_id, s_suppkey as entry_id, cast(s_nationkey as string) || '-manual' as section_id, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as int) as entry_order, 'Documento' as kind from supplier""")
+def add_manual_documents(spark, sf):
+    """Suppliers as documents added by hand to nations that have no section for them yet."""
+    d = table(spark, sf, "supplier").selectExpr("cast(s_nationkey as string) as profile_id", "s_suppkey as entry_id", "s_name as title")
+    s = _sections(spark, sf).where("title <> 'Outros Documentos'").withColumn("section_id", F.col("section_id").cast("string"))
+    return links.add_manual(s, d)[1].select("profile_id", "entry_id", "section_id", "entry_order", "kind")
+
+
+@query(f"""with old as (select o_orderkey as entry_id, 'h' || cast(o_custkey as string) as hash_key, o_orderpriority = '1-URGENT' as manual from orders), new as (select 'h' || cast(c_custkey // 2 * 3 as string) as hash_key, min(c_custkey + 10000000) as e from customer group by 1)
+ select cast(l_orderkey as string) || '-' || {FILE_ID} as file_id, cast(case when coalesce(manual, false) then l_orderkey else coalesce(e, case when l_quantity > 20 and l_discount >= 0.05 then l_partkey + 10000000 end) end as string) as entry_id,
+ l_linestatus = 'F' and (coalesce(manual, false) or e is not null) as is_confirmed from lineitem left join old on old.entry_id = case when l_returnflag <> 'R' then l_orderkey end left join new on new.hash_key = old.hash_key""")
+def reimport_links(spark, sf):
+    """Orders as old entries (urgent ones added by hand), customers as new ones, line items as files with and without text."""
+    old = table(spark, sf, "orders").selectExpr("o_orderkey as entry_id", "'h' || cast(o_custkey as string) as hash_key", "case when o_orderpriority = '1-URGENT' then 'Outros Documentos' else 'x' end as section_title")
+    new = table(spark, sf, "customer").selectExpr("c_custkey + 10000000 as entry_id", "'h' || cast(c_custkey div 2 * 3 as string) as hash_key", "'y' as section_title", "0 as section_order", "0 as entry_order")
+    k = _links(spark, sf).selectExpr(f"cast(l_orderkey as string) || '-' || {FILE_ID} as file_id", "entry_id", "case when l_quantity > 20 then 't' else '' end as text", "is_confirmed")
+    r = table(spark, sf, "lineitem").selectExpr(f"cast(l_orderkey as string) || '-' || {FILE_ID} as file_id", "l_partkey + 10000000 as entry_id", "case when l_discount >= 0.05 then 0.95 else 0.5 end as score", "1 as rank")
+    return links.reimport(old, new, k, r)[1].withColumn("entry_id", F.col("entry_id").cast("string"))

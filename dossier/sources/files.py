@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dossier.functions import text as tx
 
 #: Extensions of files that may prove an entry.
 EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "tiff", "tif", "heic")
 RANKING = "issn string, title string, area string, estrato string"
+FILE = "struct<originalFilePath:string,bundledRelativePath:string,extractedText:string,confidence:double,isConfirmed:boolean,isRejected:boolean,importDate:timestamp,order:int>"
+ENTRY = (
+    "struct<rawText:string,title:string,kind:string,year:int,authors:string,venue:string,doi:string,isbn:string,portaria:string,issn:string,edital:string,"
+    f"endYear:int,order:int,certificateStatus:string,certificates:array<{FILE}>>"
+)
 MANIFEST = (
-    "name string, pdfPath string, importDate timestamp, lastUpdated timestamp, savePath string, rawText string, rejectedLinks array<string>,"
-    " formatVersion int, includesFiles boolean, sections array<struct<title:string,order:bigint,entries:array<struct<title:string,kind:string,year:int,"
-    "order:int,certificates:array<struct<fileName:string,confidence:double,isConfirmed:boolean,order:int>>>>>>,"
-    " limboCertificates array<struct<fileName:string,confidence:double,isConfirmed:boolean,order:int>>"
+    "formatVersion int, name string, pdfPath string, importDate timestamp, lastUpdated timestamp, savePath string, rawText string, rejectedLinks array<string>,"
+    f" sections array<struct<title:string,order:bigint,entries:array<{ENTRY}>>>, limboCertificates array<{FILE}>, includesFiles boolean"
 )
 #: Characters of a text layer that count as text; pages read of it.
 LEAST_TEXT, TEXT_PAGES = 20, 5
@@ -27,9 +33,36 @@ def listed(files: DataFrame) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder at any depth, without their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return listed(files.select("path"))
+    """Files below a folder at any depth, without their content; hidden ones are left out, folders that begin with "." too.
+
+    Listed through the file system of the session's Hadoop settings, as Spark's file sources leave out names with "_".
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    paths = []
+    while found.hasNext():
+        p = found.next().getPath()
+        if not any(part.startswith(".") for part in str(p.toUri().getPath())[len(str(path.toUri().getPath())) :].split("/")):
+            paths.append((str(p),))
+    return listed(spark.createDataFrame(paths, "path string"))
+
+
+def texts_of(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of each text file below a folder, a row for each whole file; files without any text are left out."""
+    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.length(tx.strip(F.col("text"))) > 0)
+
+
+def extracted(files: DataFrame, layers: DataFrame) -> DataFrame:
+    """``files`` (path, is_pdf, is_image) with text and how it was got: a layer of its own ("layer"), by recognition ("ocr", still without text), or none.
+
+    ``layers``: path, text, needs_ocr, as ``text_layer`` has them.
+    """
+    joined = files.join(layers, "path", "left")
+    has = F.col("is_pdf") & ~F.coalesce("needs_ocr", F.lit(True))
+    how = F.when(has, "layer").when(F.col("is_pdf") | F.col("is_image"), "ocr").otherwise("none")
+    return joined.select(*files.columns, F.when(has, F.col("text")).otherwise("").alias("text"), how.alias("source"))
 
 
 def text_layer(pages: DataFrame) -> DataFrame:
@@ -50,29 +83,66 @@ def read_ranking(spark: SparkSession, path: str, quad: str) -> DataFrame:
     return raw.select(F.lit(quad).alias("quad"), "row_no", *[F.col("f")[k].alias(c.split(" ")[0]) for k, c in enumerate(RANKING.split(", "))])
 
 
-def nest(profiles: DataFrame, sections: DataFrame, entries: DataFrame, links: DataFrame) -> DataFrame:
-    """profile_id and manifest (a JSON text) of each profile with its sections, entries and files in order."""
+def nest(profiles: DataFrame, sections: DataFrame, entries: DataFrame, links: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """profile_id and manifest (a JSON text) of each profile with its sections, entries, files and refused links in order.
+
+    Columns are named as in MANIFEST, with underscores; those that a table lacks are null. ``links`` without an
+    entry_id are the profile's limbo. ``rejected``: profile_id, cert_key, hash_key.
+    """
 
-    def gather(df: DataFrame, by: str, order: str, fields: list[Column], name: str) -> DataFrame:
-        got = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("v")))).alias("g"))
+    def fields(df: DataFrame, ddl: str, given: dict[str, Column]) -> Column:
+        out = []
+        for f in StructType.fromDDL(f"x {ddl}").fields[0].dataType.fields:
+            name = re.sub("([A-Z])", r"_\1", f.name).lower()
+            value = given.get(f.name, F.col(name) if name in df.columns else F.lit(None))
+            out.append(value.cast(f.dataType).alias(f.name))
+        return F.struct(*out)
+
+    def gather(df: DataFrame, by: str, order: str, value: Column, name: str) -> DataFrame:
+        got = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), value.alias("v")))).alias("g"))
         return got.select(by, F.transform("g", lambda x: x["v"]).alias(name))
 
-    file = [F.col("file_name").alias("fileName"), "confidence", F.col("is_confirmed").alias("isConfirmed"), F.col("cert_order").alias("order")]
+    file = fields(links, FILE, {"order": F.col("cert_order"), "originalFilePath": F.col("file_path") if "file_path" in links.columns else F.col("file_name")})
     certs = gather(links.where("entry_id is not null"), "entry_id", "cert_order", file, "certificates")
     limbo = gather(links.where("entry_id is null"), "profile_id", "cert_order", file, "limboCertificates")
-    e = entries.join(certs, "entry_id", "left")
-    rows = gather(e, "section_id", "entry_order", ["title", "kind", "year", F.col("entry_order").alias("order"), F.coalesce("certificates", F.array()).alias("certificates")], "entries")
-    s = gather(sections.join(rows, "section_id", "left"), "profile_id", "section_order", ["title", F.col("section_order").alias("order"), F.coalesce("entries", F.array()).alias("entries")], "sections")
+    e = entries.join(certs, "entry_id", "left").withColumn("certificates", F.coalesce("certificates", F.array().cast(f"array<{FILE}>")))
+    confirmed = F.exists("certificates", lambda c: c["isConfirmed"])
+    status = F.when(confirmed, "confirmed").when(F.size("certificates") > 0, "suggested").otherwise("none")
+    rows = gather(e, "section_id", "entry_order", fields(e, ENTRY, {"order": F.col("entry_order"), "certificateStatus": status, "certificates": F.col("certificates")}), "entries")
+    with_rows = sections.join(rows, "section_id", "left").withColumn("entries", F.coalesce("entries", F.array().cast(f"array<{ENTRY}>")))
+    s = gather(with_rows, "profile_id", "section_order", F.struct("title", F.col("section_order").alias("order"), "entries"), "sections")
     p = profiles.join(s, "profile_id", "left").join(limbo, "profile_id", "left")
-    body = F.struct(F.lit(1).alias("formatVersion"), F.coalesce("limboCertificates", F.array()).alias("limboCertificates"), "name", F.coalesce("sections", F.array()).alias("sections"))
+    if rejected is not None:
+        p = p.join(rejected.groupBy("profile_id").agg(F.sort_array(F.collect_set(F.concat_ws("||", "cert_key", "hash_key"))).alias("rejected_links")), "profile_id", "left")
+    else:
+        p = p.withColumn("rejected_links", F.lit(None))
+    given = {"formatVersion": F.lit(1), "includesFiles": F.lit(False)} | {c: F.col(c) for c in ("sections", "limboCertificates")}
+    body = fields(p, f"struct<{MANIFEST_FIELDS}>", given)
     return p.select("profile_id", F.to_json(body).alias("manifest"))
 
 
+#: MANIFEST in the form of a struct's fields.
+MANIFEST_FIELDS = ",".join(f"{name}:{kind}" for name, kind in (x.split(" ", 1) for x in MANIFEST.split(", ")))
+
+
 def unnest(manifests: DataFrame) -> DataFrame:
-    """profile_id, section_title, section_order, entry_order, entry_title, kind, year and n_files of each entry."""
+    """profile_id, section_title, section_order, entry_no (in its section) and entry, of each entry of ``manifests``."""
     m = manifests.select("profile_id", F.from_json("manifest", MANIFEST).alias("m"))
-    s = m.select("profile_id", F.explode("m.sections").alias("s")).select("profile_id", F.col("s.title").alias("section_title"), F.col("s.order").alias("section_order"), F.explode("s.entries").alias("e"))
-    return s.select("profile_id", "section_title", "section_order", F.col("e.order").alias("entry_order"), F.col("e.title").alias("entry_title"), "e.kind", "e.year", F.size("e.certificates").alias("n_files"))
+    s = m.select("profile_id", F.explode("m.sections").alias("s")).select("profile_id", F.col("s.title").alias("section_title"), F.col("s.order").alias("section_order"), F.posexplode("s.entries").alias("entry_no", "entry"))
+    return s
+
+
+def unnest_files(manifests: DataFrame) -> DataFrame:
+    """profile_id, section_title, entry_no (both null in limbo) and the fields of each file of ``manifests``."""
+    linked = unnest(manifests).select("profile_id", "section_title", "entry_no", F.explode("entry.certificates").alias("f"))
+    limbo = manifests.select("profile_id", F.from_json("manifest", MANIFEST).alias("m")).select("profile_id", F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("int").alias("entry_no"), F.explode("m.limboCertificates").alias("f"))
+    return linked.unionByName(limbo).select("profile_id", "section_title", "entry_no", "f.*")
+
+
+def unnest_rejected(manifests: DataFrame) -> DataFrame:
+    """profile_id, cert_key and hash_key of each refused link of ``manifests``."""
+    m = manifests.select("profile_id", F.explode(F.from_json("manifest", MANIFEST)["rejectedLinks"]).alias("x"))
+    return m.select("profile_id", F.substring_index("x", "||", 1).alias("cert_key"), F.regexp_replace("x", "(?s)^.*?\\|\\|", "").alias("hash_key"))
 
 
 def first_manifest(files: DataFrame) -> DataFrame:
@@ -91,3 +161,7 @@ def unique_name(names: DataFrame, wanted: DataFrame) -> DataFrame:
     out = w.join(taken.select(F.col("name").alias("wanted"), F.lit(True).alias("hit")), "wanted", "left").join(used, "wanted", "left")
     n = F.when(F.col("used").isNull(), 2).otherwise(free)
     return out.select("wanted", F.when(F.col("hit"), F.concat("wanted", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("wanted")).alias("name"))
+
+
+def profiles_by_name(profiles: DataFrame) -> DataFrame:
+    return profiles.orderBy("name", "profile_id")

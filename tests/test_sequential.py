@@ -94,8 +94,11 @@ def test_global_assignment(spark):
             cover[r[0][0]] -= 1
             cover[r[1][0]] = 1
         want.add((f, *pick))
-    df = spark.createDataFrame(rows, "file_id long, entry_id long, score double, rank int")
-    assert {tuple(r) for r in scoring.assign(df).select("file_id", "entry_id", "score").collect()} == want
+    df = spark.createDataFrame([(p, *r) for r in rows for p in ("a", "b")], "profile_id string, file_id long, entry_id long, score double, rank int").where("profile_id = 'a' or file_id < 200")
+    got = [tuple(r) for r in scoring.assign(df).select("profile_id", "file_id", "entry_id", "score").collect()]
+    assert {r[1:] for r in got if r[0] == "a"} == want and len(got) == len(set(got))
+    alone = df.where("profile_id = 'b'")
+    assert {r for r in got if r[0] == "b"} == {tuple(r) for r in scoring.assign(alone).select("profile_id", "file_id", "entry_id", "score").collect()}
 
 
 def test_committee_levels_defer():
@@ -124,7 +127,8 @@ def test_dedupe_is_idempotent(spark):
 
 def test_bare_number_is_no_run(spark):
     df = spark.createDataFrame([(1, k, x) for k, x in enumerate(["246.", "6.", "a", "7.", "8.", "9."])], "body int, line_no int, line string")
-    assert [r.line for r in segment.detached_numbers(df, ["body"]).orderBy("line_no").collect()] == ["246.", "6.", "a"]
+    assert [r.line for r in segment.detached_numbers(df, ["body"]).orderBy("line_no").collect()] == ["a"]
+    assert segment.detached_numbers(df.where("line_no < 3"), ["body"]).count() == 3
 
 
 def test_normal_of_words(spark):
