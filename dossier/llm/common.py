@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,20 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from dossier.sources.shared import cut, shared_folder
+from dossier.sources.shared import cut, shared_folder, stored  # noqa: F401
 
 #: Rows and bytes of one Arrow batch handed to Python, which bound what a worker holds.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
-#: Space and \t to \r, the only separators of words in the contracts.
-BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Keys (of two whole numbers at most) that are sent to all executors at most.
+MOST_KEYS = 1_000_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table: the planner then knows its size when it picks a join."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def few(df: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """A table of keys, stored, and marked for broadcast if it has ``most`` rows at most; else the planner shuffles for it."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import connected_components, cut, map_batches, stored, texts, whole_row
+from dossier.llm.common import connected_components, cut, few, map_batches, texts, whole_row
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Up to so many fingerprints of a bucket are compared in pairs; more are linked through one-bit neighbours.
@@ -150,12 +150,12 @@ def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Rows that repeat it (doc_id and text) are one, that of the least JSON. Rows without a doc_id are left alone:
     none can be named as a copy of another. Classes are found on (doc_id, text hash) alone; texts are shuffled,
-    by that key, only if the keys to drop are too many to broadcast.
+    by that key, only if the keys to drop are more than MOST_KEYS.
     """
     best = cut(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")))
     gone = found.join(best, "component_id").where(F.struct("doc_id", "text_hash") != F.col("best")).select("doc_id", "text_hash").distinct()
     again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
-    gone, again = stored(gone), stored(again)
+    gone, again = few(gone), few(again)
     row = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"))
     key = ["doc_id", "text_hash"]
     kept = row.join(gone, key, "left_anti")

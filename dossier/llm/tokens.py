@@ -28,7 +28,7 @@ LETTERS, MARKS = regex.compile(r"[\p{L}]+"), regex.compile(r"[^\s\p{L}\p{N}]+")
 #: Characters before a cut in which what comes after it may change the split.
 AHEAD = 3
 #: Words a worker remembers, and characters of chunks.
-CACHED_WORDS, CACHED_CHARS = 300_000, 12_000_000
+CACHED_WORDS, CACHED_CHARS = 150_000, 6_000_000
 #: Texts are split in pieces of about so many characters, so a worker never holds the words of a whole long text.
 PIECE = 1 << 20
 #: Pre-tokens of more bytes than this are merged one by one, place by place.
