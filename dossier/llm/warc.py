@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.common import bound_batches, cut, shared_folder, stored
+from dossier.sources.shared import remove
 
 #: Bytes of a record's block before it goes on in continuation records, and of one chunk of the HTTP body.
 SEGMENT_BYTES, CHUNK_BYTES = 1 << 20, 1 << 13
@@ -320,6 +321,7 @@ def archive_round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, mos
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(named, folder, segment_bytes)
     read = cut(read_warc(spark, folder, keep_payload=False).drop("payload"))
+    remove(spark, folder)
     page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")
     full = read.where("type = 'response'").groupBy("record_id").agg(F.max("payload_bytes").alias("n"))
     referred = read.where("type = 'revisit'").join(full.withColumnRenamed("record_id", "refers_to"), "refers_to", "left")
