@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths of the tables that ``stored`` has written in this process.
+_MADE: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, as a Parquet table: the planner then knows its size when it picks a join."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def only_last_table(spark: SparkSession) -> Iterator[None]:
+    """Of the tables stored inside, the last one stays; the others are deleted at the end."""
+    begun = len(_MADE)
+    yield
+    for path in _MADE[begun:-1]:
+        remove(spark, path)
+    del _MADE[begun:-1]
