@@ -391,16 +391,8 @@ class ChunkEncoder:
         run = None
         for end in self.cuts(text):
             start, at = at, end
-            if run:
-                m = run.match(text, start, end)
-                if m and m.end() == end:
-                    continue
-                stop = m.end() if m else start
-                self.write([text[open_:stop]], ids, out)
-                open_, run = stop, None
-                if stop > start:  # the chunk's own start is inside the run: what follows is read by itself
-                    open_, run = self.read(text, open_, end, ids, out)
-                    continue
+            if run and (m := run.match(text, start, end)) and m.end() == end:
+                continue
             chunk = self.chunk(text[start:end])
             if open_ < start:
                 meet = self.join(text, open_, start, end, chunk)
