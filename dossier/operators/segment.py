@@ -65,6 +65,8 @@ EXCLUDED = (
 STOP, DONE, ONGOING = "totais de producao", "orientacoes e supervisoes concluidas", "orientacoes e supervisoes em andamento"
 NOISE_LINES = ("Currículo Lattes", "Ordenar por", "Ordem Cronológica", "Ordem de Importância")
 PREFIX_LEAST = 12
+#: Characters of a line that decide on a header; the longest name has 62, and twice as many letters may carry marks.
+HEAD_CHARS = 160
 PERIOD = "\\b\\d{4}\\s*-\\s*(?:\\d{4}|[Aa]tual)\\b"
 COMMITTEE = "(?i)Participaç[ãa]o\\s+em\\s+banca\\s+de"
 BARE_NUMBER, NUMBER_START, CLUSTER = "^\\s*(\\d{1,3})\\.\\s*$", "^\\s*\\d{1,3}\\.(\\s+\\S|\\s*$)", "^\\s*(\\d{1,3}\\.\\s+){2,}"
@@ -90,11 +92,16 @@ def closes_more(text: Column) -> Column:
     return count(")") > count("(")
 
 
-def header(norm: Column) -> Column:
-    """struct<name, cls, display, mode, child> of a folded line, or null: stop, excluded, done, ongoing or section.
+def header_name(line: Column) -> Column:
+    """What of a line a header is found by: the folded line, of a long one its first HEAD_CHARS characters and a mark that no name has."""
+    return F.when(F.length(line) <= HEAD_CHARS, tx.normalize_header(line)).otherwise(F.concat(tx.normalize_header(F.substring(line, 1, HEAD_CHARS)), F.lit("\u0001")))
+
+
+def header(norm: Column, closes: Column) -> Column:
+    """struct<name, cls, display, mode, child> of a line by its ``header_name``, or null: stop, excluded, done, ongoing or section.
 
     The table is short and fixed: a literal map by the first PREFIX_LEAST characters; the first fitting row counts.
-    A long name also fits as a prefix, unless the line closes more parentheses than it opens.
+    A long name also fits as a prefix, unless the line ``closes`` more parentheses than it opens.
     """
     row = lambda cls, name="", display="", mode="none", child=False: F.struct(*[F.lit(v).alias(k) for k, v in (("name", name), ("cls", cls), ("display", display), ("mode", mode), ("child", child))])
     rows = [("stop", STOP), *(("excluded", n) for n in EXCLUDED), ("done", DONE), ("ongoing", ONGOING), *(("section", *h) for h in HEADERS)]
@@ -104,10 +111,10 @@ def header(norm: Column) -> Column:
     table = F.create_map(*[x for k, v in heads.items() for x in (F.lit(k), F.array(*v))])
 
     def first(n: Column) -> Column:
-        long_name = lambda h: (h["cls"] == "section") & (F.length(h["name"]) >= PREFIX_LEAST) & F.startswith(n, h["name"]) & ~closes_more(n)
+        long_name = lambda h: (h["cls"] == "section") & (F.length(h["name"]) >= PREFIX_LEAST) & F.startswith(n, h["name"]) & ~closes
         return F.get(F.filter(F.try_element_at(table, F.substring(n, 1, PREFIX_LEAST)), lambda h: (h["name"] == n) | long_name(h)), 0)
 
-    return let(norm, first)
+    return let(norm, lambda n: F.when(F.substring(n, 1, PREFIX_LEAST).isin(*heads), first(n)))
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -119,10 +126,11 @@ def sections(docs: DataFrame) -> DataFrame:
     group's state. Empty lines inside a section stay; sections without any text do not.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    l = lines(docs).withColumns({"norm": tx.normalize_header(F.col("line")), "noise": is_noise(F.col("line"))})  # noqa: E741
-    l = l.withColumns({"next": F.lead("line").over(w), "own": header(F.col("norm"))})
-    joined = header(tx.normalize_header(F.concat_ws(" ", "line", "next")))
-    may = ~F.col("noise") & (F.col("norm") != "") & F.col("own").isNull() & ~closes_more(F.col("norm")) & F.col("next").isNotNull() & (F.col("next") != "") & ~is_noise(F.col("next"))
+    l = lines(docs).withColumns({"norm": header_name(F.col("line")), "closes": closes_more(F.col("line")), "noise": is_noise(F.col("line"))})  # noqa: E741
+    l = l.withColumns({"next": F.lead("line").over(w), "own": header(F.col("norm"), F.col("closes"))})
+    both = F.concat_ws(" ", "line", "next")
+    joined = header(header_name(both), closes_more(both))
+    may = ~F.col("noise") & (F.col("norm") != "") & F.col("own").isNull() & ~F.col("closes") & F.col("next").isNotNull() & (F.col("next") != "") & ~is_noise(F.col("next"))
     l = l.withColumn("both", F.when(may, joined)).withColumn("opens", F.coalesce(F.col("both.cls").isin("section", "excluded"), F.lit(False)))
     run = F.sum(F.when(F.col("opens"), 0).otherwise(1)).over(w)
     l = l.withColumn("run", run).withColumn("takes", F.col("opens") & (F.sum(F.col("opens").cast("int")).over(Window.partitionBy("doc_id", "run").orderBy("line_no")) % 2 == 1))

@@ -500,7 +500,11 @@ def rank_cascade(spark, sf):
 
 # ---- segmentation -------------------------------------------------------------------------------------------------
 
-HEADS = ["Projetos de", "pesquisa", "Formação complementar", "Livros publicados (completo)", "Orientações e supervisões concluídas", "Iniciação científica", "Bancas", "Organização de evento)", "2019 - Atual Universidade", "", "Currículo Lattes", "01/02/2023, 10:11 x"]
+HEADS = [
+    "Projetos de", "pesquisa", "Formação complementar", "Livros publicados (completo)", "Orientações e supervisões concluídas", "Iniciação científica", "Bancas", "Organização de evento)", "2019 - Atual Universidade", "", "Currículo Lattes", "01/02/2023, 10:11 x",
+    "Formação acadêmica/titulação", "Mestrado em Letras, 2010", "Atuação profissional", "Universidade do Sul - US, Brasil", "2001 - Atual Vínculo: Servidor, Enquadramento funcional: Professor", "03/2002 - 05/2004 Graduação", "Disciplinas ministradas:", "Especificação:", "Prêmios e títulos",
+    "2012", "Projetos de extensão", "Descrição: um projeto, 2015", "Organização de evento", "Participação em eventos", "Participação em banca de trabalhos de conclusão", "Doutorado", "1. Participação em banca de Ana Lima. Tese, 2019. (Letras) Universidade X.", "1.", "2.", "Totais de produção",
+]
 CV = f"array_join(transform(split(text, '\\n'), (x, k) -> case when (doc_id + k * 7) % 3 = 0 then concat(element_at(array({', '.join(repr(h) for h in HEADS)}), cast((doc_id * 5 + k * 11) % {len(HEADS)} + 1 as int)), '\\n', x) else x end), '\\n')"
 
 
@@ -528,7 +532,7 @@ def _header_sql(norm: str) -> str:
 
 @query(f"with {CV_SQL}, n as (select doc_id, line_no, strip_accents(lower(line)) as norm from l) select * from (select doc_id, line_no, {_header_sql('norm')} as header from n) where header is not null")
 def header_classify(spark, sf):
-    h = segment.header(tx.normalize_header(F.col("line")))
+    h = segment.header(segment.header_name(F.col("line")), segment.closes_more(F.col("line")))
     l = segment.lines(_cv(spark, sf)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), h.alias("h")).where("h is not null")  # noqa: E741
     return l.select("doc_id", "line_no", F.when(F.col("h.cls") == "section", F.col("h.display")).otherwise(F.col("h.cls")).alias("header"))
 
