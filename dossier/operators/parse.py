@@ -21,6 +21,7 @@ BOND = "^\\d{4}\\s*-\\s*(\\d{4}|Atual)\\s+Vínculo:"
 SPAN_STARTS, SPAN_ENDS = "^(especificacao|cargos ocupados)", "^(atividades$|outras informacoes|disciplinas ministradas|especificacao|cargos ocupados)"
 ACTIVITY_CUT = "(?s)(\\s*[-,.]?\\s*(?i:portaria|resolu[çc][ãa]o)\\b| , ).*$"
 LEAKS = "grande area|subarea|^area:|^/ area|^compreende|^fala |^le |^escreve|^periodico|^ordenar por|^ordem "
+RECORD_LEAKS, ORGANISED = "disciplinas ministradas|vinculo:|conselhos, comissoes", "Organização de evento"
 YEAR_HEAD = "^((?:19|20)\\d{2}[\\s,]+)+"
 CHUNK_LEAST, UNDATED_LEAST, AWARD_LEAST, ACTIVITY_LEAST = 8, 50, 6, 3
 
@@ -103,13 +104,25 @@ ENTRY = "struct<title:string,authors:string,venue:string,year:int,doi:string,isb
 
 
 def organised(body_lines: DataFrame, group: list[str]) -> DataFrame:
-    """The events that a section of organised events names: one for each event mark, if there are two or more."""
-    l = body_lines.where((F.col("line") != "") & ~segment.is_noise(F.col("line")))  # noqa: E741
+    """The organised events of bodies with two or more event marks: one for each mark."""
+    l = body_lines.where(~segment.is_noise(F.col("line")))  # noqa: E741
     g = l.groupBy(*group).agg(_joined(F.array_sort(F.collect_list(F.struct("line_no", "line")))).alias("text"))
+    g = g.where(F.size(F.regexp_extract_all("text", F.lit(segment.EVENT_MARK), F.lit(0))) >= 2)
     c = g.select(*group, F.posexplode(segment.split_events(F.col("text"))).alias("entry_order", "chunk"))
-    c = c.withColumn("chunk", tx.strip_number(F.col("chunk"))).where(F.length("chunk") >= CHUNK_LEAST)
+    t = F.regexp_replace(tx.strip(F.regexp_replace("chunk", "^\\s*(\\d+\\.\\s*)+", "")), "\\s(\\d+\\.\\s){2,}", " ")
+    c = c.withColumn("chunk", t).where(F.length("chunk") >= CHUNK_LEAST)
     t = F.col("chunk")
-    return c.select(*group, "entry_order", *_columns({"raw_text": t, "title": entries.event_title(t), "kind": F.lit("Organização de evento"), "year": tx.last_year(t), "portaria": F.array_join(ids.ordinance_pairs(t), " "), "edital": F.array_join(ids.call_numbers(t), " ")}))
+    return c.select(*group, "entry_order", *_columns({"raw_text": t, "title": entries.event_title(t), "kind": F.lit(ORGANISED), "year": tx.last_year(t)}))
+
+
+def unread(body_lines: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """The lines of bodies that ``found`` has no entry of: the generic split reads them."""
+    return body_lines.join(found.select(*group).distinct(), group, "left_anti")
+
+
+def leaked(body_lines: DataFrame, group: list[str]) -> DataFrame:
+    """The bodies of projects that are the rest of a professional record, of which there are no projects."""
+    return body_lines.where(tx.normalize_header(F.col("line")).rlike(RECORD_LEAKS)).select(*group).distinct()
 
 
 def awards(body_lines: DataFrame, group: list[str]) -> DataFrame:
@@ -244,14 +257,18 @@ def cv_entries(docs: DataFrame) -> DataFrame:
     committee = graded.select(*plain).unionByName(mode("banca").where(~levels).select(*plain)).withColumns({"kind": F.lit("Banca"), "committee": F.lit(True)})
     events = mode("eventos").select(*plain).withColumns({"kind": F.lit("Evento"), "committee": F.lit(False)})
     other = mode("none").select(*plain, tx.kind_label(F.col("section")).alias("kind")).withColumn("committee", F.lit(False))
-    read = generic(committee.unionByName(events).unionByName(other), group)
+    project_lines, event_lines = mode("projetos").select(*plain), mode("organizacao").select(*plain)
+    projects, organised_ = cut(entries.projects(project_lines, group)), cut(organised(event_lines, group))
+    no_projects = unread(project_lines, projects, group).join(leaked(project_lines, group), group, "left_anti").withColumns({"kind": F.lit("Projeto"), "committee": F.lit(False)})
+    no_marks = unread(event_lines, organised_, group).withColumns({"kind": F.lit(ORGANISED), "committee": F.lit(False)})
+    read = generic(reduce(DataFrame.unionByName, [committee, events, other, no_projects, no_marks]), group)
     heard = F.when(tx.is_listener(F.col("raw_text")), "Participação em Eventos - Ouvinte").otherwise("Participação em Eventos - Apresentação")
     read = read.withColumn("section", F.when(F.col("kind") == "Evento", heard).otherwise(F.col("section")))
     record = by_institution(professional(mode("atuacao").select(*plain), group), group)
     record = record.withColumns({"section": F.concat_ws(" - ", "section", "label"), "part": F.col("label_order").cast("int")}).drop("label", "label_order")
     degrees = entries.education(mode("formacao").select(*plain), group).select(*group, F.col("entry_order").cast("int").alias("entry_order"), *_columns({"raw_text": F.col("raw_text"), "title": F.col("title"), "kind": F.lit("Formação"), "year": F.col("year"), "venue": F.col("venue")}))
-    projects = entries.projects(mode("projetos").select(*plain), group).select(*group, F.col("entry_order").cast("int").alias("entry_order"), *_columns({"raw_text": F.col("raw_text"), "title": F.col("title"), "kind": F.lit("Projeto"), "year": F.col("year")}))
-    parts = [read, record, degrees, projects, organised(mode("organizacao").select(*plain), group), awards(mode("premios").select(*plain), group)]
+    projects = projects.select(*group, F.col("entry_order").cast("int").alias("entry_order"), *_columns({"raw_text": F.col("raw_text"), "title": F.col("title"), "kind": F.lit("Projeto"), "year": F.col("year")}))
+    parts = [read, record, degrees, projects, organised_, awards(mode("premios").select(*plain), group)]
     all_ = reduce(DataFrame.unionByName, parts).withColumn("body", F.col("sec_no").cast("long") * 100_000 + F.col("part")).drop("sec_no", "part")
     merged = dedupe.merge_bodies(all_, ["doc_id", "section"], "body")
     owner = segment.owner_name(docs).select("doc_id", F.filter(tx.words(tx.normalize(F.col("name"))), lambda x: F.length(x) >= 4).alias("owner"))

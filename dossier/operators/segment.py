@@ -69,6 +69,7 @@ PREFIX_LEAST = 12
 HEAD_CHARS = 160
 PERIOD = "\\b\\d{4}\\s*-\\s*(?:\\d{4}|[Aa]tual)\\b"
 COMMITTEE = "(?i)Participaç[ãa]o\\s+em\\s+banca\\s+de"
+EVENT_MARK = "(?i)evento\\s*\\)"
 BARE_NUMBER, NUMBER_START, CLUSTER = "^\\s*(\\d{1,3})\\.\\s*$", "^\\s*\\d{1,3}\\.(\\s+\\S|\\s*$)", "^\\s*(\\d{1,3}\\.\\s+){2,}"
 TIME_STAMP = "^\\d{2}/\\d{2}/\\d{4},?\\s*\\d{1,2}:\\d{2}"
 METADATA = ("palavras-chave", "referencias adicionais", "home page", "meio de divulgacao")
@@ -234,10 +235,15 @@ def split_committees(text: Column) -> Column:
 
 
 def split_events(text: Column) -> Column:
-    """Parts that end with the event mark, if there are two or more; else the text as a whole."""
-    mark = "(?i)(evento\\s*\\))"
-    parts = F.filter(F.split(F.regexp_replace(text, mark, "$1\u0001"), "\u0001"), lambda p: tx.strip(p) != "")
-    return F.when(F.size(F.regexp_extract_all(text, F.lit(mark), F.lit(1))) >= 2, F.transform(parts, tx.strip)).otherwise(F.array(tx.strip(text)))
+    """The parts that end with each event mark, if there are two or more (what follows the last is lost); else the text as a whole."""
+    parts = F.split(F.regexp_replace(text, EVENT_MARK, "$0\u0001"), "\u0001")
+    return F.when(F.size(parts) > 2, F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), tx.strip)).otherwise(F.array(tx.strip(text)))
+
+
+def by_title(section_bodies: DataFrame) -> DataFrame:
+    """doc_id, title, place (from 0, as the title is first seen) and bodies (in order) of each title of ``bodies``."""
+    g = section_bodies.groupBy("doc_id", "title").agg(F.min("sec_no").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("sec_no", "body"))), lambda x: x["body"]).alias("bodies"))
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1).drop("first")
 
 
 def split_year_anchor(body_lines: DataFrame, group: list[str], kind: str = "kind") -> DataFrame:

@@ -172,6 +172,18 @@ def test_whole_text(spark):
     ], rows
 
 
+def test_projects_and_events_fall_back(spark):
+    text = "\n".join(["Projetos de pesquisa", "2019 - 2020 Projeto sem descrição nenhuma", "2021 - Atual Outro projeto sem descrição", "Projetos de extensão", "2001 - 2002 Vínculo: Bolsista de algo", "2003 - 2004 Outro vínculo", "Organização de evento", "SOUZA, A.. Semana de Lógica, 2020. (Congresso, Organização de evento)"])
+    got = [(r.section, r.title, r.kind, r.year) for r in parse.cv_entries(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("section_order", "entry_order").collect()]
+    assert got == [("Projetos de pesquisa", "Projeto sem descrição nenhuma", "Projeto", 2020), ("Projetos de pesquisa", "Outro projeto sem descrição", "Projeto", 2021), ("Organização de eventos", "SOUZA, A.. Semana de Lógica, 2020.", "Organização de evento", 2020)], got
+
+
+def test_bodies_by_title(spark):
+    text = "Livros publicados\nb1\nBancas\nx\nProgramas de computador\np\nLivros publicados\nb2\n\nb3"
+    found = segment.by_title(segment.bodies(segment.sections(spark.createDataFrame([(1, text)], "doc_id long, text string"))))
+    assert [(r.title, r.place, r.bodies) for r in found.orderBy("place").collect()] == [("Livros publicados", 0, ["b1", "b2\n\nb3"]), ("Programas de computador", 1, ["p"])]
+
+
 def slow_merge(bodies):
     """Bodies of (text, title, year) merged one by one, each entry held against all kept before its body."""
 
