@@ -1,6 +1,10 @@
 """Operators with state against plain loops."""
 
+import math
 import random
+import re
+import unicodedata
+from collections import Counter
 
 from dossier.functions import text as tx
 from dossier.operators import dedupe, scoring, segment
@@ -26,8 +30,6 @@ def test_sections_state_machine(spark):
                 return ("section", *found)
         return None
 
-    import unicodedata
-
     fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c)).strip()
     pool = ["Projetos de", "pesquisa", "Livros publicados", "Bancas", "Orientações e supervisões concluídas", "Orientações e supervisões em andamento", "Iniciação científica", "abc 2020.", "", "Currículo Lattes", "Organização de evento)", "Artigos completos publicados em", "periódicos", "fim"]
     rng = random.Random(5)
@@ -114,9 +116,95 @@ def test_year_anchor_keeps_type_with_its_entry(spark):
     assert got == ["Primeiro trabalho, 2023. (Congresso) Título. Palavras-chave: x", "Outro 2020. Citações: 1 | 1", "Fim"]
 
 
-def test_pair_score_bounds(spark):
-    got = catalog.pair_scores(spark, SF).collect()
-    assert got and all(0 < r.score <= 1 and (r.is_identifier or r.score <= 0.97) for r in got)
+def plain_normal(s):
+    folded = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+    return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
+
+
+def plain_meaningful(s):
+    return [w for w in plain_normal(s).split() if len(w) >= 4 and w not in tx.STOPWORDS and not w.isnumeric()]
+
+
+def plain_text_score(cert, title, venue, idf, unknown):
+    words, sig, said = set(cert.split()), plain_meaningful(title), plain_normal(title).split()
+    weight = lambda ws: sum(idf.get(w, unknown) for w in ws)
+    met = [w for w in sig if w in words]
+    most = min(len(said), 10)
+    longest = max((n for n in range(2, most + 1) if any(" ".join(said[i : i + n]) in cert for i in range(len(said) - n + 1))), default=0) if met else 0
+    phrase, cover = longest / max(most, 1), weight(met) / weight(sig) if sig else 0
+    score = max(phrase, cover) if len(sig) >= 3 else phrase
+    if len(met) < 2 and phrase < 0.6:
+        score = 0
+    vsig = plain_meaningful(venue)
+    vmet = [w for w in vsig if w in words]
+    vcover = weight(vmet) / weight(vsig) if vsig else 0
+    if score < 0.4 and vcover >= 0.6 and len(vmet) >= 2:
+        score = vcover * 0.8
+    elif vcover >= 0.5 and score >= 0.3:
+        score = min(1, score + 0.1)
+    return min(1, score)
+
+
+def plain_ids(t):
+    pairs = {m[1] + ("/" + re.findall(r"(?:19|20)\d{2}", m[2])[-1] if m[2] else "") for m in re.finditer(r"portaria\s*(?:n[º°o.]?\s*)?(\d{2,6})([\s\S]{0,50}?\b(?:19|20)\d{2}\b)?", t, re.I)}
+    calls = {x.replace(" ", "") for x in re.findall(r"edital\s*(?:n[º°o.]?\s*)?(\d{1,4}\s*/\s*\d{2,4})", t, re.I)}
+    issns = {x.replace(" ", "").upper() for x in re.findall(r"issn[:\s]*(\d{4}\s*-\s*\d{3}[\dxX])", t, re.I)}
+    return pairs, calls, issns, {x.lower() for x in re.findall(r"(10\.\d{4,}/[^\s,;]+)", t, re.I)}
+
+
+def plain_pair_score(f, e, idf, unknown, now):
+    """All rules of one pair, in the order in which they are stated."""
+    t = f.text[:4000]
+    pairs, calls, issns, dois = plain_ids(t)
+    low = t.lower()
+    if e.kind in ("Artigo", "Livro/Capítulo") and not (any(x in low for x in ("issn", "isbn", "doi")) or re.search(r"10\.\d{4,}/", t)):
+        return 0
+    if e.kind in ("Orientação", "Formação") and (pairs or "portaria" in low):
+        return 0
+    ordinance = 0
+    for c in pairs:
+        for x in e.portaria.split():
+            (cn, _, cy), (en, _, ey) = c.partition("/"), x.partition("/")
+            if cn == en:
+                ordinance = max(ordinance, 0.95 if not cy or not ey else 0.99 if cy == ey else 0)
+    known = True
+    if ordinance:
+        score = ordinance
+    elif calls & set(e.edital.split()):
+        score = 0.99
+    elif dois & set(e.doi.split()):
+        score = 1.0
+    else:
+        known = bool(calls & set(e.edital.split()))
+        score = plain_text_score(plain_normal(t), e.title, e.venue, idf, unknown)
+        if score > 0.2 and issns & set(e.issn.split()):
+            score = min(1, score + 0.15)
+    if score > 0 and e.year > 0 and f.years:
+        last = now if e.end_year == 0 else e.end_year
+        period = (e.end_year >= e.year or e.end_year == 0) and (e.end_year != 0 or last > e.year)
+        last = last if period else e.year
+        if any(e.year <= y <= last for y in f.years):
+            score = min(1, score + 0.06)
+        elif min(min(abs(y - e.year), abs(y - last)) for y in f.years) >= 3:
+            score *= 0.8
+    if not known:
+        score = min(0.97, score + (0.2 if e.kind in f.folder_kinds and score > 0 else 0))
+    return min(1, score)
+
+
+def test_pair_scores_against_a_loop(spark):
+    files, entries, rejected = (t.collect() for t in catalog.pair_tables(spark, SF))
+    refused = {tuple(r) for r in rejected}
+    df = Counter(w for e in entries for w in set(plain_meaningful(e.title)))
+    idf = {w: math.log(max(len(entries), 1) / (1 + n)) + 0.5 for w, n in df.items()}
+    want = {}
+    for f in files:
+        for e in entries:
+            if (f.cert_key, e.hash_key) not in refused and (s := plain_pair_score(f, e, idf, math.log(len(idf) or 2) + 0.5, 2024)) >= 0.35:
+                want[f.file_id, e.entry_id] = s
+    got = {(r.file_id, r.entry_id): r.score for r in catalog.pair_scores(spark, SF).collect()}
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
 def test_dedupe_is_idempotent(spark):
