@@ -98,12 +98,13 @@ def header_name(line: Column) -> Column:
     return F.when(F.length(line) <= HEAD_CHARS, tx.normalize_header(line)).otherwise(F.concat(tx.normalize_header(F.substring(line, 1, HEAD_CHARS)), F.lit("\u0001")))
 
 
-def header(norm: Column, closes: Column) -> Column:
+def header(norm: Column, closes: Column | None = None) -> Column:
     """struct<name, cls, display, mode, child> of a line by its ``header_name``, or null: stop, excluded, done, ongoing or section.
 
     The table is short and fixed: a literal map by the first PREFIX_LEAST characters; the first fitting row counts.
-    A long name also fits as a prefix, unless the line ``closes`` more parentheses than it opens.
+    A long name also fits as a prefix, unless the line ``closes`` more parentheses than it opens (by default told from ``norm``).
     """
+    closes = closes_more(norm) if closes is None else closes
     row = lambda cls, name="", display="", mode="none", child=False: F.struct(*[F.lit(v).alias(k) for k, v in (("name", name), ("cls", cls), ("display", display), ("mode", mode), ("child", child))])
     rows = [("stop", STOP), *(("excluded", n) for n in EXCLUDED), ("done", DONE), ("ongoing", ONGOING), *(("section", *h) for h in HEADERS)]
     heads: dict[str, list] = {}
