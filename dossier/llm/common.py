@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,13 @@ def few(df: DataFrame, most: int = MOST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``stored``, with the table's folder, for a caller that deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to what a worker may hold; Spark reads these settings when a plan runs, so they stay."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import decontaminate, html, kneser_ney, langid, quality, secrets, simhash, tokens, warc
+from dossier.llm import codebooks, decontaminate, html, kneser_ney, langid, negatives, quality, secrets, simhash, tokens, vector_dedup, warc
 from dossier.llm.oracles import ORACLES  # noqa: F401
 
 #: A document of more tokens is over the limit that op2 reports.
@@ -81,6 +81,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.compress(_table(spark, sf_dir, "embeddings"))
+    rows = codebooks.with_label_error(found.rows)
+    return rows.select("vec_id", codebooks.code_hex(F.col("code")).alias("code"), "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,5 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_archives,
         op9_secret_scan,
         op10_decontamination,
+        op11_hard_negatives,
+        op12_vector_codes,
+        op13_vector_dedup,
     )
 }
