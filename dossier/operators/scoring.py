@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import identifiers as ids
 from dossier.functions import text as tx
 from dossier.functions.binding import let
+from dossier.sources.blocks import packed, unpacked
 from dossier.sources.shared import cut, stored
 
 # Thresholds and bonuses of the score.
 CONFIDENT, GUESS, COMBO, TIE = 0.90, 0.35, 0.92, 0.08
 TEXT_CAP, TEXT_CHARS = 0.97, 4000
 FOLDER_BONUS, ISSN_BONUS, YEAR_BONUS, YEAR_PENALTY, YEAR_GAP = 0.20, 0.15, 0.06, 0.80, 3
-PHRASE_WORDS = 10
-#: UTF-8 bytes of title words that one automaton takes; more titles are matched in blocks.
-BLOCK_BYTES = 1 << 20
+PHRASE_WORDS, ISSN_LEAST = 10, 0.2
+#: UTF-8 bytes of a block of titles or texts, and of titles that are sent to all executors at most; with more, texts are shuffled to them.
+BLOCK_BYTES, MOST_BYTES = 1 << 20, 32 << 20
+#: A share of a sum of weights that is lost to rounding at most.
+ROOM = 1e-9
 
 
 @dataclass(frozen=True)
@@ -47,46 +50,49 @@ def unknown_weight(weights: DataFrame) -> Column:
     return F.ln(size.scalar()) + 0.5
 
 
-def _title_blocks(entries: DataFrame) -> Iterator[list[tuple]]:
-    """entry_id and title words, in blocks whose words stay near BLOCK_BYTES, one at a time on the driver."""
-    titles = stored(entries.select("entry_id", tx.words(tx.normalize(F.col("title"))).alias("words")).where(F.size("words") >= 2))
-    total = titles.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES) or 1
-    for k in range(n):
-        yield [(r.entry_id, r.words) for r in titles.where(F.pmod(F.xxhash64("entry_id"), F.lit(n)) == k).collect()]
-
-
 def phrase_matches(files: DataFrame, entries: DataFrame) -> DataFrame:
     """file_id, entry_id and longest: words of the longest run of 2 to PHRASE_WORDS title words that a file's text contains.
 
-    ``files``: file_id, cert (normalized). Text may contain a run inside longer words. Neighbouring words of all titles of
-    a block are the patterns of one automaton, which reads a text once; matches that go on from each other make longer
-    runs. Each block's pairs are its own, so blocks are a union.
+    ``files``: file_id, cert (normalized). Text may contain a run inside longer words. Titles and texts are packed in blocks
+    near BLOCK_BYTES each, on the executors; each block of texts, read once, meets each block of titles. Neighbouring words
+    of a block's titles are the patterns of one automaton; matches that go on from each other make longer runs.
     """
     kinds = {f.name: f.dataType.simpleString() for f in [*files.schema, *entries.schema]}
-
-    def matched(block: list[tuple]) -> DataFrame:
-        held = files.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            where: dict[str, list[tuple[int, int]]] = {}
-            for e, (_, words) in enumerate(held.value):
-                for i in range(len(words) - 1):
-                    where.setdefault(f"{words[i]} {words[i + 1]}", []).append((e, i))
-            machine = ahocorasick.Automaton()
-            for pair, at in where.items():
-                machine.add_word(pair, (len(pair), pair.index(" ") + 1, at))
-            if where:
-                machine.make_automaton()
-            for batch in batches:
-                rows = []
-                for file_id, cert in zip(batch.file_id, batch.cert, strict=True):
-                    rows += [(file_id, held.value[e][0], n) for e, n in (longest_runs(machine.iter(cert)) if where else {}).items()]
-                yield pd.DataFrame(rows, columns=["file_id", "entry_id", "longest"])
-
-        return files.select("file_id", "cert").mapInPandas(run, f"file_id {kinds['file_id']}, entry_id {kinds['entry_id']}, longest int")
-
-    return reduce(DataFrame.unionByName, map(matched, _title_blocks(entries)))
+    titles = stored(entries.select("entry_id", tx.words(tx.normalize(F.col("title"))).alias("words")).where(F.size("words") >= 2))
+    size = titles.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0
+    n_blocks = -(-size // BLOCK_BYTES) or 1
+    dealt = titles.withColumn("block", F.pmod(F.xxhash64("entry_id"), F.lit(n_blocks)))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("entry_id", "words")).alias("titles"))
+    texts = packed(files.select("file_id", "cert"), BLOCK_BYTES).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    few = (lambda df: F.broadcast(df)) if size <= MOST_BYTES else (lambda df: df)
+    met = texts.join(few(blocks), "block").select("payload", "block", "titles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, machine, ids = None, None, []
+        for batch in batches:
+            for payload, block, held in zip(*batch.columns, strict=True):
+                if known != block.as_py():
+                    known, held = block.as_py(), held.as_py()
+                    machine, ids = automaton([t["words"] for t in held]), [t["entry_id"] for t in held]
+                texts = unpacked(payload.as_py())
+                rows = [(f, ids[e], n) for f, cert in zip(*(c.to_pylist() for c in texts.columns), strict=True) for e, n in longest_runs(machine.iter(cert)).items()]
+                if rows:
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["file_id", "entry_id", "longest"]).astype({"longest": "int32"}), preserve_index=False)
+
+    return met.mapInArrow(run, f"file_id {kinds['file_id']}, entry_id {kinds['entry_id']}, longest int")
+
+
+def automaton(titles: list[list[str]]) -> ahocorasick.Automaton:
+    """Finds each pair of neighbouring words: its length, where its second word begins, and the titles and places that it is from."""
+    where: dict[str, list[tuple[int, int]]] = {}
+    for e, words in enumerate(titles):
+        for i in range(len(words) - 1):
+            where.setdefault(f"{words[i]} {words[i + 1]}", []).append((e, i))
+    machine = ahocorasick.Automaton()
+    for pair, at in where.items():
+        machine.add_word(pair, (len(pair), pair.index(" ") + 1, at))
+    machine.make_automaton()
+    return machine
 
 
 def longest_runs(hits) -> dict[int, int]:
@@ -117,36 +123,146 @@ def combine(phrase: Column, matched: Column, total: Column, coverage: Column, ve
     )
 
 
+def _tokens(entries: DataFrame, weights: DataFrame) -> DataFrame:
+    """entry_id, side (t or v, of title or venue), token, tf and weight, stored."""
+    side = lambda c, s: entries.select("entry_id", F.lit(s).alias("side"), F.explode(tx.meaningful(tx.normalize(F.col(c)))).alias("token"))
+    tokens = side("title", "t").unionByName(side("venue", "v")).groupBy("entry_id", "side", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return stored(tokens.join(weights.select("token", "weight"), "token", "left").withColumn("weight", F.coalesce("weight", unknown_weight(weights))))
+
+
+def _normal(files: DataFrame) -> DataFrame:
+    """file_id, cert (the normalized text that scores read) and words (its meaningful ones), stored."""
+    normal = files.select("file_id", tx.normalize(F.substring("text", 1, TEXT_CHARS)).alias("cert"))
+    return stored(normal.withColumn("words", F.array_distinct(tx.meaningful(F.col("cert")))))
+
+
+def _words(normal: DataFrame) -> DataFrame:
+    return normal.select("file_id", F.explode("words").alias("token"))
+
+
 def text_scores(files: DataFrame, entries: DataFrame, least: float = 0.0) -> DataFrame:
     """file_id, entry_id and score of every pair whose text score is above 0 and at least ``least``.
 
-    ``files``: file_id, text. ``entries``: entry_id, title, venue. A score above 0 needs a meaningful word of the
-    title or of the venue in the file, so pairs come from an inverted index, an equi-join on words, and not from
-    a product of the tables; word counts and weights are summed in the same aggregation, in part where the file's
-    words are. Phrases are found by ``phrase_matches``; neither texts nor titles meet the pairs.
+    ``files``: file_id, text. ``entries``: entry_id, title, venue. Entries of equal title and venue are scored once. With a floor,
+    pairs come from ``candidates``, so that words which too many files have are no join keys, and each pair is then scored in its
+    row. Without one every pair that shares a word may count, see ``all_scores``.
     """
-    weights = idf(entries)
-    side = lambda c, s: entries.select("entry_id", F.lit(s).alias("side"), F.explode(tx.meaningful(tx.normalize(F.col(c)))).alias("token"))
-    tokens = side("title", "t").unionByName(side("venue", "v")).groupBy("entry_id", "side", "token").agg(F.count(F.lit(1)).alias("tf"))
-    unknown = unknown_weight(weights)
-    tokens = stored(tokens.join(weights.select("token", "weight"), "token", "left").withColumn("weight", F.coalesce("weight", unknown)))
+    e = entries.select("entry_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("venue", F.lit("")).alias("venue"))
+    members = stored(e.join(e.groupBy("title", "venue").agg(F.min("entry_id").alias("head")), ["title", "venue"]))
+    heads = members.where("entry_id = head").select("entry_id", "title", "venue").distinct()
+    tokens, normal = _tokens(heads, idf(e)), _normal(files)
+    if least > 0:
+        found = scored(candidates(normal, heads, tokens, least), normal, heads, tokens, least)
+    else:
+        found = all_scores(normal, heads, tokens)
+    if members.where("entry_id <> head").isEmpty():
+        return found
+    return found.withColumnRenamed("entry_id", "head").join(members.select("head", "entry_id"), "head").select("file_id", "entry_id", "score")
+
+
+def all_scores(normal: DataFrame, entries: DataFrame, tokens: DataFrame, within: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Scores above 0 of all pairs that share a word, and a kind if ``within`` has the kinds of files and of entries: word counts and weights are summed in the join on words, in part where a
+    file's words are, and phrases are found by ``phrase_matches``; neither texts nor titles meet the pairs."""
     title, venue = F.col("side") == "t", F.col("side") == "v"
     of = lambda when, value, none: F.sum(F.when(when, value).otherwise(none))
     mass = F.col("tf") * F.col("weight")
     totals = tokens.groupBy("entry_id").agg(of(title, F.col("tf"), 0).alias("total"), of(title, mass, 0.0).alias("mass"), of(venue, mass, 0.0).alias("venue_mass"))
-    normal = stored(files.select("file_id", tx.normalize(F.substring("text", 1, TEXT_CHARS)).alias("cert")))
-    words = normal.select("file_id", F.explode(F.array_distinct(tx.meaningful(F.col("cert")))).alias("token"))
-    met = words.join(tokens, "token").groupBy("file_id", "entry_id").agg(
+    words, theirs, keys = _words(normal), tokens, ["token"]
+    if within:
+        words, theirs, keys = words.join(within[0], "file_id"), theirs.join(within[1], "entry_id"), ["token", "kind"]
+    met = words.join(theirs, keys).groupBy("file_id", "entry_id").agg(
         of(title, F.col("tf"), 0).alias("matched"), of(title, mass, 0.0).alias("got"), of(venue, F.col("tf"), 0).alias("venue_matched"), of(venue, mass, 0.0).alias("venue_got")
     )
     titles = stored(entries.select("entry_id", F.size(tx.words(tx.normalize(F.col("title")))).alias("n_words")).join(totals, "entry_id"))
     found = met.join(titles, "entry_id").join(phrase_matches(normal, entries), ["file_id", "entry_id"], "left")
+    return _combined(found.withColumn("longest", F.coalesce("longest", F.lit(0)))).where("score > 0")
+
+
+def _combined(parts: DataFrame) -> DataFrame:
+    """file_id, entry_id and score from matched, got, venue_matched, venue_got, total, mass, venue_mass, n_words and longest."""
     share = lambda got, mass: F.when(F.col(mass) > 0, F.col(got) / F.col(mass)).otherwise(0.0)
-    longest = F.when(F.col("matched") > 0, F.coalesce("longest", F.lit(0))).otherwise(0)
+    longest = F.when(F.col("matched") > 0, F.col("longest")).otherwise(0)
     phrase = longest / F.least(F.greatest("n_words", F.lit(1)), F.lit(PHRASE_WORDS))
-    parts = found.select("file_id", "entry_id", "matched", "venue_matched", "total", share("got", "mass").alias("coverage"), share("venue_got", "venue_mass").alias("venue_coverage"), phrase.alias("phrase"))
-    score = combine(*map(F.col, ("phrase", "matched", "total", "coverage", "venue_coverage", "venue_matched")))
-    return parts.select("file_id", "entry_id", score.alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
+    parts = parts.select("file_id", "entry_id", "matched", "venue_matched", "total", share("got", "mass").alias("coverage"), share("venue_got", "venue_mass").alias("venue_coverage"), phrase.alias("phrase"))
+    return parts.select("file_id", "entry_id", combine(*map(F.col, ("phrase", "matched", "total", "coverage", "venue_coverage", "venue_matched"))).alias("score"))
+
+
+def word_keys(tokens: DataFrame, seen: DataFrame, titles: DataFrame, least: float) -> DataFrame:
+    """entry_id and token: words of which a file has one at least if its score reaches ``least`` by words.
+
+    The score reaches it by a title coverage of ``least``, or by a venue coverage of 0.5 or more (see ``combine``). So the words that most
+    files have (``seen``: token, files) are no keys as long as their joint weight stays below that. A run of one or two title words may
+    reach it too (``titles``: see ``titles_of``): such a title gives up one word at most, and none if it is short, since a pair
+    needs two words of it, or a run of three.
+    """
+    w = Window.partitionBy("entry_id", "side").orderBy(F.desc("files"), "token")
+    mass = F.col("tf") * F.col("weight")
+    t = tokens.join(seen, "token").join(titles.select("entry_id", "n_words", "run"), "entry_id").withColumn("mass", mass)
+    total = tokens.groupBy("entry_id", "side").agg(F.sum(mass).alias("all"))
+    t = t.join(total, ["entry_id", "side"]).withColumns({"given": F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "k": F.row_number().over(w)})
+    bound = F.when(F.col("side") == "t", F.lit(least)).otherwise(0.5)
+    light = F.col("given") < (bound - ROOM) * F.col("all")
+    spared = (F.col("side") == "v") | (F.col("run") > 2) | ((F.col("n_words") > 3) & (F.col("k") == 1) & (F.col("tf") == 1))
+    return t.where(~(light & spared)).select("entry_id", "token").distinct()
+
+
+def run_keys(texts: DataFrame, words: Column, size: int) -> DataFrame:
+    """The first column of ``texts`` and a key for each run of ``size`` of its words: the inner words, the last letter of the one
+    before and the first of the one after, as a text may hold a run inside longer words."""
+    name = texts.columns[0]
+    spans = F.when(F.size("w") >= size, F.arrays_zip(*[F.slice("w", k + 1, F.size("w") - size + 1).alias(f"w{k}") for k in range(size)]))
+    each = texts.select(name, words.alias("w")).select(name, F.explode(spans).alias("x")).select(name, "x.*")
+    return each.select(name, F.concat_ws(" ", F.right("w0", F.lit(1)), *[f"w{k}" for k in range(1, size - 1)], F.left(F.col(f"w{size - 1}"), F.lit(1))).alias("key"))
+
+
+def candidates(normal: DataFrame, entries: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """file_id, entry_id and by_run of all pairs whose text score may reach ``least`` (and of others), by equi-joins on words and on runs of words.
+
+    ``normal``: file_id, cert. A pair reaches it by weight, and then shares one of the ``word_keys``, or by a run of
+    least * min(words, PHRASE_WORDS) title words; the keys of runs of three or four words find that (by_run).
+    """
+    titles = stored(titles_of(entries, least))
+    words = _words(normal)
+    seen = words.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("files"))
+    found = words.join(stored(word_keys(tokens, seen, titles, least)), "token").select("file_id", "entry_id", F.lit(False).alias("by_run"))
+    for size in sorted(r[0] for r in titles.where("size > 0").select("size").distinct().collect()):
+        theirs = titles.where(F.col("size") == size)
+        runs = run_keys(normal, F.split("cert", " "), size)
+        found = found.unionByName(runs.join(run_keys(theirs, F.col("said"), size), "key").select("file_id", "entry_id", F.lit(True).alias("by_run")))
+    return found.groupBy("file_id", "entry_id").agg(F.max("by_run").alias("by_run"))
+
+
+def titles_of(entries: DataFrame, least: float) -> DataFrame:
+    """entry_id, said (title words), n_words, run (words in a row that reach ``least``) and size (words of the run that is a key; 0 for short titles)."""
+    t = entries.select("entry_id", tx.words(tx.normalize(F.col("title"))).alias("said")).withColumn("n_words", F.size("said"))
+    t = t.withColumn("run", F.ceil(F.least("n_words", F.lit(PHRASE_WORDS)) * (least - ROOM)).cast("int"))
+    return t.withColumn("size", F.when((F.col("n_words") <= 3) & (F.col("run") <= 2), 0).when(F.col("run") > 3, 4).otherwise(3))
+
+
+def scored(pairs: DataFrame, normal: DataFrame, entries: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """file_id, entry_id and text score, of at least ``least``, of ``pairs``, each told in its row from the file's text and the entry's words.
+
+    Words come first. A run is looked for only in pairs that its key has found, whose titles are too short for the key, or whose venue
+    may lift a lower score; elsewhere it stays below ``least``, and so below what words or venue give.
+    """
+    of = lambda s: F.array_agg(F.when(F.col("side") == s, F.struct("token", "tf", (F.col("tf") * F.col("weight")).alias("mass"))))
+    e = titles_of(entries, least).join(tokens.groupBy("entry_id").agg(of("t").alias("t"), of("v").alias("v")), "entry_id")
+    e = e.withColumn("tokens", F.array_union(F.transform("t", lambda x: x["token"]), F.transform("v", lambda x: x["token"])))
+    row = pairs.join(e, "entry_id").join(normal, "file_id").withColumn("both", F.array_intersect("tokens", "words"))
+    row = row.select("file_id", "entry_id", "by_run", "n_words", "run", "said", "t", "v", "cert", F.explode(F.array("both")).alias("both"))
+    held = lambda s: F.filter(s, lambda x: F.array_contains("both", x["token"]))
+    add = lambda words, field: F.aggregate(words, F.lit(0).cast("double" if field == "mass" else "long"), lambda a, x: a + x[field])
+    sums = {"matched": add(held("t"), "tf"), "got": add(held("t"), "mass"), "venue_matched": add(held("v"), "tf"), "venue_got": add(held("v"), "mass"), "total": add("t", "tf"), "mass": add("t", "mass"), "venue_mass": add("v", "mass")}
+    row = row.select("file_id", "entry_id", "by_run", "n_words", "run", "said", "cert", F.explode(F.array(F.struct(*[v.alias(k) for k, v in sums.items()]))).alias("s")).select("*", "s.*")
+    by_venue = F.col("venue_got") >= (0.5 - ROOM) * F.col("venue_mass")
+    by_words = F.col("got") >= (least - ROOM) * F.col("mass")
+    told = by_words | ((F.col("venue_got") >= 0.6 * F.col("venue_mass")) & (F.col("venue_matched") >= 2) & (F.col("got") < 0.4 * F.col("mass"))) if least <= 0.4 else F.lit(False)
+    reads = F.col("by_run") | (F.col("run") <= 2) | (by_venue & ~told)
+    holds = lambda s, k: F.contains(F.col("cert"), F.array_join(F.slice("said", s, k), " "))
+    further = lambda s: F.size(F.filter(F.sequence(F.lit(2), F.least(F.lit(PHRASE_WORDS), F.col("n_words") - s + 1)), lambda k: holds(s, k))) + 1
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_words") - 1), lambda s: F.when(holds(s, F.lit(2)), further(s)).otherwise(0)))
+    row = row.where(reads | by_words | by_venue).withColumn("longest", F.when(reads & (F.col("n_words") >= 2) & (F.col("matched") > 0), most).otherwise(0))
+    return _combined(row).where((F.col("score") > 0) & (F.col("score") >= least))
 
 
 def title_scores(files: DataFrame, titles: DataFrame, least: float = 0.0) -> DataFrame:
@@ -194,8 +310,8 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
 
     ``files``: file_id, cert_key, text, years (array<int>), folder_kinds (array<string>). ``entries``: entry_id,
     title, venue, kind, portaria, edital, doi, issn (space-separated lists), year, end_year, hash_key. ``rejected``:
-    cert_key, hash_key. Candidates are pairs that share a word, or an identifier: four equi-joins. Only pairs of at
-    least ``least`` come back.
+    cert_key, hash_key. Candidates are pairs that share an identifier, by equi-joins, and those of ``text_scores``. Only pairs of at
+    least ``least`` come back; see ``_floored_scores`` for what that spares.
     """
     f = stored(file_features(files).drop("text"))
     listed = lambda c: tx.words(F.col(c))
@@ -207,14 +323,14 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
         right = e.select("entry_id", F.explode(b).alias("id")).select("entry_id", fn(F.col("id")).alias("id")).distinct()
         return left.join(right, "id").select("file_id", "entry_id")
 
-    texts = text_scores(files, entries)
+    texts = _floored_scores(files, entries, by("issns", "issns_e").distinct(), options.folder, least) if least > 0 else text_scores(files, entries)
     found = by("pairs", "pairs_e", key).unionByName(by("calls", "calls_e")).unionByName(by("dois", "dois_e")).distinct()
     pairs = found.join(texts, ["file_id", "entry_id"], "full").withColumn("text_score", F.coalesce("score", F.lit(0.0))).drop("score")
     pairs = pairs.join(f, "file_id").join(e.drop("title", "venue"), "entry_id").where(gated(F.col("kind"), F.col("has_pub_id"), F.col("is_ordinance")))
     if rejected is not None:
         pairs = pairs.join(rejected.select("cert_key", "hash_key").distinct(), ["cert_key", "hash_key"], "left_anti")
     ordinance = ids.ordinance_score(F.col("pairs"), F.col("pairs_e"))
-    issn = F.when((F.col("text_score") > 0.2) & F.arrays_overlap("issns", "issns_e"), F.least(F.lit(1.0), F.col("text_score") + ISSN_BONUS)).otherwise(F.col("text_score"))
+    issn = F.when((F.col("text_score") > ISSN_LEAST) & F.arrays_overlap("issns", "issns_e"), F.least(F.lit(1.0), F.col("text_score") + ISSN_BONUS)).otherwise(F.col("text_score"))
     call, doi = F.arrays_overlap("calls", "calls_e"), F.arrays_overlap("dois", "dois_e")
     raw = F.when(ordinance > 0, ordinance).when(call, 0.99).when(doi, 1.0).otherwise(issn)
     pairs = pairs.withColumn("is_identifier", (ordinance > 0) | call | doi).withColumn("raw", raw)
@@ -225,6 +341,26 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
     return out.where((F.col("score") > 0) & (F.col("score") >= least)).select("file_id", "entry_id", "score", "is_identifier")
 
 
+def _floored_scores(files: DataFrame, entries: DataFrame, same_issn: DataFrame, folder: bool, least: float) -> DataFrame:
+    """Text scores of the pairs whose score may still reach ``least`` with what a year, an ISSN or a folder's kind adds.
+
+    A year lifts any pair, so ``candidates`` have a floor below ``least`` by that. An ISSN lifts the pairs that share it, which are few and scored
+    as they are. A kind lifts the pairs of a file and an entry of that kind, which share a word and the kind.
+    """
+    e = entries.select("entry_id", "kind", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("venue", F.lit("")).alias("venue"))
+    tokens, normal = _tokens(e, idf(e)), _normal(files)
+    plain = least - YEAR_BONUS - ROOM
+    if plain <= 0:
+        return all_scores(normal, e, tokens)
+    out = scored(candidates(normal, e, tokens, plain), normal, e, tokens, plain)
+    out = out.unionByName(scored(same_issn.withColumn("by_run", F.lit(True)), normal, e, tokens, ISSN_LEAST))
+    if folder:
+        kinds = files.select("file_id", F.explode("folder_kinds").alias("kind")).distinct()
+        hinted = normal.join(kinds.select("file_id").distinct(), "file_id", "left_semi")
+        out = out.unionByName(all_scores(hinted, e, tokens, (kinds, e.select("entry_id", "kind"))))
+    return out.groupBy("file_id", "entry_id").agg(F.max("score").alias("score"))
+
+
 def ranked(pairs: DataFrame, order: str = "entry_id") -> DataFrame:
     """Pairs with their rank in their file: best score first, then by ``order``."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("score"), order)))

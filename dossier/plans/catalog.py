@@ -240,9 +240,10 @@ COMBO_SQL = TRIPLED_SQL + """, o as (select file_id, entry_id, row_number() over
  c as (select file_id, array_to_string(list(entry_id order by k), ',') as combos from o where k <= 3 group by 1)"""
 
 
-def _tripled(spark, sf) -> DataFrame:
+def _tripled(spark, sf, least: float = 0.0) -> DataFrame:
     e = _entries(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
-    return scoring.ranked(scoring.text_scores(_files(spark, sf), e.withColumn("entry_id", F.col("entry_id") * 3 + F.col("k")).drop("k")).withColumn("score", F.round("score", 6)))
+    e = e.withColumn("entry_id", F.col("entry_id") * 3 + F.col("k")).drop("k")
+    return scoring.ranked(scoring.text_scores(_files(spark, sf), e, least).withColumn("score", F.round("score", 6)))
 
 
 def _combo_list(combos: str) -> Column:
@@ -251,7 +252,7 @@ def _combo_list(combos: str) -> Column:
 
 @query(COMBO_SQL + " select * from c")
 def combo_entries(spark, sf):
-    r = _tripled(spark, sf)
+    r = _tripled(spark, sf, scoring.GUESS)
     return scoring.combos(r, r.where("rank = 1")).select("file_id", _combo_list("combos").alias("combos"))
 
 
@@ -260,9 +261,9 @@ REVIEW_SQL = COMBO_SQL + """, v as (select doc_id as file_id, case when coalesce
  from documents left join (select * from r where rank = 1) x on x.file_id = doc_id left join c on c.file_id = doc_id)"""
 
 
-def _review(spark, sf) -> DataFrame:
+def _review(spark, sf, least: float = 0.0) -> DataFrame:
     files = _files(spark, sf).select("file_id", (F.col("text") != "").alias("has_text"))
-    return scoring.review(_tripled(spark, sf), files)
+    return scoring.review(_tripled(spark, sf, least), files)
 
 
 @query(REVIEW_SQL + " select * from v")
@@ -273,14 +274,14 @@ def limbo_review(spark, sf):
 
 @query(REVIEW_SQL + " select count(*) as n_files, count(entry_id) as n_suggested, count(*) filter (band = 'confident') as n_confident, count(*) filter (no_likely_entry) as n_unlikely from v")
 def scan_counters(spark, sf):
-    return scoring.scan_counters(_review(spark, sf))
+    return scoring.scan_counters(_review(spark, sf, scoring.GUESS))
 
 
 @query()
 def global_assignment(spark, sf):
     """Sequential in its near ties, for each source as a profile; held against a plain loop in the tests."""
     profile = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("")).alias("profile_id"))
-    return scoring.assign(scoring.ranked(_scores(spark, sf)).join(profile, "file_id"))
+    return scoring.assign(scoring.ranked(_scores(spark, sf, scoring.GUESS)).join(profile, "file_id"))
 
 
 YEARS = "array(year(o_orderdate), year(o_orderdate) - cast(o_orderkey % 9 as int))"
@@ -415,7 +416,7 @@ def relink_by_hash(spark, sf):
 @query(RANKED_SQL + " select doc_id as file_id, case when doc_id % 4 = 0 then doc_id % 10 else entry_id end as entry_id from documents left join (select * from r where rank = 1 and score >= 0.9) on file_id = doc_id")
 def relink_fallback(spark, sf):
     left = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.expr("case when doc_id % 4 = 0 then doc_id % 10 end").alias("entry_id"))
-    return links.relink_fallback(left, scoring.ranked(_scores(spark, sf)))
+    return links.relink_fallback(left, scoring.ranked(_scores(spark, sf, scoring.CONFIDENT - 1e-6)))
 
 
 @query("select l_orderkey, l_partkey, l_linenumber, row_number() over (partition by l_partkey order by l_linenumber, l_shipdate, l_orderkey) - 1 as cert_order from lineitem")
