@@ -226,12 +226,22 @@ def short_label(text: Column, most: int = 22) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 2), F.lit("…"))).otherwise(text)
 
 
+# What names an institution, what a line that names one never has, work regimes glued to its end, and its abbreviation.
+SCHOOLS, NO_SCHOOL = "universidade|instituto|faculdade|fundacao", "^\\d|portaria|lotado|outras informac|vinculo:|dedicac|regime|carga hor"
+REGIME, ABBREVIATION = "\\s*(Integral|Parcial|Horista|Dedica[çc][ãa]o\\s*[Ee]xclusiva)\\s*$", "\\s*-\\s*[A-ZÀ-Ú]{2,10}$"
+
+
+def is_institution(line: Column) -> Column:
+    """The line of a professional record that names the institution of what follows."""
+    n = normalize_header(line)
+    return n.rlike(SCHOOLS) & ~n.rlike(NO_SCHOOL)
+
+
 def institution_name(line: Column) -> Column:
     """Institution without the country and without a work regime glued to its end."""
-    base = F.regexp_replace(line, ",\\s*Brasil\\.?\\s*$", "")
-    return strip(F.regexp_replace(base, "(?i)\\s*(Integral|Parcial|Dedicação exclusiva|Dedicacao exclusiva)\\s*$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(line, ", Brasil\\.?", ""), REGIME, ""))
 
 
 def institution_key(name: Column) -> Column:
-    """Grouping key of an institution: folded, without the abbreviation after a dash."""
-    return normalize(F.regexp_replace(name, "\\s+-\\s+[A-ZÀ-Ý]{2,}.*$", ""))
+    """Grouping key of an institution: folded, without the abbreviation after a last dash."""
+    return normalize_header(F.regexp_replace(name, ABBREVIATION, ""))

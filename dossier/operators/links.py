@@ -180,9 +180,8 @@ def existing(links: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def picker(sections: DataFrame, entries: DataFrame) -> DataFrame:
-    """title and entries (ids in order) of each section title, by title: what a file can be linked to by hand."""
-    joined = entries.join(sections.select("section_id", "title"), "section_id")
-    return joined.groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("entry_order", "entry_id"))), lambda x: x["entry_id"]).alias("entries")).orderBy("title")
+    """title, entry_order and entry_id of each entry that a file can be linked to by hand, a row each; ordered by these, a title's entries stand together."""
+    return entries.join(sections.select("section_id", "title"), "section_id").select("title", "entry_order", "entry_id")
 
 
 def confirmed_entries(statuses: DataFrame) -> DataFrame:

@@ -16,10 +16,9 @@ from dossier.sources.shared import cut
 FIELDS = {"raw_text": "", "title": "", "kind": "", "year": 0, "end_year": 0, "authors": "", "venue": "", "doi": "", "isbn": "", "portaria": "", "issn": "", "edital": ""}
 # Kinds of a professional record with their titles, marks of its lines, least lengths, and of awards.
 RECORD_KINDS = (("Vínculo institucional", "Vínculo institucional"), ("Atividade administrativa", "Atividades administrativas"), ("Disciplina ministrada", "Disciplinas ministradas"))
-SCHOOLS, NO_SCHOOL = "universidade|instituto|faculdade|fundacao", "^\\d|portaria|lotado|outras informac|vinculo:|dedicac|regime|carga hor"
 BOND = "^\\d{4}\\s*-\\s*(\\d{4}|Atual)\\s+Vínculo:"
 SPAN_STARTS, SPAN_ENDS = "^(especificacao|cargos ocupados)", "^(atividades$|outras informacoes|disciplinas ministradas|especificacao|cargos ocupados)"
-ACTIVITY_CUT = "(?s)(\\s*[-,.]?\\s*(?i:portaria|resolu[çc][ãa]o)\\b| , ).*$"
+ACTIVITY_CUT = "(?s)(\\s*[-,.]?\\s*(?iu:portaria|resolu[çc][ãa]o)\\b| , ).*$"
 LEAKS = "grande area|subarea|^area:|^/ area|^compreende|^fala |^le |^escreve|^periodico|^ordenar por|^ordem "
 RECORD_LEAKS, ORGANISED = "disciplinas ministradas|vinculo:|conselhos, comissoes", "Organização de evento"
 YEAR_HEAD = "^((?:19|20)\\d{2}[\\s,]+)+"
@@ -171,7 +170,7 @@ def professional(body_lines: DataFrame, group: list[str]) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     l = body_lines.where((F.col("line") != "") & ~segment.is_noise(F.col("line"))).withColumn("n", tx.normalize_header(F.col("line")))  # noqa: E741
     line, n = F.col("line"), F.col("n")
-    l = l.withColumns({"school": n.rlike(SCHOOLS) & ~n.rlike(NO_SCHOOL), "bond": line.rlike(BOND), "starts": n.rlike(SPAN_STARTS), "dated": line.rlike("^\\d{1,2}/\\d{4}")})  # noqa: E741
+    l = l.withColumns({"school": tx.is_institution(line), "bond": line.rlike(BOND), "starts": n.rlike(SPAN_STARTS), "dated": line.rlike("^\\d{1,2}/\\d{4}")})  # noqa: E741
     breaks = line.rlike("^\\d{1,2}/\\d{4}\\s*-") | F.col("school") | n.rlike(SPAN_ENDS) | F.startswith(line, F.lit("https://")) | F.col("bond")
     mark = F.when(F.col("starts"), F.col("line_no")).when(breaks, -1)
     l = l.withColumn("span", F.coalesce(F.last(mark, ignorenulls=True).over(so_far), F.lit(-1)))  # noqa: E741
@@ -224,7 +223,7 @@ def by_institution(record: DataFrame, group: list[str]) -> DataFrame:
     Spellings with and without an abbreviation at the end are one institution, under the longest one. Institutions and
     the entries of each kind come most recent first; what is open, courses aside, is most recent of all.
     """
-    key = F.when(F.col("venue") == "", "outros vinculos").otherwise(tx.normalize_header(F.regexp_replace("venue", "\\s*-\\s*[A-ZÀ-Ú]{2,10}$", "")))
+    key = F.when(F.col("venue") == "", "outros vinculos").otherwise(tx.institution_key(F.col("venue")))
     recent = F.when((F.col("kind") != RECORD_KINDS[2][0]) & (F.col("end_year") == 0) & (F.col("year") > 0), 9999).otherwise(F.greatest("year", "end_year"))
     e = record.withColumns({"key": key, "recent": recent})
     named = F.when(F.col("venue") != "", F.col("venue"))

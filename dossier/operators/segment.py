@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +62,16 @@ EXCLUDED = (
 STOP, DONE, ONGOING = "totais de producao", "orientacoes e supervisoes concluidas", "orientacoes e supervisoes em andamento"
 NOISE_LINES = ("Currículo Lattes", "Ordenar por", "Ordem Cronológica", "Ordem de Importância")
 PREFIX_LEAST = 12
-#: Characters of a line that decide on a header; the longest name has 62, and twice as many letters may carry marks.
+#: Characters of a folded line that decide on a header; the longest name has 62.
 HEAD_CHARS = 160
 PERIOD = "\\b\\d{4}\\s*-\\s*(?:\\d{4}|[Aa]tual)\\b"
-COMMITTEE = "(?i)Participaç[ãa]o\\s+em\\s+banca\\s+de"
+COMMITTEE = "(?iu)Participaç[ãa]o\\s+em\\s+banca\\s+de"
 EVENT_MARK = "(?i)evento\\s*\\)"
 BARE_NUMBER, NUMBER_START, CLUSTER = "^\\s*(\\d{1,3})\\.\\s*$", "^\\s*\\d{1,3}\\.(\\s+\\S|\\s*$)", "^\\s*(\\d{1,3}\\.\\s+){2,}"
 TIME_STAMP = "^\\d{2}/\\d{2}/\\d{4},?\\s*\\d{1,2}:\\d{2}"
 METADATA = ("palavras-chave", "referencias adicionais", "home page", "meio de divulgacao")
 CITED_KINDS = ("Artigo", "Livro/Capítulo", "Trabalho em evento", "Produção técnica", "Mídia", "Corpo editorial")
-RANK_NOTE = "(?i)^(A[1-4]|B[1-5]|C|N[ãa]o classificado)\\s*,\\s*ISSN"
+RANK_NOTE = "(?iu)^(A[1-4]|B[1-5]|C|N[ãa]o classificado)\\s*,\\s*ISSN"
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -94,8 +91,8 @@ def closes_more(text: Column) -> Column:
 
 
 def header_name(line: Column) -> Column:
-    """What of a line a header is found by: the folded line, of a long one its first HEAD_CHARS characters and a mark that no name has."""
-    return F.when(F.length(line) <= HEAD_CHARS, tx.normalize_header(line)).otherwise(F.concat(tx.normalize_header(F.substring(line, 1, HEAD_CHARS)), F.lit("\u0001")))
+    """What of a line a header is found by: of the folded line, if that is long, its first HEAD_CHARS characters and a mark that no name has."""
+    return let(tx.normalize_header(line), lambda n: F.when(F.length(n) <= HEAD_CHARS, n).otherwise(F.concat(F.substring(n, 1, HEAD_CHARS), F.lit("\u0001"))))
 
 
 def header(norm: Column, closes: Column | None = None) -> Column:
@@ -289,69 +286,53 @@ LEVELS = {"mestrado": "Mestrado", "doutorado": "Doutorado", "exame de qualificac
 def committee_levels(body_lines: DataFrame, group: list[str]) -> DataFrame:
     """level of each line of committees, where a marker behind k item numbers takes effect k entries later.
 
-    Whether a marker is deferred depends on all before it in its body, so each body is one sequential pass; bodies
-    are single sections of a document. Lines before the first marker are left out once there is one.
+    A fold over each body's ordered lines. A marker with item numbers before it waits if no line has come since the last level
+    took effect and no other marker waits; every other marker takes effect at once. Lines at which an entry opens count down a waiting one.
+    An entry opens where its phrase begins, which may go on in the next line. Lines before the first marker are left out once
+    there is one.
     """
-    schema = body_lines.select(*group, "line_no", "line").schema
-    with_norm = body_lines.select(*group, "line_no", "line", tx.normalize_header(F.col("line")).alias("norm"))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", level string"
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    b = body_lines.select(*group, "line_no", "line").groupBy(*group).agg(ordered.alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: F.translate(r["line"], "\n\u0001", "  ")), "\n")
+    parts = F.split(F.regexp_replace(text, COMMITTEE, "\u0001$0"), "\n")
+    names = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no")
-        found = levels_of(rows.line.tolist(), rows.norm.tolist())
-        return rows.drop(columns="norm").assign(level=found)
+    def told(r: Column, part: Column) -> Column:
+        norm = tx.normalize_header(r["line"])
+        numbers = F.regexp_extract(norm, "^(\\d{1,3}\\.\\s*)*", 0)
+        level = F.try_element_at(names, F.substring(norm, F.length(numbers) + 1, F.length(norm)))
+        waits = F.length(numbers) - F.length(F.replace(numbers, F.lit("."), F.lit("")))
+        return F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"), level.alias("level"), waits.alias("waits"), F.contains(part, F.lit("\u0001")).alias("opens"))
 
-    return with_norm.groupBy(*group).applyInPandas(run, ddl).where("level is not null")
+    b = b.withColumn("rows", F.zip_with("rows", parts, told))
+    state = {"out": F.array().cast("array<string>"), "now": F.lit(""), "next": F.lit(None).cast("string"), "left": F.lit(0), "fresh": F.lit(True)}
 
+    def step(s: Column, r: Column) -> Column:
+        new = lambda **k: F.struct(*[k.get(c, s[c]).alias(c) for c in state])
+        waits = s["fresh"] & (r["waits"] > 0) & (s["now"] != "") & s["next"].isNull()
+        left = F.when(s["next"].isNotNull() & r["opens"], s["left"] - 1).otherwise(s["left"])
+        due = s["next"].isNotNull() & (left < 0)
+        now, none = F.when(due, s["next"]).otherwise(s["now"]), F.lit(None).cast("string")
+        skipped = F.array_append(s["out"], none)
+        marker = F.when(waits, new(out=skipped, next=r["level"], left=r["waits"])).otherwise(new(out=skipped, now=r["level"], next=none, left=F.lit(0), fresh=F.lit(True)))
+        return F.when(r["level"].isNotNull(), marker).otherwise(new(out=F.array_append(s["out"], now), now=now, next=F.when(~due, s["next"]), left=left, fresh=F.lit(False)))
 
-def levels_of(rows: list[str], norms: list[str]) -> list[str | None]:
-    joined = " ".join(rows)
-    ends, at = [], 0
-    for r in rows:
-        at += len(r) + 1
-        ends.append(at)
-    opening = {next(k for k, e in enumerate(ends) if m.start() < e) for m in re.finditer(COMMITTEE, joined)}
-    out: list[str | None] = [None] * len(rows)
-    current, pending, seen, empty, any_marker = "", None, 0, True, False
-    for k, norm in enumerate(norms):
-        prefix = re.match(r"(\d{1,3}\.\s*)*", norm)[0]
-        level = LEVELS.get(norm[len(prefix) :])
-        if level:
-            any_marker = True
-            numbers = prefix.count(".")
-            if empty and numbers and current and not pending:
-                pending, seen = (level, numbers), 0
-            else:
-                current, pending, empty = level, None, True
-            continue
-        if pending and k in opening:
-            seen += 1
-            if seen > pending[1]:
-                current, pending = pending[0], None
-        out[k], empty = current, False
-    return [None if any_marker and lv == "" else lv for lv in out]
+    start = F.struct(*[v.alias(k) for k, v in state.items()])
+    found = b.select(*group, "rows", F.aggregate("rows", start, step, lambda s: s["out"]).alias("levels"), F.exists("rows", lambda r: r["level"].isNotNull()).alias("marked"))
+    each = found.select(*group, "marked", F.explode(F.arrays_zip("rows", "levels")).alias("x")).select(*group, "marked", "x.rows.line_no", "x.rows.line", F.col("x.levels").alias("level"))
+    return each.where(F.col("level").isNotNull() & ~(F.col("marked") & (F.col("level") == ""))).drop("marked")
 
 
 def forward_fill(body_lines: DataFrame, group: list[str]) -> DataFrame:
     """Lines of a professional record with the institution and the period last named before or on them."""
     w = Window.partitionBy(*group).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = tx.normalize_header(F.col("line"))
-    named = n.rlike("universidade|instituto|faculdade|fundacao") & ~n.rlike("^\\d")
+    named = tx.is_institution(F.col("line"))
     bond = F.regexp_extract("line", "^(\\d{4})\\s*-\\s*(?:\\d{4}|Atual)\\s+Vínculo:", 1)
     end = F.regexp_extract("line", "^\\d{4}\\s*-\\s*(\\d{4})\\s+Vínculo:", 1)
     period = F.when(bond != "", F.struct(bond.cast("int").alias("start"), F.coalesce(F.nullif(end, F.lit("")).cast("int"), F.lit(0)).alias("end")))
     return body_lines.withColumn("institution", F.last(F.when(named, tx.institution_name(F.col("line"))), ignorenulls=True).over(w)).withColumn("period", F.last(period, ignorenulls=True).over(w))
 
 
-def regroup_institutions(entries: DataFrame, by: list[str]) -> DataFrame:
-    """Institutions with their longest name, entries and recency (an open period is 9999), most recent first."""
-    recency = F.when((F.col("year") > 0) & (F.col("end_year") == 0), 9999).otherwise(F.greatest("year", "end_year"))
-    g = entries.withColumn("key", tx.institution_key(F.col("institution"))).groupBy(*by, "key").agg(
-        F.max_by("institution", F.struct(F.length("institution"), "institution")).alias("name"), F.max(recency).alias("recency"), F.count(F.lit(1)).alias("n")
-    )
-    return g.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("recency"), "name")) - 1)
-
-
 def owner_name(docs: DataFrame) -> DataFrame:
     """doc_id and name: the line above the address line, a labelled one, or the first that looks like a name."""
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)

@@ -128,17 +128,6 @@ def folder_kinds(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(tx.folder_kinds(F.expr(FOLDER)), ",").alias("kinds"))
 
 
-def _label_sql() -> str:
-    rules = " ".join(f"when {' or '.join(f'''contains(n, '{p}')''' for p in names)} then '{kind}'" for names, kind in tx.KIND_LABELS)
-    return f"select display, case {rules} else '' end as kind from (select display, {FOLD.format('display')} as n from (select distinct unnest({sql_list(h[1] for h in segment.HEADERS)}) as display))"
-
-
-@query(_label_sql())
-def kind_labels(spark, sf):
-    rows = spark.createDataFrame([(h[1],) for h in segment.HEADERS], "display string").distinct()
-    return rows.select("display", tx.kind_label(F.col("display")).alias("kind"))
-
-
 @query("""select o_orderkey, case when y >= 2021 then '2021_2024' when y >= 2017 then '2017_2020' when y > 0 then '2016_2019' else '2021_2024' end as quad
  from (select o_orderkey, case when o_orderkey % 5 = 0 then 0 else year(o_orderdate) + 20 end as y from orders)""")
 def quad_keys(spark, sf):
@@ -538,6 +527,19 @@ def header_classify(spark, sf):
     return l.select("doc_id", "line_no", F.when(F.col("h.cls") == "section", F.col("h.display")).otherwise(F.col("h.cls")).alias("header"))
 
 
+def _label_sql() -> str:
+    rules = " ".join(f"when {' or '.join(f'''contains(norm, '{p}')''' for p in names)} then '{kind}'" for names, kind in tx.KIND_LABELS)
+    return f"with {CV_SQL}, n as (select doc_id, line_no, strip_accents(lower(line)) as norm from l) select doc_id, line_no, case {rules} else '' end as kind from n where {_header_sql('norm')} is not null"
+
+
+@query(_label_sql())
+def kind_labels(spark, sf):
+    """Kinds of the entries under each header line of the documents."""
+    h = segment.header(segment.header_name(F.col("line")), segment.closes_more(F.col("line")))
+    l = segment.lines(_cv(spark, sf)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", h.alias("h")).where("h is not null")  # noqa: E741
+    return l.select("doc_id", "line_no", tx.kind_label(F.col("line")).alias("kind"))
+
+
 @query()
 def section_assign(spark, sf):
     """Sections of lines; held against a plain state machine in the tests."""
@@ -550,11 +552,20 @@ def cv_entries(spark, sf):
     return parse.cv_entries(_cv(spark, sf))
 
 
-@query(f"""with {CV_SQL}, n as (select doc_id, line_no, line, lower(line) as low from l),
- k as (select *, length(line) between 5 and 70 and not regexp_matches(line, 'http|[:@/]|\\d') and not regexp_matches(low, 'curríc|curric|anotou|ver artigos|visualizar|endereço') and len(list_filter(string_split(line, ' '), lambda x: length(x) >= 2)) >= 2 as looks from n)
- select doc_id, coalesce(arg_min(line, line_no) filter (looks), 'Currículo Lattes') as name from k group by 1""")
+OWNED = "case doc_id % 4 when 0 then 'Maria da Silva\n\nEndereço para acessar este CV: x\n' when 1 then 'Texto 12\nNome Ana Lima\n' when 2 then 'Ver artigos: 3\nEndereço para acessar este CV: x\nNome em citações\n' else '' end"
+OWNED_DUCK = OWNED.replace("\n", "' || chr(10) || '")
+
+
+@query(f"""with {CV_SQL.replace("coalesce(text, '')", f"{OWNED_DUCK} || coalesce(text, '')", 1)}, n as (select doc_id, line_no, line, lower(line) as low, regexp_replace(substr(line, 6), '^\\s+|\\s+$', '', 'g') as rest from l),
+ k as (select *, length(line) between 5 and 70 and not regexp_matches(line, 'http|[:@/]|\\d') and not regexp_matches(low, 'curríc|curric|anotou|ver artigos|visualizar|endereço') and len(list_filter(string_split(line, ' '), lambda x: length(x) >= 2)) >= 2 as looks,
+  starts_with(line, 'Nome ') and length(rest) between 3 and 69 and not starts_with(lower(rest), 'em ') and not contains(lower(rest), 'citaç') as labelled from n),
+ a as (select *, last_value(case when line <> '' then line end ignore nulls) over w as above, last_value(case when line <> '' then looks end ignore nulls) over w as above_looks from k window w as (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding)),
+ g as (select doc_id, arg_min(above, line_no) filter (contains(line, 'Endereço para acessar este CV') and above is not null) as a, arg_min(above_looks, line_no) filter (contains(line, 'Endereço para acessar este CV') and above is not null) as a_looks,
+  arg_min(rest, line_no) filter (labelled) as b, arg_min(line, line_no) filter (looks) as c from a group by 1)
+ select doc_id, coalesce(case when a_looks then a end, b, c, 'Currículo Lattes') as name from g""")
 def owner_names(spark, sf):
-    return segment.owner_name(_cv(spark, sf))
+    """Documents with an address line after a name, a labelled name, an address line after no name, or none of them."""
+    return segment.owner_name(table(spark, sf, "documents").select("doc_id", F.concat(F.expr(OWNED), F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", F.expr(CV).alias("text")))
 
 
 @query()
@@ -567,11 +578,11 @@ NUMBERED = "case when o_orderkey % 2 = 1 then cast(o_orderkey % 90 + 1 as string
 
 
 def _lines_of(spark, sf, line: str) -> DataFrame:
-    """Orders as the lines of bodies of their customers' remainders."""
-    return table(spark, sf, "orders").selectExpr("o_custkey % 97 as body", "cast(o_orderkey as int) as line_no", f"{line} as line")
+    """Orders as the lines of their customers' bodies."""
+    return table(spark, sf, "orders").selectExpr("o_custkey as body", "cast(o_orderkey as int) as line_no", f"{line} as line")
 
 
-@query(f"""with l as (select o_custkey % 97 as body, o_orderkey as line_no, {NUMBERED} as line from orders),
+@query(f"""with l as (select o_custkey as body, o_orderkey as line_no, {NUMBERED} as line from orders),
  n as (select *, row_number() over (partition by body order by line_no) as k from l),
  c as (select *, sum(case when k > 1 and regexp_matches(line, '^\\s*\\d{{1,3}}\\.(\\s+\\S|\\s*$)') then 1 else 0 end) over (partition by body order by line_no) as chunk_no from n)
  select body, cast(chunk_no as bigint) as chunk_no, array_to_string(list(regexp_replace(line, '^\\s*\\d{{1,3}}\\.\\s*', '') order by line_no), ' ') as chunk from c group by 1, 2""")
@@ -582,7 +593,7 @@ def split_numbered(spark, sf):
 DETACHED = "case when o_orderkey % 3 = 0 then 'text' || cast(o_custkey as string) when o_orderkey % 7 = 0 then '' else cast(o_orderkey % 3 + o_custkey % 50 as string) || '.' end"
 
 
-@query(f"""with l as (select o_custkey % 97 as body, o_orderkey as line_no, {DETACHED} as line from orders), f as (select * from l where line <> ''),
+@query(f"""with l as (select o_custkey as body, o_orderkey as line_no, {DETACHED} as line from orders), f as (select * from l where line <> ''),
  v as (select *, try_cast(regexp_extract(line, '^(\\d{{1,3}})\\.$', 1) as int) as v, row_number() over (partition by body order by line_no) as k from f),
  n as (select *, v = lag(v) over (partition by body order by k) + 1 as follows from v), a as (select body, bool_or(coalesce(follows, false)) as apart from n group by 1)
  select body, cast(line_no as int) as line_no, line from n join a using (body) where v is null or not apart""")
@@ -603,31 +614,45 @@ def split_periods(spark, sf):
 @query()
 def split_year_anchor(spark, sf):
     """A fold over lines; held against the plain loop in the tests."""
-    b = _raw_entries(spark, sf).selectExpr("section_id as body", "cast(entry_id as int) as line_no", "case entry_id % 4 when 0 then raw_text || ', 2021.' when 1 then 'https://x' when 2 then substring(raw_text, 1, 40) else '(Tipo) ' || substring(raw_text, 1, 30) || '.' end as line", "'Artigo' as kind")
+    b = _raw_entries(spark, sf).selectExpr("floor(entry_id / 1000) as body", "cast(entry_id as int) as line_no", "case entry_id % 4 when 0 then raw_text || ', 2021.' when 1 then 'https://x' when 2 then substring(raw_text, 1, 40) else '(Tipo) ' || substring(raw_text, 1, 30) || '.' end as line", "'Artigo' as kind")
     return segment.split_year_anchor(b, ["body"]).select("body", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
 
 
 @query()
 def committee_levels(spark, sf):
-    """Sequential in its deferred markers; held against the plain loop in the tests."""
-    li = table(spark, sf, "lineitem").selectExpr("l_orderkey % 500 as body", "cast(l_orderkey * 10 + l_linenumber as int) as line_no", "case (l_orderkey + l_linenumber) % 7 when 0 then 'Mestrado' when 1 then '1. 2. Doutorado' else 'Participação em banca de X' end as line")
+    """Parts as bodies, their line items as lines; a fold, held against a plain loop in the tests."""
+    li = table(spark, sf, "lineitem").selectExpr("l_partkey as body", "cast(l_orderkey * 10 + l_linenumber as int) as line_no", "case (l_orderkey + l_linenumber) % 7 when 0 then 'Mestrado' when 1 then '1. 2. Doutorado' else 'Participação em banca de X' end as line")
     return segment.committee_levels(li, ["body"]).select("body", "line_no", "level")
 
 
-@query("""with e as (select o_custkey as body, 'Universidade ' || cast(o_orderkey % 3 as string) || case when o_orderkey % 2 = 0 then ' - UFX' else '' end as institution, year(o_orderdate) as y, case when o_orderkey % 5 = 0 then 0 else year(o_orderdate) + 1 end as e from orders),
- g as (select body, trim(regexp_replace(strip_accents(lower(regexp_replace(institution, '\\s+-\\s+[A-Z]{2,}.*$', ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')) as key, arg_max(institution, lpad(cast(length(institution) as string), 5, '0') || institution) as name,
- max(case when y > 0 and e = 0 then 9999 else greatest(y, e) end) as recency, count(*) as n from e group by 1, 2) select body, key, name, recency, n, row_number() over (partition by body order by recency desc, name) - 1 as place from g""")
+VENUES = ["", "Universidade A", "Universidade A - UFX", "Universidade A-UFX", "UNIVERSIDADE A", "Instituto B - SIGLALONGADEMAIS", "Instituto B - UFx"]
+BONDS = [k for k, _ in parse.RECORD_KINDS]
+
+
+@query(f"""with e as (select o_custkey as body, o_orderkey as entry_order, {sql_list(VENUES)}[o_orderkey % 7 + 1] as venue, {sql_list(BONDS)}[o_orderkey // 7 % 3 + 1] as kind, year(o_orderdate) as year, case when o_orderkey % 5 = 0 then 0 else year(o_orderdate) + 1 end as end_year from orders),
+ k as (select *, case when venue = '' then 'outros vinculos' else trim(strip_accents(lower(regexp_replace(venue, '\\s*-\\s*[A-ZÀ-Ú]{{2,10}}$', '')))) end as key, case when kind <> 'Disciplina ministrada' and end_year = 0 and year > 0 then 9999 else greatest(year, end_year) end as recent from e),
+ i as (select body, key, coalesce(arg_max(venue, lpad(cast(length(venue) as string), 5, '0') || venue) filter (venue <> ''), 'Outros vínculos') as shown, max(recent) as latest from k group by 1, 2),
+ o as (select *, row_number() over (partition by body order by latest desc, shown) as place from i)
+ select body, shown || ' - ' || {sql_list([s for _, s in parse.RECORD_KINDS])}[list_position({sql_list(BONDS)}, kind)] as label, cast(place * 10 + list_position({sql_list(BONDS)}, kind) as bigint) as label_order,
+ cast(row_number() over (partition by body, key, kind order by recent desc, entry_order) - 1 as bigint) as entry_order, cast(entry_order as string) as raw_text from k join o using (body, key)""")
 def regroup_institutions(spark, sf):
-    e = table(spark, sf, "orders").selectExpr("o_custkey as body", "'Universidade ' || cast(o_orderkey % 3 as string) || case when o_orderkey % 2 = 0 then ' - UFX' else '' end as institution", "year(o_orderdate) as year", "case when o_orderkey % 5 = 0 then 0 else year(o_orderdate) + 1 end as end_year")
-    return segment.regroup_institutions(e, ["body"]).select("body", "key", "name", F.col("recency").cast("long").alias("recency"), "n", F.col("place").cast("long").alias("place"))
+    """Orders as the entries of their customers' professional records."""
+    given = {
+        "raw_text": "cast(o_orderkey as string)", "venue": f"element_at(array({', '.join(map(repr, VENUES))}), cast(o_orderkey % 7 + 1 as int))", "kind": f"element_at(array({', '.join(map(repr, BONDS))}), cast(o_orderkey div 7 % 3 + 1 as int))",
+        "year": "year(o_orderdate)", "end_year": "case when o_orderkey % 5 = 0 then 0 else year(o_orderdate) + 1 end",
+    }
+    e = table(spark, sf, "orders").selectExpr("o_custkey as body", "o_orderkey as entry_order", *[f"{given.get(k, repr(v))} as {k}" for k, v in parse.FIELDS.items()])
+    return parse.by_institution(e, ["body"]).select("body", "label", F.col("label_order").cast("long").alias("label_order"), F.col("entry_order").cast("long").alias("entry_order"), "raw_text")
 
 
-FILL = "case when o_orderkey % 9 = 1 then 'Universidade ' || cast(o_custkey as string) || ', Brasil' when o_orderkey % 9 = 3 then '2010 - Atual Vínculo: X' when o_orderkey % 9 = 5 then '2001 - 2004 Vínculo: Y' else 'linha' end"
+RECORD = ["Universidade do Sul, Brasil", "2010 - Atual Vínculo: X", "Portaria 12 da Universidade B", "Universidade C, Brasil. Horista", "2001 - 2004 Vínculo: Y", "UNIVERSIDADE INTEGRAL", "12 Fundação D", "Instituto E, Brasil, CampusDedicação Exclusiva", "linha", "Regime na Faculdade F", "Faculdade G Parcial", "linha", "Dedicação na Universidade H"]
+FILL = f"element_at(array({', '.join(map(repr, RECORD))}), cast(o_orderkey % {len(RECORD)} + 1 as int))"
 
 
-@query(f"""with l as (select o_custkey % 97 as body, cast(o_orderkey as int) as line_no, {FILL} as line from orders)
- select body, line_no, last_value(case when regexp_matches(lower(line), 'universidade') then regexp_replace(line, ', Brasil$', '') end ignore nulls) over w as institution,
- last_value(case when contains(line, 'Vínculo:') then cast(left(line, 4) as int) end ignore nulls) over w as start_year from l window w as (partition by body order by line_no rows between unbounded preceding and current row)""")
+@query(f"""with l as (select o_custkey as body, cast(o_orderkey as int) as line_no, {sql_list(RECORD)}[o_orderkey % {len(RECORD)} + 1] as line from orders), n as (select *, trim(strip_accents(lower(line))) as n from l)
+ select body, line_no, last_value(case when regexp_matches(n, 'universidade|instituto|faculdade|fundacao') and not regexp_matches(n, '^\\d|portaria|lotado|outras informac|vinculo:|dedicac|regime|carga hor')
+  then trim(regexp_replace(replace(replace(line, ', Brasil.', ''), ', Brasil', ''), '\\s*(Integral|Parcial|Horista|Dedica[çc][ãa]o\\s*[Ee]xclusiva)\\s*$', '')) end ignore nulls) over w as institution,
+ last_value(case when contains(line, 'Vínculo:') then cast(left(line, 4) as int) end ignore nulls) over w as start_year from n window w as (partition by body order by line_no rows between unbounded preceding and current row)""")
 def forward_fill(spark, sf):
     return segment.forward_fill(_lines_of(spark, sf, FILL), ["body"]).select("body", "line_no", "institution", F.col("period.start").alias("start_year"))
 
@@ -880,11 +905,30 @@ def existing_files(spark, sf):
     return links.existing(li, table(spark, sf, "part").where("p_size > 25").selectExpr("'f' || cast(p_partkey as string) as path")).select("l_orderkey", "l_linenumber")
 
 
-@query("select c_mktsegment as title, array_to_string(list(o_orderkey order by o_orderkey), ',') as entries from orders join customer on c_custkey = o_custkey group by 1")
+@query("select c_mktsegment as title, o_orderkey as entry_order, o_orderkey as entry_id from orders join customer on c_custkey = o_custkey")
 def entry_picker(spark, sf):
     s = table(spark, sf, "customer").selectExpr("c_custkey as section_id", "c_mktsegment as title")
     e = table(spark, sf, "orders").selectExpr("o_custkey as section_id", "o_orderkey as entry_id", "o_orderkey as entry_order")
-    return links.picker(s, e).select("title", F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
+    return links.picker(s, e)
+
+
+@query("select l_orderkey as file_id, l_linenumber, case when o_totalprice > 150000 then l_orderkey end as entry_id from lineitem left join orders on o_orderkey = l_orderkey")
+def unlink_deleted(spark, sf):
+    """Line items as the links of orders, of which the cheaper ones are deleted."""
+    li = table(spark, sf, "lineitem").selectExpr("l_orderkey as file_id", "l_orderkey as entry_id", "l_linenumber")
+    return links.unlink_deleted(li, table(spark, sf, "orders").where("o_totalprice > 150000").selectExpr("o_orderkey as entry_id")).select("file_id", "l_linenumber", "entry_id")
+
+
+@query("select l_orderkey as file_id, l_linenumber from lineitem where (l_orderkey, l_suppkey % 7) not in (select o_orderkey, o_custkey % 7 from orders)")
+def without_rejected(spark, sf):
+    li = table(spark, sf, "lineitem").selectExpr("l_orderkey as file_id", "'h' || cast(l_suppkey % 7 as string) as hash_key", "l_linenumber")
+    return links.without_rejected(li, table(spark, sf, "orders").selectExpr("o_orderkey as file_id", "'h' || cast(o_custkey % 7 as string) as hash_key")).select("file_id", "l_linenumber")
+
+
+@query("select * from (select 'h' || cast(o_custkey as string) as hash_key, cast(o_orderkey as bigint) as entry_id, 'Outros Documentos' as section_title from orders where o_orderpriority = '1-URGENT' union all select 'h' || cast(c_custkey // 2 * 3 as string), c_custkey + 10000000, 'y' from customer)")
+def reimport_entries(spark, sf):
+    """The entries that a text read anew leaves: its own, and those added by hand."""
+    return _reimported(spark, sf)[0].select("hash_key", "entry_id", "section_title")
 
 
 @query(STATUS_SQL + " select count(*) filter (status = 'confirmed') as n_entries from s")
@@ -931,8 +975,12 @@ def add_manual_documents(spark, sf):
  l_linestatus = 'F' and (coalesce(manual, false) or e is not null) as is_confirmed from lineitem left join old on old.entry_id = case when l_returnflag <> 'R' then l_orderkey end left join new on new.hash_key = old.hash_key""")
 def reimport_links(spark, sf):
     """Orders as old entries (urgent ones added by hand), customers as new ones, line items as files with and without text."""
+    return _reimported(spark, sf)[1].withColumn("entry_id", F.col("entry_id").cast("string"))
+
+
+def _reimported(spark, sf) -> tuple[DataFrame, DataFrame]:
     old = table(spark, sf, "orders").selectExpr("o_orderkey as entry_id", "'h' || cast(o_custkey as string) as hash_key", "case when o_orderpriority = '1-URGENT' then 'Outros Documentos' else 'x' end as section_title")
     new = table(spark, sf, "customer").selectExpr("c_custkey + 10000000 as entry_id", "'h' || cast(c_custkey div 2 * 3 as string) as hash_key", "'y' as section_title", "0 as section_order", "0 as entry_order")
     k = _links(spark, sf).selectExpr(f"cast(l_orderkey as string) || '-' || {FILE_ID} as file_id", "entry_id", "case when l_quantity > 20 then 't' else '' end as text", "is_confirmed")
     r = table(spark, sf, "lineitem").selectExpr(f"cast(l_orderkey as string) || '-' || {FILE_ID} as file_id", "l_partkey + 10000000 as entry_id", "case when l_discount >= 0.05 then 0.95 else 0.5 end as score", "1 as rank")
-    return links.reimport(old, new, k, r)[1].withColumn("entry_id", F.col("entry_id").cast("string"))
+    return links.reimport(old, new, k, r)

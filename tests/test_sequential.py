@@ -103,10 +103,59 @@ def test_global_assignment(spark):
     assert {r for r in got if r[0] == "b"} == {tuple(r) for r in scoring.assign(alone).select("profile_id", "file_id", "entry_id", "score").collect()}
 
 
-def test_committee_levels_defer():
+def test_committee_levels_defer(spark):
     rows = ["Mestrado", "1. 2. Doutorado", *["Participação em banca de B"] * 3, "Mestrado", "Participação em banca de C"]
-    got = segment.levels_of(rows, [r.lower() for r in rows])
-    assert got == [None, None, "Mestrado", "Mestrado", "Doutorado", None, "Mestrado"]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(rows)], "body int, line_no int, line string")
+    got = {r.line_no: r.level for r in segment.committee_levels(df, ["body"]).collect()}
+    assert got == {2: "Mestrado", 3: "Mestrado", 4: "Doutorado", 6: "Mestrado"}
+
+
+def plain_levels(rows):
+    """By the entries that are still to come before each waiting marker."""
+    text, starts = "\n".join(rows), [0]
+    for r in rows:
+        starts.append(starts[-1] + len(r) + 1)
+    begins = [m.start() for m in re.finditer(r"Participaç[ãa]o\s+em\s+banca\s+de", text, re.I)]
+    out, level, queue, fresh, marked = [], "", [], True, False
+    for k, r in enumerate(rows):
+        norm = "".join(c for c in unicodedata.normalize("NFD", r.lower()) if not unicodedata.combining(c)).strip()
+        numbers = re.match(r"(\d{1,3}\.\s*)*", norm)[0]
+        name = segment.LEVELS.get(norm[len(numbers) :])
+        if name is None:
+            if any(starts[k] <= b < starts[k + 1] for b in begins) and queue:
+                queue.pop()
+                if not queue:
+                    level, waiting = waiting, None
+            out.append(level)
+            fresh = False
+        else:
+            marked = True
+            out.append(None)
+            if fresh and "." in numbers and level and not queue:
+                waiting, queue = name, [None] * (numbers.count(".") + 1)
+            else:
+                level, queue, fresh = name, [], True
+    return [None if v is None or (marked and not v) else v for v in out]
+
+
+def test_committee_levels_against_a_loop(spark):
+    rng = random.Random(12)
+    pool = ["Mestrado", "Doutorado", "1. Mestrado", "1. 2. Doutorado", "1.2.3. Graduação", "Exame de qualificação de Mestrado", "Participação em banca de A", "x Participação em", "banca de B", "", "1. Participação em banca de C. Participacao em banca de D", "texto\u0001", "PARTICIPAÇÃO EM BANCA DE E"]
+    bodies = [[rng.choice(pool) for _ in range(rng.randint(0, 25))] for _ in range(300)]
+    df = spark.createDataFrame([(b, k, x) for b, rows in enumerate(bodies) for k, x in enumerate(rows)], "body int, line_no int, line string")
+    got = {(r.body, r.line_no): r.level for r in segment.committee_levels(df, ["body"]).collect()}
+    want = {(b, k): v for b, rows in enumerate(bodies) for k, v in enumerate(plain_levels(rows)) if v is not None}
+    assert got == want and {"Doutorado", ""} <= set(want.values())
+
+
+def test_institutions_by_their_rules(spark):
+    rows = [("Universidade X, Brasil Horista", "Universidade X"), ("UNIVERSIDADE INTEGRAL", "UNIVERSIDADE INTEGRAL"), ("Instituto Y, Brasil, Campus", "Instituto Y, Campus"), ("Faculdade ZDedicação  exclusiva ", "Faculdade Z"), ("Universidade, Brasil.", "Universidade")]
+    df = spark.createDataFrame(rows, "line string, want string")
+    assert all(r.got == r.want for r in df.select("want", tx.institution_name(df.line).alias("got")).collect())
+    keys = spark.createDataFrame([("Universidade Á-UFX", "universidade a"), ("Universidade A - U", "universidade a - u"), ("A - BC - DE", "a - bc"), ("A - ABCDEFGHIJK", "a - abcdefghijk"), ("A - UF, fim", "a - uf, fim")], "name string, want string")
+    assert all(r.got == r.want for r in keys.select("want", tx.institution_key(keys.name).alias("got")).collect())
+    lines = spark.createDataFrame([("Portaria 12 da Universidade B", False), ("Regime na Faculdade", False), ("2 Instituto", False), ("Fundação C", True), ("Carga horária: Universidade", False)], "line string, want boolean")
+    assert all(r.got == r.want for r in lines.select("want", tx.is_institution(lines.line).alias("got")).collect())
 
 
 def test_year_anchor_keeps_type_with_its_entry(spark):
