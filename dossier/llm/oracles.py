@@ -9,7 +9,7 @@ QUALITY = f"""with d as (select doc_id, coalesce(source, '') as host, coalesce(t
  r as (select doc_id, count(distinct i + k) as n_repeat_words from (select doc_id, i, count(*) over (partition by doc_id, s) as n from p), range(0, 3) x(k) where n > 1 group by 1),
  l as (select doc_id, host, md5(t) as digest, x as line, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as norm, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words
   from (select doc_id, host, t, unnest(string_split(t, chr(10))) as x from d)),
- f as (select host, norm from l where norm <> '' group by 1, 2 having count(distinct digest) > {quality.MOST_DOCS}),
+ f as (select host, norm from l where norm <> '' group by 1, 2 having count(distinct (doc_id, digest)) > {quality.MOST_DOCS}),
  g as (select doc_id, sum(words) as removed_words, count(*) as removed_lines from l join f using (host, norm) group by 1),
  u as (select doc_id, count(*) - count(distinct line) as n_dup_lines from l where norm <> '' group by 1),
  c as (select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,

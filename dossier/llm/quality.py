@@ -66,7 +66,7 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def host_lines(docs: DataFrame, unit: str = "text") -> DataFrame:
+def host_lines(docs: DataFrame, unit: str = "doc") -> DataFrame:
     """host, digest and lines (distinct hashes, blank ones aside) of each distinct text of a host; with ``unit`` "doc" of each doc_id too."""
     text = F.coalesce("text", F.lit(""))
     lines = F.array_distinct(F.filter(line_hashes(text), lambda h: h != 0))
@@ -74,19 +74,19 @@ def host_lines(docs: DataFrame, unit: str = "text") -> DataFrame:
     return found.dropDuplicates(["host", "digest", *["doc_id"] * (unit == "doc")])
 
 
-def boilerplate(docs: DataFrame, most_docs: int = MOST_DOCS, unit: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, most_docs: int = MOST_DOCS, unit: str = "doc") -> DataFrame:
     """host and line (hash) over the limit, kept in the shared folder.
 
     Frequency is the number of distinct documents of the host (``source``, null as the empty string) with the
-    line. With ``unit`` "text", documents of the same text count once, so exact copies never make each other's
-    lines boilerplate; with "doc" each doc_id counts. Counts are summed in part before they are shuffled, so one
+    line; rows that repeat doc_id and text are one. With ``unit`` "text", documents of the same text count once, so exact copies never
+    make each other's lines boilerplate. Counts are summed in part before they are shuffled, so one
     line or host of most rows is no hot spot.
     """
     each = host_lines(docs, unit).select("host", F.explode("lines").alias("line"))
     return stored(each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_docs).select("host", "line"))
 
 
-def quality(docs: DataFrame, most_docs: int = MOST_DOCS, least_left: float = LEAST_LEFT, unit: str = "text", most_held: int = MOST_HELD) -> DataFrame:
+def quality(docs: DataFrame, most_docs: int = MOST_DOCS, least_left: float = LEAST_LEFT, unit: str = "doc", most_held: int = MOST_HELD) -> DataFrame:
     """row (a struct of the columns of ``docs``), report and left (the text without boilerplate lines).
 
     report has the base counts, base_failed (under 50 words, or over half of them in repeated windows of three),
@@ -104,7 +104,7 @@ def quality(docs: DataFrame, most_docs: int = MOST_DOCS, least_left: float = LEA
         lists = dict(zip(found.column("host").to_pylist(), [np.asarray(x.values) for x in found.column("lines")], strict=True))
         held = docs.sparkSession.sparkContext.broadcast(lists)
     else:
-        marks = host_lines(docs).select("host", "digest", F.explode("lines").alias("line")).join(over, ["host", "line"]).groupBy("host", "digest").agg(F.collect_list("line").alias("lines"))
+        marks = host_lines(docs, "text").select("host", "digest", F.explode("lines").alias("line")).join(over, ["host", "line"]).groupBy("host", "digest").agg(F.collect_list("line").alias("lines"))
         inner = inner.withColumn("digest", _digest(text)).join(marks, ["host", "digest"], "left").select("row", "host", "hashes", "lines")
     none = np.empty(0, np.int64)
 
@@ -138,5 +138,8 @@ def without_lines(text: str | None, hashes: np.ndarray, lines: np.ndarray) -> tu
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs`` with their boilerplate lines removed; n_chars, where it is there, follows."""
-    return quality(docs).where("report.kept").select(*replaced(docs, F.col("left"), F.col("report.removed_lines") > 0))
+    """The kept rows of ``docs`` with their boilerplate lines removed; n_chars, where it is there, follows.
+
+    Distinct texts are counted here: a later stage keeps one of a group of copies, which must not have gone by its own copies' count.
+    """
+    return quality(docs, unit="text").where("report.kept").select(*replaced(docs, F.col("left"), F.col("report.removed_lines") > 0))

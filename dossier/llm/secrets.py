@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,18 @@ ENCODINGS = (
     ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    ("^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 #: Chance that two characters of a prose word agree; structured strings of an alphabet of k do in 2 / k at least.
 PROSE = 0.065
-#: Largest standard scores that a random string may have in the chi-squared, runs and serial-correlation tests.
-MOST_CHI, MOST_RUNS, MOST_SERIAL = 2.58, 2.81, 2.81
+#: Least joint p-value of the chi-squared, runs and serial-correlation tests of a string that passes as random.
+LEAST_RANDOM = 0.005
+# Coefficients of a published expansion of the complementary error function (relative error under 1.2e-7 everywhere).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+#: Terms of a Poisson tail that are added one by one.
+TERMS = 60
 #: Expected share of false discoveries, upper ends of the length classes, and steps of -log10 p.
 FALSE_SHARE, CLASSES, STEPS, LEVELS = 0.05, (23, 31, 47, 63), 20, 400
 BLOCK = 256
@@ -93,19 +101,64 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def normal(z: Column) -> Column:
-    """Chance that a standard normal value is at most ``z`` (logistic form, 0.0002 off at most)."""
-    return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
+def erfc(x: Column) -> Column:
+    """Complementary error function of a value of 0 or more, to 7 digits however small it is."""
+
+    def at(t: Column) -> Column:
+        power = F.lit(ERFC[-1])
+        for c in reversed(ERFC[:-1]):
+            power = power * t + c
+        return t * F.exp(power - x * x)
+
+    return let(1 / (1 + x / 2), at)
+
+
+def two_sided(z: Column) -> Column:
+    """Chance that a standard normal value is as far from 0 as ``z``."""
+    return erfc(F.abs(z) / math.sqrt(2))
+
+
+def upper_tail(z: Column) -> Column:
+    """Chance that a standard normal value is above ``z``."""
+    return let(two_sided(z) / 2, lambda half: F.when(z > 0, half).otherwise(1 - half))
+
+
+def joint(*ps: Column) -> Column:
+    """Joint p-value of three independent tests by Fisher's method: minus the logarithm of their product is half a chi-squared value of 6 degrees."""
+    logs = -sum((F.ln(F.greatest(p, F.lit(1e-300))) for p in ps), F.lit(0.0))
+    return let(logs, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+
+
+def log_factorial(x: Column) -> Column:
+    """ln x! by Stirling's series from x + 8 on, and the factors between."""
+    up = x + 8
+    near = (up + 0.5) * F.ln(up) - up + math.log(2 * math.pi) / 2 + 1 / (12 * up) - 1 / (360 * up * up * up) + 1 / (1260 * F.pow(up, F.lit(5.0)))
+    return near - sum((F.ln(x + k) for k in range(1, 9)), F.lit(0.0))
+
+
+def poisson_at_most(x: Column, mean: Column) -> Column:
+    """Base-10 logarithm of the chance that a Poisson count of ``mean`` is at most ``x``, for ``x`` under the mean; else 0.
+
+    The chance of ``x`` itself, times a sum of falling ratios; what is left after TERMS of them is bounded by a geometric sum.
+    """
+    ratios = F.aggregate(
+        F.sequence(F.lit(0), F.lit(TERMS - 1)),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda s, j: let(s["term"] * F.greatest(x - j, F.lit(0.0)) / mean, lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum"))),
+        lambda s: s["sum"] + s["term"] * x / (mean - x),
+    )
+    return F.when(x < mean, F.least(F.lit(0.0), (x * F.ln(mean) - mean - log_factorial(x) + F.ln(ratios)) / math.log(10))).otherwise(0.0)
 
 
 def battery(value: Column) -> Column:
     """struct<class, level> of a candidate: its length class, and -log10 of its p-value in steps.
 
-    The encoding is the first of ENCODINGS that takes all characters ('=' aside). Chi-squared uniformity over its
-    alphabet (Wilson-Hilferty score), the runs test on upper and lower half of the alphabet, and lag-one serial
-    correlation must all let the string pass as random. The p-value is the chance that a structured string
-    has as few pairs of equal characters: their number is a Poisson count whose mean grows with the square
-    of the length, so short strings can't reach small values. Digits alone, and failures, have level 0.
+    The encoding is the first of ENCODINGS that takes all characters ('=' aside). The p-values of chi-squared uniformity over its
+    alphabet (Wilson-Hilferty score, upper tail), of the runs test on upper and lower half of the alphabet and of lag-one serial
+    correlation (both two-sided) are joined by Fisher's method, and the string passes as random from LEAST_RANDOM on. Its own p-value is
+    the chance that a structured string has as low a chi-squared value, which is as few pairs of equal characters: their number is a
+    Poisson count whose mean grows with the square of the length, so short strings can't reach small values. Digits alone, and
+    failures, have level 0.
     """
     body = F.translate(value, "=", "")
     alphabet = F.lit(ENCODINGS[-1][1])
@@ -137,10 +190,10 @@ def battery(value: Column) -> Column:
         variance = s["product"] * (s["product"] - n) / (n * n * (n - 1))
         z_runs = F.when(variance > 0, (s["turns"] - s["product"] / n) / F.sqrt(variance)).otherwise(-F.sqrt(n))
         z_serial = F.when(s["power"] > 0, s["lagged"] / s["power"] * F.sqrt(n)).otherwise(F.sqrt(n))
+        random = joint(upper_tail(z_chi), two_sided(z_runs), two_sided(z_serial)) >= LEAST_RANDOM
         expected = n * (n - 1) / 2 * F.greatest(F.lit(PROSE), 2 / k)
-        p = normal(((s["squares"] - n) / 2 + 0.5 - expected) / F.sqrt(expected))
-        random = (z_chi < MOST_CHI) & (F.abs(z_runs) < MOST_RUNS) & (F.abs(z_serial) < MOST_SERIAL)
-        return F.when(random, F.least(F.lit(LEVELS), F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-30)))).cast("int"))).otherwise(0)
+        small = let(F.struct(((s["squares"] - n) / 2).alias("x"), expected.alias("mean")), lambda v: poisson_at_most(v["x"], v["mean"]))
+        return F.when(random, F.least(F.lit(LEVELS), F.floor(-STEPS * small).cast("int"))).otherwise(0)
 
     length = F.length(value)
     cls = sum((F.when(length > c, 1).otherwise(0) for c in CLASSES), F.lit(0))

@@ -65,7 +65,12 @@ def test_quality_lines(spark):
     text = lambda k: f"The menu of 2{k % 3} things\n" + " ".join(chr(97 + k % 26) + chr(97 + k // 26) + chr(97 + i % 26) + chr(97 + i // 26) for i in range(60))
     rows = [(k, text(k), "en", "a") for k in range(40)] + [(k, text(k), "en", f"h{k}") for k in range(100, 140)] + [(k, text(1), "en", "b") for k in range(200, 260)]
     rows += [(300, "the  MENU of 29 things\n" * 3, "en", "a")]
-    found = {r.row.doc_id: r for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    df = spark.createDataFrame(rows, SCHEMA)
+    by_doc = {r.row.doc_id: r.report for r in quality.quality(df).collect()}
+    assert all(by_doc[k].removed_lines == 1 and by_doc[k].kept for k in range(40)) and all(by_doc[k].removed_lines == 0 for k in range(100, 140))
+    assert all(by_doc[k].removed_lines == 2 and by_doc[k].depleted for k in range(200, 260))  # 60 documents of one text
+    assert {r.row.doc_id: r.report for r in quality.quality(df, most_held=0).collect()} == by_doc
+    found = {r.row.doc_id: r for r in quality.quality(df, unit="text").collect()}
     assert all(found[k].report.removed_lines == 1 and found[k].report.kept and "menu" not in found[k].left for k in range(40))
     assert all(found[k].report.removed_lines == 0 for k in [*range(100, 140), *range(200, 260)])
     assert found[300].report.depleted and not found[300].report.kept and found[300].left == ""
@@ -305,12 +310,16 @@ def plain_battery(value):
     mean = sum(v) / n
     power = sum((x - mean) ** 2 for x in v)
     z_serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / power * n**0.5 if power else n**0.5
-    if not (z_chi < secrets.MOST_CHI and abs(z_runs) < secrets.MOST_RUNS and abs(z_serial) < secrets.MOST_SERIAL):
+    ps = [math.erfc(z_chi / 2**0.5) / 2, math.erfc(abs(z_runs) / 2**0.5), math.erfc(abs(z_serial) / 2**0.5)]
+    half = -sum(math.log(max(q, 1e-300)) for q in ps)
+    if math.exp(-half) * (1 + half + half**2 / 2) < 0.005:
+        return cls, 0
+    mean, pairs = n * (n - 1) / 2 * max(0.065, 2 / k), (squares - n) // 2
+    if pairs >= mean:
         return cls, 0
-    expected = n * (n - 1) / 2 * max(secrets.PROSE, 2 / k)
-    z = ((squares - n) / 2 + 0.5 - expected) / expected**0.5
-    p = 1 / (1 + math.exp(-1.5976 * z - 0.07056 * z**3))
-    return cls, max(0, min(secrets.LEVELS, math.floor(-secrets.STEPS * math.log10(max(p, 1e-30)))))
+    logs = [j * math.log(mean) - mean - math.lgamma(j + 1) for j in range(max(0, pairs - 3000), pairs + 1)]
+    tail = (max(logs) + math.log(math.fsum(math.exp(x - max(logs)) for x in logs))) / math.log(10)
+    return cls, max(0, min(secrets.LEVELS, math.floor(-secrets.STEPS * tail)))
 
 
 def plain_spans(texts):
@@ -339,6 +348,37 @@ def test_secret_battery_by_definition(spark, docs):
         assert ([tuple(s) for s in r.base], [tuple(s) for s in r.spans]) == want[r.row.doc_id]
 
 
+def test_random_strings_of_any_length_are_found(spark):
+    """Random base64, its URL form and hexadecimal digits of 40 to 4,000 characters, next to structured strings of as many."""
+    rng = random.Random(21)
+    words = [w for w in "the quick brown fox jumps over lazy dogs while seven wizards brew potions near quiet rivers and count silver coins".split()]
+    lengths = (40, 64, 200, 800, 1500, 4000)
+    makers = {
+        "base64": lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n], "url": lambda n: base64.urlsafe_b64encode(rng.randbytes(n)).decode()[:n], "hex": lambda n: rng.randbytes(n).hex()[:n],
+        "words": lambda n: "_".join(rng.choice(words) for _ in range(n))[:n], "camel": lambda n: "".join(rng.choice(words).title() for _ in range(n))[:n], "path": lambda n: "/".join(rng.choice(words) + str(rng.randint(1, 9)) for _ in range(n))[:n], "cycle": lambda n: ("abcdefghij0123456789" * n)[:n],
+    }
+    rows = [(i, kind, make(n)) for i, (n, (kind, make), _) in enumerate((n, m, k) for n in lengths for m in makers.items() for k in range(40))]
+    got = spark.createDataFrame(rows, "doc_id long, kind string, text string").select("kind", F.length("text").alias("n"), (secrets.battery(F.col("text"))["level"] > 0).alias("random"))
+    share = {(r.kind, r.n): r.share for r in got.groupBy("kind", "n").agg(F.avg(F.col("random").cast("int")).alias("share")).collect()}
+    assert all(share[kind, n] >= 0.9 for kind in ("base64", "url", "hex") for n in lengths), share
+    assert sum(share[kind, n] for kind in ("base64", "url", "hex") for n in lengths) / 18 >= 0.95
+    assert all(share[kind, n] == 0 for kind in ("words", "camel", "path", "cycle") for n in lengths[2:]), share
+    assert sum(share[kind, n] for kind in ("words", "camel", "path", "cycle") for n in lengths) / 24 < 0.1, share
+
+
+def test_tails(spark):
+    z = [k / 8 for k in range(57)]
+    for r in spark.createDataFrame([(x,) for x in z], "z double").select("z", secrets.upper_tail(F.col("z")).alias("p"), secrets.upper_tail(-F.col("z")).alias("q")).collect():
+        assert abs(r.p / (math.erfc(r.z / 2**0.5) / 2) - 1) < 1e-6 and abs(r.q + r.p - 1) < 1e-6
+    pairs = [(float(x), mean) for mean in (1.5, 12.5, 50.0, 260.0) for x in range(0, int(mean * 0.9))]
+    for r in spark.createDataFrame(pairs, "x double, mean double").select("x", "mean", secrets.poisson_at_most(F.col("x"), F.col("mean")).alias("p")).collect():
+        assert abs(10**r.p / math.fsum(math.exp(j * math.log(r.mean) - r.mean - math.lgamma(j + 1)) for j in range(int(r.x) + 1)) - 1) < 0.01
+    ps = [(0.3, 0.5, 0.9), (1e-8, 0.2, 0.2), (1.0, 1.0, 1.0)]
+    for r in spark.createDataFrame(ps, "a double, b double, c double").select("*", secrets.joint(F.col("a"), F.col("b"), F.col("c")).alias("p")).collect():
+        x = r.a * r.b * r.c
+        assert abs(r.p - x * (1 - math.log(x) + math.log(x) ** 2 / 2)) < 1e-12
+
+
 def test_secret_battery(spark):
     rng = random.Random(7)
     key = lambda: base64.b64encode(rng.randbytes(36)).decode()
