@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import text as tx
+from dossier.operators.graph import connected_components
+from dossier.sources.shared import cut
 
 #: Least length of a cut-off entry, how much longer its whole must be, and prefixes of the merge.
 CUT_LEAST, CUT_MORE, RAW_PREFIX, TITLE_PREFIX, TITLE_LEAST = 30, 4, 60, 30, 15
+#: Entries of a section that one sequential pass takes at most; in a larger one only those that bear on each other meet.
+SECTION_MOST = 2000
 
 
 def exact(entries: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -38,27 +43,80 @@ def deduped(entries: DataFrame, group: list[str], order: str = "entry_order", ke
     return truncated(exact(entries, group, order), group, key)
 
 
-def merge_bodies(entries: DataFrame, group: list[str], body: str = "sec_no") -> DataFrame:
+def merge_bodies(entries: DataFrame, group: list[str], body: str = "sec_no", most: int = SECTION_MOST) -> DataFrame:
     """Entries of a section's bodies as one list: a later body adds what the earlier ones lack.
 
-    Bodies are taken in their order; each one is held against what is kept before it, so a section is one
-    sequential pass (a pandas group, of one section of one document), of any number of bodies. A section with more
-    than one body is numbered anew from 0; one body keeps its numbers.
+    Bodies are taken in their order; each one is held against what is kept before it. A section of up to ``most`` entries is one
+    sequential pass. Of a larger one only entries that bear on each other meet in a pass, see ``related``; both ways
+    give the same rows. A section with more than one body is numbered anew from 0; one body keeps its numbers.
     """
+    given = entries.columns
     e = entries.withColumns({"_norm": tx.normalize(F.col("raw_text")), "_title": tx.normalize(F.col("title")), "_year": F.col("year").cast("int")})
+    e = cut(e.withColumn("_uid", F.monotonically_increasing_id()))
+    sizes = e.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), (F.min(body) != F.max(body)).alias("_many"))
+    on = [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
+    e = e.alias("e").join(sizes.alias("s"), on).select("e.*", "_n", "_many")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
         held = list(zip(rows["_norm"], rows["_title"], rows["_year"], strict=True))
         bodies = rows[body].tolist()
-        places = sorted(range(len(rows)), key=lambda k: (bodies[k], rows["entry_order"].iloc[k]))
+        places = sorted(range(len(rows)), key=lambda k: (bodies[k], rows["entry_order"].iloc[k], rows["_uid"].iloc[k]))
         for _, new in groupby(places, bodies.__getitem__):
             before = [held[k] for k in kept]
             kept = without_repeats(kept + [k for k in new if not any(same_entry(held[k], old) for old in before)], held)
-        out = rows.iloc[kept].drop(columns=["_norm", "_title", "_year"])
-        return out.assign(entry_order=range(len(out))) if len(set(bodies)) > 1 else out
+        return rows.iloc[kept]
 
-    return e.groupBy(*group).applyInPandas(run, entries.schema)
+    done = e.where(F.col("_n") <= most).groupBy(*group).applyInPandas(run, e.schema)
+    large = e.where(F.col("_n") > most)
+    if most < 1 or not large.isEmpty():
+        large = cut(large)
+        roots = cut(connected_components(related(large, group)).select(F.col("node").alias("_uid"), F.col("root").alias("_root")))
+        met = large.join(roots, "_uid").groupBy("_root").applyInPandas(lambda rows: run(rows.drop(columns="_root")), e.schema)
+        done = done.unionByName(met).unionByName(large.join(roots, "_uid", "left_anti"))
+    place = (F.row_number().over(Window.partitionBy(*group).orderBy(body, "entry_order", "_uid")) - 1).cast(entries.schema["entry_order"].dataType)
+    return done.withColumn("entry_order", F.when(F.col("_many"), place).otherwise(F.col("entry_order"))).select(*given)
+
+
+def windows(text: Column, size: Column | int) -> Column:
+    """Hashes of the distinct stretches of ``size`` characters; none if the text is shorter."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.xxhash64(F.substring(text, k, size)))))
+
+
+def related(entries: DataFrame, group: list[str]) -> DataFrame:
+    """Edges (a, b) of _uid that join any two entries of a section of which one may decide on the other, by equi-joins on hashes.
+
+    Equal texts; a text that ends in a year and the texts of its year that it begins; and two texts of which one holds the first
+    RAW_PREFIX characters of the other while one holds the start of the other's title. All that share a key are joined to its
+    first one, so that copies give no pairs. A hash that two stretches share joins more than it must, which changes no result.
+    """
+    e = entries.select("_uid", F.xxhash64(*group).alias("g"), F.col("_norm").alias("n"), F.substring("_title", 1, TITLE_PREFIX).alias("t"), F.col("_year").alias("y"))
+
+    def star(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        """Joins the rows of ``left`` and ``right`` that share a key, each to the least of ``left``."""
+        first = left.groupBy(*on).agg(F.min("_uid").alias("a"))
+        both = left.select("_uid", *on).unionByName(right.select("_uid", *on))
+        return both.join(first, [*on]).select("a", F.col("_uid").alias("b")).where("a <> b")
+
+    none = e.select("_uid", "g", F.xxhash64("n").alias("k")).where("false")
+    equal = star(e.select("_uid", "g", F.xxhash64("n").alias("k")), none, "g", "k")
+    short = e.where((F.length("n") >= CUT_LEAST) & F.col("n").rlike("(19|20)\\d{2}$")).select("_uid", "g", "y", F.substring("n", 1, CUT_LEAST).alias("head"), F.length("n").alias("size"), F.xxhash64("n").alias("k"))
+    sizes = short.select("g", "y", "head", "size").distinct()
+    long = e.select("_uid", "g", "y", "n", F.substring("n", 1, CUT_LEAST).alias("head")).join(sizes, ["g", "y", "head"]).where(F.length("n") > F.col("size"))
+    begun = star(short, long.withColumn("k", F.xxhash64(F.substring("n", F.lit(1), F.col("size")))), "g", "y", "size", "k")
+
+    owners = e.where(F.length("n") >= RAW_PREFIX).withColumn("p", F.xxhash64(F.substring("n", 1, RAW_PREFIX)))
+    holders = e.select("_uid", "g", "n", "t", F.explode(windows(F.col("n"), RAW_PREFIX)).alias("p")).join(owners.select("g", "p").distinct(), ["g", "p"])
+    titled = lambda df: df.where(F.length("t") >= TITLE_LEAST).select("_uid", "g", "p", F.length("t").alias("size"), F.xxhash64("t").alias("k"))
+
+    def in_text(of: DataFrame, titles: DataFrame) -> DataFrame:
+        """The stretches of the texts of ``of`` that are as long as a title met under the same prefix."""
+        return of.join(titles.select("g", "p", "size").distinct(), ["g", "p"]).select("_uid", "g", "p", "size", F.explode(windows(F.col("n"), F.col("size"))).alias("k"))
+
+    theirs, mine = titled(owners), titled(holders)
+    edges = [equal, begun, star(theirs, in_text(holders, theirs), "g", "p", "size", "k"), star(mine, in_text(owners, mine), "g", "p", "size", "k")]
+    return reduce(DataFrame.unionByName, edges)
 
 
 def same_entry(new: tuple[str, str, int], old: tuple[str, str, int]) -> bool:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dossier.functions import identifiers as ids
 from dossier.functions import text as tx
 from dossier.functions.binding import let
+from dossier.operators.graph import connected_components
 from dossier.sources.blocks import packed, unpacked
 from dossier.sources.shared import cut, stored
 
@@ -401,7 +402,8 @@ def assign(rank_table: DataFrame, profile: str = "profile_id") -> DataFrame:
 
     Files of a profile are taken in order of file_id. Only files whose two best are within TIE, the second at least
     GUESS, and whose best entry two or more files share while the second has none, can move or be kept from moving;
-    the rest is picked by the ranking alone. The sequential pass runs in pandas over those few, a group for each profile.
+    the rest is picked by the ranking alone. Two such files bear on each other only over an entry that both have among their two, or
+    over further ones between: each component of entries is one sequential pass, so no profile's files are gathered.
     """
     two = rank_table.where("rank <= 2").groupBy(profile, "file_id").agg(
         F.max_by("entry_id", -F.col("rank")).alias("top"), F.max("score").alias("top_score"),
@@ -414,6 +416,13 @@ def assign(rank_table: DataFrame, profile: str = "profile_id") -> DataFrame:
     tied = close.join(of("top"), [profile, "top"], "left").join(of("second"), [profile, "second"], "left").fillna(0, ["cover_top", "cover_second"])
     tied = tied.where("cover_top >= 2 and cover_second = 0")
 
+    tied = cut(tied)
+    ends = tied.select(profile, F.col("top").alias("entry")).unionByName(tied.select(profile, F.col("second").alias("entry"))).distinct()
+    nodes = stored(ends.withColumn("node", F.monotonically_increasing_id()))
+    node = lambda c: nodes.select(profile, F.col("entry").alias(c), F.col("node").alias(f"node_{c}"))
+    tied = tied.join(node("top"), [profile, "top"]).join(node("second"), [profile, "second"])
+    roots = connected_components(tied.select(F.col("node_top").alias("a"), F.col("node_second").alias("b"))).withColumnRenamed("node", "node_top")
+
     def spread(rows: pd.DataFrame) -> pd.DataFrame:
         held = dict(zip(rows.second, rows.cover_second, strict=True)) | dict(zip(rows.top, rows.cover_top, strict=True))
         picks = []
@@ -425,6 +434,6 @@ def assign(rank_table: DataFrame, profile: str = "profile_id") -> DataFrame:
         return pd.DataFrame(picks, columns=[profile, "file_id", "entry_id", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rank_table.schema}
-    moved = cut(tied.groupBy(profile).applyInPandas(spread, f"{profile} {kinds[profile]}, file_id {kinds['file_id']}, entry_id {kinds['entry_id']}, score double"))
+    moved = cut(tied.join(roots, "node_top").groupBy("root").applyInPandas(spread, f"{profile} {kinds[profile]}, file_id {kinds['file_id']}, entry_id {kinds['entry_id']}, score double"))
     stay = two.join(moved.select(profile, "file_id"), [profile, "file_id"], "left_anti").select(profile, "file_id", F.col("top").alias("entry_id"), F.col("top_score").alias("score"))
     return stay.unionByName(moved)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import dedupe, parse, segment
@@ -209,7 +210,8 @@ def slow_merge(bodies):
     return kept
 
 
-def test_merge_against_a_loop(spark):
+@pytest.mark.parametrize("most", [2000, 0])
+def test_merge_against_a_loop(spark, most):
     rng = random.Random(10)
     words = "alfa beta gama delta letra norma prosa verso".split()
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -229,7 +231,7 @@ def test_merge_against_a_loop(spark):
         want[section] = slow_merge(bodies)
     df = spark.createDataFrame(rows, "section int, sec_no int, entry_order int, raw_text string, title string, year int")
     got = {}
-    for r in dedupe.merge_bodies(df, ["section"]).orderBy("section", "entry_order").collect():
+    for r in dedupe.merge_bodies(df, ["section"], most=most).orderBy("section", "entry_order").collect():
         got.setdefault(r.section, []).append((r.raw_text, r.title, r.year))
     assert {k: v for k, v in want.items() if v} == got
 
@@ -237,3 +239,14 @@ def test_merge_against_a_loop(spark):
 def test_marked(spark):
     df = spark.createDataFrame([("a 2001 - 2002 b 2003 - Atual c",), ("none",)], "t string")
     assert [r[0] for r in df.select(segment.marked(F.col("t"), segment.PERIOD)).collect()] == [["2001 - 2002 b ", "2003 - Atual c"], []]
+
+
+def test_large_sections_merge_in_linear_work(spark):
+    """Ten thousand entries of two bodies, of which the second repeats half of the first, and a group of copies."""
+    name = lambda k: " ".join(f"{w}{k % m}" for w, m in (("norma", 97), ("prosa", 89), ("verso", 83), ("letra", 79), ("gama", 73), ("delta", 71), ("beta", 67), ("alfa", 61), ("fim", 59), ("obra", 53)))
+    rows = [(1, 0, k, name(k), name(k), 2019) for k in range(5000)] + [(1, 1, k, name(k + 2500), name(k + 2500), 2019) for k in range(5000)] + [(1, 1, 6000 + k, "igual " * 20, "igual", 2019) for k in range(2000)]
+    df = spark.createDataFrame(rows, "section int, sec_no int, entry_order int, raw_text string, title string, year int").repartition(4)
+    got = dedupe.merge_bodies(df, ["section"]).collect()
+    assert len(got) == 7501 and sorted(r.entry_order for r in got) == list(range(7501))
+    edges = dedupe.related(df.selectExpr("*", "monotonically_increasing_id() as _uid", "trim(raw_text) as _norm", "title as _title", "year as _year"), ["section"])
+    assert edges.count() < 10 * len(rows)
