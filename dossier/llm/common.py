@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from dossier.operators.graph import connected_components  # noqa: F401
 from dossier.sources.shared import cut, shared_folder, stored  # noqa: F401
 
 #: Rows and bytes of one Arrow batch handed to Python, which bound what a worker holds.
@@ -104,30 +105,3 @@ def once(key: tuple, make: Callable):
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null reads as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long); root is the least node that it reaches.
-
-    Large-star and small-star rounds: each moves a node's neighbours to the least neighbour, by partial
-    minima and joins, so that no node's neighbour list is gathered in one place. Rounds grow with the
-    logarithm of a component's size; each is cut by a checkpoint.
-    """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
-        )
-        e = cut(small.where("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == mark:
-            break
-        mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
