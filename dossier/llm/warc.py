@@ -17,7 +17,7 @@ from dossier.llm.common import bound_batches, cut, shared_folder, stored
 from dossier.sources.shared import remove
 
 #: Bytes of a record's block before it goes on in continuation records, and of one chunk of the HTTP body.
-SEGMENT_BYTES, CHUNK_BYTES = 1 << 12, 1 << 13
+SEGMENT_BYTES, CHUNK_BYTES = 1 << 14, 1 << 13
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: Compressed bytes of records that are written as one row, and such rows of a file: files stay near 32 MB.
