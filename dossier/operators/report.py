@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.operators.order import numbered
+
 #: Lines of the first page of contents and of each further one.
 FIRST, NEXT = 30, 36
 
@@ -41,7 +43,8 @@ def manifest(entries: DataFrame, files: DataFrame, by: str = "profile_id", start
     entry_id, file_id, cert_order, pages (0: missing or unreadable), is_confirmed. ``cv_pages``: profile_id, pages.
     A section has a divider, each entry a header, then the pages of its confirmed files; entries without a
     confirmed file, and sections without such entries, are left out. No or an empty list of sections means all.
-    Pages of contents come first and count in the numbers; reports without a page don't come out at all.
+    Pages of contents come first and count in the numbers; reports without a page don't come out at all. Many tasks share the pages of a
+    large report, see ``numbered``.
     """
     e = entries.where(in_period(F.col("year"), start, end) & (F.col("n_confirmed") > 0))
     if sections:
@@ -58,15 +61,16 @@ def manifest(entries: DataFrame, files: DataFrame, by: str = "profile_id", start
     if cv_pages is not None:
         cv = cv_pages.select(by, F.lit(-1).cast("long").alias("section_order"), F.lit("").alias("section_title"), F.lit(-1).alias("entry_order"), F.lit("").alias("entry_id"), F.lit(0).alias("cert_order"), none.cast("string").alias("file_id"), F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("file_page"), F.lit("cv").alias("kind"), F.lit("").alias("title"))
         body = body.unionByName(cv)
-    w = Window.partitionBy(by).orderBy("section_order", "section_title", "entry_order", "entry_id", "cert_order", "file_id", "file_page")
-    everything = Window.partitionBy(by)
-    lines = F.count_if(F.col("kind").isin("section", "entry")).over(everything)
-    front = F.when(lines >= 0, toc_pages(lines)).otherwise(0) if include_toc else F.lit(0)
-    return body.select(by, (front + F.row_number().over(w)).cast("int").alias("page"), "kind", "title", "file_id", F.when(F.col("file_page") > 0, F.col("file_page")).alias("file_page"), (F.col("kind") != "section").alias("shows_number"))
+    places = ["section_order", "section_title", "entry_order", "entry_id", "cert_order", "file_id", "file_page"]
+    body = numbered(body, [by], places, "place")
+    if include_toc:
+        lines = body.groupBy(by).agg(toc_pages(F.count_if(F.col("kind").isin("section", "entry"))).alias("front"))
+        body = body.join(lines, by)
+    front = F.col("front") if include_toc else F.lit(0)
+    return body.select(by, (front + F.col("place")).cast("int").alias("page"), "kind", "title", "file_id", F.when(F.col("file_page") > 0, F.col("file_page")).alias("file_page"), (F.col("kind") != "section").alias("shows_number"))
 
 
 def contents(pages: DataFrame, by: str = "profile_id") -> DataFrame:
     """Lines of the table of contents: toc_page, line, level, title and page."""
-    lines = pages.where(F.col("kind").isin("section", "entry"))
-    line = F.row_number().over(Window.partitionBy(by).orderBy("page")) - 1
-    return lines.withColumn("line", line).select(by, toc_place(F.col("line")).alias("toc_page"), "line", (F.col("kind") == "entry").cast("int").alias("level"), "title", "page")
+    lines = numbered(pages.where(F.col("kind").isin("section", "entry")), [by], ["page"], "place")
+    return lines.withColumn("line", (F.col("place") - 1).cast("int")).select(by, toc_place(F.col("line")).alias("toc_page"), "line", (F.col("kind") == "entry").cast("int").alias("level"), "title", "page")

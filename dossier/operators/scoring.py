@@ -15,6 +15,7 @@ from dossier.functions import identifiers as ids
 from dossier.functions import text as tx
 from dossier.functions.binding import let
 from dossier.operators.graph import connected_components
+from dossier.operators.order import numbered
 from dossier.sources.blocks import packed, unpacked
 from dossier.sources.shared import cut, stored
 
@@ -31,10 +32,16 @@ ROOM = 1e-9
 
 @dataclass(frozen=True)
 class Options:
-    """as_of_year: the year that open periods run to. folder: the files column of hinted kinds is used."""
+    """as_of_year: the year that open periods run to. folder: the files column of hinted kinds is used. chars: characters of a text that count (None: all)."""
 
     as_of_year: int
     folder: bool = True
+    chars: int | None = TEXT_CHARS
+
+
+def read_part(text: str, chars: int | None) -> Column:
+    """The part of a text that scores read."""
+    return F.col(text) if chars is None else F.substring(text, 1, chars)
 
 
 def idf(entries: DataFrame, title: str = "title") -> DataFrame:
@@ -131,9 +138,9 @@ def _tokens(entries: DataFrame, weights: DataFrame) -> DataFrame:
     return stored(tokens.join(weights.select("token", "weight"), "token", "left").withColumn("weight", F.coalesce("weight", unknown_weight(weights))))
 
 
-def _normal(files: DataFrame) -> DataFrame:
+def _normal(files: DataFrame, chars: int | None = TEXT_CHARS) -> DataFrame:
     """file_id, cert (the normalized text that scores read) and words (its meaningful ones), stored."""
-    normal = files.select("file_id", tx.normalize(F.substring("text", 1, TEXT_CHARS)).alias("cert"))
+    normal = files.select("file_id", tx.normalize(read_part("text", chars)).alias("cert"))
     return stored(normal.withColumn("words", F.array_distinct(tx.meaningful(F.col("cert")))))
 
 
@@ -141,17 +148,17 @@ def _words(normal: DataFrame) -> DataFrame:
     return normal.select("file_id", F.explode("words").alias("token"))
 
 
-def text_scores(files: DataFrame, entries: DataFrame, least: float = 0.0) -> DataFrame:
+def text_scores(files: DataFrame, entries: DataFrame, least: float = 0.0, chars: int | None = TEXT_CHARS) -> DataFrame:
     """file_id, entry_id and score of every pair whose text score is above 0 and at least ``least``.
 
-    ``files``: file_id, text. ``entries``: entry_id, title, venue. Entries of equal title and venue are scored once. With a floor,
+    ``files``: file_id, text, of which the first ``chars`` characters are read (None: all). ``entries``: entry_id, title, venue. Entries of equal title and venue are scored once. With a floor,
     pairs come from ``candidates``, so that words which too many files have are no join keys, and each pair is then scored in its
     row. Without one every pair that shares a word may count, see ``all_scores``.
     """
     e = entries.select("entry_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("venue", F.lit("")).alias("venue"))
     members = stored(e.join(e.groupBy("title", "venue").agg(F.min("entry_id").alias("head")), ["title", "venue"]))
     heads = members.where("entry_id = head").select("entry_id", "title", "venue").distinct()
-    tokens, normal = _tokens(heads, idf(e)), _normal(files)
+    tokens, normal = _tokens(heads, idf(e)), _normal(files, chars)
     if least > 0:
         found = scored(candidates(normal, heads, tokens, least), normal, heads, tokens, least)
     else:
@@ -290,9 +297,9 @@ def gated(kind: Column, has_pub_id: Column, is_ordinance: Column) -> Column:
     return ~(kind.isin("Artigo", "Livro/Capítulo") & ~has_pub_id) & ~(is_ordinance & kind.isin("Orientação", "Formação"))
 
 
-def file_features(files: DataFrame) -> DataFrame:
-    """Columns that the pair score needs of a file, from the first TEXT_CHARS characters of its text."""
-    t = F.substring("text", 1, TEXT_CHARS)
+def file_features(files: DataFrame, chars: int | None = TEXT_CHARS) -> DataFrame:
+    """Columns that the pair score needs of a file, from the part of its text that scores read."""
+    t = read_part("text", chars)
     pairs = ids.ordinance_pairs(t)
     return files.withColumns(
         {
@@ -314,7 +321,7 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
     cert_key, hash_key. Candidates are pairs that share an identifier, by equi-joins, and those of ``text_scores``. Only pairs of at
     least ``least`` come back; see ``_floored_scores`` for what that spares.
     """
-    f = stored(file_features(files).drop("text"))
+    f = stored(file_features(files, options.chars).drop("text"))
     listed = lambda c: tx.words(F.col(c))
     e = entries.withColumns({"pairs_e": listed("portaria"), "calls_e": listed("edital"), "dois_e": listed("doi"), "issns_e": listed("issn")})
     key = lambda x: F.split_part(x, F.lit("/"), F.lit(1))
@@ -324,7 +331,7 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
         right = e.select("entry_id", F.explode(b).alias("id")).select("entry_id", fn(F.col("id")).alias("id")).distinct()
         return left.join(right, "id").select("file_id", "entry_id")
 
-    texts = _floored_scores(files, entries, by("issns", "issns_e").distinct(), options.folder, least) if least > 0 else text_scores(files, entries)
+    texts = _floored_scores(files, entries, by("issns", "issns_e").distinct(), options, least) if least > 0 else text_scores(files, entries, chars=options.chars)
     found = by("pairs", "pairs_e", key).unionByName(by("calls", "calls_e")).unionByName(by("dois", "dois_e")).distinct()
     pairs = found.join(texts, ["file_id", "entry_id"], "full").withColumn("text_score", F.coalesce("score", F.lit(0.0))).drop("score")
     pairs = pairs.join(f, "file_id").join(e.drop("title", "venue"), "entry_id").where(gated(F.col("kind"), F.col("has_pub_id"), F.col("is_ordinance")))
@@ -342,20 +349,20 @@ def pair_scores(files: DataFrame, entries: DataFrame, options: Options, rejected
     return out.where((F.col("score") > 0) & (F.col("score") >= least)).select("file_id", "entry_id", "score", "is_identifier")
 
 
-def _floored_scores(files: DataFrame, entries: DataFrame, same_issn: DataFrame, folder: bool, least: float) -> DataFrame:
+def _floored_scores(files: DataFrame, entries: DataFrame, same_issn: DataFrame, options: Options, least: float) -> DataFrame:
     """Text scores of the pairs whose score may still reach ``least`` with what a year, an ISSN or a folder's kind adds.
 
     A year lifts any pair, so ``candidates`` have a floor below ``least`` by that. An ISSN lifts the pairs that share it, which are few and scored
     as they are. A kind lifts the pairs of a file and an entry of that kind, which share a word and the kind.
     """
     e = entries.select("entry_id", "kind", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("venue", F.lit("")).alias("venue"))
-    tokens, normal = _tokens(e, idf(e)), _normal(files)
+    tokens, normal = _tokens(e, idf(e)), _normal(files, options.chars)
     plain = least - YEAR_BONUS - ROOM
     if plain <= 0:
         return all_scores(normal, e, tokens)
     out = scored(candidates(normal, e, tokens, plain), normal, e, tokens, plain)
     out = out.unionByName(scored(same_issn.withColumn("by_run", F.lit(True)), normal, e, tokens, ISSN_LEAST))
-    if folder:
+    if options.folder:
         kinds = files.select("file_id", F.explode("folder_kinds").alias("kind")).distinct()
         hinted = normal.join(kinds.select("file_id").distinct(), "file_id", "left_semi")
         out = out.unionByName(all_scores(hinted, e, tokens, (kinds, e.select("entry_id", "kind"))))
@@ -382,7 +389,7 @@ def review(rank_table: DataFrame, files: DataFrame) -> DataFrame:
     """One row for each of ``files`` (file_id, has_text) that nobody has linked: its best entry, score, band, combos and no_likely_entry.
 
     The score is 0 without a candidate; the entry is suggested from GUESS on; a file with text and no such entry has no
-    likely one. Files are not spread over entries here. Order them by score, best first, to show them.
+    likely one. Files are not spread over entries here. ``by_score`` has the order in which they are shown.
     """
     best = rank_table.where("rank = 1").select("file_id", "entry_id", "score")
     out = files.join(best, "file_id", "left").join(combos(rank_table, best), "file_id", "left")
@@ -391,6 +398,11 @@ def review(rank_table: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("file_id", suggested.alias("entry_id"), score.alias("score"), band(score).alias("band"), F.coalesce("combos", F.array()).alias("combos"), (F.col("has_text") & (score < GUESS)).alias("no_likely_entry"))
 
 
+def by_score(reviewed: DataFrame) -> DataFrame:
+    """``review`` with place: the best score first, then by file_id, as the list is shown."""
+    return numbered(reviewed.withColumn("_falling", -F.col("score")), [], ["_falling", "file_id"], "place").drop("_falling")
+
+
 def scan_counters(reviewed: DataFrame) -> DataFrame:
     """One row: files, suggested, confident and unlikely ones of a scan."""
     n = lambda c: F.count_if(c)

@@ -208,6 +208,18 @@ def text_scores(spark, sf):
     return _scores(spark, sf, scoring.GUESS)
 
 
+@query(SCORES_SQL.replace("left(text, 40)", "''") + f" select file_id, entry_id, round(score, 6) as score from scores where score >= {scoring.GUESS}")
+def title_scores(spark, sf):
+    """Titles alone, without venues."""
+    return scoring.title_scores(_files(spark, sf), _entries(spark, sf).drop("venue"), scoring.GUESS).withColumn("score", F.round("score", 6))
+
+
+@query(SCORES_SQL.replace("left(text, 4000)", "text") + f" select file_id, entry_id, round(score, 6) as score from scores where score >= {scoring.GUESS}")
+def whole_text_scores(spark, sf):
+    """Whole texts, where the other scores read their first part."""
+    return scoring.text_scores(_files(spark, sf), _entries(spark, sf), scoring.GUESS, chars=None).withColumn("score", F.round("score", 6))
+
+
 RANKED_SQL = SCORES_SQL + ", r as (select file_id, entry_id, round(score, 6) as score, row_number() over (partition by file_id order by round(score, 6) desc, entry_id) as rank from scores where score > 0)"
 BAND_SQL = "case when score >= 0.9 then 'confident' when score >= 0.35 then 'guess' else 'none' end"
 
@@ -261,6 +273,12 @@ def limbo_review(spark, sf):
     return _review(spark, sf).withColumn("combos", _combo_list("combos"))
 
 
+@query(REVIEW_SQL + " select file_id, entry_id, score, row_number() over (order by score desc, file_id) as place from v")
+def review_order(spark, sf):
+    """The files of a review in the order in which they are shown."""
+    return scoring.by_score(_review(spark, sf)).select("file_id", "entry_id", "score", "place")
+
+
 @query(REVIEW_SQL + " select count(*) as n_files, count(entry_id) as n_suggested, count(*) filter (band = 'confident') as n_confident, count(*) filter (no_likely_entry) as n_unlikely from v")
 def scan_counters(spark, sf):
     return scoring.scan_counters(_review(spark, sf, scoring.GUESS))
@@ -320,6 +338,20 @@ def pair_tables(spark, sf):
     return f, e, r
 
 
+NAMED = "case when doc_id % 3 = 0 then 'Certificado_2019-curso' when doc_id % 3 = 1 then 'norma-Técnica ' || cast(1990 + doc_id % 60 as string) else 'x' end"
+NAMED_PATH = f"'/r/' || case when doc_id % 4 = 0 then 'Bancas/' when doc_id % 4 = 1 then 'Eventos/Cursos/' else '' end || {NAMED} || '.' || cast(doc_id as string) || '.pdf'"
+
+
+@query(f"""with d as (select doc_id, {NAMED} || '.' || cast(doc_id as string) as stem, coalesce(text, '') as t, case when doc_id % 4 = 0 then ['Banca'] when doc_id % 4 = 1 then list_sort(['Evento', 'Apresentação', 'Organização de evento', 'Trabalho em evento', 'Formação']) else [] end as kinds from documents),
+ y as (select *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(translate(stem, '_-', '  '), '\\b((?:19|20)\\d{{2}})\\b', 1), lambda y: cast(y as int)), lambda y: y between 1990 and 2035))) as ny,
+  list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda y: cast(y as int)), lambda y: y between 1990 and 2035))) as ty from d)
+ select doc_id, stem as cert_key, md5(t || ' ' || chr(10) || ' ' || translate(stem, '_-', '  ')) as text_md5, array_to_string(case when len(ny) > 0 then ny else ty end, ',') as years, array_to_string(kinds, ',') as kinds, t <> '' as has_text from y""")
+def scan_input(spark, sf):
+    """Documents as scanned files: matched by text and name, dated by the name first, hinted at by their folder."""
+    f = src.scanned(table(spark, sf, "documents").select(F.expr(NAMED_PATH).alias("path"), F.lit("/r").alias("root"), "text"))
+    return f.select(F.regexp_extract("file_id", "(\\d+)\\.pdf$", 1).cast("long").alias("doc_id"), "cert_key", F.md5("text").alias("text_md5"), F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"), F.array_join("folder_kinds", ",").alias("kinds"), "has_text")
+
+
 @query()
 def pair_scores(spark, sf):
     """All rules of the pair score; held against a plain loop over all pairs in the tests."""
@@ -692,6 +724,16 @@ def report_manifest(spark, sf):
     return _report(spark, sf)
 
 
+CV_PAGES_SQL = REPORT_SQL.replace("case when n <= 30 then 1 else 1 + ceil((n - 30) / 36.0) end + row_number()", "case when n <= 30 then 1 else 1 + ceil((n - 30) / 36.0) end + 1 + profile % 4 + row_number()")
+
+
+@query(CV_PAGES_SQL + """ select * from pages union all select profile, cast(case when n <= 30 then 1 else 1 + ceil((n - 30) / 36.0) end + k as int), 'cv', '', null, cast(k as int), true from m, range(1, 6) r(k) where k <= 1 + profile % 4""")
+def report_with_cv(spark, sf):
+    """Reports that begin with one to four pages of the curriculum."""
+    cv = table(spark, sf, "nation").selectExpr("n_nationkey as profile_id", "1 + n_nationkey % 4 as pages")
+    return _report(spark, sf, cv_pages=cv)
+
+
 SELECTED_SQL = REPORT_SQL.replace("year(o_orderdate) >= 1993)", "year(o_orderdate) >= 1993 and s.section in ('MACHINERY', 'BUILDING'))").replace("case when n <= 30 then 1 else 1 + ceil((n - 30) / 36.0) end + row_number()", "row_number()")
 
 
@@ -713,8 +755,8 @@ ARCHIVED = {
 }
 
 
-def _manifests(spark, sf) -> DataFrame:
-    """Orders as entries of the sections of nations, line items as their files or as files in limbo, refusals by customer."""
+def _archives(spark, sf) -> DataFrame:
+    """Archives written and read again: orders as entries of the sections of nations, line items as their files or as files in limbo, refusals by customer."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.expr("cast(c_nationkey as string) || c_mktsegment")
     e = o.select(key.alias("section_id"), F.col("o_orderkey").alias("entry_id"), F.col("o_orderkey").cast("int").alias("entry_order"), *[F.expr(x).alias(c) for c, x in ARCHIVED.items()])
@@ -723,9 +765,12 @@ def _manifests(spark, sf) -> DataFrame:
     k = _links(spark, sf).join(o.select("o_orderkey", F.col("c_nationkey").alias("profile_id")), F.col("l_orderkey") == F.col("o_orderkey"))
     k = k.selectExpr("profile_id", "entry_id", "'/d/f' || cast(l_partkey as string) || '-' || cast(l_orderkey as string) as file_path", "'text ' || cast(l_suppkey as string) as extracted_text", "l_discount as confidence", "is_confirmed", "false as is_rejected", "l_shipdate as import_date", "l_linenumber as cert_order")
     r = o.selectExpr("c_nationkey as profile_id", "'f' || cast(o_custkey as string) as cert_key", "'h' || o_orderpriority || '||x' as hash_key")
-    return src.nest(p, s, e, k, r)
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    src.write_archives(src.manifest_lines(p, s, e, k, r), folder)
+    return src.archived(src.read_archives(spark, folder))
 
 
+NATION = "cast(profile as int) as profile_id"
 ENTRY_FIELDS = ("rawText", "title", "kind", "year", "authors", "venue", "doi", "isbn", "portaria", "issn", "edital", "endYear", "order", "certificateStatus")
 
 
@@ -733,23 +778,23 @@ ENTRY_FIELDS = ("rawText", "title", "kind", "year", "authors", "venue", "doi", "
  select c_nationkey as profile_id, c_mktsegment as section_title, cast(length(c_mktsegment) as bigint) as section_order, {', '.join(f'{x} as {c}' for c, x in ARCHIVED.items() if c != 'order')}, cast(o_orderkey as int) as entry_order,
  case when n_ok > 0 then 'confirmed' when n_files > 0 then 'suggested' else 'none' end as status, coalesce(n_files, 0) as n_files from orders join customer on o_custkey = c_custkey left join n on l_orderkey = o_orderkey""")
 def archive_round_trip(spark, sf):
-    """Profiles to JSON manifests and back: the fields of each entry."""
+    """Profiles to files of JSON and back: the fields of each entry."""
     named = [F.col(f"entry.{c}").alias({"rawText": "raw_text", "endYear": "end_year", "order": "entry_order", "certificateStatus": "status"}.get(c, c)) for c in ENTRY_FIELDS]
-    return src.unnest(_manifests(spark, sf)).select("profile_id", "section_title", "section_order", *named, F.size("entry.certificates").cast("long").alias("n_files"))
+    return src.archived_entries(_archives(spark, sf)).select(F.expr(NATION), "section_title", "section_order", *named, F.size("entry.certificates").cast("long").alias("n_files"))
 
 
 @query("""select c_nationkey as profile_id, case when l_returnflag <> 'R' then c_mktsegment end as section_title, '/d/f' || cast(l_partkey as string) || '-' || cast(l_orderkey as string) as path, 'text ' || cast(l_suppkey as string) as extracted_text,
  l_discount as confidence, l_linestatus = 'F' as is_confirmed, false as is_rejected, cast(l_shipdate as string) as import_date, l_linenumber as cert_order from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""")
 def archive_files(spark, sf):
-    """Profiles to JSON manifests and back: the fields of each file, those in limbo too."""
-    f = src.unnest_files(_manifests(spark, sf))
+    """Profiles to files of JSON and back: the fields of each file, those in limbo too."""
+    f = src.archived_files(_archives(spark, sf))
     names = {"originalFilePath": "path", "extractedText": "extracted_text", "confidence": "confidence", "isConfirmed": "is_confirmed", "isRejected": "is_rejected", "order": "cert_order"}
-    return f.select("profile_id", "section_title", *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.date_format("importDate", "yyyy-MM-dd HH:mm:ss").alias("import_date"))
+    return f.select(F.expr(NATION), "section_title", *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.date_format("importDate", "yyyy-MM-dd HH:mm:ss").alias("import_date"))
 
 
 @query("select distinct c_nationkey as profile_id, 'f' || cast(o_custkey as string) as cert_key, 'h' || o_orderpriority || '||x' as hash_key from orders join customer on o_custkey = c_custkey")
 def archive_rejections(spark, sf):
-    return src.unnest_rejected(_manifests(spark, sf))
+    return src.archived_rejections(_archives(spark, sf)).select(F.expr(NATION), "cert_key", "hash_key")
 
 
 @query("""with t as (select distinct case when p_partkey % 2 = 0 then 'N' || cast(p_size as string) else 'N' || cast(p_size as string) || ' (' || cast(p_partkey % 4 + 2 as string) || ')' end as name from part),
@@ -761,6 +806,40 @@ def unique_names(spark, sf):
     return src.unique_name(names, p.selectExpr("'N' || cast(p_size as string) as wanted"))
 
 
+WISHES = "'P' || cast(n_regionkey as string)"
+
+
+@query(f"""with t as (select 'P' || cast(r_regionkey as string) || case when r_regionkey % 2 = 0 then '' else ' (' || cast(r_regionkey + 1 as string) || ')' end as name from region union all select 'P2 (3)'),
+ w as (select n_nationkey as wish, {WISHES} as wanted from nation), k as (select *, row_number() over (partition by wanted order by wish) - case when wanted in (select name from t) then 0 else 1 end as k from w)
+ select cast(wish as string) as wish, case when k = 0 then wanted else wanted || ' (' || cast(list_filter(range(2, 60), lambda n: wanted || ' (' || cast(n as string) || ')' not in (select name from t))[k] as string) || ')' end as name from k""".replace("list_filter(range(2, 60), lambda n: wanted || ' (' || cast(n as string) || ')' not in (select name from t))[k]", "(select list(n order by n) from range(2, 60) r(n) where k.wanted || ' (' || cast(n as string) || ')' not in (select name from t))[k]"))
+def free_names(spark, sf):
+    """Nations as archives that want the names of regions, some of which are taken."""
+    taken = table(spark, sf, "region").selectExpr("'P' || cast(r_regionkey as string) || case when r_regionkey % 2 = 0 then '' else ' (' || cast(r_regionkey + 1 as string) || ')' end as name").unionByName(spark.sql("select 'P2 (3)' as name"))
+    return src.free_names(taken, table(spark, sf, "nation").selectExpr("cast(n_nationkey as string) as wish", f"{WISHES} as wanted").withColumn("wish", F.lpad("wish", 2, "0"))).select(F.regexp_replace("wish", "^0(.)", "$1").alias("wish"), "name")
+
+
+def _imported(spark, sf) -> dict[str, DataFrame]:
+    bundle = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey % 2 = 0").selectExpr("cast(c_nationkey as string) as profile", "'curriculo.pdf' as inner").distinct()
+    return src.import_archives(_archives(spark, sf), table(spark, sf, "nation").where("n_nationkey % 5 = 0").selectExpr("'P' || cast(n_nationkey as string) as name"), "/base", bundle)
+
+
+@query("""select c_nationkey as nation, 'P' || cast(c_nationkey as string) || case when c_nationkey % 5 = 0 then ' (2)' else '' end as name, '/base/P' || cast(c_nationkey as string) || case when c_nationkey % 5 = 0 then ' (2)' else '' end as save_path,
+ case when c_nationkey % 2 = 0 then '/base/P' || cast(c_nationkey as string) || case when c_nationkey % 5 = 0 then ' (2)' else '' end || '/Currículo Lattes.pdf' end as pdf_path, 'a "b"' || chr(10) || 'c' as raw_text from (select distinct c_nationkey from customer join orders on o_custkey = c_custkey)""")
+def imported_profiles(spark, sf):
+    p = _imported(spark, sf)["profiles"]
+    return p.select(F.regexp_extract("profile_id", "(\\d+)$", 1).cast("int").alias("nation"), "name", "save_path", "pdf_path", "raw_text")
+
+
+@query("""with f as (select l_orderkey, count(*) as n_files, sum(l_discount) as confidence from lineitem where l_returnflag <> 'R' group by 1) select 'P' || cast(c_nationkey as string) || case when c_nationkey % 5 = 0 then ' (2)' else '' end as name, c_mktsegment as title, o_orderkey as entry_order, o_orderpriority as entry, coalesce(n_files, 0) as n_files, round(coalesce(confidence, 0), 4) as confidence
+ from orders join customer on o_custkey = c_custkey left join f on l_orderkey = o_orderkey""")
+def imported_entries(spark, sf):
+    """Imported profiles, sections, entries and files, joined by their new ids."""
+    t = {k: v for k, v in _imported(spark, sf).items()}
+    files = t["links"].where("entry_id is not null").groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("confidence").alias("confidence"))
+    e = t["profiles"].select("profile_id", "name").join(t["sections"], "profile_id").join(t["entries"].select("section_id", "entry_id", "entry_order", F.col("title").alias("entry")), "section_id").join(files, "entry_id", "left")
+    return e.select("name", "title", F.col("entry_order").cast("long").alias("entry_order"), "entry", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"))
+
+
 # ---- files, manual work and views -----------------------------------------------------------------------------------
 
 
@@ -795,6 +874,22 @@ def ranking_files(spark, sf):
     return src.read_ranking(spark, path, "2017_2020").drop("row_no")
 
 
+@query("select item_id, trim(text, chr(10)) as text from benchmark where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0")
+def whole_texts(spark, sf):
+    """Benchmark items written as a text file each, and read as whole files."""
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    table(spark, sf, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(folder)
+    t = src.texts_of(spark, folder)
+    return t.select(F.regexp_extract("path", "item_id=(\\d+)/", 1).cast("long").alias("item_id"), F.btrim("text", F.lit("\n")).alias("text"))
+
+
+@query("""select l_orderkey, l_linenumber, round(least(500.0 / case when l_linenumber % 4 in (1, 3) then l_quantity * 20 else l_quantity * 10 end, 700.0 / case when l_linenumber % 4 in (1, 3) then l_quantity * 10 else l_quantity * 20 end), 6) as factor from lineitem""")
+def page_scales(spark, sf):
+    """Line items as pages, turned by quarters."""
+    li = table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.round(report.scale_to_fit(F.col("l_quantity") * 10, F.col("l_quantity") * 20, 500.0, 700.0, F.col("l_linenumber") % 4 * 90), 6).alias("factor"))
+
+
 MARKED = "'antes 1. 2. Participação em banca de ' || c_name || '. 3. 4. Título ' || c_mktsegment || case when c_custkey % 2 = 0 then ' participacao  em Banca de outra. Participaçao em banca de mais' else '' end"
 EVENT_TEXT = "'Semana de ' || c_name || ', 2020. (Congresso, Organização de evento)' || case when c_custkey % 3 > 0 then ' Mostra ' || c_mktsegment || ' (Outro, Organização de evento ) fim' else '' end"
 

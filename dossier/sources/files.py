@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dossier.functions import text as tx
+from dossier.sources.shared import stored
 
 #: Extensions of files that may prove an entry.
 EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "tiff", "tif", "heic")
@@ -35,17 +40,28 @@ def listed(files: DataFrame) -> DataFrame:
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Files below a folder at any depth, without their content; hidden ones are left out, folders that begin with "." too.
 
-    Listed through the file system of the session's Hadoop settings, as Spark's file sources leave out names with "_".
+    A folder that executors see as their own file system is listed by tasks, level by level: each level's folders are a table, of which tasks
+    list a share. Elsewhere Spark's own distributed listing does it, which leaves out names that begin with "_".
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
-    paths = []
-    while found.hasNext():
-        p = found.next().getPath()
-        if not any(part.startswith(".") for part in str(p.toUri().getPath())[len(str(path.toUri().getPath())) :].split("/")):
-            paths.append((str(p),))
-    return listed(spark.createDataFrame(paths, "path string"))
+    if "://" in folder and not folder.startswith("file:"):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+        return listed(found)
+    root = folder.removeprefix("file://").rstrip("/")
+    level = stored(spark.createDataFrame([(root, True)], "path string, is_folder boolean"))
+    levels = []
+    while not (folders := level.where("is_folder")).isEmpty():
+        level = stored(folders.select("path").repartition(spark.sparkContext.defaultParallelism).mapInPandas(_inside, "path string, is_folder boolean"))
+        levels.append(level.where("not is_folder").select("path"))
+    return listed(reduce(DataFrame.unionByName, levels))
+
+
+def _inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What stands in each folder, hidden names and links to folders left out."""
+    for batch in batches:
+        for folder in batch["path"]:
+            with os.scandir(folder) as found:
+                rows = [(x.path, x.is_dir(follow_symlinks=False)) for x in found if not x.name.startswith(".")]
+            yield pd.DataFrame(rows, columns=["path", "is_folder"])
 
 
 def texts_of(spark: SparkSession, path: str) -> DataFrame:
@@ -77,72 +93,183 @@ def match_text(text: Column, name: Column) -> Column:
     return F.concat(F.coalesce(text, F.lit("")), F.lit(" \n "), F.translate(name, "_-", "  "))
 
 
+def scanned(files: DataFrame) -> DataFrame:
+    """``files`` (path, root, text) as the scores take them: file_id, cert_key, text, years, folder_kinds and has_text.
+
+    A file is matched by its text and its name; its years are those of its name, else of its text; its folder below the root
+    hints at kinds.
+    """
+    name = tx.file_parts(F.col("path"))["stem"]
+    said = F.translate(name, "_-", "  ")
+    text = F.coalesce("text", F.lit(""))
+    below = F.substring(F.regexp_replace("path", "/[^/]*$", ""), F.length("root") + 1, F.length("path"))
+    years = tx.year_set(said)
+    return files.select(F.col("path").alias("file_id"), name.alias("cert_key"), match_text(text, name).alias("text"), F.when(F.size(years) > 0, years).otherwise(tx.year_set(text)).alias("years"), tx.folder_kinds(below).alias("folder_kinds"), (text != "").alias("has_text"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 0, in the file), row_no (from 0, files in the order of their paths) and value of each line of text files below ``path``.
+
+    Lines are read in splits, in any order: each split's lines are counted, and the sums of the counts before a split, of
+    which there are few, place its lines. Only these sums meet the lines.
+    """
+    at = F.monotonically_increasing_id()
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at.alias("at"))
+    splits = raw.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_file = splits.withColumn("in_file", before(Window.partitionBy("file").orderBy("start")))
+    files = splits.groupBy("file").agg(F.sum("n").alias("n")).withColumn("in_all", before(Window.orderBy("file"))).drop("n")
+    placed = in_file.join(files, "file").drop("n")
+    line = F.col("at") - F.col("first") + F.col("in_file")
+    return raw.join(placed, ["file", "start"]).select("file", line.alias("line_no"), (line + F.col("in_all")).alias("row_no"), "value")
+
+
 def read_ranking(spark: SparkSession, path: str, quad: str) -> DataFrame:
-    """A period's ranking table (tab-separated, gzip or plain): quad, row_no, issn, title, area, estrato."""
-    raw = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("row_no")).where(F.size("f") >= 4)
+    """A period's ranking table (tab-separated, gzip or plain, one file or several): quad, row_no (in the order of the files and their lines), issn, title, area, estrato."""
+    raw = numbered_lines(spark, path).select(F.split("value", "\t").alias("f"), "row_no").where(F.size("f") >= 4)
     return raw.select(F.lit(quad).alias("quad"), "row_no", *[F.col("f")[k].alias(c.split(" ")[0]) for k, c in enumerate(RANKING.split(", "))])
 
 
-def nest(profiles: DataFrame, sections: DataFrame, entries: DataFrame, links: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """profile_id and manifest (a JSON text) of each profile with its sections, entries, files and refused links in order.
+def _fields(df: DataFrame, ddl: str, given: dict[str, Column]) -> list[Column]:
+    """The fields of a struct, from the columns of ``df`` of that name with underscores unless ``given``; those it lacks are null."""
+    out = []
+    for f in StructType.fromDDL(f"x {ddl}").fields[0].dataType.fields:
+        name = re.sub("([A-Z])", r"_\1", f.name).lower()
+        value = given.get(f.name, F.col(name) if name in df.columns else F.lit(None))
+        out.append(value.cast(f.dataType).alias(f.name))
+    return out
 
-    Columns are named as in MANIFEST, with underscores; those that a table lacks are null. ``links`` without an
-    entry_id are the profile's limbo. ``rejected``: profile_id, cert_key, hash_key.
-    """
 
-    def fields(df: DataFrame, ddl: str, given: dict[str, Column]) -> Column:
-        out = []
-        for f in StructType.fromDDL(f"x {ddl}").fields[0].dataType.fields:
-            name = re.sub("([A-Z])", r"_\1", f.name).lower()
-            value = given.get(f.name, F.col(name) if name in df.columns else F.lit(None))
-            out.append(value.cast(f.dataType).alias(f.name))
-        return F.struct(*out)
-
-    def gather(df: DataFrame, by: str, order: str, value: Column, name: str) -> DataFrame:
-        got = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), value.alias("v")))).alias("g"))
-        return got.select(by, F.transform("g", lambda x: x["v"]).alias(name))
-
-    file = fields(links, FILE, {"order": F.col("cert_order"), "originalFilePath": F.col("file_path") if "file_path" in links.columns else F.col("file_name")})
-    certs = gather(links.where("entry_id is not null"), "entry_id", "cert_order", file, "certificates")
-    limbo = gather(links.where("entry_id is null"), "profile_id", "cert_order", file, "limboCertificates")
+def manifest_lines(profiles: DataFrame, sections: DataFrame, entries: DataFrame, links: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """profile_id, o (an array to order by) and value: the lines of each profile's manifest, which together are one JSON text.
+
+    A line opens a profile, holds a refused link, opens a section, holds an entry with its files, closes a section, holds a
+    file in limbo, or closes the profile; so no row holds more than an entry. Columns are named as in MANIFEST, with underscores; those that a
+    table lacks are null. ``links`` without an entry_id are the profile's limbo. ``rejected``: profile_id, cert_key, hash_key.
+    """
+    comma = lambda first, text: F.when(first, text).otherwise(F.concat(F.lit(","), text))
+    line = lambda df, places, value: df.select("profile_id", F.array(*[(F.lit(p) if isinstance(p, int) else p).cast("long") for p in places]).alias("o"), value.alias("value"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1]))
+    file = F.struct(*_fields(links, FILE, {"order": F.col("cert_order"), "originalFilePath": F.col("file_path") if "file_path" in links.columns else F.col("file_name")}))
+    certs = links.where("entry_id is not null").groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cert_order", file.alias("v")))), lambda x: x["v"]).alias("certificates"))
     e = entries.join(certs, "entry_id", "left").withColumn("certificates", F.coalesce("certificates", F.array().cast(f"array<{FILE}>")))
-    confirmed = F.exists("certificates", lambda c: c["isConfirmed"])
-    status = F.when(confirmed, "confirmed").when(F.size("certificates") > 0, "suggested").otherwise("none")
-    rows = gather(e, "section_id", "entry_order", fields(e, ENTRY, {"order": F.col("entry_order"), "certificateStatus": status, "certificates": F.col("certificates")}), "entries")
-    with_rows = sections.join(rows, "section_id", "left").withColumn("entries", F.coalesce("entries", F.array().cast(f"array<{ENTRY}>")))
-    s = gather(with_rows, "profile_id", "section_order", F.struct("title", F.col("section_order").alias("order"), "entries"), "sections")
-    p = profiles.join(s, "profile_id", "left").join(limbo, "profile_id", "left")
+    status = F.when(F.exists("certificates", lambda c: c["isConfirmed"]), "confirmed").when(F.size("certificates") > 0, "suggested").otherwise("none")
+    s = sections.withColumn("s_no", first("profile_id", F.struct("section_order", "section_id")))
+    e = e.join(s.select("section_id", "profile_id", "s_no"), "section_id").withColumn("e_no", first("section_id", F.struct("entry_order", "entry_id")))
+    limbo = links.where("entry_id is null").withColumn("l_no", first("profile_id", F.struct("cert_order", F.to_json(file))))
+    head = F.to_json(F.struct(*_fields(profiles, f"struct<{HEAD_FIELDS}>", {"formatVersion": F.lit(1), "includesFiles": F.col("includes_files") if "includes_files" in profiles.columns else F.lit(False)})))
+    opened = F.to_json(F.struct("title", F.col("section_order").alias("order")))
+    rows = [
+        line(profiles, (0, 0, 0), F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"rejectedLinks":['))),
+        line(profiles, (2, 0, 0), F.lit('],"sections":[')),
+        line(s, (3, F.col("s_no"), 0), comma(F.col("s_no") == 1, F.concat(F.substring(opened, F.lit(1), F.length(opened) - 1), F.lit(',"entries":[')))),
+        line(e, (3, F.col("s_no"), F.col("e_no")), comma(F.col("e_no") == 1, F.to_json(F.struct(*_fields(e, ENTRY, {"order": F.col("entry_order"), "certificateStatus": status, "certificates": F.col("certificates")}))))),
+        line(s, (3, F.col("s_no"), (1 << 63) - 1), F.lit("]}")),
+        line(profiles, (4, 0, 0), F.lit('],"limboCertificates":[')),
+        line(limbo, (5, F.col("l_no"), 0), comma(F.col("l_no") == 1, F.to_json(file))),
+        line(profiles, (6, 0, 0), F.lit("]}")),
+    ]
     if rejected is not None:
-        p = p.join(rejected.groupBy("profile_id").agg(F.sort_array(F.collect_set(F.concat_ws("||", "cert_key", "hash_key"))).alias("rejected_links")), "profile_id", "left")
-    else:
-        p = p.withColumn("rejected_links", F.lit(None))
-    given = {"formatVersion": F.lit(1), "includesFiles": F.lit(False)} | {c: F.col(c) for c in ("sections", "limboCertificates")}
-    body = fields(p, f"struct<{MANIFEST_FIELDS}>", given)
-    return p.select("profile_id", F.to_json(body).alias("manifest"))
+        r = rejected.select("profile_id", F.concat_ws("||", "cert_key", "hash_key").alias("x")).distinct().withColumn("r_no", first("profile_id", "x"))
+        text = F.to_json(F.array("x"))
+        rows.append(line(r, (1, F.col("r_no"), 0), comma(F.col("r_no") == 1, F.substring(text, F.lit(2), F.length(text) - 2))))
+    return reduce(DataFrame.unionByName, rows)
+
 
+def write_archives(lines: DataFrame, folder: str) -> None:
+    """``manifest_lines`` as one text file a profile, below ``profile_id=`` its id; a profile's lines stream through one task, sorted, and Spark commits the files."""
+    lines.repartition("profile_id").sortWithinPartitions("profile_id", "o").select("profile_id", "value").write.partitionBy("profile_id").text(folder)
 
-#: MANIFEST in the form of a struct's fields.
-MANIFEST_FIELDS = ",".join(f"{name}:{kind}" for name, kind in (x.split(" ", 1) for x in MANIFEST.split(", ")))
 
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """profile (the text of the id), line_no and value of each line of the archives below ``folder``."""
+    found = numbered_lines(spark, folder)
+    return found.select(F.url_decode(F.regexp_extract("file", "profile_id=([^/]*)/", 1)).alias("profile"), "line_no", "value")
+
+
+def archived(lines: DataFrame) -> DataFrame:
+    """profile, line_no, part (profile, rejected, section, entry or limbo) and value (JSON) of what ``read_archives`` has, with the line of its section.
+
+    Which part a line is in is told by the last line before it that opens or closes one.
+    """
+    w = Window.partitionBy("profile").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = F.col("value")
+    mark = F.when(F.endswith(v, F.lit(',"rejectedLinks":[')), "rejected").when(v == '],"sections":[', "section").when(F.endswith(v, F.lit(',"entries":[')), "entry").when(v == '],"limboCertificates":[', "limbo").when(v == "]}", "section")
+    closed = lambda tail, end: F.concat(F.substring(v, F.lit(1), F.length(v) - len(tail)), F.lit(end))
+    l = lines.withColumns({"mark": mark, "place": F.last(mark, ignorenulls=True).over(w), "section_line": F.last(F.when(mark == "entry", F.col("line_no")), ignorenulls=True).over(w)})  # noqa: E741
+    part = F.when(F.col("mark").isNull(), F.col("place")).when(F.col("mark") == "rejected", "profile").when(F.col("mark") == "entry", "section")
+    text = F.when(F.col("mark") == "rejected", closed(',"rejectedLinks":[', "}")).when(F.col("mark") == "entry", closed(',"entries":[', "}")).otherwise(v)
+    return l.select("profile", "line_no", part.alias("part"), F.regexp_replace(text, "^,", "").alias("value"), F.when(part.isin("section", "entry"), F.col("section_line")).alias("section_line")).where("part is not null")
 
-def unnest(manifests: DataFrame) -> DataFrame:
-    """profile_id, section_title, section_order, entry_no (in its section) and entry, of each entry of ``manifests``."""
-    m = manifests.select("profile_id", F.from_json("manifest", MANIFEST).alias("m"))
-    s = m.select("profile_id", F.explode("m.sections").alias("s")).select("profile_id", F.col("s.title").alias("section_title"), F.col("s.order").alias("section_order"), F.posexplode("s.entries").alias("entry_no", "entry"))
-    return s
 
+def parts_of(manifests: DataFrame) -> DataFrame:
+    """As ``archived``, of manifests made elsewhere (profile, manifest: a whole JSON text)."""
+    m = manifests.select("profile", F.from_json("manifest", MANIFEST).alias("m"))
+    row = lambda df, line, part, value, section=None: df.select("profile", F.lit(line).cast("long").alias("line_no") if isinstance(line, int) else line.cast("long").alias("line_no"), F.lit(part).alias("part"), F.to_json(value).alias("value"), (F.lit(None) if section is None else section).cast("long").alias("section_line"))
+    lists = ("sections", "limboCertificates", "rejectedLinks")
+    head = m.select("profile", F.col("m").dropFields(*lists).alias("h"))
+    s = m.select("profile", F.posexplode("m.sections").alias("k", "s")).withColumn("at", (F.col("k") + 1).cast("long") * (1 << 31))
+    e = s.select("profile", "at", F.posexplode("s.entries").alias("k", "e"))
+    refused = m.select("profile", F.posexplode("m.rejectedLinks").alias("k", "x")).select("profile", F.col("k").alias("line_no"), F.to_json(F.array("x")).alias("x"))
+    refused = refused.select("profile", F.col("line_no").cast("long").alias("line_no"), F.lit("rejected").alias("part"), F.substring("x", F.lit(2), F.length("x") - 2).alias("value"), F.lit(None).cast("long").alias("section_line"))
+    limbo = m.select("profile", F.posexplode("m.limboCertificates").alias("k", "f"))
+    rows = [row(head, 0, "profile", F.col("h")), row(s, F.col("at"), "section", F.struct("s.title", F.col("s.order").alias("order")), F.col("at")), row(e, F.col("at") + 1 + F.col("k"), "entry", F.col("e"), F.col("at")), refused, row(limbo, F.col("k"), "limbo", F.col("f"))]
+    return reduce(DataFrame.unionByName, rows)
 
-def unnest_files(manifests: DataFrame) -> DataFrame:
-    """profile_id, section_title, entry_no (both null in limbo) and the fields of each file of ``manifests``."""
-    linked = unnest(manifests).select("profile_id", "section_title", "entry_no", F.explode("entry.certificates").alias("f"))
-    limbo = manifests.select("profile_id", F.from_json("manifest", MANIFEST).alias("m")).select("profile_id", F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("int").alias("entry_no"), F.explode("m.limboCertificates").alias("f"))
-    return linked.unionByName(limbo).select("profile_id", "section_title", "entry_no", "f.*")
 
+#: Fields of a manifest beside its lists.
+HEAD_FIELDS = ",".join(f"{name}:{kind}" for name, kind in (x.split(" ", 1) for x in MANIFEST.split(", ")) if not kind.startswith("array"))
 
-def unnest_rejected(manifests: DataFrame) -> DataFrame:
-    """profile_id, cert_key and hash_key of each refused link of ``manifests``."""
-    m = manifests.select("profile_id", F.explode(F.from_json("manifest", MANIFEST)["rejectedLinks"]).alias("x"))
-    return m.select("profile_id", F.substring_index("x", "||", 1).alias("cert_key"), F.regexp_replace("x", "(?s)^.*?\\|\\|", "").alias("hash_key"))
+
+def archived_entries(parts: DataFrame) -> DataFrame:
+    """profile, section_line, section_title, section_order, line_no and entry of each entry of ``archived``."""
+    s = parts.where("part = 'section'").select("profile", "section_line", F.from_json("value", "title string, `order` bigint").alias("s"))
+    e = parts.where("part = 'entry'").select("profile", "section_line", "line_no", F.from_json("value", ENTRY).alias("entry"))
+    return e.join(s, ["profile", "section_line"]).select("profile", "section_line", F.col("s.title").alias("section_title"), F.col("s.order").alias("section_order"), "line_no", "entry")
+
+
+def archived_files(parts: DataFrame) -> DataFrame:
+    """profile, section_title and line_no of the entry (both null in limbo), file_no and the fields of each file of ``archived``."""
+    linked = archived_entries(parts).select("profile", "section_title", "line_no", F.posexplode("entry.certificates").alias("file_no", "f"))
+    limbo = parts.where("part = 'limbo'").select("profile", F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("long").alias("line_no"), F.col("line_no").cast("int").alias("file_no"), F.from_json("value", FILE).alias("f"))
+    return linked.unionByName(limbo).select("profile", "section_title", "line_no", "file_no", "f.*")
+
+
+def archived_rejections(parts: DataFrame) -> DataFrame:
+    """profile, cert_key and hash_key of each refused link of ``archived``."""
+    x = parts.where("part = 'rejected'").select("profile", F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x").alias("x"))
+    return x.select("profile", F.substring_index("x", "||", 1).alias("cert_key"), F.regexp_replace("x", "(?s)^.*?\\|\\|", "").alias("hash_key"))
+
+
+#: The curriculum in a bundle, its name when unpacked, and the folder of unpacked files.
+BUNDLED_CV, UNPACKED_CV, UNPACKED = "curriculo.pdf", "Currículo Lattes.pdf", "Comprovantes Importados"
+
+
+def import_archives(parts: DataFrame, names: DataFrame, base: str, bundled: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables profiles, sections, entries, links and rejected of many archives at once, as ``manifest_lines`` takes them.
+
+    ``parts`` as ``archived`` has them. Names are free of those in ``names`` and of each other, see ``free_names``; ids are new: an archive's, and
+    in it those of its lines. Files that a bundle holds (``bundled``: profile, inner) are found below the new profile's
+    folder in ``base``, others where they were; so is the curriculum.
+    """
+    heads = parts.where("part = 'profile'").select("profile", F.from_json("value", HEAD_FIELDS.replace(":", " ").replace(",", ", ")).alias("h"))
+    named = free_names(names, heads.select(F.col("profile").alias("wish"), F.col("h.name").alias("wanted"))).select(F.col("wish").alias("profile"), "name")
+    new_id = F.concat(F.lit("import-"), "profile")
+    folder = F.concat(F.lit(base.rstrip("/") + "/"), "name")
+    held = (bundled if bundled is not None else parts.sparkSession.createDataFrame([], "profile string, inner string")).select("profile", "inner").distinct()
+    cv = held.where(F.col("inner") == BUNDLED_CV).select("profile", F.lit(True).alias("has_cv"))
+    heads = heads.join(named, "profile").join(cv, "profile", "left")
+    profiles = heads.select(new_id.alias("profile_id"), "name", F.when(F.col("has_cv"), F.concat(folder, F.lit("/" + UNPACKED_CV))).otherwise(F.col("h.pdfPath")).alias("pdf_path"), F.col("h.importDate").alias("import_date"), F.col("h.lastUpdated").alias("last_updated"), folder.alias("save_path"), F.col("h.rawText").alias("raw_text"))
+    line_id = lambda c: F.concat_ws("-", new_id, F.col(c).cast("string"))
+    sections = parts.where("part = 'section'").select(line_id("section_line").alias("section_id"), new_id.alias("profile_id"), F.from_json("value", "title string, `order` bigint").alias("s")).select("section_id", "profile_id", "s.title", F.col("s.order").alias("section_order"))
+    e = archived_entries(parts)
+    plain = [F.col(f"entry.{f.name}").alias({"order": "entry_order"}.get(f.name, re.sub("([A-Z])", r"_\1", f.name).lower())) for f in StructType.fromDDL(f"x {ENTRY}").fields[0].dataType.fields if f.name != "certificates"]
+    entries = e.select(line_id("line_no").alias("entry_id"), line_id("section_line").alias("section_id"), *plain)
+    f = archived_files(parts).join(named, "profile").join(held.withColumn("there", F.lit(True)), (F.col("inner") == F.col("bundledRelativePath")) & (held["profile"] == named["profile"]), "left").drop(held["profile"])
+    path = F.when(F.col("there"), F.concat(folder, F.lit(f"/{UNPACKED}/"), F.regexp_extract("bundledRelativePath", "([^/]*)$", 1))).otherwise(F.col("originalFilePath"))
+    links = f.select(new_id.alias("profile_id"), F.when(F.col("line_no").isNotNull(), line_id("line_no")).alias("entry_id"), path.alias("file_path"), F.col("extractedText").alias("extracted_text"), "confidence", F.col("isConfirmed").alias("is_confirmed"), F.col("isRejected").alias("is_rejected"), F.col("importDate").alias("import_date"), F.col("order").alias("cert_order"))
+    rejected = archived_rejections(parts).select(new_id.alias("profile_id"), "cert_key", "hash_key")
+    return {"profiles": profiles, "sections": sections, "entries": entries, "links": links, "rejected": rejected}
 
 
 def first_manifest(files: DataFrame) -> DataFrame:
@@ -151,16 +278,31 @@ def first_manifest(files: DataFrame) -> DataFrame:
     return files.where((F.col("inner") == "manifest.json") | F.col("inner").rlike("^[^/]+/manifest\\.json$")).groupBy("archive").agg(F.min_by("inner", F.struct(depth, "inner")).alias("manifest"))
 
 
+def free_names(names: DataFrame, wishes: DataFrame) -> DataFrame:
+    """wish and a name for each row of ``wishes`` (wish, wanted), free of ``names`` (name) and of each other.
+
+    The first wish of a free name, by ``wish``, has the name itself; the k-th further one has it with the k-th number, from 2 on, that no
+    name has after it. Numbers in use are islands, and each tells how many free ones come before it; so the k-th free one is found
+    by ordering wishes and numbers in use together.
+    """
+    taken = names.select("name").where("name is not null").distinct()
+    w = wishes.select("wish", "wanted").withColumn("k", F.row_number().over(Window.partitionBy("wanted").orderBy("wish")))
+    w = w.join(taken.select(F.col("name").alias("wanted"), F.lit(True).alias("hit")), "wanted", "left").withColumn("k", F.when(F.col("hit"), F.col("k")).otherwise(F.col("k") - 1)).drop("hit")
+    plain = w.where("k = 0").select("wish", F.col("wanted").alias("name"))
+    everyone = taken.unionByName(plain.select("name"))
+    number = F.regexp_extract("name", " \\(([1-9]\\d{0,8})\\)$", 1).try_cast("int")
+    used = everyone.select(F.regexp_extract("name", "^(?s)(.*) \\([1-9]\\d{0,8}\\)$", 1).alias("wanted"), number.alias("n")).where("n >= 2")
+    used = used.withColumn("k", F.col("n") - F.row_number().over(Window.partitionBy("wanted").orderBy("n")) - 1)
+    both = w.where("k > 0").select("wanted", "k", "wish", F.lit(0).alias("island")).unionByName(used.select("wanted", "k", F.lit(None).cast(wishes.schema["wish"].dataType).alias("wish"), F.lit(1).alias("island")))
+    passed = F.sum("island").over(Window.partitionBy("wanted").orderBy("k", "island").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = both.withColumn("n", F.col("k") + 1 + passed).where("island = 0").select("wish", F.concat("wanted", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("name"))
+    return plain.unionByName(numbered)
+
+
 def unique_name(names: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted and a name that is free: itself, or with the least " (n)", n from 2, that isn't taken."""
-    taken = names.select("name").distinct()
+    """wanted and a name that is free for it: itself, or with the least " (n)", n from 2, that isn't taken; one for each wanted name."""
     w = wanted.select("wanted").distinct()
-    numbered = taken.select(F.regexp_extract("name", "^(.*) \\(([1-9]\\d{0,8})\\)$", 1).alias("wanted"), F.regexp_extract("name", " \\(([1-9]\\d{0,8})\\)$", 1).try_cast("int").alias("n"))
-    used = numbered.where("n >= 2").groupBy("wanted").agg(F.array_sort(F.collect_set("n")).alias("used"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.size("used") + 2), F.col("used")))
-    out = w.join(taken.select(F.col("name").alias("wanted"), F.lit(True).alias("hit")), "wanted", "left").join(used, "wanted", "left")
-    n = F.when(F.col("used").isNull(), 2).otherwise(free)
-    return out.select("wanted", F.when(F.col("hit"), F.concat("wanted", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("wanted")).alias("name"))
+    return w.select("wanted").join(free_names(names, w.select(F.col("wanted").alias("wish"), "wanted")).withColumnRenamed("wish", "wanted"), "wanted")
 
 
 def profiles_by_name(profiles: DataFrame) -> DataFrame:
