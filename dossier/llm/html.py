@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import textwrap
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,7 +19,9 @@ from dossier.llm.common import column, map_batches, with_row
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head title rp script style template noscript iframe object embed audio video canvas svg math datalist noembed noframes".split())
+HIDDEN = frozenset("head title rp script style template noscript iframe object embed audio video canvas datalist noembed noframes".split())
+#: Parts of drawings and formulas that name or describe what is shown, and so are not shown.
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul tr caption thead tbody tfoot".split()
@@ -50,9 +53,8 @@ CROSSES = frozenset("tr tbody thead tfoot table td th".split())
 SCOPE = frozenset("html table td th caption template button".split())
 #: Fixed values of the standard: columns that a cell spans at most, and equal formatting elements that are opened again.
 MOST_SPAN, MOST_AGAIN = 1000, 3
-#: Spaces before a line, and characters that a column is padded to, at most. A table that padding would make longer than
-#: PADDED times its text is written without it: all of its text, but no aligned columns.
-MOST_INDENT, MOST_PAD, PADDED = 80, 120, 8
+#: Spaces before a line at most; characters at which a table's cells are wrapped, the first that keeps padding under PADDED times its text.
+MOST_INDENT, PADS, PADDED = 80, (120, 60, 30, 15, 8), 8
 
 # A quote opens a value only after '='; elsewhere it is an ordinary character.
 TOKEN = re.compile(
@@ -61,7 +63,9 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|\Z)", re.IGNORECASE)
+DRAWN = frozenset(("svg", "math"))
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -80,16 +84,38 @@ class Node:
                 return html.unescape(next((v for v in m.groups()[1:] if v is not None), ""))
         return None
 
-    def hidden(self) -> bool:
+    def removed(self) -> bool:
+        """Neither the element nor anything below it is rendered."""
         if self.name in HIDDEN:
             return True
         if not self.attributes:
-            return False
-        if self.get("hidden") is not None or (self.get("aria-hidden") or "").lower() == "true":
+            return self.name == "dialog" or self.name == "input"
+        if self.name == "input" and self.label() is None:
             return True
-        if self.name == "input" or (self.name == "dialog" and self.get("open") is None):
-            return True
-        return bool(UNSEEN.search(self.get("style") or ""))
+        shown = self.declared("display")
+        if shown is not None:
+            return shown == "none"
+        return self.get("hidden") is not None or (self.name == "dialog" and self.get("open") is None)
+
+    def declared(self, wanted: str) -> str | None:
+        """The value of display or visibility in the element's style: the last declaration, of important ones if there are any."""
+        style = self.get("style") if self.attributes else None
+        if not style:
+            return None
+        found = [(bool(m[3]), m[2].lower()) for m in DECLARATION.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.DOTALL)) if m[1].lower() == wanted]
+        return ([v for important, v in found if important] or [v for _, v in found] or [None])[-1]
+
+    def unseen(self, above: bool) -> bool:
+        """Text right below the element is not visible; visibility goes down from ``above`` until an element sets it anew."""
+        value = self.declared("visibility") if self.attributes else None
+        return above if value in (None, "inherit", "unset") else value in ("hidden", "collapse")
+
+    def label(self) -> str | None:
+        """What a button made by an input shows; None for other inputs."""
+        kind = (self.get("type") or "").lower()
+        if kind == "image":
+            return self.get("alt") or ""
+        return None if kind not in BUTTONS else BUTTONS[kind] if (value := self.get("value")) is None else value
 
 
 class Stack:
@@ -285,39 +311,53 @@ def run(step: Iterator) -> None:
             steps.append(inner)
 
 
-def render(node: Node, out: Layout, ordinal: list[int] | None = None) -> Iterator:
-    """Writes a node's visible text to ``out``; a step for ``run``. ``ordinal``: the last number of an ordered list."""
+def render(node: Node, out: Layout, ordinal: list[int] | None = None, unseen: bool = False, drawn: bool = False) -> Iterator:
+    """Writes a node's visible text to ``out``; a step for ``run``. ``ordinal``: the last number of an ordered list.
+
+    ``unseen``: text right below the node isn't visible; elements below may be again. ``drawn``: inside a drawing or formula.
+    """
     for child in node.children:
         if isinstance(child, str):
-            out.write(child)
+            if not unseen:
+                out.write(child)
             continue
-        if child.hidden():
+        if child.removed() or (drawn and child.name in UNDRAWN):
+            continue
+        name, dark = child.name, child.unseen(unseen)
+        if name in DRAWN or drawn:
+            if child.name in ("text", "tspan", "foreignobject", "mtd", "mtr") or name in DRAWN:
+                out.write(" ")
+            yield render(child, out, None, dark, child.name != "foreignobject")
+            out.write(" ")
             continue
-        name = child.name
         if name == "br":
             if out.line:
                 out.end_line()
             else:
                 out.gap = True
         elif name == "img":
-            if alt := child.get("alt"):
+            if not dark and (alt := child.get("alt")):
                 out.write(alt)
+        elif name == "input":
+            if not dark:
+                out.write(f" {child.label()} ")
         elif name == "pre":
             out.space()
-            for line in "".join(flat(child)).strip("\n").split("\n"):
+            for line in "".join(flat(child, dark)).strip("\n").split("\n"):
                 out.put(line.rstrip())
             out.gap = True
         elif name == "table":
             out.space()
-            yield table(child, out)
+            yield table(child, out, dark)
             out.gap = True
         elif name == "li":
             out.end_line()
             was, mark = out.prefix, out.mark
             if ordinal is not None:
-                ordinal[0] += 1
+                own = child.get("value") or ""
+                ordinal[0] = int(own) if re.fullmatch(r"-?\d{1,9}", own) else ordinal[0] + 1
             out.mark = "- " if ordinal is None else f"{ordinal[0]}. "
-            yield render(child, out)
+            yield render(child, out, None, dark)
             out.end_line()
             out.prefix, out.mark = was, mark
         elif name in BLOCK:
@@ -327,63 +367,72 @@ def render(node: Node, out: Layout, ordinal: list[int] | None = None) -> Iterato
             if name in ("blockquote", "dd"):
                 out.indent(2)
             start = child.get("start") if name == "ol" else None
-            yield render(child, out, [int(start) - 1 if start and re.fullmatch(r"-?\d{1,9}", start) else 0] if name == "ol" else None)
+            yield render(child, out, [int(start) - 1 if start and re.fullmatch(r"-?\d{1,9}", start) else 0] if name == "ol" else None, dark)
             out.end_line()
             out.prefix = was
             out.gap = out.gap or spaced
         elif name in ("button", "select"):
             out.write(" ")
-            yield render(child, out)
+            yield render(child, out, None, dark)
             out.write(" ")
         elif child.children:
-            yield render(child, out, ordinal)
+            yield render(child, out, ordinal, dark)
 
 
-def flat(node: Node):
+def flat(node: Node, unseen: bool = False):
     """The visible strings below a node in order, without layout."""
-    todo = [iter(node.children)]
+    todo = [(iter(node.children), unseen)]
     while todo:
-        child = next(todo[-1], None)
+        rest, dark = todo[-1]
+        child = next(rest, None)
         if child is None:
             todo.pop()
         elif isinstance(child, str):
-            yield child
+            if not dark:
+                yield child
         elif child.name == "br":
             yield "\n"
-        elif child.name == "img":
-            yield child.get("alt") or ""
-        elif not child.hidden():
-            todo.append(iter(child.children))
+        elif child.removed():
+            continue
+        elif child.name in ("img", "input"):
+            if not child.unseen(dark):
+                yield (child.get("alt") if child.name == "img" else child.label()) or ""
+        else:
+            todo.append((iter(child.children), child.unseen(dark)))
 
 
-def rows_of(node: Node) -> list[tuple[Node, Node]]:
-    """The rows of a table in order, each with the element that it stands in."""
-    rows, todo = [], [(node, iter(node.children))]
+def rows_of(node: Node, unseen: bool) -> list[tuple[Node, Node, bool]]:
+    """The rows of a table in order, each with the element that it stands in and whether its own text is not visible."""
+    rows, todo = [], [(node, iter(node.children), unseen)]
     while todo:
-        parent, rest = todo[-1]
+        parent, rest, dark = todo[-1]
         child = next(rest, None)
         if child is None:
             todo.pop()
-        elif isinstance(child, str) or child.hidden():
+        elif isinstance(child, str) or child.removed():
             continue
         elif child.name in GROUPS:
-            todo.append((child, iter(child.children)))
+            todo.append((child, iter(child.children), child.unseen(dark)))
         elif child.name == "tr":
-            rows.append((child, parent))
+            rows.append((child, parent, child.unseen(dark)))
     return rows
 
 
-def stray(node: Node, out: Layout) -> Iterator:
+def stray(node: Node, out: Layout, unseen: bool) -> Iterator:
     """Writes what a table or row group has besides its rows."""
     for child in node.children:
         if isinstance(child, str):
-            out.write(child)
-        elif child.name == "tr" or child.hidden():
+            if not unseen:
+                out.write(child)
+        elif child.name == "tr" or child.removed():
             continue
         elif child.name in (*GROUPS, "colgroup"):
-            yield stray(child, out)
+            yield stray(child, out, child.unseen(unseen))
+        elif child.name == "caption":
+            yield render(child, out, None, child.unseen(unseen))
+            out.end_line()
         else:
-            yield render(child if child.name == "caption" else Node("div", "", [child]), out)
+            yield render(Node("div", "", [child]), out, None, unseen)
             out.end_line()
 
 
@@ -417,27 +466,28 @@ class Below:
         self.stretches = joined
 
 
-def table(node: Node, out: Layout) -> Iterator:
-    """A table's caption, stray content and rows; cells are padded so that columns align, within the limits above."""
-    yield stray(node, out)
+def table(node: Node, out: Layout, unseen: bool) -> Iterator:
+    """A table's caption, stray content and rows; cells are parted by bars and padded so that columns align, within the limits above."""
+    yield stray(node, out, unseen)
     out.end_line()
     grid: list[list[tuple[int, list[str]]]] = []
     group, below = None, Below()
-    for number, (row, parent) in enumerate(rows_of(node)):
+    for number, (row, parent, dark) in enumerate(rows_of(node, unseen)):
         if parent is not group:
             group, below = parent, Below()
         cells: list[tuple[int, list[str]]] = []
         at = 0
         for cell in row.children:
             if isinstance(cell, str):
-                if not BLANK.sub("", cell):
+                if dark or not BLANK.sub("", cell):
                     continue
                 cell = Node("td", "", [cell])
-            if cell.hidden():
+            if cell.removed():
                 continue
             at = below.free(at, number)
             inner = Layout()
-            yield render(cell if cell.name in ("td", "th") else Node("td", "", [cell]), inner)
+            own = cell.name in ("td", "th")
+            yield render(cell if own else Node("td", "", [cell]), inner, None, cell.unseen(dark) if own else dark)
             inner.end_line()
             cells.append((at, inner.lines or [""]))
             stop = at + min(max(1, span(cell, "colspan")), MOST_SPAN)
@@ -446,38 +496,48 @@ def table(node: Node, out: Layout) -> Iterator:
             at = stop
         if cells:
             grid.append(cells)
-    padded = aligned(grid)
+    grid, width = fitted(grid)
+    place = {at: k for k, at in enumerate(sorted(width))}
     for cells in grid:
         for k in range(max(len(lines) for _, lines in cells)):
-            line = " | ".join(padded(cells, k) if padded else [lines[k] if k < len(lines) else "" for _, lines in cells])
-            if line.replace("|", "").strip():
-                out.put(line.rstrip(" |"))
+            parts = [""] * (place[cells[-1][0]] + 1 if width else len(cells))
+            for n, (at, lines) in enumerate(cells):
+                parts[place[at] if width else n] = lines[k] if k < len(lines) else ""
+            last = max((n for n, text in enumerate(parts) if text.strip()), default=-1)
+            if last >= 0:
+                before = [text.ljust(width[at]) for text, at in zip(parts[:last], place, strict=False)] if width else parts[:last]
+                out.put(" | ".join([*before, parts[last].rstrip(" ")]))
 
 
-def aligned(grid: list[list[tuple[int, list[str]]]]):
-    """What gives line ``k`` of a row as parts of their columns' widths; None if that makes the table too long.
+Grid = list[list[tuple[int, list[str]]]]
 
-    Columns that no cell begins in are left out.
-    """
-    width: dict[int, int] = defaultdict(int)
-    for cells in grid:
-        for at, lines in cells:
-            width[at] = max(width[at], min(MOST_PAD, max(map(len, lines))))
-    place, ends = {at: k for k, at in enumerate(sorted(width))}, [0]
-    for at in place:
-        ends.append(ends[-1] + width[at] + 3)
-    size = sum(ends[place[cells[-1][0]]] * max(len(lines) for _, lines in cells) for cells in grid)
-    if size > PADDED * sum(len(line) for cells in grid for _, lines in cells for line in lines) + 10_000:
-        return None
-    widths = [width[at] for at in place]
 
-    def padded(cells: list[tuple[int, list[str]]], k: int) -> list[str]:
-        parts = [""] * (place[cells[-1][0]] + 1)
-        for at, lines in cells:
-            parts[place[at]] = lines[k] if k < len(lines) else ""
-        return [x.ljust(w) for x, w in zip(parts, widths, strict=False)]
+def fitted(grid: Grid) -> tuple[Grid, dict[int, int]]:
+    """The rows with wide cells wrapped, and the width of each column that a cell begins in.
 
-    return padded
+    Cells before the last one of a row are wrapped at the largest of PADS with which padding keeps the table under PADDED times its text.
+    Only where the bars alone are longer than that, as with rows far to the right, are there no widths.
+    """
+    text = sum(len(line) for cells in grid for _, lines in cells for line in lines)
+    for most in PADS:
+        rows = [[(at, wrapped(lines, most) if n + 1 < len(cells) else lines) for n, (at, lines) in enumerate(cells)] for cells in grid]
+        width: dict[int, int] = defaultdict(int)
+        for cells in rows:
+            for at, lines in cells:
+                width[at] = max(width[at], min(most, max(map(len, lines))))
+        place, ends = {at: k for k, at in enumerate(sorted(width))}, [0]
+        for at in place:
+            ends.append(ends[-1] + width[at] + 3)
+        if sum(ends[place[cells[-1][0]]] * max(len(lines) for _, lines in cells) for cells in rows) <= PADDED * text + 10_000:
+            return rows, dict(width)
+    return grid, {}
+
+
+def wrapped(lines: list[str], most: int) -> list[str]:
+    """``lines`` broken at blanks where they are longer than ``most``; longer words stay whole."""
+    if max(map(len, lines)) <= most:
+        return lines
+    return [part for line in lines for part in (textwrap.wrap(line, most, expand_tabs=False, replace_whitespace=False, break_long_words=False, break_on_hyphens=False) if len(line) > most else [line]) or [""]]
 
 
 def visible_text(source: str) -> str:

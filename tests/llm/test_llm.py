@@ -788,3 +788,81 @@ def test_html_stray_quotes():
     assert html.visible_text('<p title="a"">Hello world</p><p>more') == "Hello world\n\nmore"
     assert html.visible_text("<a title=Bob's>link</a> text") == "link text"
     assert html.visible_text('<p title="a>b" \'>one</p><p a = \'x>"y\'>two<br/>three') == "one\n\ntwo\nthree"
+
+
+def test_html_visibility_and_bars():
+    cases = {
+        "<table><tr><td>x<td>||<tr><td>|</table>": "x | ||\n|",
+        "<table><tr><td>a |<td> | b<tr><td><td>c</table>": "a | |  | b" if False else "a | | | b\n    | c",
+        "<span aria-hidden=true>shown</span>": "shown",
+        "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>": "x = 2",
+        "a<svg width=1><title>t</title><desc>d</desc><defs><text>u</text></defs><text>one</text><text>two</text></svg>b": "a one two b",
+        "<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c<div style='visibility: inherit'>d</div></div>e": "b\ne",
+        "<p style='display:none;display:block'>a<p style='display:block;DISPLAY : NONE'>b<p style='display:none!important;display:block'>c": "a",
+        "<p style='visibility:hidden;visibility:visible'>a<p style='/*display:none;*/color:red'>b<p hidden style='display:block'>c<p hidden>d": "a\n\nb\n\nc",
+        "<ol><li>a<li value=7>b<li>c</ol>": "1. a\n7. b\n8. c",
+        "<input type=submit value='Send it'><input type=reset><input value=typed><input type=image alt=go>": "Send it Reset go",
+        "<dialog>n</dialog><dialog open>y</dialog>": "y",
+        "<table style='visibility:hidden'><caption>n</caption><tr><td>n<td style='visibility:visible'>y</table>": "| y",
+        "<pre style='visibility:hidden'>n<i style='visibility:visible'>y</i></pre>": "y",
+    }
+    for source, wanted in cases.items():
+        assert html.visible_text(source).strip() == wanted.strip(), (source, html.visible_text(source))
+
+
+def test_html_wraps_wide_cells():
+    words = " ".join(f"w{k}" for k in range(200))
+    got = html.visible_text(f"<table><tr><td>{words}<td>next<tr><td>a<td>{words}</table>")
+    lines = got.split("\n")
+    assert len({line.index(" | ") for line in lines if " | " in line}) == 1 and all(len(line) <= 120 for line in lines if " | " not in line)
+    assert re.findall(r"w\d+", got) == [f"w{k}" for k in range(200)] * 2 and words in got
+
+
+def random_page(rng, depth, dark):
+    """A page and the characters of its visible text."""
+    source, seen = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "text", "block", "inline", "table", "style", "gone", "svg"]) if depth else "text"
+        if kind == "text":
+            word = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))
+            source.append(f" {word} ")
+            seen.append("" if dark else word)
+            continue
+        if kind == "table":
+            rows = []
+            for _ in range(rng.randint(1, 3)):
+                cells = [random_page(rng, depth - 1, dark) for _ in range(rng.randint(1, 3))]
+                rows.append("<tr>" + "".join(f"<td>{c}</td>" for c, _ in cells) + "</tr>")
+                seen.append("".join(s for _, s in cells))
+            source.append("<table>" + "".join(rows) + "</table>")
+            continue
+        if kind == "svg":
+            source.append("<svg><g><text>left</text><title>no</title></g></svg>")
+            seen.append("" if dark else "left")
+            continue
+        if kind == "style":
+            how, after = rng.choice([("visibility:hidden", True), ("visibility:visible", False), ("visibility:hidden;visibility:visible", False), ("color:red", dark), ("visibility:visible;visibility:collapse", True)])
+            inner, text = random_page(rng, depth - 1, after)
+            source.append(f"<{(t := rng.choice(['div', 'span']))} style='{how}'>{inner}</{t}>")
+        elif kind == "gone":
+            inner, text = random_page(rng, depth - 1, dark)
+            source.append(rng.choice(["<div hidden>{}</div>", "<span style='display:block;display:none'>{}</span>", "<template>{}</template>", "<div><audio>{}</audio></div>"]).format(inner))
+            text = ""
+        else:
+            inner, text = random_page(rng, depth - 1, dark)
+            tag = rng.choice(["div", "section", "blockquote"]) if kind == "block" else rng.choice(["span", "em", "q"])
+            source.append(f"<{tag} aria-hidden='true'>{inner}</{tag}>")
+        seen.append(text)
+    return "".join(source), "".join(seen)
+
+
+def test_html_shows_what_random_pages_show():
+    """Characters of cells that stand side by side come line by line, so each page is compared by its counts, and those without tables in order."""
+    rng = random.Random(31)
+    pages = [random_page(rng, 4, False) for _ in range(400)]
+    assert sum(len(seen) for _, seen in pages) > 5_000
+    for source, seen in pages:
+        got = re.sub(r"[\s|]", "", html.visible_text(source))
+        assert Counter(got) == Counter(seen), source
+        if "<table" not in source:
+            assert got == seen, source
