@@ -1,9 +1,14 @@
 """The folder stream reads each file once; windowed bands agree in batch and stream form."""
 
 import datetime
+import random
 
+import pytest
+
+from dossier.operators import links as link_rules
 from dossier.sources import files
 from dossier.streaming import folder
+from dossier.streaming import links as link_stream
 
 
 def test_new_files_once(spark, tmp_path):
@@ -35,3 +40,28 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, files.first_manifest(m).collect())) == [("a", "manifest.json"), ("b", "d/manifest.json")]
     pages = spark.createDataFrame([(1, 0, "short"), (2, 0, "a text that is long enough"), (2, 5, "not read")], "file_id int, page_no int, text string")
     assert sorted((x.file_id, x.needs_ocr) for x in files.text_layer(pages).collect()) == [(1, True), (2, False)]
+
+
+@pytest.mark.parametrize(("cut", "order"), [(1, "log"), (6, "log"), (6, "any"), (13, "again")])
+def test_link_state_in_any_cut(spark, tmp_path, cut, order):
+    """Micro-batches in any cut and order, with events that come twice, leave the links that the whole log does."""
+    rng = random.Random(cut)
+    kinds = ["confirm", "suggest", "skip", "undo", "combo", "delete"]
+    log = [(rng.choice([1, 1, 1, *range(2, 30)]), k, rng.choice(kinds), rng.choice([None, 0, 1, 2, 3])) for k in range(600)]
+    log = [(f, k, kind, 1 if e is None and kind in ("confirm", "suggest", "combo", "delete") else e) for f, k, kind, e in log]
+    ddl = "file_id long, seq long, kind string, entry_id long"
+    want = {tuple(r) for r in link_rules.state(spark.createDataFrame(log, ddl)).collect()}
+    sent = list(log) if order == "log" else rng.sample(log, len(log))
+    sent += rng.sample(log, 200) if order == "again" else []
+    for k in range(cut):
+        spark.createDataFrame(sent[k::cut] if order == "any" else sent[k * len(sent) // cut : (k + 1) * len(sent) // cut], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, batches = str(tmp_path / "out"), []
+
+    def keep(df, k):
+        batches.append(k)
+        df.write.mode("append").parquet(out)
+
+    link_stream.link_updates(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination(120)
+    got = {tuple(r) for r in link_stream.latest(spark.read.parquet(out)).collect()}
+    assert got == want and len(batches) >= cut
