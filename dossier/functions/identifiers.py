@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns of identifiers.
 ORDINANCE = "(?i)portaria\\s*(?:n[º°o.]?\\s*)?(\\d{2,6})([\\s\\S]{0,50}?\\b(?:19|20)\\d{2}\\b)?"
 CALL = "(?i)edital\\s*(?:n[º°o.]?\\s*)?(\\d{1,4}\\s*/\\s*\\d{2,4})"
 ISSN = "(?i)issn[:\\s]*(\\d{4}\\s*-\\s*\\d{3}[\\dxX])"
