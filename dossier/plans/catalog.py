@@ -284,9 +284,16 @@ def scan_counters(spark, sf):
     return scoring.scan_counters(_review(spark, sf, scoring.GUESS))
 
 
-@query()
+@query(RANKED_SQL + """, pr as (select r.*, coalesce(source, '') as profile_id from r join documents on doc_id = file_id), tp as (select profile_id, file_id, entry_id as top, score as top_score from pr where rank = 1 and score >= 0.35),
+ two as (select tp.*, s.entry_id as second, s.score as second_score from tp left join (select * from pr where rank = 2) s using (profile_id, file_id)), cv as (select profile_id, top as entry, count(*) as n from tp group by 1, 2),
+ td as (select two.*, a.n as cover_top, coalesce(b.n, 0) as cover_second from two join cv a on a.profile_id = two.profile_id and a.entry = top left join cv b on b.profile_id = two.profile_id and b.entry = second
+  where top_score - second_score <= 0.08 and second_score >= 0.35 and a.n >= 2 and b.n is null),
+ g as (select profile_id, list({'file_id': file_id, 'top': top, 'second': second} order by file_id) as rows, map_concat(map_from_entries(list_distinct(list((second, 0::bigint)))), map_from_entries(list_distinct(list((top, cover_top))))) as held from td group by 1),
+ m as (select profile_id, list_reduce(rows, lambda s, r: case when map_extract_value(s.held, r.top) >= 2 and map_extract_value(s.held, r.second) = 0
+   then {'held': map_concat(s.held, map([r.top, r.second], [map_extract_value(s.held, r.top) - 1, 1::bigint])), 'moved': list_append(s.moved, r.file_id)} else s end, {'held': held, 'moved': []::bigint[]}).moved as moved from g)
+ select profile_id, file_id, case when list_contains(moved, file_id) then second else top end as entry_id, case when list_contains(moved, file_id) then second_score else top_score end as score from two left join m using (profile_id)""")
 def global_assignment(spark, sf):
-    """Sequential in its near ties, for each source as a profile; held against a plain loop in the tests."""
+    """Sequential in its near ties, for each source as a profile; also held against a plain loop in the tests."""
     profile = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("")).alias("profile_id"))
     return scoring.assign(scoring.ranked(_scores(spark, sf, scoring.GUESS)).join(profile, "file_id"))
 
@@ -321,11 +328,13 @@ def ordinance_matches(spark, sf):
 KINDS = ["Artigo", "Livro/Capítulo", "Orientação", "Evento", "Formação", "Projeto"]
 
 
+FRONT = "case doc_id % 5 when 0 then 'PORTARIA N ' || cast(100 + doc_id % 40 as string) || ', DE 1 DE MAIO DE 2020. ' when 1 then 'Edital nº ' || cast(doc_id % 40 + 1 as string) || '/2021 ' when 2 then 'ISSN 1234-' || lpad(cast(doc_id % 40 as string), 4, '0') || ' ' when 3 then 'doi 10.1000/x' || cast(doc_id % 40 as string) || ' 2015 ' else '' end"
+
+
 def pair_tables(spark, sf):
     """Files from documents with an identifier in front of some, entries from benchmark with matching ones."""
     d = table(spark, sf, "documents")
-    front = "case doc_id % 5 when 0 then 'PORTARIA N ' || cast(100 + doc_id % 40 as string) || ', DE 1 DE MAIO DE 2020. ' when 1 then 'Edital nº ' || cast(doc_id % 40 + 1 as string) || '/2021 ' when 2 then 'ISSN 1234-' || lpad(cast(doc_id % 40 as string), 4, '0') || ' ' when 3 then 'doi 10.1000/x' || cast(doc_id % 40 as string) || ' 2015 ' else '' end"
-    text = F.expr(f"{front} || text")
+    text = F.expr(f"{FRONT} || text")
     f = d.select(F.col("doc_id").alias("file_id"), F.expr("'f' || cast(doc_id as string)").alias("cert_key"), text.alias("text"))
     f = f.withColumns({"years": tx.year_set(F.substring("text", 1, scoring.TEXT_CHARS)), "folder_kinds": F.when(F.col("file_id") % 2 == 0, F.array(F.lit("Evento"), F.lit("Projeto"))).otherwise(F.array().cast("array<string>"))})
     b = table(spark, sf, "benchmark")
@@ -352,9 +361,25 @@ def scan_input(spark, sf):
     return f.select(F.regexp_extract("file_id", "(\\d+)\\.pdf$", 1).cast("long").alias("doc_id"), "cert_key", F.md5("text").alias("text_md5"), F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"), F.array_join("folder_kinds", ",").alias("kinds"), "has_text")
 
 
-@query()
+_KNOWN = lambda pattern, change="x": f"list_transform(regexp_extract_all(t, '{pattern}', 1), lambda x: {change})"
+PAIR_SQL = SCORES_SQL.replace("with w as", f"with docs as (select doc_id, {FRONT} || text as text from documents), w as", 1).replace("as cert from documents))", "as cert from docs))") + f""",
+ ft as (select doc_id as file_id, left(text, 4000) as t, case when doc_id % 2 = 0 then ['Evento', 'Projeto'] else [] end as folder_kinds from docs),
+ fx as (select *, {PAIRS_SQL} as pairs, {_KNOWN("(?i)edital\\s*(?:n[º°o.]?\\s*)?(\\d{1,4}\\s*/\\s*\\d{2,4})", "replace(x, ' ', '')")} as calls, {_KNOWN("(?i)issn[:\\s]*(\\d{4}\\s*-\\s*\\d{3}[\\dxX])", "upper(replace(x, ' ', ''))")} as issns, {_KNOWN("(?i)(10\\.\\d{4,}/[^\\s,;]+)", "lower(x)")} as dois,
+  list_filter({_KNOWN("\\b((?:19|20)\\d{2})\\b", "cast(x as int)")}, lambda y: y between 1990 and 2035) as years, contains(lower(t), 'issn') or contains(lower(t), 'isbn') or contains(lower(t), 'doi') or regexp_matches(t, '10\\.\\d{{4,}}/') as has_pub from ft),
+ en as (select item_id as entry_id, {sql_list(KINDS)}[item_id % 6 + 1] as kind, case when item_id % 2 = 0 then cast(100 + item_id as string) || '/' || cast(2020 + item_id % 4 as string) else cast(100 + item_id as string) end as portaria, cast(item_id + 1 as string) || '/2021' as edital,
+  '10.1000/x' || cast(item_id as string) as doi, '1234-' || lpad(cast(item_id as string), 4, '0') as issn, 2012 + item_id % 10 as year, case when item_id % 3 = 0 then 2021 else 0 end as end_year from benchmark),
+ ap as (select *, coalesce(score, 0) as ts, coalesce(list_max(list_transform(pairs, lambda c: case when split_part(c, '/', 1) <> split_part(portaria, '/', 1) then 0 when split_part(c, '/', 2) = '' or split_part(portaria, '/', 2) = '' then 0.95 when split_part(c, '/', 2) = split_part(portaria, '/', 2) then 0.99 else 0 end)), 0)::double as ord
+  from fx cross join en left join scores using (file_id, entry_id) where file_id % 40 <> entry_id and (kind not in ('Artigo', 'Livro/Capítulo') or has_pub) and not (kind in ('Orientação', 'Formação') and (len(pairs) > 0 or contains(lower(t), 'portaria')))),
+ rw as (select *, ord > 0 or list_contains(calls, edital) or list_contains(dois, doi) as is_identifier, case when ord > 0 then ord when list_contains(calls, edital) then 0.99 when list_contains(dois, doi) then 1.0 when ts > 0.2 and list_contains(issns, issn) then least(1, ts + 0.15) else ts end::double as raw,
+  case when (end_year >= year or end_year = 0) and (end_year <> 0 or 2024 > year) then case when end_year = 0 then 2024 else end_year end else year end as last from ap),
+ ag as (select *, case when raw > 0 and year > 0 and len(years) > 0 then case when list_bool_or(list_transform(years, lambda y: y >= year and y <= last)) then least(1, raw + 0.06) when list_min(list_transform(years, lambda y: least(abs(y - year), abs(y - last)))) >= 3 then raw * 0.8 else raw end else raw end as aged from rw),
+ sc as (select file_id, entry_id, is_identifier, case when is_identifier then least(1, aged) else least(0.97, aged + case when list_contains(folder_kinds, kind) and aged > 0 then 0.2 else 0 end) end as total from ag)
+ select file_id, entry_id, round(total, 6) as score, is_identifier from sc where total > 0 and total >= {scoring.GUESS}"""
+
+
+@query(PAIR_SQL)
 def pair_scores(spark, sf):
-    """All rules of the pair score; held against a plain loop over all pairs in the tests."""
+    """All rules of the pair score; also held against a plain loop over all pairs in the tests."""
     f, e, r = pair_tables(spark, sf)
     return scoring.pair_scores(f, e, scoring.Options(as_of_year=2024), r, scoring.GUESS).withColumn("score", F.round("score", 6))
 
@@ -643,16 +668,45 @@ def split_periods(spark, sf):
     return o.select("o_orderkey", F.col("c.start").alias("start_year"), F.col("c.end").alias("end_year"), "c.chunk")
 
 
-@query()
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+ANCHOR_SQL = f"""with e as (select conv_id as body, cast(conv_id * 1000 + turn as int) as line_no, text || case when turn % 2 = 0 then ', 2020' else '' end as raw from conversations),
+ b as (select body, line_no, case line_no % 4 when 0 then raw || ', 2021.' when 1 then 'https://x' when 2 then left(raw, 40) else '(Tipo) ' || left(raw, 30) || '.' end as line from e),
+ l as (select * from (select body, line_no, regexp_replace(regexp_replace(line, '^\\s*(\\d{{1,3}}\\.\\s+){{2,}}', ''), '^\\s*\\d{{1,3}}\\.\\s*', '') as line from b) where line <> ''),
+ t as (select *, lead(line) over (partition by body order by line_no) as after, {_STRIP.format("regexp_replace(line, '\\s*Citações:\\s*\\d+(\\s*\\|\\s*\\d+)?\\s*$', '')")} as tail, {_STRIP.format(FOLD.format("line"))} as n from l),
+ f as (select *, (regexp_matches(tail, '(\\.|\\."|"\\.|\\)\\.)$') or regexp_matches(tail, '(19|20)\\d{{2}}\\.?$')) and not (regexp_matches(tail, '(19|20)\\d{{2}}\\.?$') and coalesce(starts_with(after, '('), false)) as ends, regexp_matches(line, '\\b(19|20)\\d{{2}}\\b') as dated,
+  regexp_matches(n, '^({"|".join(segment.METADATA)})') or regexp_matches(line, '^(http|www\\.|\\[http|\\[www\\.|\\p{{Ll}}|-|–)') or regexp_matches(n, '^(portaria|edital)') or (length(line) <= 90 and regexp_matches(n, '(portaria|edital)\\s*n'))
+  or (length(line) <= 160 and not contains(left(line, 50), ',') and not regexp_matches(line, '\\b(19|20)\\d{{2}}\\b')) as glue from t),
+ g as (select body, list({{'line': line, 'ends': ends, 'glue': glue, 'dated': dated}} order by line_no) as rows from f group by 1),
+ k as (select body, rows, list_reduce(rows, lambda s, r: case when s.fresh and s.chunk > 0 and r.glue then {{'ids': list_append(s.ids, s.chunk - 1), 'chunk': s.chunk, 'fresh': s.fresh, 'dated': s.dated}}
+   else {{'ids': list_append(s.ids, s.chunk), 'chunk': case when (s.dated or r.dated) and r.ends then s.chunk + 1 else s.chunk end, 'fresh': (s.dated or r.dated) and r.ends, 'dated': (s.dated or r.dated) and not r.ends}} end,
+   {{'ids': []::bigint[], 'chunk': 0::bigint, 'fresh': true, 'dated': false}}).ids as ids from g),
+ u as (select body, unnest(ids) as chunk_no, unnest(range(1, len(rows) + 1)) as k_no, unnest(rows) as r from k)
+ select body, chunk_no, string_agg(r.line, ' ' order by k_no) as chunk from u group by 1, 2"""
+
+
+@query(ANCHOR_SQL)
 def split_year_anchor(spark, sf):
-    """A fold over lines; held against the plain loop in the tests."""
+    """A fold over lines; also held against a plain loop in the tests."""
     b = _raw_entries(spark, sf).selectExpr("floor(entry_id / 1000) as body", "cast(entry_id as int) as line_no", "case entry_id % 4 when 0 then raw_text || ', 2021.' when 1 then 'https://x' when 2 then substring(raw_text, 1, 40) else '(Tipo) ' || substring(raw_text, 1, 30) || '.' end as line", "'Artigo' as kind")
     return segment.split_year_anchor(b, ["body"]).select("body", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
 
 
-@query()
+LEVELS_SQL = f"""with l as (select l_partkey as body, cast(l_orderkey * 10 + l_linenumber as int) as line_no, case (l_orderkey + l_linenumber) % 7 when 0 then 'Mestrado' when 1 then '1. 2. Doutorado' else 'Participação em banca de X' end as line from lineitem),
+ n as (select *, regexp_extract({FOLD.format('line')}, '^(\\d{{1,3}}\\.\\s*)*', 0) as numbers, {FOLD.format('line')} as norm from l),
+ v as (select *, map({sql_list(segment.LEVELS)}, {sql_list(segment.LEVELS.values())}) as names from n), r as (select *, map_extract_value(names, substr(norm, length(numbers) + 1)) as level, len(numbers) - len(replace(numbers, '.', '')) as waits, regexp_matches(line, '(?i)Participaç[ãa]o\\s+em\\s+banca\\s+de') as opens from v),
+ g as (select body, list({{'line_no': line_no, 'line': line, 'level': level, 'waits': waits, 'opens': opens}} order by line_no) as rows, bool_or(level is not null) as marked from r group by 1),
+ k as (select body, marked, rows, list_reduce(rows, lambda s, r: case when r.level is not null and s.fresh and r.waits > 0 and s.now <> '' and s.next is null then {{'levels': list_append(s.levels, null), 'now': s.now, 'next': r.level, 'wait': r.waits, 'fresh': s.fresh}}
+   when r.level is not null then {{'levels': list_append(s.levels, null), 'now': r.level, 'next': null, 'wait': 0::bigint, 'fresh': true}}
+   when s.next is not null and r.opens and s.wait = 0 then {{'levels': list_append(s.levels, s.next), 'now': s.next, 'next': null, 'wait': 0::bigint, 'fresh': false}}
+   else {{'levels': list_append(s.levels, s.now), 'now': s.now, 'next': s.next, 'wait': case when s.next is not null and r.opens then s.wait - 1 else s.wait end, 'fresh': false}} end,
+   {{'levels': []::varchar[], 'now': '', 'next': null::varchar, 'wait': 0::bigint, 'fresh': true}}).levels as levels from g),
+ u as (select body, marked, unnest(rows) as r, unnest(levels) as level from k)
+ select body, r.line_no as line_no, level from u where level is not null and not (marked and level = '')"""
+
+
+@query(LEVELS_SQL)
 def committee_levels(spark, sf):
-    """Parts as bodies, their line items as lines; a fold, held against a plain loop in the tests."""
+    """Parts as bodies, their line items as lines; a fold, also held against a plain loop in the tests."""
     li = table(spark, sf, "lineitem").selectExpr("l_partkey as body", "cast(l_orderkey * 10 + l_linenumber as int) as line_no", "case (l_orderkey + l_linenumber) % 7 when 0 then 'Mestrado' when 1 then '1. 2. Doutorado' else 'Participação em banca de X' end as line")
     return segment.committee_levels(li, ["body"]).select("body", "line_no", "level")
 
