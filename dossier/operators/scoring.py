@@ -26,6 +26,8 @@ FOLDER_BONUS, ISSN_BONUS, YEAR_BONUS, YEAR_PENALTY, YEAR_GAP = 0.20, 0.15, 0.06,
 PHRASE_WORDS, ISSN_LEAST = 10, 0.2
 #: UTF-8 bytes of a block of titles or texts, and of titles that are sent to all executors at most; with more, texts are shuffled to them.
 BLOCK_BYTES, MOST_BYTES = 1 << 20, 32 << 20
+#: How many times the work of a summed pair one that is scored in its row takes: with too few keys spared, all pairs are summed.
+ROW_WORK = 10
 #: A share of a sum of weights that is lost to rounding at most.
 ROOM = 1e-9
 
@@ -159,15 +161,29 @@ def text_scores(files: DataFrame, entries: DataFrame, least: float = 0.0, chars:
     members = stored(e.join(e.groupBy("title", "venue").agg(F.min("entry_id").alias("head")), ["title", "venue"]))
     heads = members.where("entry_id = head").select("entry_id", "title", "venue").distinct()
     tokens, normal = _tokens(heads, idf(e)), _normal(files, chars)
-    if least > 0:
-        found = scored(candidates(normal, heads, tokens, least), normal, heads, tokens, least)
-    else:
-        found = all_scores(normal, heads, tokens)
+    found = floored(normal, heads, tokens, least)
     if members.where("entry_id <> head").isEmpty():
         return found
     return found.withColumnRenamed("entry_id", "head").join(members.select("head", "entry_id"), "head").select("file_id", "entry_id", "score")
 
 
+def floored(normal: DataFrame, entries: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """Scores of at least ``least``: of ``candidates`` if these are few enough, else of all pairs; both give the same rows.
+
+    What the words of all pairs, and what the keys alone, would meet is counted before, from the files and entries of each word.
+    """
+    if least <= 0:
+        return all_scores(normal, entries, tokens)
+    titles = stored(titles_of(entries, least))
+    words = _words(normal)
+    seen = stored(words.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("files")))
+    keys = stored(word_keys(tokens, seen, titles, least))
+    meets = lambda df: df.join(seen, "token").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    if meets(keys) * ROW_WORK < meets(tokens.select("entry_id", "token").distinct()):
+        return scored(candidates(normal, titles, keys), normal, titles, tokens, least)
+    return all_scores(normal, entries, tokens).where(F.col("score") >= least)
+
+
 def all_scores(normal: DataFrame, entries: DataFrame, tokens: DataFrame, within: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Scores above 0 of all pairs that share a word, and a kind if ``within`` has the kinds of files and of entries: word counts and weights are summed in the join on words, in part where a
     file's words are, and phrases are found by ``phrase_matches``; neither texts nor titles meet the pairs."""
@@ -223,19 +239,16 @@ def run_keys(texts: DataFrame, words: Column, size: int) -> DataFrame:
     return each.select(name, F.concat_ws(" ", F.right("w0", F.lit(1)), *[f"w{k}" for k in range(1, size - 1)], F.left(F.col(f"w{size - 1}"), F.lit(1))).alias("key"))
 
 
-def candidates(normal: DataFrame, entries: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """file_id, entry_id and by_run of all pairs whose text score may reach ``least`` (and of others), by equi-joins on words and on runs of words.
+def candidates(normal: DataFrame, titles: DataFrame, keys: DataFrame) -> DataFrame:
+    """file_id, entry_id and by_run of all pairs whose text score may reach a floor (and of others), by equi-joins on words and on runs of words.
 
-    ``normal``: file_id, cert. A pair reaches it by weight, and then shares one of the ``word_keys``, or by a run of
-    least * min(words, PHRASE_WORDS) title words; the keys of runs of three or four words find that (by_run).
+    ``normal``: file_id, cert, words. ``titles``: see ``titles_of``. A pair reaches the floor by weight, and then shares one of the
+    ``keys`` (see ``word_keys``), or by a run of title words; the keys of runs of three or four words find that (by_run).
     """
-    titles = stored(titles_of(entries, least))
-    words = _words(normal)
-    seen = words.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("files"))
-    found = words.join(stored(word_keys(tokens, seen, titles, least)), "token").select("file_id", "entry_id", F.lit(False).alias("by_run"))
+    found = _words(normal).join(keys, "token").select("file_id", "entry_id", F.lit(False).alias("by_run"))
     for size in sorted(r[0] for r in titles.where("size > 0").select("size").distinct().collect()):
-        theirs = titles.where(F.col("size") == size)
-        runs = run_keys(normal, F.split("cert", " "), size)
+        theirs = titles.where(F.col("size") == size).select("entry_id", "said")
+        runs = run_keys(normal.select("file_id", "cert"), F.split("cert", " "), size)
         found = found.unionByName(runs.join(run_keys(theirs, F.col("said"), size), "key").select("file_id", "entry_id", F.lit(True).alias("by_run")))
     return found.groupBy("file_id", "entry_id").agg(F.max("by_run").alias("by_run"))
 
@@ -247,30 +260,32 @@ def titles_of(entries: DataFrame, least: float) -> DataFrame:
     return t.withColumn("size", F.when((F.col("n_words") <= 3) & (F.col("run") <= 2), 0).when(F.col("run") > 3, 4).otherwise(3))
 
 
-def scored(pairs: DataFrame, normal: DataFrame, entries: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """file_id, entry_id and text score, of at least ``least``, of ``pairs``, each told in its row from the file's text and the entry's words.
+def scored(pairs: DataFrame, normal: DataFrame, titles: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """file_id, entry_id and text score, of at least ``least``, of ``pairs``, each told in its row from the file's words and text and the entry's words.
 
     Words come first. A run is looked for only in pairs that its key has found, whose titles are too short for the key, or whose venue
-    may lift a lower score; elsewhere it stays below ``least``, and so below what words or venue give.
+    may lift a lower score; elsewhere it stays below ``least``, and so below what words or venue give. So texts meet few pairs.
     """
     of = lambda s: F.array_agg(F.when(F.col("side") == s, F.struct("token", "tf", (F.col("tf") * F.col("weight")).alias("mass"))))
-    e = titles_of(entries, least).join(tokens.groupBy("entry_id").agg(of("t").alias("t"), of("v").alias("v")), "entry_id")
+    e = tokens.groupBy("entry_id").agg(of("t").alias("t"), of("v").alias("v"))
     e = e.withColumn("tokens", F.array_union(F.transform("t", lambda x: x["token"]), F.transform("v", lambda x: x["token"])))
-    row = pairs.join(e, "entry_id").join(normal, "file_id").withColumn("both", F.array_intersect("tokens", "words"))
-    row = row.select("file_id", "entry_id", "by_run", "n_words", "run", "said", "t", "v", "cert", F.explode(F.array("both")).alias("both"))
+    e = stored(e.join(titles.select("entry_id", "n_words", "run"), "entry_id"))
+    row = pairs.join(normal.select("file_id", "words"), "file_id").join(e, "entry_id").withColumn("both", F.array_intersect("tokens", "words"))
+    row = row.select("file_id", "entry_id", "by_run", "n_words", "run", "t", "v", F.explode(F.array("both")).alias("both"))
     held = lambda s: F.filter(s, lambda x: F.array_contains("both", x["token"]))
     add = lambda words, field: F.aggregate(words, F.lit(0).cast("double" if field == "mass" else "long"), lambda a, x: a + x[field])
     sums = {"matched": add(held("t"), "tf"), "got": add(held("t"), "mass"), "venue_matched": add(held("v"), "tf"), "venue_got": add(held("v"), "mass"), "total": add("t", "tf"), "mass": add("t", "mass"), "venue_mass": add("v", "mass")}
-    row = row.select("file_id", "entry_id", "by_run", "n_words", "run", "said", "cert", F.explode(F.array(F.struct(*[v.alias(k) for k, v in sums.items()]))).alias("s")).select("*", "s.*")
+    row = row.select("file_id", "entry_id", "by_run", "n_words", "run", F.explode(F.array(F.struct(*[v.alias(k) for k, v in sums.items()]))).alias("s")).select("*", "s.*").drop("s")
     by_venue = F.col("venue_got") >= (0.5 - ROOM) * F.col("venue_mass")
     by_words = F.col("got") >= (least - ROOM) * F.col("mass")
     told = by_words | ((F.col("venue_got") >= 0.6 * F.col("venue_mass")) & (F.col("venue_matched") >= 2) & (F.col("got") < 0.4 * F.col("mass"))) if least <= 0.4 else F.lit(False)
-    reads = F.col("by_run") | (F.col("run") <= 2) | (by_venue & ~told)
+    reads = (F.col("by_run") | (F.col("run") <= 2) | (by_venue & ~told)) & (F.col("n_words") >= 2) & (F.col("matched") > 0)
+    row = stored(row.withColumn("reads", reads).where(reads | by_words | by_venue))
     holds = lambda s, k: F.contains(F.col("cert"), F.array_join(F.slice("said", s, k), " "))
     further = lambda s: F.size(F.filter(F.sequence(F.lit(2), F.least(F.lit(PHRASE_WORDS), F.col("n_words") - s + 1)), lambda k: holds(s, k))) + 1
     most = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_words") - 1), lambda s: F.when(holds(s, F.lit(2)), further(s)).otherwise(0)))
-    row = row.where(reads | by_words | by_venue).withColumn("longest", F.when(reads & (F.col("n_words") >= 2) & (F.col("matched") > 0), most).otherwise(0))
-    return _combined(row).where((F.col("score") > 0) & (F.col("score") >= least))
+    read = row.where("reads").join(normal.select("file_id", "cert"), "file_id").join(titles.select("entry_id", "said"), "entry_id").withColumn("longest", most).drop("cert", "said")
+    return _combined(read.unionByName(row.where("not reads").withColumn("longest", F.lit(0)))).where((F.col("score") > 0) & (F.col("score") >= least))
 
 
 def title_scores(files: DataFrame, titles: DataFrame, least: float = 0.0) -> DataFrame:
@@ -360,8 +375,9 @@ def _floored_scores(files: DataFrame, entries: DataFrame, same_issn: DataFrame,
     plain = least - YEAR_BONUS - ROOM
     if plain <= 0:
         return all_scores(normal, e, tokens)
-    out = scored(candidates(normal, e, tokens, plain), normal, e, tokens, plain)
-    out = out.unionByName(scored(same_issn.withColumn("by_run", F.lit(True)), normal, e, tokens, ISSN_LEAST))
+    titles = stored(titles_of(e, plain))
+    out = floored(normal, e, tokens, plain)
+    out = out.unionByName(scored(same_issn.withColumn("by_run", F.lit(True)), normal, titles, tokens, ISSN_LEAST))
     if options.folder:
         kinds = files.select("file_id", F.explode("folder_kinds").alias("kind")).distinct()
         hinted = normal.join(kinds.select("file_id").distinct(), "file_id", "left_semi")

@@ -17,7 +17,7 @@ from dossier.functions import identifiers as ids
 from dossier.functions import text as tx
 from dossier.operators import dedupe, links, parse, ranking, report, scoring, segment
 from dossier.sources import files as src
-from dossier.sources.shared import shared_folder
+from dossier.sources.shared import shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def sql_list(values) -> str:

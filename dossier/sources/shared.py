@@ -42,6 +42,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it comes from fewer files than there are cores, of which most would idle; larger tables are read where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared folder."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
