@@ -598,9 +598,30 @@ def kind_labels(spark, sf):
     return l.select("doc_id", "line_no", tx.kind_label(F.col("line")).alias("kind"))
 
 
-@query()
+def _closes_sql(text: str) -> str:
+    return f"(len({text}) - len(replace({text}, ')', '')) > len({text}) - len(replace({text}, '(', '')))"
+
+
+CHILDREN = [display for _, display, _, child in segment.HEADERS if child]
+MODES = {display: mode for _, display, mode, _ in segment.HEADERS}
+SECTIONS_SQL = f"""{CV_SQL}, n as (select *, {NOISE_SQL} as noise, strip_accents(lower(line)) as norm, lead(line) over (partition by doc_id order by line_no) as after from l),
+ f as (select *, strip_accents(lower(line || ' ' || after)) as both_norm, {_header_sql('norm')} as own from n),
+ b as (select *, case when not noise and norm <> '' and own is null and not {_closes_sql('line')} and after <> '' and not {NOISE_SQL.replace('line', 'after')} then {_header_sql('both_norm')} end as joined from f),
+ o as (select *, coalesce(joined not in ('stop', 'done', 'ongoing'), false) as opens from b),
+ r as (select *, sum(cast(not opens as int)) over (partition by doc_id order by line_no) as run from o),
+ t as (select *, opens and sum(cast(opens as int)) over (partition by doc_id, run order by line_no) % 2 = 1 as takes from r),
+ k as (select *, coalesce(lag(takes) over (partition by doc_id order by line_no), false) as taken from t),
+ m as (select *, case when not taken and not noise and norm <> '' then case when takes then joined else own end end as head from k),
+ c as (select *, list_contains({sql_list(CHILDREN)}, head) as child, bool_or(coalesce(head = 'stop', false)) over (partition by doc_id order by line_no) as stopped from m),
+ g as (select *, coalesce(last_value(case when head = 'done' then ' (concluídas)' when head = 'ongoing' then ' (em andamento)' when not child then '' end ignore nulls) over (partition by doc_id order by line_no), '') as suffix from c where not stopped),
+ a as (select *, last_value(case when head is not null then {{'sec_no': line_no, 'open': head not in ('excluded', 'done', 'ongoing'), 'title': case when child then 'Orientações - ' || head || suffix else head end, 'head': head}} end ignore nulls) over (partition by doc_id order by line_no) as mark from g),
+ q as (select doc_id, mark.sec_no as sec_no, mark.title as title, mark.head as head, line_no, line from a where mark.open and head is null and not taken and not noise),
+ s as (select doc_id, sec_no, title, {sql_list(MODES.values())}[list_position({sql_list(MODES)}, head)] as mode, line_no, line from (select *, max(length(line)) over (partition by doc_id, sec_no) as longest from q) where longest > 0)"""
+
+
+@query(f"with {SECTIONS_SQL} select * from s")
 def section_assign(spark, sf):
-    """Sections of lines; held against a plain state machine in the tests."""
+    """Sections of lines; also held against a plain state machine in the tests."""
     return segment.sections(_cv(spark, sf)).select("doc_id", F.col("sec_no").cast("long").alias("sec_no"), "title", "mode", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
@@ -626,10 +647,13 @@ def owner_names(spark, sf):
     return segment.owner_name(table(spark, sf, "documents").select("doc_id", F.concat(F.expr(OWNED), F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", F.expr(CV).alias("text")))
 
 
-@query()
+@query(f"""with {SECTIONS_SQL}, y as (select doc_id, title, sec_no, string_agg(line, chr(10) order by line_no) as body from s group by 1, 2, 3),
+ z as (select doc_id, title, min(sec_no) as first, count(*) as n_bodies, string_agg(body, chr(10) || chr(12) || chr(10) order by sec_no) as bodies from y group by 1, 2)
+ select doc_id, title, row_number() over (partition by doc_id order by first) - 1 as place, n_bodies, bodies from z""")
 def section_bodies(spark, sf):
-    """Bodies by title, as the titles are first seen; held against the sections of lines in the tests."""
-    return segment.by_title(segment.bodies(segment.sections(_cv(spark, sf)))).withColumn("place", F.col("place").cast("long"))
+    """Bodies by title, as the titles are first seen, parted by page breaks."""
+    b = segment.by_title(segment.bodies(segment.sections(_cv(spark, sf))))
+    return b.select("doc_id", "title", F.col("place").cast("long").alias("place"), F.size("bodies").cast("long").alias("n_bodies"), F.array_join("bodies", "\n\f\n").alias("bodies"))
 
 
 NUMBERED = "case when o_orderkey % 2 = 1 then cast(o_orderkey % 90 + 1 as string) || '. ' else '' end || 'item ' || cast(o_custkey as string)"
