@@ -13,8 +13,10 @@ from dossier.llm.common import cut, map_batches, stored, texts
 
 #: Bytes of an n-gram, and bits of a byte: 48 bits in all.
 ORDER, BITS = 6, 8
-#: A model of more rows than this is not held in memory: scores then come from joins alone.
+#: A model of more rows than this is not held in memory at once, but in shards of at most so many rows, one after the other.
 MOST_ROWS = 4_000_000
+#: Bytes before an n-gram's last one that name its shard. Orders up to this one have few rows and are in every shard.
+SHARD_BYTES = 2
 #: Trusted ids up to this number are sent to all executors; more are joined by a shuffle of ids and texts.
 MOST_IDS = 1_000_000
 #: Log probabilities are whole multiples of 1 / SCALE, so that sums are exact in any order.
@@ -187,6 +189,63 @@ def score_in_memory(docs: DataFrame, seen: DataFrame, back: DataFrame) -> DataFr
     return map_batches(_rows(docs).select("doc_id", "lang", "text"), run, "doc_id long, lang string, n_bytes long, logp long")
 
 
+def shards(seen: DataFrame, back: DataFrame, most_rows: int) -> list[tuple[DataFrame, DataFrame, int, int]] | None:
+    """Parts of a model of ``most_rows`` rows at most beside those of low orders: its tables, and the shard keys (from, up to) they serve.
+
+    An n-gram's key is its SHARD_BYTES bytes before the last one. All its suffixes of more than SHARD_BYTES bytes, and their
+    contexts, have the same key, so each n-gram is resolved within one shard. Both tables are stored in the order of their keys,
+    and a shard reads its own rows of them. Only counts by key (65,536 at most) reach the driver. None if one key alone has more rows.
+    """
+    places = (seen, F.shiftright("g", BITS)), (back, F.col("h"))
+    keyed = [stored(df.where(F.col("k") > SHARD_BYTES).withColumn("key", _low(code, SHARD_BYTES)).repartitionByRange("key").sortWithinPartitions("key")) for df, code in places]
+    counted = reduce(DataFrame.unionByName, [df.select("key") for df in keyed]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ranges, held = [[0, 0]], 0
+    for r in counted.orderBy("key").collect():
+        if r.n > most_rows:
+            return None
+        if held + r.n > most_rows:
+            ranges.append([r.key, 0])
+            held = 0
+        held += r.n
+    for mine, after in zip(ranges, [*ranges[1:], [1 << BITS * SHARD_BYTES]], strict=True):
+        mine[1] = after[0]
+    low = [cut(df.where(F.col("k") <= SHARD_BYTES)) for df in (seen, back)]
+    return [(*[few.unionByName(df.where(F.col("key").between(a, b - 1)).drop("key")) for few, df in zip(low, keyed, strict=True)], a, b) for a, b in ranges]
+
+
+def score_by_shards(docs: DataFrame, parts: list[tuple[DataFrame, DataFrame, int, int]]) -> DataFrame:
+    """As ``score_in_memory``, to the last bit, with the ``shards`` of a larger model sent to the workers one after the other.
+
+    A pass over the texts for each shard gives each text's count and sum of the n-grams that the shard resolves: of the
+    texts themselves nothing is shuffled or written. Repeated texts give the same sums again, of which one counts.
+    """
+    rows, sums = _rows(docs), []
+    for number, (seen, back, a, b) in enumerate(parts):
+        held = docs.sparkSession.sparkContext.broadcast(Model(seen, back))
+
+        def run(batch: pa.RecordBatch, held=held, number=number, a=a, b=b) -> pa.RecordBatch:
+            found = [grams(t) for t in texts(batch)]
+            ends = np.cumsum([0, *map(len, found)])
+            code = np.concatenate(found)
+            key = code >> BITS & ((1 << BITS * SHARD_BYTES) - 1)
+            mine = (key >= a) & (key < b)
+            n = np.concatenate(([0], np.cumsum(mine)))[ends]
+            logp = np.concatenate(([0], np.cumsum(held.value.log_probability(code[mine]))))[n]
+            some = pa.array(np.diff(n) > 0)
+            out = [batch.column(0), pa.array(np.full(batch.num_rows, number, np.int32)), pa.array(np.diff(n)), pa.array(np.diff(logp))]
+            return pa.RecordBatch.from_arrays([c.filter(some) for c in out], ["digest", "shard", "n_bytes", "logp"])
+
+        sums.append(stored(map_batches(rows.select("digest", "text"), run, "digest binary, shard int, n_bytes long, logp long")))
+        held.destroy()
+    one = reduce(DataFrame.unionByName, sums).groupBy("digest", "shard").agg(F.max("n_bytes").alias("n_bytes"), F.max("logp").alias("logp"))
+    return _with_sums(rows, one.groupBy("digest").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("logp").alias("logp")))
+
+
+def _with_sums(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return rows.drop("text").join(scored, "digest", "left").select("doc_id", "lang", *[F.coalesce(c, zero).alias(c) for c in ("n_bytes", "logp")])
+
+
 def score_by_join(docs: DataFrame, seen: DataFrame, back: DataFrame) -> DataFrame:
     """As ``score_in_memory``, to the last bit, for a model of any size.
 
@@ -215,12 +274,15 @@ def score_by_join(docs: DataFrame, seen: DataFrame, back: DataFrame) -> DataFram
     done.append(todo.select("g", F.col("sum").alias("value")))
     value = stored(reduce(DataFrame.unionByName, done))
     scored = counted.join(value, "g").groupBy("digest").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("value")).alias("logp"))
-    return rows.drop("text").join(scored, "digest", "left").select("doc_id", "lang", F.coalesce("n_bytes", F.lit(0).cast("long")).alias("n_bytes"), F.coalesce("logp", F.lit(0).cast("long")).alias("logp"))
+    return _with_sums(rows, scored)
 
 
 def score(docs: DataFrame, seen: DataFrame, back: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    small = seen.count() + back.count() <= most_rows
-    return score_in_memory(docs, seen, back) if small else score_by_join(docs, seen, back)
+    """doc_id, lang, n_bytes and logp of each row: by the whole model in memory, its shards, or joins where not even one key's rows may be held."""
+    if seen.count() + back.count() <= most_rows:
+        return score_in_memory(docs, seen, back)
+    parts = shards(seen, back, most_rows)
+    return score_by_join(docs, seen, back) if parts is None else score_by_shards(docs, parts)
 
 
 def quantile_by(scores: DataFrame, value: str, by: list[str], share: float) -> DataFrame:

@@ -562,9 +562,27 @@ def test_kneser_ney_ways_agree(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     one = sorted(map(tuple, kneser_ney.classify(docs, labels).collect()))
     assert one == sorted(map(tuple, kneser_ney.classify(docs, labels, most_rows=0).collect()))
+    assert one == sorted(map(tuple, kneser_ney.classify(docs, labels, most_rows=20_000).collect()))
     assert one == sorted(map(tuple, kneser_ney.classify(docs, labels, most_ids=0).collect()))
 
 
+def test_kneser_ney_shards(spark, odd):
+    """Every row of the model is in one shard (low orders in all), shards are bounded and cover all keys, and odd rows score alike."""
+    said = ["abracadabra alakazam", "abba baab", "cab cad dab", "banana band", "é você 你好 你们"]
+    seen, back = kneser_ney.train(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"))
+    parts = kneser_ney.shards(seen, back, 60)
+    assert len(parts) > 3 and [a for *_, a, _ in parts] == [0, *[b for *_, b in parts[:-1]]] and parts[-1][3] == 1 << 16
+    high = [[df.where("k > 2").collect() for df in (s, b)] for s, b, *_ in parts]
+    assert max(len(s) + len(b) for s, b in high) <= 60
+    assert sorted(r for s, _ in high for r in s) == sorted(seen.where("k > 2").collect())
+    assert sorted(r for _, b in high for r in b) == sorted(back.where("k > 2").collect())
+    assert all(s.where("k <= 2").count() == seen.where("k <= 2").count() for s, *_ in parts)
+    assert kneser_ney.shards(seen, back, 1) is None
+    docs = odd.unionByName(spark.createDataFrame([(70, "banana cab zebra"), (71, "banana cab zebra")], "doc_id long, text string"), allowMissingColumns=True)
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(kneser_ney.score_by_shards(docs, parts)) == plain(kneser_ney.score_in_memory(docs, seen, back))
+
+
 def test_kneser_ney_on_documents_not_learned_from(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
