@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.operators.order import numbered
+
+#: Entries of one part of a title's list.
+PICKED = 1000
 #: Kinds of events that leave a file linked (others leave it without its main link), and those of one more entry of a file.
 LINKING, EXTRA = ("confirm", "suggest"), ("combo", "delete")
 
@@ -179,9 +183,16 @@ def existing(links: DataFrame, listing: DataFrame) -> DataFrame:
     return links.join(listing.select("path").distinct(), "path", "left_semi")
 
 
-def picker(sections: DataFrame, entries: DataFrame) -> DataFrame:
-    """title, entry_order and entry_id of each entry that a file can be linked to by hand, a row each; ordered by these, a title's entries stand together."""
-    return entries.join(sections.select("section_id", "title"), "section_id").select("title", "entry_order", "entry_id")
+def picker(sections: DataFrame, entries: DataFrame, size: int = PICKED) -> DataFrame:
+    """title, part (from 0) and entries (ids in order) of each section title: what a file can be linked to by hand.
+
+    A title's list comes in parts of ``size`` entries, numbered by counts of each task, so no task holds a whole one; ordered by
+    title and part they are the menu.
+    """
+    joined = entries.join(sections.select("section_id", "title"), "section_id").select("title", "entry_order", "entry_id")
+    placed = numbered(joined, ["title"], ["entry_order", "entry_id"], "place").withColumn("part", F.floor((F.col("place") - 1) / size))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "entry_id"))), lambda x: x["entry_id"])
+    return placed.groupBy("title", "part").agg(listed.alias("entries"))
 
 
 def confirmed_entries(statuses: DataFrame) -> DataFrame:
