@@ -40,7 +40,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("near-dedup (minhash and exact jaccard)", dedup_stage),
+    ("simhash near-dedup (+ minhash, jaccard)", dedup_stage),
     ("benchmark decontamination", decontaminate_stage),
     ("secret scans", secrets_stage),
     ("bpe encoding", encode_stage),

@@ -1,4 +1,4 @@
-"""Near-duplicate classes by exact Jaccard similarity of word shingles; MinHash bands find the candidates."""
+"""Near-duplicate classes by exact Jaccard similarity of word shingles; candidates by SimHash with pigeonring chains, and by MinHash bands beyond its distance."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import connected_components, cut, few, map_batches, stored, texts
-from dossier.llm.simhash import LOWER, representatives, text_hash
+from dossier.llm.simhash import LOWER, majority, representatives, text_hash, wide_pairs
 
 #: Two texts are near if the Jaccard similarity of their shingles is NEAR[0] / NEAR[1] or more.
 SHINGLE, NEAR = 5, (4, 5)
-#: Texts meet if all ROWS values of one of BANDS bands agree: at 0.8, all but (1 - 0.8 ** 5) ** 25 = 0.00005 of the pairs.
+#: Sets are candidates if their fingerprints differ in BITS bits at most, found by the chains of SEGMENTS segments.
+BITS, SEGMENTS = 5, 3
+#: Texts meet too if all ROWS values of one of BANDS bands agree: at 0.8, all but (1 - 0.8 ** 5) ** 25 = 0.00005 of the pairs.
 BANDS, ROWS = 25, 5
 #: 64-bit words of a set's parity sketch: each hash flips one of their bits.
 WORDS = [f"s{k}" for k in range(8)]
@@ -55,18 +57,19 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set of shingles), size (of the set), the words of its sketch and bands of every row."""
+    """doc_id, text_hash, node (a hash of the set of shingles), size and fp (SimHash) of the set, the words of its sketch and bands of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, shingle) for t in texts(batch)]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
         keys = pa.array([bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
         words = np.ascontiguousarray(np.array([sketch(s) for s in sets]).T)
-        columns = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, words), keys]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "size", *WORDS, "bands"])
+        fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+        columns = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), *map(pa.array, words), keys]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "size", "fp", *WORDS, "bands"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    return map_batches(docs, run, f"doc_id long, text_hash long, node long, size long, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>")
+    return map_batches(docs, run, f"doc_id long, text_hash long, node long, size long, fp long, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>")
 
 
 def _shares(common: Column, a: Column, b: Column, near: tuple[int, int]) -> Column:
@@ -81,6 +84,11 @@ def _may_share(a: str, b: str, near: tuple[int, int]) -> Column:
     return _shares(F.least(x, y), x, y, near) & ((near[0] + near[1]) * apart <= (near[1] - near[0]) * (x + y))
 
 
+def _within(a: str, b: str) -> Column:
+    """True in a band's bucket (even key); in a bucket of fingerprints if those of structs ``a`` and ``b`` are within BITS."""
+    return (F.col("key") % 2 == 0) | (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= BITS)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, near: tuple[int, int]) -> DataFrame:
     """Those ``pairs`` (a, b: nodes) whose sets of shingles are near; only texts of nodes in pairs are read again."""
     pairs = stored(pairs)
@@ -101,24 +109,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 def near_components(docs: DataFrame, shingle: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
     """doc_id, text_hash and component_id (the least doc_id reachable over near pairs) of every row of ``docs``.
 
-    Texts of the same shingles are one node. All nodes of a bucket (a band's key) are first compared with its
-    leader, the one that meets most others in all its buckets; so a large group of near copies becomes one
+    Texts of the same shingles are one node. Nodes whose SimHash fingerprints differ in BITS bits or fewer are compared
+    in pairs. Near pairs may differ in more (in some 10 of 64 at a similarity of 0.8); buckets of MinHash bands hold those.
+    All nodes of such a bucket (a band's key), or of a crowded one of fingerprints, are first compared with its leader, the one that meets most others in all its buckets; so a large group of near copies becomes one
     component by as many comparisons as it has nodes. Then, in buckets that still hold several components,
     all pairs of nodes of different components are compared, but those that sizes and sketches rule out.
-    No pair of a bucket that could join two components is left out. Null and blank texts are one node. A null doc_id takes part and never becomes
+    No pair of a bucket of bands, and none within BITS, that could join two components is left out. Null and blank texts are one node. A null doc_id takes part and never becomes
     a component's id, unless no other is there.
     """
     rows = cut(prints(docs, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in ("text_hash", "size", *WORDS)]))
-    keyed = cut(rows.select("node", F.explode("bands").alias("key")).distinct())
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in ("text_hash", "size", "fp", *WORDS)]))
+    others = nodes.where(near[1] * F.col("size") >= near[0] * (F.col("size") + 1))  # smaller sets are near to themselves alone
+    close, crowded = wide_pairs(others.select("node", "fp"), BITS, SEGMENTS)
+    close = stored(close)
+    crowded = cut(crowded.select(F.xxhash64("i", "key").bitwiseOR(F.lit(1)).alias("key"), "node").distinct())
+    keyed = cut(rows.select("node", F.explode("bands").alias("key")).select("node", F.col("key").bitwiseAND(F.lit(-2)).alias("key")).distinct()).unionByName(crowded)
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(keyed.join(met, "key"))
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    one = nodes.join(degree, "node").select("node", F.struct("degree", "node", "size", *WORDS).alias("x"))
+    one = nodes.join(degree, "node").select("node", F.struct("degree", "node", "size", "fp", *WORDS).alias("x"))
     shared = cut(shared.select("key", "node").join(one, "node"))
     lead = shared.groupBy("key").agg(F.max("x").alias("y"))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    first = stored(shared.join(lead, "key").where((F.col("x.node") != F.col("y.node")) & _may_share("x", "y", near)).select(*pair).distinct())
+    led = shared.join(lead, "key").where((F.col("x.node") != F.col("y.node")) & _within("x", "y") & _may_share("x", "y", near)).select(*pair)
+    first = stored(close.unionByName(led).distinct())
     edges = confirmed(first, docs, nodes, shingle, near)
     roots = connected_components(edges)
     named = cut(shared.join(roots, "node", "left").select("key", "x", F.coalesce("root", "node").alias("root")))
@@ -126,7 +140,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, near: tuple[int, in
     mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
     open_ = cut(named.join(mixed, "key"))
     other = open_.where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("y_root"))
-    pairs = other.join(open_, "key").where((F.col("y_root") != F.col("root")) & _may_share("x", "y", near))
+    pairs = other.join(open_, "key").where((F.col("y_root") != F.col("root")) & _within("x", "y") & _may_share("x", "y", near))
     pairs = pairs.select(*pair).distinct().join(first, ["a", "b"], "left_anti")
     edges = edges.unionByName(confirmed(pairs, docs, nodes, shingle, near))
     roots = connected_components(edges)

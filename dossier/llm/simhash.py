@@ -29,10 +29,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], ">u8")
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], ">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits, each set if it is set in over half of ``hashes``."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8", copy=False).view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
@@ -69,6 +73,17 @@ def _bits(x: Column, mask: int) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(mask).cast("long")))
 
 
+def _viable(x: Column, masks: list[list[int]], max_distance: int, shortest: int) -> Column:
+    """True if every chain of ``shortest`` segments or more from segment ``i`` on has its share of ``max_distance`` or fewer of the bits of ``x``."""
+    viable = F.lit(False)
+    for i, row in enumerate(masks):
+        chain = F.col("i") == i
+        for length in range(shortest, len(masks) + 1):
+            chain = chain & (_bits(x, row[length - 1]) <= length * max_distance // len(masks))
+        viable = viable | chain
+    return viable
+
+
 def links(nodes: DataFrame, max_distance: int = 2, segments: int = 7) -> DataFrame:
     """Edges (a, b) that join any two of the distinct fingerprints ``nodes.fp`` within ``max_distance``.
 
@@ -94,13 +109,7 @@ def links(nodes: DataFrame, max_distance: int = 2, segments: int = 7) -> DataFra
     sizes = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(keyed.join(sizes, ["i", "key"]))
     pair = shared.where(f"n <= {PAIRED}")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    viable = F.lit(False)
-    for i, row in enumerate(masks):
-        chain = F.col("i") == i
-        for length in range(equal + 1, segments + 1):
-            chain = chain & (_bits(x, row[length - 1]) <= length * max_distance // segments)
-        viable = viable | chain
+    viable = _viable(F.col("a").bitwiseXOR(F.col("b")), masks, max_distance, equal + 1)
     paired = (
         pair.select("i", "key", F.col("fp").alias("a"))
         .join(pair.select("i", "key", F.col("fp").alias("b")), ["i", "key"])
@@ -117,6 +126,34 @@ def links(nodes: DataFrame, max_distance: int = 2, segments: int = 7) -> DataFra
     return paired.unionByName(star.where("a <> b")).distinct()
 
 
+def wide_pairs(nodes: DataFrame, max_distance: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) of ``nodes`` (node, fp) within ``max_distance``, and the crowded buckets (i, key, node): any such pair is in one or the other.
+
+    Pigeonring principle as in ``links``, for distances at which no chain must be equal: a chain's first segment has
+    one differing bit at most. So a bucket is a segment's value, with the nodes that have it and those that are one
+    bit from it, in 64 rows and one more for each segment; longer chains prune the pairs of one of the former with one of the
+    latter. Buckets whose value more than PAIRED nodes have give no pairs.
+    """
+    if not 0 < max_distance < 2 * segments:
+        raise ValueError("max_distance is under two bits a segment")
+    masks = ring_masks(segments)
+
+    def rows(flipped: bool) -> DataFrame:
+        keys = []
+        for i, row in enumerate(masks):
+            own = F.col("fp").bitwiseAND(F.lit(row[0]).cast("long"))
+            flips = [1 << k for k in range(64) if flipped and row[0] >> k & 1]
+            keys += [F.struct(F.lit(i).alias("i"), own.bitwiseXOR(F.lit(f - (1 << 64) if f >> 63 else f).cast("long")).alias("key")) for f in (0, *flips)]
+        return nodes.select("node", "fp", F.explode(F.array(*keys)).alias("at")).select("at.i", "at.key", "node", "fp")
+
+    crowds = few(rows(False).groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {PAIRED}").select("i", "key"))
+    one = rows(False).join(crowds, ["i", "key"], "left_anti").select("i", "key", F.col("node").alias("a"), F.col("fp").alias("x"))
+    two = rows(True).select("i", "key", F.col("node").alias("b"), F.col("fp").alias("y"))
+    viable = _viable(F.col("x").bitwiseXOR(F.col("y")), masks, max_distance, 1)
+    pairs = one.join(two, ["i", "key"]).where((F.col("a") < F.col("b")) & viable).select("a", "b").distinct()
+    return pairs, rows(True).join(crowds, ["i", "key"], "left_semi").select("i", "key", "node")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, max_distance: int = 2, segments: int = 7) -> DataFrame:
     """doc_id, text_hash, fp and component_id (the least doc_id reachable over links) of every row of ``docs``.
 

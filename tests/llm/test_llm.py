@@ -750,6 +750,67 @@ def test_near_copies_are_one_class(spark):
     assert len(wanted) < simhash.keep_representatives(df).count()
 
 
+@pytest.mark.parametrize("paired", [2, 64])
+def test_wide_pairs_lose_none(spark, monkeypatch, paired):
+    """Any two nodes within five bits are a pair, or members of one crowded bucket."""
+    from itertools import combinations
+
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rng = random.Random(8)
+    prints = []
+    for _ in range(40):
+        f = rng.getrandbits(64)
+        prints += [f, f]
+        for _ in range(rng.randint(0, 10)):
+            prints.append(f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+    signed = [f - (1 << 64) if f >> 63 else f for f in prints]
+    pairs, crowded = simhash.wide_pairs(spark.createDataFrame(list(enumerate(signed)), "node long, fp long"), 5, 3)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    groups = {}
+    for r in crowded.collect():
+        groups.setdefault((r.i, r.key), set()).add(r.node)
+    met = {p for g in groups.values() for p in combinations(sorted(g), 2)}
+    wanted = {(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 5}
+    assert found <= wanted <= found | met and (bool(met) == (paired == 2))
+
+
+def test_near_copies_by_simhash_alone(spark, monkeypatch):
+    """The stage links near texts whose fingerprints are within five bits where no MinHash band does."""
+    from itertools import combinations
+
+    import corpus_pipeline
+    from dossier.llm import minhash
+
+    prints = minhash.prints
+    monkeypatch.setattr(minhash, "prints", lambda *a: prints(*a).withColumn("bands", F.expr("cast(array() as array<bigint>)")))
+    rng = random.Random(7)
+    rows = []
+    for _ in range(10):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.choice((150, 600)))]
+        for _ in range(5):
+            v = list(w)
+            for k in rng.sample(range(len(v)), rng.randint(0, 4)):
+                v[k] = "X" + v[k]
+            rows.append((len(rows), " ".join(v), "en", "s"))
+    sets = [minhash.shingles(t) for _, t, _, _ in rows]
+    fp = [simhash.majority(s) for s in sets]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i, j in combinations(range(len(rows)), 2):
+        common = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+        if (fp[i] ^ fp[j]).bit_count() <= 5 and 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+            i, j = sorted((root(i), root(j)))
+            parent[j] = i
+    wanted = {root(i) for i in range(len(rows))}
+    assert len(wanted) < len(rows)
+    for paired in (64, 2):
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()} == wanted
+
+
 def test_html_tables_keep_all_text():
     cases = {
         "<table><tbody><td>A<td>B</table>": "A | B",
