@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dossier.functions import text as tx
-from dossier.sources.shared import stored
+from dossier.sources.shared import few, remove, removed, shared_folder, shuffles_dropped, stored
 
 #: Extensions of files that may prove an entry.
 EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "tiff", "tif", "heic")
@@ -29,6 +30,8 @@ MANIFEST = (
 )
 #: Characters of a text layer that count as text; pages read of it.
 LEAST_TEXT, TEXT_PAGES = 20, 5
+#: Files whose sums of lines are sent to all executors at most; lines of a block that share a join key; waves that archives are written in at most, from so many lines on each.
+MOST_FILES, BLOCK_LINES, WAVES, WAVE_LINES = 100_000, 4096, 8, 200_000
 
 
 def listed(files: DataFrame) -> DataFrame:
@@ -107,21 +110,23 @@ def scanned(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file_id"), name.alias("cert_key"), match_text(text, name).alias("text"), F.when(F.size(years) > 0, years).otherwise(tx.year_set(text)).alias("years"), tx.folder_kinds(below).alias("folder_kinds"), (text != "").alias("has_text"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """file, line_no (from 0, in the file), row_no (from 0, files in the order of their paths) and value of each line of text files below ``path``.
 
     Lines are read in splits, in any order: each split's lines are counted, and the sums of the counts before a split, of
-    which there are few, place its lines. Only these sums meet the lines.
+    which there are few, place its lines. Only these sums meet the lines. ``by_folder``: the files of a folder, by name, are one text, in which line_no counts.
     """
     at = F.monotonically_increasing_id()
     raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at.alias("at"))
     splits = raw.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    in_file = splits.withColumn("in_file", before(Window.partitionBy("file").orderBy("start")))
+    text = F.regexp_replace("file", "/[^/]*$", "") if by_folder else F.col("file")
+    placed = splits.withColumns({"in_text": before(Window.partitionBy(text).orderBy("file", "start")), "in_file": before(Window.partitionBy("file").orderBy("start"))})
     files = splits.groupBy("file").agg(F.sum("n").alias("n")).withColumn("in_all", before(Window.orderBy("file"))).drop("n")
-    placed = in_file.join(files, "file").drop("n")
-    line = F.col("at") - F.col("first") + F.col("in_file")
-    return raw.join(placed, ["file", "start"]).select("file", line.alias("line_no"), (line + F.col("in_all")).alias("row_no"), "value")
+    placed = placed.join(files, "file").withColumn("in_all", F.col("in_all") + F.col("in_file")).drop("n", "in_file")
+    placed = F.broadcast(placed) if len(raw.inputFiles()) <= MOST_FILES else placed
+    line = F.col("at") - F.col("first")
+    return raw.join(placed, ["file", "start"]).select("file", (line + F.col("in_text")).alias("line_no"), (line + F.col("in_all")).alias("row_no"), "value")
 
 
 def read_ranking(spark: SparkSession, path: str, quad: str) -> DataFrame:
@@ -140,63 +145,111 @@ def _fields(df: DataFrame, ddl: str, given: dict[str, Column]) -> list[Column]:
     return out
 
 
-def manifest_lines(profiles: DataFrame, sections: DataFrame, entries: DataFrame, links: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """profile_id, o (an array to order by) and value: the lines of each profile's manifest, which together are one JSON text.
+def with_commas(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """``df`` with comma: false for the first row of each ``group`` by ``order``, of equal ones for any one. Rows are numbered only where there are such equals, and only these."""
+    key = F.struct(*order)
+    low = few(stored(df.groupBy(group).agg(F.min(key).alias("low"))))
+    d = df.join(low, group).withColumn("is_low", key.eqNullSafe(F.col("low"))).drop("low")
+    if d.where("is_low").groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return d.withColumn("comma", ~F.col("is_low")).drop("is_low")
+    first = d.where("is_low").withColumn("comma", F.row_number().over(Window.partitionBy(group).orderBy("is_low")) > 1)
+    return d.where("not is_low").withColumn("comma", F.lit(True)).unionByName(first).drop("is_low")
+
+
+def manifest_lines(profiles: DataFrame, sections: DataFrame, entries: DataFrame, links: DataFrame, rejected: DataFrame | None = None) -> Iterator[DataFrame]:
+    """profile_id, place, section, step, k, id (which, and then value, they are sorted by) and value: the lines of each profile's manifest, which together are one JSON text.
 
     A line opens a profile, holds a refused link, opens a section, holds an entry with its files, closes a section, holds a
     file in limbo, or closes the profile; so no row holds more than an entry. Columns are named as in MANIFEST, with underscores; those that a
-    table lacks are null. ``links`` without an entry_id are the profile's limbo. ``rejected``: profile_id, cert_key, hash_key.
+    table lacks are null. ``links`` without an entry_id are the profile's limbo; others need no profile_id. ``rejected``: profile_id, cert_key, hash_key.
+    Each kind of line is a table of its own, made when the one before has been written, so that what one kind shuffles is gone by then.
     """
-    comma = lambda first, text: F.when(first, text).otherwise(F.concat(F.lit(","), text))
-    line = lambda df, places, value: df.select("profile_id", F.array(*[(F.lit(p) if isinstance(p, int) else p).cast("long") for p in places]).alias("o"), value.alias("value"))
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1]))
+    id_type = entries.schema["entry_id"].dataType
+    as_text = lambda text: F.when(F.col("comma"), F.concat(F.lit(","), text)).otherwise(text)
+
+    def line(df: DataFrame, place: int, value: Column, section: Column | int = 0, step: Column | int = 0, k: Column | int = 0, id_: Column | None = None) -> DataFrame:
+        of = lambda x, kind: (F.lit(x) if isinstance(x, int) else x).cast(kind)
+        return df.select("profile_id", F.lit(place).alias("place"), of(section, "long").alias("section"), of(step, "int").alias("step"), of(k, "long").alias("k"), (F.lit(None) if id_ is None else id_).cast(id_type).alias("id"), value.alias("value"))
+
+    turn = F.when(F.col("comma"), 2).otherwise(1)
     file = F.struct(*_fields(links, FILE, {"order": F.col("cert_order"), "originalFilePath": F.col("file_path") if "file_path" in links.columns else F.col("file_name")}))
-    certs = links.where("entry_id is not null").groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cert_order", file.alias("v")))), lambda x: x["v"]).alias("certificates"))
-    e = entries.join(certs, "entry_id", "left").withColumn("certificates", F.coalesce("certificates", F.array().cast(f"array<{FILE}>")))
-    status = F.when(F.exists("certificates", lambda c: c["isConfirmed"]), "confirmed").when(F.size("certificates") > 0, "suggested").otherwise("none")
-    s = sections.withColumn("s_no", first("profile_id", F.struct("section_order", "section_id")))
-    e = e.join(s.select("section_id", "profile_id", "s_no"), "section_id").withColumn("e_no", first("section_id", F.struct("entry_order", "entry_id")))
-    limbo = links.where("entry_id is null").withColumn("l_no", first("profile_id", F.struct("cert_order", F.to_json(file))))
+    s = sections.withColumn("s_no", F.row_number().over(Window.partitionBy("profile_id").orderBy("section_order", "section_id")))
+    s = stored(s.select("profile_id", "section_id", "title", "section_order", "s_no"))
     head = F.to_json(F.struct(*_fields(profiles, f"struct<{HEAD_FIELDS}>", {"formatVersion": F.lit(1), "includesFiles": F.col("includes_files") if "includes_files" in profiles.columns else F.lit(False)})))
     opened = F.to_json(F.struct("title", F.col("section_order").alias("order")))
-    rows = [
-        line(profiles, (0, 0, 0), F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"rejectedLinks":['))),
-        line(profiles, (2, 0, 0), F.lit('],"sections":[')),
-        line(s, (3, F.col("s_no"), 0), comma(F.col("s_no") == 1, F.concat(F.substring(opened, F.lit(1), F.length(opened) - 1), F.lit(',"entries":[')))),
-        line(e, (3, F.col("s_no"), F.col("e_no")), comma(F.col("e_no") == 1, F.to_json(F.struct(*_fields(e, ENTRY, {"order": F.col("entry_order"), "certificateStatus": status, "certificates": F.col("certificates")}))))),
-        line(s, (3, F.col("s_no"), (1 << 63) - 1), F.lit("]}")),
-        line(profiles, (4, 0, 0), F.lit('],"limboCertificates":[')),
-        line(limbo, (5, F.col("l_no"), 0), comma(F.col("l_no") == 1, F.to_json(file))),
-        line(profiles, (6, 0, 0), F.lit("]}")),
+    frame = [
+        line(profiles, 0, F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"rejectedLinks":['))),
+        line(profiles, 2, F.lit('],"sections":[')),
+        line(s.withColumn("comma", F.col("s_no") > 1), 3, as_text(F.concat(F.substring(opened, F.lit(1), F.length(opened) - 1), F.lit(',"entries":['))), F.col("s_no")),
+        line(s, 3, F.lit("]}"), F.col("s_no"), 3),
+        line(profiles, 4, F.lit('],"limboCertificates":[')),
+        line(profiles, 6, F.lit("]}")),
     ]
     if rejected is not None:
-        r = rejected.select("profile_id", F.concat_ws("||", "cert_key", "hash_key").alias("x")).distinct().withColumn("r_no", first("profile_id", "x"))
-        text = F.to_json(F.array("x"))
-        rows.append(line(r, (1, F.col("r_no"), 0), comma(F.col("r_no") == 1, F.substring(text, F.lit(2), F.length(text) - 2))))
-    return reduce(DataFrame.unionByName, rows)
+        text = F.to_json(F.array(F.concat_ws("||", "cert_key", "hash_key")))
+        r = stored(rejected.select("profile_id", F.substring(text, F.lit(2), F.length(text) - 2).alias("x")).distinct())
+        frame.append(line(with_commas(r, "profile_id", F.col("x")), 1, as_text(F.col("x")), step=turn))
+    yield reduce(DataFrame.unionByName, frame)
+    if rejected is not None:
+        removed(r)
+    certs = links.where("entry_id is not null").groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cert_order", file.alias("v")))), lambda x: x["v"]).alias("certificates"))
+    e = entries.join(few(s.select("section_id", "profile_id", "s_no")), "section_id")
+    e = with_commas(e, "section_id", F.col("entry_order"), F.col("entry_id"))
+    e = e.join(certs, "entry_id", "left").withColumn("certificates", F.coalesce("certificates", F.array().cast(f"array<{FILE}>")))
+    status = F.when(F.exists("certificates", lambda c: c["isConfirmed"]), "confirmed").when(F.size("certificates") > 0, "suggested").otherwise("none")
+    held = F.to_json(F.struct(*_fields(e, ENTRY, {"order": F.col("entry_order"), "certificateStatus": status, "certificates": F.col("certificates")})))
+    yield line(e, 3, as_text(held), F.col("s_no"), turn, F.col("entry_order"), F.col("entry_id"))
+    limbo = stored(links.where("entry_id is null").select("profile_id", "cert_order", F.to_json(file).alias("x")), compression="zstd")
+    yield line(with_commas(limbo, "profile_id", F.col("cert_order"), F.col("x")), 5, as_text(F.col("x")), step=turn, k=F.col("cert_order"))
+    removed(limbo)
+
 
+def write_archives(lines: Iterable[DataFrame], folder: str) -> None:
+    """``manifest_lines`` as compressed text files, below ``profile_id=`` a profile's id; a profile's files by name, one after the other, are its JSON text.
 
-def write_archives(lines: DataFrame, folder: str) -> None:
-    """``manifest_lines`` as one text file a profile, below ``profile_id=`` its id; a profile's lines stream through one task, sorted, and Spark commits the files."""
-    lines.repartition("profile_id").sortWithinPartitions("profile_id", "o").select("profile_id", "value").write.partitionBy("profile_id").text(folder)
+    Lines are stored as they come, by waves of profiles; then each wave is sorted by ranges, which many tasks share, and written, and its stored lines go.
+    So the lines are never shuffled all at once.
+    """
+    spark = SparkSession.active()
+    kept = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    order = ["profile_id", "place", "section", "step", "k", "id"]
+    with shuffles_dropped(spark):
+        for part in lines:
+            part.withColumn("wave", F.pmod(F.xxhash64("profile_id"), F.lit(WAVES)).cast("int")).write.mode("append").option("compression", "zstd").partitionBy("wave").parquet(kept)
+        found = spark.read.parquet(kept)
+        n = min(WAVES, -(-found.count() // WAVE_LINES)) or 1
+        for wave in range(n):
+            held = found.where((F.col("wave") >= wave * WAVES // n) & (F.col("wave") < (wave + 1) * WAVES // n))
+            dealt = held.repartitionByRange(*order, F.substring("value", 1, 100)).sortWithinPartitions(*order, "value")
+            dealt.select("profile_id", "value").write.mode("append").option("compression", "gzip").partitionBy("profile_id").text(folder)
+            for k in range(wave * WAVES // n, (wave + 1) * WAVES // n):
+                remove(spark, f"{kept}/wave={k}")
+        remove(spark, kept)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """profile (the text of the id), line_no and value of each line of the archives below ``folder``."""
-    found = numbered_lines(spark, folder)
-    return found.select(F.url_decode(F.regexp_extract("file", "profile_id=([^/]*)/", 1)).alias("profile"), "line_no", "value")
+    """profile (the text of the id), line_no and value of each line of the archives below ``folder``, stored."""
+    found = numbered_lines(spark, folder, by_folder=True)
+    return stored(found.select(F.url_decode(F.regexp_extract("file", "profile_id=([^/]*)/", 1)).alias("profile"), "line_no", "value"), compression="zstd")
 
 
 def archived(lines: DataFrame) -> DataFrame:
     """profile, line_no, part (profile, rejected, section, entry or limbo) and value (JSON) of what ``read_archives`` has, with the line of its section.
 
-    Which part a line is in is told by the last line before it that opens or closes one.
+    Which part a line is in is told by the last line before it that opens or closes one. These lines, of which there are few, are the bounds of
+    stretches; each line meets the stretches of its block of BLOCK_LINES lines alone, so lines are not shuffled.
     """
-    w = Window.partitionBy("profile").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     v = F.col("value")
     mark = F.when(F.endswith(v, F.lit(',"rejectedLinks":[')), "rejected").when(v == '],"sections":[', "section").when(F.endswith(v, F.lit(',"entries":[')), "entry").when(v == '],"limboCertificates":[', "limbo").when(v == "]}", "section")
     closed = lambda tail, end: F.concat(F.substring(v, F.lit(1), F.length(v) - len(tail)), F.lit(end))
-    l = lines.withColumns({"mark": mark, "place": F.last(mark, ignorenulls=True).over(w), "section_line": F.last(F.when(mark == "entry", F.col("line_no")), ignorenulls=True).over(w)})  # noqa: E741
+    w = Window.partitionBy("profile").orderBy("line_no")
+    bounds = stored(lines.select("profile", "line_no", mark.alias("place")).where("place is not null"))
+    section = F.last(F.when(F.col("place") == "entry", F.col("line_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = bounds.withColumns({"until": F.coalesce(F.lead("line_no").over(w), F.col("line_no") + 1), "section_line": section})
+    block = lambda x: F.floor(x / BLOCK_LINES)
+    spans = few(stored(spans.withColumnRenamed("line_no", "since").withColumn("block", F.explode(F.sequence(block(F.col("since")), block(F.col("until") - 1))))))
+    within = (F.col("line_no") >= F.col("since")) & (F.col("line_no") < F.col("until"))
+    l = lines.withColumns({"block": block(F.col("line_no")), "mark": mark}).join(spans, ["profile", "block"]).where(within)  # noqa: E741
     part = F.when(F.col("mark").isNull(), F.col("place")).when(F.col("mark") == "rejected", "profile").when(F.col("mark") == "entry", "section")
     text = F.when(F.col("mark") == "rejected", closed(',"rejectedLinks":[', "}")).when(F.col("mark") == "entry", closed(',"entries":[', "}")).otherwise(v)
     return l.select("profile", "line_no", part.alias("part"), F.regexp_replace(text, "^,", "").alias("value"), F.when(part.isin("section", "entry"), F.col("section_line")).alias("section_line")).where("part is not null")
@@ -223,7 +276,7 @@ HEAD_FIELDS = ",".join(f"{name}:{kind}" for name, kind in (x.split(" ", 1) for x
 
 def archived_entries(parts: DataFrame) -> DataFrame:
     """profile, section_line, section_title, section_order, line_no and entry of each entry of ``archived``."""
-    s = parts.where("part = 'section'").select("profile", "section_line", F.from_json("value", "title string, `order` bigint").alias("s"))
+    s = few(stored(parts.where("part = 'section'").select("profile", "section_line", F.from_json("value", "title string, `order` bigint").alias("s"))))
     e = parts.where("part = 'entry'").select("profile", "section_line", "line_no", F.from_json("value", ENTRY).alias("entry"))
     return e.join(s, ["profile", "section_line"]).select("profile", "section_line", F.col("s.title").alias("section_title"), F.col("s.order").alias("section_order"), "line_no", "entry")
 
@@ -254,9 +307,11 @@ def import_archives(parts: DataFrame, names: DataFrame, base: str, bundled: Data
     """
     heads = parts.where("part = 'profile'").select("profile", F.from_json("value", HEAD_FIELDS.replace(":", " ").replace(",", ", ")).alias("h"))
     named = free_names(names, heads.select(F.col("profile").alias("wish"), F.col("h.name").alias("wanted"))).select(F.col("wish").alias("profile"), "name")
+    named = few(stored(named))
     new_id = F.concat(F.lit("import-"), "profile")
     folder = F.concat(F.lit(base.rstrip("/") + "/"), "name")
     held = (bundled if bundled is not None else parts.sparkSession.createDataFrame([], "profile string, inner string")).select("profile", "inner").distinct()
+    held = few(stored(held))
     cv = held.where(F.col("inner") == BUNDLED_CV).select("profile", F.lit(True).alias("has_cv"))
     heads = heads.join(named, "profile").join(cv, "profile", "left")
     profiles = heads.select(new_id.alias("profile_id"), "name", F.when(F.col("has_cv"), F.concat(folder, F.lit("/" + UNPACKED_CV))).otherwise(F.col("h.pdfPath")).alias("pdf_path"), F.col("h.importDate").alias("import_date"), F.col("h.lastUpdated").alias("last_updated"), folder.alias("save_path"), F.col("h.rawText").alias("raw_text"))

@@ -1,5 +1,6 @@
 """Order of lines and rows over many tasks, archives written, read and imported, and folder listings."""
 
+import gzip
 import json
 import random
 
@@ -91,6 +92,34 @@ def test_archives_are_json_and_read_back(spark, tmp_path):
     assert src.archived_rejections(parts).where("cert_key = 'f \"1\"' and hash_key = 'h||x'").count() == 1
 
 
+def test_archives_in_waves_and_many_files(spark, tmp_path, monkeypatch):
+    """Compressed, a large profile over several files, equal files in limbo, and read back without a shuffle of the lines."""
+    for name, n in (("WAVE_LINES", 1), ("BLOCK_LINES", 3)):
+        monkeypatch.setattr(src, name, n)
+    profiles, sections, _, _, rejected = tables(spark)
+    entries = spark.createDataFrame([(10 + k % 2, k, 200 - k, f"e{k}", 2000) for k in range(200)], "section_id long, entry_id long, entry_order int, raw_text string, year int")
+    links = [(None, k % 150, f"/o/{k}.pdf", k % 2 == 0, k) for k in range(300)] + [(1, None, "/o/same.pdf", False, 0)] * 3 + [(1, None, f"/o/l{k}.pdf", False, k) for k in range(40)]
+    links = spark.createDataFrame(links, "profile_id long, entry_id long, file_path string, is_confirmed boolean, cert_order int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        src.write_archives(src.manifest_lines(profiles, sections, entries, links, rejected), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "out" / "profile_id=1").glob("part-*"))
+    assert len(files) > 1 and all(f.name.endswith(".txt.gz") for f in files)
+    whole = json.loads("".join(gzip.decompress(f.read_bytes()).decode() for f in files))
+    assert [[e["rawText"] for e in s["entries"]] for s in whole["sections"]] == [[f"e{k}" for k in range(199 - 1 + p, -1, -2)] for p in (0, 1)]
+    assert all([c["originalFilePath"] for c in e["certificates"]] == [f"/o/{k}.pdf" for k in (n, n + 150)] for s in whole["sections"] for e in s["entries"] if (n := int(e["rawText"][1:])) < 150)
+    limbo = [c["originalFilePath"] for c in whole["limboCertificates"]]
+    assert limbo[:4] == ["/o/l0.pdf"] + ["/o/same.pdf"] * 3 and limbo[4:] == [f"/o/l{k}.pdf" for k in range(1, 40)]
+    parts = src.archived(src.read_archives(spark, str(tmp_path / "out")))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    made_elsewhere = src.parts_of(spark.createDataFrame([("1", json.dumps(whole))], "profile string, manifest string"))
+    got, want = (sorted(map(str, src.archived_files(p.where("profile = '1'")).drop("line_no", "file_no").collect())) for p in (parts, made_elsewhere))
+    assert got == want and len(got) == 343
+
+
 def test_imports_have_free_names_and_new_ids(spark, tmp_path):
     parts = src.archived(written(spark, tmp_path))
     names = spark.createDataFrame([("Ana",), ("Ana (4)",), (None,)], "name string")
