@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +60,11 @@ def merge_bodies(entries: DataFrame, group: list[str], body: str = "sec_no", mos
     e = e.alias("e").join(sizes.alias("s"), on).select("e.*", "_n", "_many")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        held = list(zip(rows["_norm"], rows["_title"], rows["_year"], strict=True))
-        bodies = rows[body].tolist()
-        places = sorted(range(len(rows)), key=lambda k: (bodies[k], rows["entry_order"].iloc[k], rows["_uid"].iloc[k]))
-        for _, new in groupby(places, bodies.__getitem__):
-            before = [held[k] for k in kept]
-            kept = without_repeats(kept + [k for k in new if not any(same_entry(held[k], old) for old in before)], held)
-        return rows.iloc[kept]
-
-    done = e.where(F.col("_n") <= most).groupBy(*group).applyInPandas(run, e.schema)
+        rows = rows.sort_values([body, "entry_order", "_uid"])
+        return rows.iloc[merged(rows[body].tolist(), list(zip(rows["_norm"], rows["_title"], rows["_year"], strict=True)))]
+
+    small = e.where(F.col("_n") <= most).repartition(*group).sortWithinPartitions(*group, body, "entry_order", "_uid")
+    done = small.mapInArrow(lambda batches: section_passes(batches, group, body), e.schema)
     large = e.where(F.col("_n") > most)
     if most < 1 or not large.isEmpty():
         large = cut(large)
@@ -78,6 +75,42 @@ def merge_bodies(entries: DataFrame, group: list[str], body: str = "sec_no", mos
     return done.withColumn("entry_order", F.when(F.col("_many"), place).otherwise(F.col("entry_order"))).select(*given)
 
 
+def merged(bodies: list[int], held: list[tuple[str, str, int]]) -> list[int]:
+    """Places of the entries (text, title, year) that stay, of those of a section in the order of their ``bodies``."""
+    kept: list[int] = []
+    for _, new in groupby(range(len(held)), bodies.__getitem__):
+        before = [held[k] for k in kept]
+        kept = without_repeats(kept + [k for k in new if not any(same_entry(held[k], old) for old in before)], held)
+    return kept
+
+
+def section_passes(batches: Iterator[pa.RecordBatch], group: list[str], body: str) -> Iterator[pa.RecordBatch]:
+    """Rows that stay of sections that come one after the other, each in the order of its bodies; most sections are small, so many share a batch."""
+
+    def passed(rows: pa.Table, keys: list[tuple]) -> Iterator[pa.RecordBatch]:
+        bodies, held = rows[body].to_pylist(), list(zip(*(rows[c].to_pylist() for c in ("_norm", "_title", "_year")), strict=True))
+        kept, at = [], 0
+        for _, same in groupby(keys):
+            end = at + sum(1 for _ in same)
+            kept += [at + k for k in merged(bodies[at:end], held[at:end])]
+            at = end
+        yield from rows.take(pa.array(kept, pa.int64())).to_batches()
+
+    rest, rest_keys = None, []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        keys = rest_keys + list(zip(*(rows[c].to_pylist() for c in group), strict=True))
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        whole = len(keys)
+        while whole and keys[whole - 1] == keys[-1]:
+            whole -= 1
+        if whole:
+            yield from passed(rows.slice(0, whole), keys[:whole])
+        rest, rest_keys = rows.slice(whole), keys[whole:]
+    if rest is not None:
+        yield from passed(rest, rest_keys)
+
+
 def windows(text: Column, size: Column | int) -> Column:
     """Hashes of the distinct stretches of ``size`` characters; none if the text is shorter."""
     size = F.lit(size) if isinstance(size, int) else size

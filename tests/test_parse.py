@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,24 @@ def test_merge_against_a_loop(spark, most):
     assert {k: v for k, v in want.items() if v} == got
 
 
+def test_small_sections_share_passes(spark):
+    """Sections go on over batches of any size, and no call is made for each of them."""
+    rng = random.Random(12)
+    rows = sorted((rng.choice([None, 1, 2, 3, 4, 5]) or 0, b, k, f"texto {rng.randint(0, 3)}") for b in range(3) for k in range(20))
+    cols = {"section": [r[0] or None for r in rows], "sec_no": [r[1] for r in rows], "entry_order": [r[2] for r in rows], "_norm": [r[3] for r in rows], "_title": ["t"] * 60, "_year": [2019] * 60}
+    table = pa.table(cols)
+    got = [[r for b in dedupe.section_passes(iter(table.to_batches(max_chunksize=n)), ["section"], "sec_no") for r in b.to_pylist()] for n in (1, 2, 7, 60)]
+    want, seen = [], set()
+    for r in table.to_pylist():
+        if (r["section"], r["_norm"]) not in seen:
+            seen.add((r["section"], r["_norm"]))
+            want.append(r)
+    assert all(x == want for x in got)
+    df = spark.createDataFrame([(k, 0, 0, "a", "b", 2019) for k in range(50)], "section int, sec_no int, entry_order int, raw_text string, title string, year int")
+    out = dedupe.merge_bodies(df, ["section"])
+    assert out.count() == 50 and "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_marked(spark):
     df = spark.createDataFrame([("a 2001 - 2002 b 2003 - Atual c",), ("none",)], "t string")
     assert [r[0] for r in df.select(segment.marked(F.col("t"), segment.PERIOD)).collect()] == [["2001 - 2002 b ", "2003 - Atual c"], []]
